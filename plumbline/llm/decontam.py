@@ -47,6 +47,7 @@ class Index:
     edits: np.ndarray
     least: np.ndarray
     seen: np.ndarray
+    short: list[tuple[int, re.Pattern]]
 
 
 def edit_budget(n: int) -> int:
@@ -65,7 +66,8 @@ def build(items: list[tuple]) -> Index:
     least = np.array([len(t) - Q + 1 for t in texts], np.int64) - Q * edits
     seen = np.zeros(1 << _BITS, bool)
     seen[grams >> np.uint64(64 - _BITS)] = True
-    return Index([i for i, _ in items], texts, grams[order], item[order], at[order], edits, np.maximum(least, 1), seen)
+    short = [(k, re.compile(rf"(?<!\w){re.escape(t)}(?!\w)")) for k, t in enumerate(texts) if 0 < len(t) < Q]
+    return Index([i for i, _ in items], texts, grams[order], item[order], at[order], edits, np.maximum(least, 1), seen, short)
 
 
 def regions(index: Index, text: str) -> list[tuple[int, int, int]]:
@@ -82,11 +84,11 @@ def regions(index: Index, text: str) -> list[tuple[int, int, int]]:
         return []
     entry = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
     item = index.item[entry]
-    diagonal = np.repeat(where, n) - index.at[entry] + len(text) * 0
+    diagonal = np.repeat(where, n) - index.at[entry]
     width = 2 * index.edits[item] + 1  # bands overlap by half, so any run of edits + 1 diagonals lies in one of them
     found = []
     for shift in (0, 1):
-        band = (diagonal + shift * (index.edits[item] + 1) + (1 << 40) // width * width) // width
+        band = (diagonal + shift * (index.edits[item] + 1)) // width
         order = np.lexsort((band, item))
         i, b = item[order], band[order]
         cut = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (b[1:] != b[:-1])]))
@@ -94,7 +96,7 @@ def regions(index: Index, text: str) -> list[tuple[int, int, int]]:
         for c in cut[count >= index.least[i[cut]]]:
             k = int(i[c])
             w = 2 * int(index.edits[k]) + 1
-            first = int(b[c]) * w - shift * (int(index.edits[k]) + 1) - (1 << 40) // w * w
+            first = int(b[c]) * w - shift * (int(index.edits[k]) + 1)
             found.append((k, first, first + w - 1))
     return found
 
@@ -112,14 +114,14 @@ def align(item: str, text: str, first: int, last: int, edits: int) -> tuple[int,
     steps = np.arange(width)
     begin = lo + steps
     cost = np.where((begin >= 0) & (begin <= m), 0, 1 << 20)
-    start = begin.copy()
+    start, scale = begin.copy(), 1 << width.bit_length()
     for r, ch in enumerate(item):
         same = cost + (codes[r : r + width] != ord(ch))
         up = np.append(cost[1:] + 1, 1 << 20)  # a character of the item is missing from the text
         best = np.where(up < same, up, same)
         start = np.where(up < same, np.append(start[1:], 0), start)
-        run = np.minimum.accumulate((best - steps) * 4096 * 16 + steps)  # characters of the text are extra
-        source = run % (4096 * 16) if width < 4096 * 16 else steps
+        run = np.minimum.accumulate((best - steps) * scale + steps)  # characters of the text are extra
+        source = run % scale
         cost = best[source] + steps - source
         start = start[source]
     j = int(np.argmin(cost))
@@ -136,14 +138,10 @@ def search(index: Index, text: str) -> list[tuple[int, int, int, int]]:
         hit = (exact, exact + len(item), 0) if exact >= 0 else align(item, text, first, last, edits)
         if hit:
             out.setdefault(k, []).append(hit)
-    for k, t in enumerate(index.texts):
-        if len(t) < Q and t:  # shorter than a q-gram: whole words that match exactly
-            m = re.search(rf"(?<!\w){re.escape(t)}(?!\w)", text)
-            if m:
-                out.setdefault(k, []).append((m.start(), m.end(), 0))
+    for k, pattern in index.short:  # shorter than a q-gram: whole words that match exactly
+        out.setdefault(k, []).extend((*m.span(), 0) for m in pattern.finditer(text))
     best = []
     for k, hits in out.items():
-        end = -1
         for s, e, d in sorted(hits, key=lambda h: (h[2], h[0])):
             if all(s >= y or e <= x for _, x, y, _ in (b for b in best if b[0] == k)):
                 best.append((k, s, e, d))
@@ -152,11 +150,10 @@ def search(index: Index, text: str) -> list[tuple[int, int, int, int]]:
 
 def source_span(text: str, start: int, end: int) -> tuple[int, int]:
     """Code points of ``text`` that the normalised span covers, in whole words."""
-    at, first, last = 0, None, 0
-    low = text.lower()
-    if len(low) != len(text):  # a character whose lower case is longer: fall back to matching words one by one
-        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    for m in WORD.finditer(low):
+    at, first, last, low = 0, None, 0, text.lower()
+    if len(low) == len(text):
+        text = low
+    for m in WORD.finditer(text):  # if a character's lower case is longer, words are measured one by one
         n = len(m.group().lower())
         if at + n > start and first is None:
             first = m.start()

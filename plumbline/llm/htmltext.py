@@ -113,7 +113,8 @@ class Lines(HTMLParser):
 
 def smoothed(x: np.ndarray) -> np.ndarray:
     kernel = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
-    return np.convolve(x, kernel / kernel.sum())[REACH : REACH + len(x)]
+    within = np.convolve(np.ones(len(x)), kernel)[REACH : REACH + len(x)]  # at the ends, the weight of the lines there are
+    return np.convolve(x, kernel)[REACH : REACH + len(x)] / within
 
 
 def content_lines(lines: list[tuple[str, int, Element]]) -> np.ndarray:
@@ -156,6 +157,9 @@ def region(lines: list[tuple[str, int, Element]], content: np.ndarray) -> set[El
 def extract(html: str) -> str:
     """The article's blocks in page order, one a line; empty if there are none."""
     page = Lines()
+    last = html.rfind("<")
+    if last > html.rfind(">") and re.match(r"<[A-Za-z/!?]", html[last : last + 2]):
+        html = html[:last]  # the page is cut off inside a tag
     page.feed(html)
     page.close()
     page.flush()

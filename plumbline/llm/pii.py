@@ -42,6 +42,7 @@ SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ -]+)?(?:{_WORD})(?:[ ,-]+(?:{_W
 _DOT = r"(?: *[\[({<] *(?:dot|punkt|point|punto) *[\])}>] *| +dot +)"
 DOT = re.compile(rf"(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9])", re.I)
 AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?: *[\[({{<] *at *[\])}}>] *| +at +(?=[A-Za-z0-9-]+{_DOT}))(?=[A-Za-z0-9])", re.I)
+QUAD = re.compile(rf"(?<![A-Za-z0-9.])(?:(?:{_WORD}|[0-9]+)\.){{3}}(?:{_WORD}|[0-9]+)(?![A-Za-z0-9])", re.I)
 HINT = re.compile(r"[\[({<] *(?:at|dot|punkt|point|punto) *[\])}>]| at +[A-Za-z0-9-]+ +dot ", re.I)
 _ODD = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + INVISIBLE + "！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]")
 
@@ -120,6 +121,7 @@ def normalised(text: str) -> Tape | None:
     tape.rewrite(SPELLED, spelled_digits)
     tape.rewrite(AT, lambda _: "@")
     tape.rewrite(DOT, lambda _: ".")
+    tape.rewrite(QUAD, lambda q: ".".join(DIGIT_WORDS.get(p.lower(), p) for p in q.split(".")))
     return None if tape.text == text else tape
 
 

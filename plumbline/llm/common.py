@@ -16,6 +16,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a single 8- to 16-byte key that may be broadcast: at most some tens of MB.
 BROADCAST_KEYS = 1_000_000
 
+#: Rows of one key that may meet in one task.
+HOT_ROWS = 1_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,6 +64,21 @@ def only_ids(docs: DataFrame, id_col: str, ids: DataFrame, how: str = "left_semi
     return docs.join(other, docs[id_col] == other["_only_id"], how)
 
 
+def split_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, hot: int = HOT_ROWS) -> DataFrame:
+    """Inner join of ``rows`` with the written table ``groups``, which has each key once and its number of rows in ``size``.
+
+    Rows of a key that has more than ``hot`` of them stay where they are: those keys, a
+    thousandth of the rows at most, are broadcast if a count allows it. All others meet by shuffle.
+    """
+    large = groups.filter(F.col(size) > hot)
+    n = large.count()
+    if not 0 < n <= BROADCAST_KEYS:
+        return rows.join(groups, on)
+    there = rows.join(F.broadcast(large), on)
+    rest = rows.join(F.broadcast(large.select(*on)), on, "left_anti").join(groups.filter(F.col(size) <= hot), on)
+    return rest.unionByName(there)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else. Texts of one-byte characters take the fast built-in."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

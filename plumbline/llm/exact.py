@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, ascii_lower, whole_text, written
+from .common import BROADCAST_KEYS, ascii_lower, split_join, whole_text, written
 
 
 def exact_dedup(
@@ -51,9 +51,9 @@ def exact_dedup(
     full = written(full, "exact-full")
 
     several = full.filter("_full is not null")
-    groups = several.groupBy("_full").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(several.groupBy("_full").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
     alone = full.filter("_full is null").select(*kept_columns, F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    out = several.join(groups, "_full").select(*kept_columns, "keep_id", "group_size").unionByName(alone)
+    out = split_join(several, groups, ["_full"], "group_size").select(*kept_columns, "keep_id", "group_size").unionByName(alone)
     return out.select(
         F.col("_id").alias(id_col),
         *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)),

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_texts, mix, whole_text, window_hashes, written
+from .common import WordHashes, arrow_texts, mix, split_join, whole_text, window_hashes, written
 
 LENGTH, ANCHOR = 35, 20
 
@@ -133,14 +133,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = found.join(first.filter("_n > 1").select("_same"), "_same", "left_semi").select("_key").distinct()
 
     once = first.select("_key", F.explode("_anchors").alias("_a"))
-    seeds = once.groupBy("_a").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("_a")
-    seeded = written(once.join(seeds, "_a").groupBy("_key").agg(F.collect_set("_a").alias("_seeds")), "repeat-seeds")
+    seeds = written(once.groupBy("_a").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1"), "repeat-known")
+    seeded = written(split_join(once, seeds, ["_a"], "_k").groupBy("_key").agg(F.collect_set("_a").alias("_seeds")), "repeat-seeds")
 
     one_text = texts.groupBy("_key").agg(F.first("_text").alias("_text"))
     windows = one_text.join(seeded, "_key").select("_key", "_text", "_seeds").mapInArrow(_windows(length, anchor), "_key binary, _start int, _h1 bigint, _h2 bigint")
     windows = written(windows, "repeat-windows")
-    twice = windows.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("_h1", "_h2")
-    starts = windows.join(twice, ["_h1", "_h2"]).groupBy("_key").agg(F.collect_list("_start").alias("_starts"))
+    twice = written(windows.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1"), "repeat-twice")
+    starts = split_join(windows, twice, ["_h1", "_h2"], "_k").groupBy("_key").agg(F.collect_list("_start").alias("_starts"))
 
     marks = starts.join(copies.withColumn("_whole", F.lit(True)), "_key", "full").select("_key", "_whole", "_starts")
     marked = texts.join(written(marks, "repeat-marks"), "_key", "left").select("_id", "_text", "_whole", "_starts")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -19,6 +19,9 @@ BROADCAST_KEYS = 1_000_000
 #: Rows of one key that may meet in one task.
 HOT_ROWS = 1_000
 
+#: Texts in one Arrow batch.
+TEXTS_PER_BATCH = 512
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -88,6 +91,15 @@ def whole_text(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
+def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches that keep whole texts small in memory: at most TEXTS_PER_BATCH rows and 16 MB each."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, TEXTS_PER_BATCH + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_PER_BATCH))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    return df.mapInArrow(run, schema)
+
+
 def arrow_texts(batches: Iterator, text: str = "_text") -> Iterator[tuple]:
     """Each Arrow batch with its texts as a list of str."""
     for batch in batches:

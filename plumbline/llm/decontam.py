@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import arrow_texts, whole_text, window_hashes, written
+from .common import arrow_texts, map_texts, whole_text, window_hashes, written
 
 #: q-gram length, edits allowed per character, and characters of benchmark text in one broadcast block.
 Q, EDIT_RATE, BLOCK_CHARS = 12, 0.06, 4_000_000
@@ -184,6 +185,7 @@ def contaminated(
     """
     items = benchmark.select(F.col(item_col).alias("_item"), whole_text(item_text_col).alias("_text")).filter("_text <> ''")
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"_id {kind}, _item {item_kind}, start int, end int, edits int"
     texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
     spark = docs.sparkSession
@@ -201,10 +203,9 @@ def contaminated(
                         for column, v in zip(rows, (n, ix.ids[k], *source_span(text, s, e), d), strict=True):
                             column.append(v)
                 ids = batch.column("_id").take(pa.array(rows[0], pa.int64()))
-                item_type = pa.array(ix.ids).type if len(ix.ids) else pa.int64()
                 yield pa.RecordBatch.from_arrays([ids, pa.array(rows[1], item_type), *(pa.array(c, pa.int32()) for c in rows[2:])], ["_id", "_item", "start", "end", "edits"])
 
-        return texts.mapInArrow(run, schema)
+        return map_texts(texts, run, schema)
 
     for r in items.toLocalIterator():
         t = normalise(r["_text"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_texts, whole_text
+from .common import arrow_texts, map_texts, whole_text
 
 # Elements by what they mean for text.
 BLOCKS = frozenset(
@@ -193,5 +193,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([extract(t) for t in texts], pa.string())], [*batch.schema.names[:-1], "text"])
 
     schema = ", ".join(f"{n} {k}" for n, k in rows.dtypes[:-1])
-    out = rows.mapInArrow(run, f"{schema}, text string")
+    out = map_texts(rows, run, f"{schema}, text string")
     return out.select(F.col("_id").alias(id_col), *(F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)), "text")

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_texts, whole_text
+from .common import arrow_texts, map_texts, whole_text
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -136,4 +136,4 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts.mapInArrow(_run, f"_id {kind}, n_words bigint, notices {SPANS}, score double").withColumnRenamed("_id", id_col)
+    return map_texts(texts, _run, f"_id {kind}, n_words bigint, notices {SPANS}, score double").withColumnRenamed("_id", id_col)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_texts, whole_text
+from .common import arrow_texts, map_texts, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -158,7 +158,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts.mapInArrow(_run, f"_id {kind}, spans {SPANS}").withColumnRenamed("_id", id_col)
+    return map_texts(texts, _run, f"_id {kind}, spans {SPANS}").withColumnRenamed("_id", id_col)
 
 
 def listed(spans: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, arrow_texts, whole_text, written
+from .common import WordHashes, arrow_texts, map_texts, whole_text, written
 
 #: Labelled rows used to fit, at most: those with the smallest hashes of their ids.
 MAX_TRAIN_ROWS = 8_000
@@ -163,7 +163,7 @@ def fit_quality(
 
     index = index_vectors()
     few = rows.select("_text").repartition(8)
-    sums = few.mapInArrow(context_sums, "bucket int, v array<double>").groupBy("bucket").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)))
+    sums = map_texts(few, context_sums, "bucket int, v array<double>").groupBy("bucket").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)))
     words = index.copy()
     for r in sums.collect():
         words[r[0]] += np.array(r[1:], np.float32)
@@ -178,7 +178,7 @@ def fit_quality(
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(x, pa.list_(pa.float64()))], ["_id", "_y", "x"])
 
     id_type = rows.schema["_id"].dataType.simpleString()
-    got = rows.mapInArrow(pool, f"_id {id_type}, _y int, x array<double>").toPandas().sort_values("_id")
+    got = map_texts(rows, pool, f"_id {id_type}, _y int, x array<double>").toPandas().sort_values("_id")
     shared.unpersist()
     if got.empty:
         return model
@@ -209,4 +209,4 @@ def with_quality(docs: DataFrame, model: Model, text_col: str = "text", score_co
             x = np.array([shared.value.pooled(buckets, t or "") for t in texts], np.float64).reshape(len(texts), DIM)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(x), pa.float64())], [*batch.schema.names, score_col])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return map_texts(docs, score, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))

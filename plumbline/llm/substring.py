@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_texts, mix, split_join, whole_text, window_hashes, written
+from .common import WordHashes, arrow_texts, map_texts, mix, split_join, whole_text, window_hashes, written
 
 LENGTH, ANCHOR = 35, 20
 
@@ -124,7 +124,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("anchor must be from 1 to length")
     texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).withColumn("_key", F.unhex(F.md5("_text")))
     kind = docs.schema[id_col].dataType.simpleString()
-    found = texts.select("_key", "_text").mapInArrow(_anchors(length, anchor), "_key binary, _same binary, _anchors array<bigint>")
+    found = map_texts(texts.select("_key", "_text"), _anchors(length, anchor), "_key binary, _same binary, _anchors array<bigint>")
     found = written(found.filter("size(_anchors) > 0"), "repeat-anchors")
 
     # one row for each sequence of words, with its anchors; where it has several rows all are copies
@@ -137,12 +137,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seeded = written(split_join(once, seeds, ["_a"], "_k").groupBy("_key").agg(F.collect_set("_a").alias("_seeds")), "repeat-seeds")
 
     one_text = texts.groupBy("_key").agg(F.first("_text").alias("_text"))
-    windows = one_text.join(seeded, "_key").select("_key", "_text", "_seeds").mapInArrow(_windows(length, anchor), "_key binary, _start int, _h1 bigint, _h2 bigint")
+    windows = map_texts(one_text.join(seeded, "_key").select("_key", "_text", "_seeds"), _windows(length, anchor), "_key binary, _start int, _h1 bigint, _h2 bigint")
     windows = written(windows, "repeat-windows")
     twice = written(windows.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1"), "repeat-twice")
     starts = split_join(windows, twice, ["_h1", "_h2"], "_k").groupBy("_key").agg(F.collect_list("_start").alias("_starts"))
 
     marks = starts.join(copies.withColumn("_whole", F.lit(True)), "_key", "full").select("_key", "_whole", "_starts")
     marked = texts.join(written(marks, "repeat-marks"), "_key", "left").select("_id", "_text", "_whole", "_starts")
-    out = marked.mapInArrow(_removal(length), f"_id {kind}, n_words bigint, n_removed bigint, repeats array<int>, kept_text string")
+    out = map_texts(marked, _removal(length), f"_id {kind}, n_words bigint, n_removed bigint, repeats array<int>, kept_text string")
     return out.withColumnRenamed("_id", id_col)

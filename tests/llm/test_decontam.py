@@ -89,7 +89,7 @@ def test_blocks_give_the_same(frame, spark, items):
 
 def test_short_items_and_edges(frame, spark):
     bench = spark.createDataFrame([(1, "ab cd"), (2, ""), (3, None), (1, "ab cd")], "item_id int, text string")
-    got = contaminated(frame([(1, "x AB, cd y"), (2, "xab cd"), (None, "ab cd"), (1, "x AB, cd y")], ", edits int") if False else frame([(1, "x AB, cd y"), (2, "xab cd"), (None, "ab cd"), (1, "x AB, cd y")]), bench).collect()
+    got = contaminated(frame([(1, "x AB, cd y"), (2, "xab cd"), (None, "ab cd"), (1, "x AB, cd y")]), bench).collect()
     assert sorted((str(r["doc_id"]), r["start"], r["end"]) for r in got) == sorted([("1", 2, 8), ("None", 0, 5), ("1", 2, 8)] * 2)
     assert contaminated(frame([]), bench).count() == 0 and contaminated(frame(["ab cd"]), bench.limit(0)).count() == 0
     assert decontam.edit_budget(0) == 0

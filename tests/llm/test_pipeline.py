@@ -25,7 +25,7 @@ def corpus(spark, tmp_path_factory):
     for w in good:
         add(" ".join(w), "clean")
     for w in good[:20]:
-        add(" ".join(w).upper() if False else " ".join(w).title(), "exact")
+        add(" ".join(w).title(), "exact")
     for w in good[20:40]:
         add(" ".join(edited(g, w, 1)), "near")
     for t in bench:

@@ -8,15 +8,16 @@ diagonals that the threshold leaves open: similarity is a / (n1 + n2 - a) for a
 shingles, and 0.8 or more makes a link. Classes are the connected components of the links.
 
 Texts with the same words are one node from the start. A bucket of up to ``SMALL`` nodes gives
-all its pairs. A larger one is split by every second band its members share, and what is
-still large then is a cluster of similar texts: each member is compared with the bucket's
-pivot, of smallest hash. If that leaves members of different classes, prefix filtering goes on:
-two texts of that similarity share one of the rarest 0.2 n + 1 of their n shingles, counted
-among those members. Shingles that a single text has link nothing, so texts with too many
-changes of their own drop out here. Buckets of the other rare shingles are treated likewise; their
-pivot is the most central member, which has the fewest changes of its own. Buckets that hold
-different classes even then are compared in full, in blocks of bounded size that list nothing
-but links, so no cap loses a link. Texts of similarity 0.8 share a band with a probability of 0.9998.
+all its pairs. In a larger one each member is compared with the bucket's pivot, of smallest
+hash. All buckets that still hold different classes then are settled exactly. Those that overlap are
+a cluster. A cluster of up to ``DIRECT`` members is compared in full, in blocks of bounded size
+that list nothing but links. A larger one goes through prefix filtering first: two texts of that
+similarity share one of the rarest 0.2 n + 1 of their n shingles, counted among the members of such
+clusters. Shingles that a single text has link nothing, so texts with too many changes of their
+own drop out here. Buckets of the other rare shingles are treated likewise; their pivot is the most
+central member, which has the fewest changes of its own. Those that hold different classes even
+then are compared in blocks, so no bucket's size loses a link that shares a band. Texts of
+similarity 0.8 share a band with a probability of 0.9998.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from .common import WordHashes, arrow_texts, map_texts, mix, only_ids, split_joi
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, SAMPLES, SMALL, BLOCK = 16, 2, 32, 512
+#: Members of a cluster that is compared in blocks at once.
+DIRECT = 8_192
 #: Characters of the texts whose shingles a task remembers.
 CACHED_CHARS = 8_000_000
 WORD = re.compile(r"\w+")
@@ -329,11 +332,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot = live.filter(F.col("_n") > SMALL)
     has_hot = not hot.isEmpty()
     if has_hot:
-        held = hot.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_i", "_key"))).alias("b"))
-        twice = "flatten(transform(b, (x, i) -> transform(slice(b, i + 2, 99), y -> struct(x._i as i1, x._key as k1, y._i as i2, y._key as k2))))"
-        cross = _sized(held.select("_id", F.explode(F.expr(twice)).alias("k")).select("_id", F.xxhash64("k.*").alias("_key")))
-        large = cross.filter(F.col("_n") > SMALL)
-        pairs = pairs.unionByName(_small_pairs(cross.filter(F.col("_n") <= SMALL).select("*", alone), ["_key"])).unionByName(_star(large))
+        large = _sized(hot.select("_id", F.xxhash64("_i", "_key").alias("_key")))
+        pairs = pairs.unionByName(_star(large))
     done = written(pairs.distinct(), "near-pairs")
     few = candidate_texts(done, texts)
     roots = written(components(links(done, few)), "near-roots")
@@ -343,16 +343,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = written(more.distinct().join(done, ["_a", "_b"], "left_anti"), "near-pairs")
         done, roots = done.unionByName(more), joined_components(roots, links(more, few))
 
-    unsettled = _mixed(large.select("_id", "_key"), roots) if has_hot else None
-    if has_hot and not unsettled.isEmpty():
-        rare = rarest_shingles(few, unsettled.select("_id").distinct())
-        central = rare.groupBy("_id").agg((-F.count(F.lit(1))).alias("_far"))
-        rare = _sized(rare.join(central, "_id"), "_far")
-        large = rare.filter(F.col("_n") > SMALL)
-        compared(_small_pairs(_labelled(rare.filter(F.col("_n") <= SMALL), roots), ["_key"]).unionByName(_star(large)))
-        unsettled = _mixed(large.select("_id", "_key"), roots)
+    mixed = _mixed(large.select("_id", "_key"), roots) if has_hot else None
+    if has_hot and not mixed.isEmpty():
+        members = written(clusters(mixed), "near-members")
+        roots = joined_components(roots, block_links(members.filter(F.col("_m") <= DIRECT), few))
+        unsettled = members.filter(F.col("_m") > DIRECT).select("_id")
         if not unsettled.isEmpty():
-            roots = joined_components(roots, block_links(clusters(unsettled), few))
+            rare = rarest_shingles(few, unsettled)
+            central = rare.groupBy("_id").agg((-F.count(F.lit(1))).alias("_far"))
+            rare = _sized(rare.join(central, "_id"), "_far")
+            large = rare.filter(F.col("_n") > SMALL)
+            compared(_small_pairs(_labelled(rare.filter(F.col("_n") <= SMALL), roots), ["_key"]).unionByName(_star(large)))
+            mixed = _mixed(large.select("_id", "_key"), roots)
+            if not mixed.isEmpty():
+                roots = joined_components(roots, block_links(clusters(mixed), few))
 
     known = _labelled(nodes.select("_same", "_id"), roots).select("_same", F.col("_id").alias("rep_id"), F.col("_root").alias("class_id"))
     out = written(rows.select("_id", "_same").join(known, "_same", "left"), "near-rows")

@@ -93,6 +93,42 @@ def test_large_buckets(frame, monkeypatch):
         assert classes(near.near_duplicates(frame(rows))) == want
 
 
+def one_band_texts(g):
+    """Three texts any two of which share one band and no other, the first two of similarity 0.8 or more."""
+    hashes = WordHashes()
+    while True:
+        w = prose(g, 120)
+        texts = [edited(g, w, 2) for _ in range(200)]
+        x = [near.shingles(hashes, t) for t in texts]
+        bands = [set(enumerate(near.order_minhash_bands(v))) for v in x]
+        once = {(i, j): min(bands[i] & bands[j]) for i in range(200) for j in range(i) if len(bands[i] & bands[j]) == 1}
+        for (i, j), k in once.items():
+            if near.aligned_similarity(x[i], x[j]) >= 0.8:
+                for m in range(j):
+                    if once.get((i, m)) == once.get((j, m)) == k:
+                        return [" ".join(texts[n]) for n in (i, j, m)]
+
+
+@pytest.mark.parametrize("direct", [near.DIRECT, 0])
+def test_one_shared_band_in_a_large_bucket(frame, monkeypatch, direct):
+    rows = list(enumerate(one_band_texts(random.Random(3))))
+    monkeypatch.setattr(near, "SMALL", 2)
+    monkeypatch.setattr(near, "DIRECT", direct)
+    got = classes(near.near_duplicates(frame(rows)))
+    assert got == brute_classes(rows) and got[0] == got[1]
+
+
+def test_large_clusters(frame, monkeypatch):
+    """Clusters over the limit: rare shingles and the comparison in blocks give the same classes."""
+    g = random.Random(8)
+    base = [prose(g, 80) for _ in range(3)]
+    rows = list(enumerate(" ".join(edited(g, g.choice(base), g.randint(0, 3))) for _ in range(60)))
+    monkeypatch.setattr(near, "SMALL", 2)
+    monkeypatch.setattr(near, "BLOCK", 10)
+    monkeypatch.setattr(near, "DIRECT", 0)
+    assert classes(near.near_duplicates(frame(rows))) == brute_classes(rows)
+
+
 def test_order_counts(frame):
     g = random.Random(9)
     w = prose(g, 100)

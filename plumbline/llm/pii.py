@@ -43,7 +43,6 @@ _DOT = r"(?: *[\[({<] *(?:dot|punkt|point|punto) *[\])}>] *| +dot +)"
 DOT = re.compile(rf"(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9])", re.I)
 AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?: *[\[({{<] *at *[\])}}>] *| +at +(?=[A-Za-z0-9-]+{_DOT}))(?=[A-Za-z0-9])", re.I)
 QUAD = re.compile(rf"(?<![A-Za-z0-9.])(?:(?:{_WORD}|[0-9]+)\.){{3}}(?:{_WORD}|[0-9]+)(?![A-Za-z0-9])", re.I)
-HINT = re.compile(r"[\[({<] *(?:at|dot|punkt|point|punto) *[\])}>]| at +[A-Za-z0-9-]+ +dot ", re.I)
 _ODD = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + INVISIBLE + "！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]")
 
 
@@ -113,7 +112,7 @@ def spelled_digits(found: str) -> str:
 def normalised(text: str) -> Tape | None:
     """The text after all transducers, or None if none of them has anything to do."""
     odd = not text.isascii() and _ODD.search(text)
-    if not odd and not SPELLED.search(text) and not HINT.search(text):
+    if not odd and not any(p.search(text) for p in (SPELLED, AT, DOT, QUAD)):
         return None
     tape = Tape(text)
     if odd:

@@ -65,6 +65,21 @@ def test_disguises(text, kind, span, value):
     assert (kind, span, value) in got
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span", "value"),
+    [
+        ("host 192 dot 168 dot 0 dot 1 up", "ip", "192 dot 168 dot 0 dot 1", "192.168.0.1"),
+        ("bob@example dot com", "email", "bob@example dot com", "bob@example.com"),
+        ("bob (at) example.com", "email", "bob (at) example.com", "bob@example.com"),
+        ("at one.two.three.four now", "ip", "one.two.three.four", "1.2.3.4"),
+        ("four one one one-one one one one-one one one one-one one one one", "card", "four one one one-one one one one-one one one one-one one one one", "4111111111111111"),
+        ("bob＠example.com", "email", "bob＠example.com", "bob@example.com"),
+    ],
+)
+def test_each_transducer_alone(text, kind, span, value):
+    assert [(pii.KINDS[k], text[s:e], v) for k, s, e, _, v in pii.find(text)] == [(kind, span, value)]
+
+
 @pytest.mark.parametrize("text", ["look at example.com for more", "one two three", "the at (dot) sign", "met at noon dot", "Straße, naïve café", "число 12", "polka dot one at two"])
 def test_clean_texts_get_no_spans(text):
     assert pii.find(text) == []

@@ -125,14 +125,22 @@ def normalised(text: str) -> Tape | None:
 
 
 def find(text: str) -> list[tuple[int, int, int, bool, str]]:
-    """(kind, start, end, base, normalised value), by kind and start; no added span overlaps a base one of its kind."""
+    """(kind, start, end, base, normalised value), by kind and start; no added span overlaps a base one of its kind.
+
+    An identifier that reaches beyond base spans is added as the parts of it that they leave, each with its whole value.
+    """
     base = detect(text)
     out = [(*b, True, text[b[1] : b[2]]) for b in base]
     tape = normalised(text)
     if tape:
         for kind, s, e in detect(tape.text):
             a, z = tape.source(s, e)
-            if all(kind != k or z <= x or a >= y for k, x, y in base):
+            for k, x, y in base:
+                if k == kind and x < z and y > a:
+                    if a < x:
+                        out.append((kind, a, x, False, tape.text[s:e]))
+                    a = max(a, y)
+            if a < z:
                 out.append((kind, a, z, False, tape.text[s:e]))
     return sorted(out)
 
@@ -152,7 +160,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Spans are in code points of the source, end exclusive, by kind (as in KINDS) and start. ``base``
     tells what stands in the source as it is; the others were disguised, and ``value`` has
-    their plain form. Null and empty texts have none; repeated rows and null ids are kept as
+    their plain form. If a base span covers a part of a disguised identifier, added spans cover
+    the rest of it and have the value of the whole. Null and empty texts have none; repeated rows and null ids are kept as
     they are. Nothing is shuffled.
     """
     texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))

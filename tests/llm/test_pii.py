@@ -94,6 +94,21 @@ def test_added_spans_never_touch_base_ones():
         assert b or all(k != x[0] or e <= x[1] or s >= x[2] for x in base)
 
 
+@pytest.mark.parametrize(
+    ("text", "base", "added", "value"),
+    [
+        ("mail jоe@b.com now", ["e@b.com"], ["jо"], "joe@b.com"),
+        ("joe@mail.example(dot)com", ["joe@mail.example"], ["(dot)com"], "joe@mail.example.com"),
+        ("jо.ann@b.com(dot)uk", [".ann@b.com"], ["jо", "(dot)uk"], "jo.ann@b.com.uk"),
+        ("joe@b.com and о", ["joe@b.com"], [], None),
+    ],
+)
+def test_identifiers_beyond_base_spans_are_covered_whole(text, base, added, value):
+    got = pii.find(text)
+    assert [text[s:e] for _, s, e, b, _ in got if b] == base
+    assert [(text[s:e], v) for _, s, e, b, v in got if not b] == [(a, value) for a in added]
+
+
 def test_table(frame):
     texts = [*TEXTS, *EDGE, "joe at example dot com"]
     df = frame([*enumerate(texts), (None, "a@b.cd"), (0, texts[0])], "")

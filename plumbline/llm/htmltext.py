@@ -4,7 +4,7 @@ The standard library's parser is fed the page and its events make lines: the tex
 and the number of tags in it. The text-to-tag ratios of the lines are smoothed by a Gaussian
 and split by a threshold; lines above it are content. As a short paragraph is as much part of an
 article as a long one, what is kept is the region that the content lines cluster in: their
-article or main element, or else the innermost container of most of their text.
+article or main element, or else the innermost container of all their text.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ NAMED = frozenset(
     " consent disqus disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo"
     " related search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
-SIGMA, REACH, MOST_OF_TEXT = 1.0, 3, 0.8
+SIGMA, REACH = 1.0, 3
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -149,7 +149,7 @@ def region(lines: list[tuple[str, int, Element]], content: np.ndarray) -> set[El
                 path.append(e)
                 e = e.parent
             for d, e in enumerate(reversed(path)):
-                if e.tag in CONTAINERS and e.weight >= MOST_OF_TEXT * total and d > depth:
+                if e.tag in CONTAINERS and e.weight == total and d > depth:
                     best, depth = e, d
     return {best} if best else None
 

@@ -38,6 +38,13 @@ def test_no_paragraph_is_dropped_for_being_short():
     assert extract(page(f"<article>{body}</article>")).count("\n") == 10
 
 
+@pytest.mark.parametrize("closing", ["<div>{}</div>", "<section><div>{}</div></section>", "<table><tr><td>{}</td></tr></table>"])
+def test_content_outside_the_largest_block_is_kept(closing):
+    first, last = [f"{i} {P}".strip() for i in range(10)], [f"end {i} {P}".strip() for i in range(2)]
+    body = f"{NAV}<div>{''.join(f'<p>{t}</p>' for t in first)}</div>" + closing.format("".join(f"<p>{t}</p>" for t in last)) + "<footer>f</footer>"
+    assert extract(page(body)) == "\n".join(first + last)
+
+
 def test_smoothing_keeps_the_sum_inside():
     import numpy as np
 

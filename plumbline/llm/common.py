@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows of a single 8- to 16-byte key that may be broadcast: at most some tens of MB.
@@ -19,6 +20,9 @@ BROADCAST_KEYS = 1_000_000
 #: Rows of one key that may meet in one task.
 HOT_ROWS = 1_000
 
+#: Bits that ``likely`` broadcasts at most, and bits in one row of them (what ``bitmap_construct_agg`` takes).
+SLOTS, SLOTS_A_ROW = 1 << 28, 1 << 15
+
 #: Texts in one Arrow batch.
 TEXTS_PER_BATCH = 512
 
@@ -27,30 +31,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: it cuts lineage, outlives executors and has known size."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    fs, where = _file(df.sparkSession, path)
+    fs.deleteOnExit(where)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+class Steps:
+    """Written tables of one operator's steps; they go when its result is written.
 
-    Only a single-process session may go without; it then gets a folder of its own.
+    Only for operators whose returned DataFrame reads none of them.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="plumbline-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, scratch_dir(spark, "steps")
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it cuts lineage, outlives executors and has known size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    def __enter__(self) -> Steps:
+        return self
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{self.path}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        fs, where = _file(self.spark, self.path)
+        fs.delete(where, True)
 
 
 def checked_broadcast(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
@@ -58,27 +72,47 @@ def checked_broadcast(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame
     return F.broadcast(keys) if keys.count() <= limit else keys
 
 
+def likely(rows: DataFrame, at: Column, keys: DataFrame, key: Column) -> DataFrame:
+    """``rows`` without most of those whose ``at`` is no ``key`` of ``keys``: a bit for each hash is broadcast, 32 MB at most.
+
+    No row with such a key is lost, so an exact join can follow. What it lets through by
+    mistake is the share of bits that are set.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    bits = keys.select(slot(key).alias("s")).groupBy(F.floor(F.col("s") / SLOTS_A_ROW).alias("_slots"))
+    bits = bits.agg(F.bitmap_construct_agg(F.col("s") % SLOTS_A_ROW).alias("_bits"))
+    tried = rows.withColumn("_slot", slot(at)).withColumn("_slots", F.floor(F.col("_slot") / SLOTS_A_ROW)).join(F.broadcast(bits), "_slots")
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_slot % {SLOTS_A_ROW} div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    return tried.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_slot % 8 as int))")) != 0).drop("_slot", "_slots", "_bits")
+
+
 def only_ids(docs: DataFrame, id_col: str, ids: DataFrame, how: str = "left_semi", limit: int = BROADCAST_KEYS) -> DataFrame:
     """Rows of ``docs`` whose id is (``left_anti``: is not) in the written one-column table ``ids``.
 
-    Up to ``limit`` ids the texts stay where they are; beyond it both sides are shuffled on the id.
+    Up to ``limit`` ids are broadcast. With more, both sides meet on the id; for ``left_semi``,
+    rows go only if their id's bit is set, so most other texts stay where they are.
     """
-    other = checked_broadcast(ids.toDF("_only_id"), limit)
-    return docs.join(other, docs[id_col] == other["_only_id"], how)
+    ids = ids.toDF("_only_id")
+    few = ids.count() <= limit
+    if not few and how == "left_semi":
+        docs = likely(docs, docs[id_col], ids, F.col("_only_id"))
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == ids["_only_id"], how)
 
 
-def split_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, hot: int = HOT_ROWS) -> DataFrame:
+def split_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, hot: int = HOT_ROWS, keys: int = BROADCAST_KEYS) -> DataFrame:
     """Inner join of ``rows`` with the written table ``groups``, which has each key once and its number of rows in ``size``.
 
-    Rows of a key that has more than ``hot`` of them stay where they are: those keys, a
-    thousandth of the rows at most, are broadcast if a count allows it. All others meet by shuffle.
+    Rows of a hot key stay where they are: those keys are broadcast. Hot is a key of more than
+    ``hot`` rows, and of more than a part in ``keys`` of all rows, so there are never more
+    than ``keys`` of them and no other key has a notable part of a task. All others meet by shuffle.
     """
-    large = groups.filter(F.col(size) > hot)
-    n = large.count()
-    if not 0 < n <= BROADCAST_KEYS:
+    total, most = groups.agg(F.sum(size), F.max(size)).collect()[0]
+    limit = max(hot, (total or 0) // keys)
+    if (most or 0) <= limit:
         return rows.join(groups, on)
+    large = groups.filter(F.col(size) > limit)
     there = rows.join(F.broadcast(large), on)
-    rest = rows.join(F.broadcast(large.select(*on)), on, "left_anti").join(groups.filter(F.col(size) <= hot), on)
+    rest = rows.join(F.broadcast(large.select(*on)), on, "left_anti").join(groups.filter(F.col(size) <= limit), on)
     return rest.unionByName(there)
 
 

@@ -1,48 +1,56 @@
-"""Near-duplicate classes by Order MinHash, verified by banded alignment.
-
-A document is the sequence of its five-word shingles, each labelled with how often it has
-occurred before. An Order MinHash sample is the two shingles of smallest hash, kept in text
-order, so it tells rearranged texts apart. Two samples make a band; documents that share a
-band are candidates. The verification aligns the two shingle sequences inside the band of
-diagonals that the threshold leaves open: similarity is a / (n1 + n2 - a) for a aligned
-shingles, and 0.8 or more makes a link. Classes are the connected components of the links.
-
-Texts with the same words are one node from the start. A bucket of up to ``SMALL`` nodes gives
-all its pairs. In a larger one each member is compared with the bucket's pivot, of smallest
-hash. All buckets that still hold different classes then are settled exactly. Those that overlap are
-a cluster. A cluster of up to ``DIRECT`` members is compared in full, in blocks of bounded size
-that list nothing but links. A larger one goes through prefix filtering first: two texts of that
-similarity share one of the rarest 0.2 n + 1 of their n shingles, counted among the members of such
-clusters. Shingles that a single text has link nothing, so texts with too many changes of their
-own drop out here. Buckets of the other rare shingles are treated likewise; their pivot is the most
-central member, which has the fewest changes of its own. Those that hold different classes even
-then are compared in blocks, so no bucket's size loses a link that shares a band. Texts of
-similarity 0.8 share a band with a probability of 0.9998.
+"""Near-duplicate classes by Order MinHash, verified by banded alignment of words.
+
+A document is the sequence of its lower-cased words. Two are similar if at most a fifth of the
+longer one's words must be inserted, deleted or replaced to make one the other: edit
+similarity, 0.8 or more. That makes a link; classes are the connected components of the links.
+
+An Order MinHash sample is the ``SAMPLED`` three-word k-mers of smallest hash, each labelled with
+how often it has occurred before, in text order; so it tells rearranged texts apart. Each of
+the ``BANDS`` samples is a band, and documents that agree in a band share a bucket. If a fifth of the
+words are replaced at random, 0.35 of the k-mers of two texts are common, so they share a
+band with a probability of 0.98; with a tenth it is over 0.9999.
+
+Texts with the same words are one node from the start. Then, of each bucket:
+
+1. Every member is compared with the pivot, the member whose id has the smallest hash. So a group of
+   copies costs as many comparisons as it has members.
+2. A bucket that still holds different classes has all its pairs of different classes and like
+   lengths compared, if it has up to ``SMALL`` members.
+3. The members of larger ones are unsettled: texts that share a passage, not the rest. Among them
+   an exact index takes the place of the bands. Two similar texts share 0.8 of the words of the longer
+   one, counted with repeats; so in any order of all words they share one of their first 0.2 n + 1.
+   Rare words come first, by a count sketch of fixed size. Words that no other unsettled text has
+   link nothing, and the buckets of the others are treated as in 1 and 2.
+4. What is still mixed then, texts that share even rare words with many others but are not
+   like them, is compared in blocks of bounded size by a product of sparse word counts: no task holds more
+   than two blocks, and nothing is listed but links.
+
+So the size of a bucket decides how its members are compared, not whether.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import WordHashes, arrow_texts, map_texts, mix, only_ids, split_join, whole_text, window_hashes, written
+from .common import Steps, WordHashes, arrow_texts, map_texts, mix, only_ids, split_join, whole_text, window_hashes, written
 
-SHINGLE, SIMILARITY = 5, 0.8
-BANDS, SAMPLES, SMALL, BLOCK = 16, 2, 32, 512
-#: Members of a cluster that is compared in blocks at once.
-DIRECT = 8_192
-#: Characters of the texts whose shingles a task remembers.
-CACHED_CHARS = 8_000_000
+KMER, SIMILARITY = 3, 0.8
+BANDS, SAMPLED, SMALL, BLOCK = 32, 2, 32, 512
+#: Members that meet one pivot in a task.
+CHUNK = 256
+#: Slots of the count sketch of words.
+SLOTS = 1 << 20
 WORD = re.compile(r"\w+")
-_ODD = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, BANDS * SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def words_of(text: str) -> list[str]:
@@ -50,12 +58,8 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower()) or text.split()
 
 
-def shingles(hashes: WordHashes, words: list[str]) -> np.ndarray:
-    """Hashes of the five-word shingles in text order, each unlike all before it: repeats carry their count."""
-    h = hashes.array(words)
-    if 0 < len(h) < SHINGLE:
-        h = np.concatenate([h, np.zeros(SHINGLE - len(h), np.uint64)])
-    x = window_hashes(h, SHINGLE)
+def labelled(x: np.ndarray) -> np.ndarray:
+    """The hashes ``x``, each unlike all before it: repeats carry their count."""
     order = np.argsort(x, kind="stable")
     y = x[order]
     new = np.empty(len(y), bool)
@@ -69,22 +73,30 @@ def shingles(hashes: WordHashes, words: list[str]) -> np.ndarray:
     return np.where(label > 0, mix(x + label * np.uint64(0x9E3779B97F4A7C15)), x)
 
 
-def order_minhash_bands(x: np.ndarray) -> list[int]:
-    """One 64-bit key per band of ``SAMPLES`` Order MinHash samples."""
-    samples = np.empty(BANDS * SAMPLES, np.uint64)
-    for s in range(0, BANDS * SAMPLES, 8):  # eight at a time: memory stays at 64 bytes a shingle
+def kmers(h: np.ndarray) -> np.ndarray:
+    """Labelled k-mers of the words ``h``; fewer words than that are one k-mer."""
+    if 0 < len(h) < KMER:
+        h = np.concatenate([h, np.zeros(KMER - len(h), np.uint64)])
+    return labelled(window_hashes(h, KMER))
+
+
+def order_minhash(x: np.ndarray) -> list[int]:
+    """One 64-bit key per band: its smallest ``SAMPLED`` k-mers, in text order."""
+    n = min(SAMPLED, len(x))
+    out = np.empty(BANDS, np.uint64)
+    for s in range(0, BANDS, 8):  # eight at a time: memory stays at 64 bytes a k-mer
         h = x[None, :] * _ODD[s : s + 8, None]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        at, rows = h.argmin(axis=1), np.arange(8)
-        h[rows, at] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        other = h.argmin(axis=1)
-        first, second = x[np.minimum(at, other)], x[np.maximum(at, other)]
-        samples[s : s + 8] = mix(first + mix(second))
-    keys = samples.reshape(BANDS, SAMPLES)
-    out = np.zeros(BANDS, np.uint64)
-    for j in range(SAMPLES):
-        out = mix(out * np.uint64(31) + keys[:, j])
+        at = np.empty((8, n), np.int64)
+        for k in range(n):
+            at[:, k] = h.argmin(axis=1)
+            h[np.arange(8), at[:, k]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        at.sort(axis=1)
+        key = np.arange(s, s + 8, dtype=np.uint64)
+        for k in range(n):
+            key = mix(key * np.uint64(31) + x[at[:, k]])
+        out[s : s + 8] = key
     return out.view(np.int64).tolist()
 
 
@@ -95,103 +107,136 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in texts:
             words = words_of(text)
             same.append(xxhash.xxh3_128_digest("\x1f".join(words)))
-            x = shingles(hashes, words)
-            bands.append(order_minhash_bands(x) if len(x) else [])
+            bands.append(order_minhash(kmers(hashes.array(words))) if words else [])
         yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["_id", "_same", "_bands"])
 
 
-def aligned_similarity(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> float:
-    """Similarity of two sequences of distinct shingles; 0 if it is certain to be under ``least``.
-
-    With a aligned of n1 + n2 shingles, ``least`` allows n1 + n2 - 2a insertions and deletions
-    at most, so only diagonals that near count. The best alignment of distinct symbols is
-    the longest increasing run of partner positions.
-    """
-    n = len(x) + len(y)
-    if not len(x) or not len(y) or min(len(x), len(y)) < least * max(len(x), len(y)):
-        return 0.0
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    band = n * (1 - least) / (1 + least)
-    near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
-    if len(i) < least * (n - len(i)):
-        return 0.0
-    j = j[np.argsort(i)]
-    if (np.diff(j) > 0).all():
-        a = len(j)
-    else:
-        ends: list[int] = []
-        for v in j.tolist():
-            k = bisect_left(ends, v)
-            ends[k : k + 1] = [v]
-        a = len(ends)
-    return a / (n - a)
-
-
-def shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch, texts in arrow_texts(batches):
-        x = [shingles(hashes, words_of(t)).view(np.int64) for t in texts]
+        x = [hashes.array(words_of(t)).view(np.int64) for t in texts]
         sizes = np.cumsum([0, *map(len, x)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([*x, np.empty(0, np.int64)])))
         yield pa.RecordBatch.from_arrays([batch.column("_id"), lists], ["_id", "_x"])
 
 
-def shingles_of(few: DataFrame, ids: DataFrame) -> DataFrame:
-    kind = few.schema["_id"].dataType.simpleString()
-    return map_texts(few.join(ids, "_id", "left_semi"), shingle_lists, f"_id {kind}, _x array<bigint>")
-
+def banded_distance(a: list, b: list, most: int) -> int | None:
+    """Edit distance of two sequences if it is ``most`` or less, else None.
 
-def rarest_shingles(few: DataFrame, ids: DataFrame) -> DataFrame:
-    """(_id, _key): of each text of n shingles the rarest n - ceil(0.8 n) + 1, without those that no other text has."""
-    rows = written(shingles_of(few, ids).select("_id", F.size("_x").alias("_size"), F.explode("_x").alias("_key")), "near-shingles")
-    counts = written(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_d")), "near-counts")
-    order = W.partitionBy("_id").orderBy("_d", "_key")
-    ranked = split_join(rows, counts, ["_key"], "_d").withColumn("_rank", F.row_number().over(order))
-    prefix = F.col("_size") - F.ceil(F.lit(SIMILARITY) * F.col("_size") - 1e-9) + 1
-    return written(ranked.filter((F.col("_rank") <= prefix) & (F.col("_d") > 1)).select("_id", "_key"), "near-rare")
+    Only cells within ``most`` of the main diagonal are looked at. A column of that band is kept as the bits
+    of two integers, where its cells rise and where they fall, and all of it advances by a few
+    integer operations for each word of ``b`` (bit-parallel alignment).
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    at = 0
+    while at < len(a) and a[at] == b[at]:
+        at += 1
+    a, b = a[at:], b[at:]
+    while a and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    n, m = len(a), len(b)
+    if m - n > most:
+        return None
+    if not n:
+        return m
+    d = min(most, m)
+    full = (1 << (2 * d + 1)) - 1
+    low = (1 << d) - 1
+    up, down = full ^ low, 0  # rows above the first have no rise
+    known: dict = {}  # word: (row of bit 0, bits of the rows where it stands)
+
+    def put(row: int) -> None:
+        base, bits = known.get(a[row], (row, 0))
+        first = max(base, row - 2 * d)
+        known[a[row]] = first, (bits >> (first - base)) | (1 << (row - first))
+
+    for row in range(min(d, n)):
+        put(row)
+    cost = min(d, n)
+    for j, word in enumerate(b, 1):
+        if j + d <= n:
+            put(j + d - 1)
+        same = 0
+        if word in known:
+            base, bits = known[word]
+            shift = j - d - 1 - base
+            same = (bits >> shift if shift >= 0 else bits << -shift) & full
+        flat = (((same & up) + up) ^ up) | same | down  # no cost along the diagonal
+        flat &= full
+        right_up = down | (full & ~(flat | up))
+        right_down = up & flat
+        if j + d <= n:
+            cost += not flat >> (2 * d)
+        else:
+            k = n - j + d
+            cost += (right_up >> k & 1) - (right_down >> k & 1)
+        flat >>= 1
+        up, down = right_down | (full & ~(flat | right_up)), flat & right_up
+    return cost if cost <= most else None
+
+
+def similar(a: list, b: list, counts: Counter | None = None) -> bool:
+    """Whether the edit similarity of two word lists is ``SIMILARITY`` or more; ``counts`` are those of the words of ``a``."""
+    longest = max(len(a), len(b))
+    most = int((1 - SIMILARITY) * longest + 1e-9)
+    if not min(len(a), len(b)) or longest - min(len(a), len(b)) > most:
+        return False
+    left = dict(counts if counts is not None else Counter(a))
+    missing = len(b)
+    for w in b:
+        n = left.get(w, 0)
+        if n:
+            left[w] = n - 1
+            missing -= 1
+    if longest - len(b) + missing > most:  # words of the longer text without a partner
+        return False
+    within = 32
+    while within < most:  # most similar texts are much closer than they must be
+        if banded_distance(a, b, within) is not None:
+            return True
+        within *= 4
+    return banded_distance(a, b, most) is not None
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, known, held = WordHashes(), {}, 0
-
-    def of(text: str) -> np.ndarray:
-        nonlocal held
-        if text not in known:
-            if held > CACHED_CHARS:
-                known.clear()
-                held = 0
-            known[text] = shingles(hashes, words_of(text))
-            held += len(text)
-        return known[text]
-
+    """Each pivot's row is followed by those to compare with it."""
+    pivot = None
     for batch in batches:
-        texts = zip(batch.column("_ta").to_pylist(), batch.column("_tb").to_pylist(), strict=True)
-        kept = [k for k, (a, b) in enumerate(texts) if aligned_similarity(of(a), of(b)) >= SIMILARITY]
+        heads, kept = batch.column("_x").is_null().to_pylist(), []
+        for k, head in enumerate(heads):
+            if head:
+                words = batch.column("_px")[k].values.to_pylist()
+                pivot = words, Counter(words)
+            elif similar(pivot[0], batch.column("_x")[k].values.to_pylist(), pivot[1]):
+                kept.append(k)
         kept = pa.array(kept, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("_a").take(kept), batch.column("_b").take(kept)], ["_a", "_b"])
-
+        yield pa.RecordBatch.from_arrays([batch.column("_p").take(kept), batch.column("_id").take(kept)], ["_a", "_b"])
 
-def candidate_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The texts of the nodes that are in any candidate pair."""
-    ids = written(pairs.select("_a").union(pairs.select("_b")).distinct(), "near-ids")
-    return written(only_ids(texts, "_id", ids), "near-texts")
 
+def links(steps: Steps, pairs: DataFrame, few: DataFrame) -> DataFrame:
+    """Of the candidate ``pairs`` (_p, _id), those that are similar; a pivot's text moves once for ``CHUNK`` of its pairs."""
+    kind = pairs.schema["_p"].dataType.simpleString()
+    pairs = steps.written(pairs, "pairs")
+    sizes = steps.written(pairs.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    dealt = split_join(pairs, sizes, ["_p"], "_n").select("_p", "_id", F.pmod(F.xxhash64("_id"), F.ceil(F.col("_n") / CHUNK)).alias("_c"))
+    chunks = sizes.select("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / CHUNK) - 1)).alias("_c"))
+    none = F.lit(None).cast("array<bigint>")
+    heads = chunks.join(few.toDF("_p", "_px"), "_p").select("_p", "_c", F.lit(None).cast(kind).alias("_id"), "_px", none.alias("_x"))
+    tails = dealt.join(few, "_id").select("_p", "_c", "_id", none.alias("_px"), "_x")
+    both = heads.unionByName(tails).repartition("_p", "_c").sortWithinPartitions("_p", "_c", F.col("_x").isNotNull(), "_id")
+    return steps.written(map_texts(both, verify, f"_a {kind}, _b {kind}"), "links")
 
-def links(pairs: DataFrame, few: DataFrame) -> DataFrame:
-    """Of the written candidate ``pairs`` (_a, _b), those that are similar enough."""
-    both = pairs.join(few.toDF("_b", "_tb"), "_b").join(few.toDF("_a", "_ta"), "_a")
-    kind = pairs.schema["_a"].dataType.simpleString()
-    return written(map_texts(both.select("_a", "_b", "_ta", "_tb"), verify, f"_a {kind}, _b {kind}"), "near-links")
 
-
-def components(edges: DataFrame) -> DataFrame:
+def components(steps: Steps, edges: DataFrame) -> DataFrame:
     """(_id, _root) for each node of the written ``edges``; the root is the smallest id of its component.
 
     Alternates large-star and small-star steps: every node's larger neighbours, then its smaller
-    ones, are hung on its smallest neighbour, until the edges are stars.
+    ones, are hung on its smallest neighbour, until the edges are stars. The joins are plain ones
+    of two shuffled sides, so adaptive execution splits a node of very many neighbours.
     """
-    e = written(edges.select(F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v")).filter("u <> v").distinct(), "near-edges")
+    e = edges.select(F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v")).filter("u <> v").distinct()
+    mark = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -199,76 +244,116 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("v", "m").filter("v <> m").toDF("u", "v").unionByName(least.toDF("u", "v"))
-        new = written(small.distinct(), "near-edges")
-        if new.count() == e.count() and new.exceptAll(e).isEmpty():
+        e = steps.written(small.distinct(), "edges")
+        last, mark = mark, tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0])
+        if mark == last:
             break
-        e = new
-    return e.toDF("_id", "_root").unionByName(e.select(F.col("v").alias("_id"), F.col("v").alias("_root")).distinct())
+    return steps.written(e.toDF("_id", "_root").unionByName(e.select(F.col("v").alias("_id"), F.col("v").alias("_root")).distinct()), "roots")
 
 
-def joined_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
+def joined_components(steps: Steps, roots: DataFrame, edges: DataFrame) -> DataFrame:
     """``roots`` after more links: only the components that the new links touch are gone over again."""
+    if edges.isEmpty():
+        return roots
     met = edges
     for c in ("_a", "_b"):
         met = met.join(roots.select(F.col("_id").alias(c), F.col("_root").alias("_r")), c, "left").withColumn(c, F.coalesce("_r", c)).drop("_r")
-    met = written(met.filter("_a <> _b").distinct(), "near-met")
-    if met.isEmpty():
-        return roots
-    more = components(met)
+    more = components(steps, steps.written(met.filter("_a <> _b"), "met"))
     moved = roots.join(more.toDF("_root", "_new"), "_root", "left").select("_id", F.coalesce("_new", "_root").alias("_root"))
-    return written(moved.unionByName(more.join(roots.select("_id"), "_id", "left_anti")), "near-roots")
+    return steps.written(moved.unionByName(more.join(roots.select("_id"), "_id", "left_anti")), "roots")
+
+
+def with_class(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
+
 
+def star(buckets: DataFrame) -> DataFrame:
+    """(_p, _id): each member of ``buckets`` (_key, _id, _p) with its bucket's pivot."""
+    return buckets.filter("_id <> _p").select("_p", "_id").distinct()
 
-def _pairs(members: str):
-    """Ordered pairs of members of different classes; ``members`` is a bounded sorted array of (_id, _root)."""
-    later = f"filter(slice({members}, i + 2, {SMALL}), y -> y._root <> x._root)"
-    return F.expr(f"flatten(transform({members}, (x, i) -> transform({later}, y -> struct(x._id as _a, y._id as _b))))")
 
+def with_pivot(steps: Steps, rows: DataFrame) -> DataFrame:
+    """``rows`` (_key, _id) of buckets of two or more, with the bucket's size ``_n`` and pivot ``_p``."""
+    pivot = F.min(F.struct(F.xxhash64("_id"), "_id"))["_id"]
+    sizes = steps.written(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), pivot.alias("_p")).filter("_n > 1"), "sizes")
+    return steps.written(split_join(rows, sizes, ["_key"], "_n"), "buckets")
 
-def _small_pairs(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs of different classes in the buckets of ``rows``, none of which has more than SMALL members."""
-    grouped = rows.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("_id", "_root"))).alias("_m")).filter("size(_m) > 1")
-    return grouped.select(F.explode(_pairs("_m")).alias("p")).select("p.*")
 
+def mixed(steps: Steps, buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members, with their class, of the ``buckets`` that hold different classes."""
+    at = steps.written(with_class(buckets.select("_key", "_id", "_n", "_p"), roots), "classes")
+    several = at.groupBy("_key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.max("_n").alias("_m"))
+    several = steps.written(several.filter("_lo <> _hi").select("_key", "_m"), "mixed-keys")
+    return steps.written(split_join(at, several, ["_key"], "_m").drop("_m"), "mixed")
 
-def _star(rows: DataFrame, to: str = "_p") -> DataFrame:
-    """Each member with its bucket's pivot."""
-    return rows.filter(F.col("_id") != F.col(to)).select(F.least("_id", to).alias("_a"), F.greatest("_id", to).alias("_b"))
 
+def all_pairs(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """(_p, _id): pairs of different classes and like lengths in buckets of at most ``SMALL`` members, without their pivots."""
+    sized = rows.filter("_id <> _p").join(few.select("_id", F.size("_x").alias("_w")), "_id")
+    members = F.sort_array(F.collect_list(F.struct("_id", "_root", "_w"))).alias("_m")
+    like = f"least(x._w, y._w) >= {SIMILARITY} * greatest(x._w, y._w) - 1e-9"
+    later = f"filter(slice(_m, i + 2, {SMALL}), y -> y._root <> x._root and {like})"
+    pairs = F.expr(f"flatten(transform(_m, (x, i) -> transform({later}, y -> struct(x._id as _p, y._id as _id))))")
+    return sized.groupBy("_key").agg(members).select(F.explode(pairs).alias("p")).select("p.*").distinct()
 
-def _sized(rows: DataFrame, *first: str) -> DataFrame:
-    """Members of buckets of two or more, with the bucket's size and its pivot: the member of least ``first``, then of smallest hash."""
-    sizes = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*first, F.xxhash64("_id"), "_id"))["_id"].alias("_p")).filter("_n > 1")
-    return written(split_join(rows.select("_id", "_key", *first), written(sizes, "near-sizes"), ["_key"], "_n"), "near-cross")
 
+def slots_of(words: np.ndarray) -> np.ndarray:
+    return (mix(words ^ np.uint64(0x5BF03635)) >> np.uint64(40)).astype(np.int64) % SLOTS
 
-def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members, with their class, of the buckets that hold different classes; _m is the bucket's number of members."""
-    at = written(_labelled(rows, roots), "near-labelled")
-    several = at.groupBy("_key").agg(F.min("_root").alias("lo"), F.max("_root").alias("hi"), F.count(F.lit(1)).alias("_m")).filter("lo <> hi")
-    return written(at.join(several.select("_key", "_m"), "_key"), "near-mixed")
 
+def sketch_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for x in batch.column("_x"):
+            np.add.at(seen, slots_of(labelled(x.values.to_numpy().view(np.uint64))), 1)
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], ["_slot", "_n"])
+
+
+def rare_words(steps: Steps, rows: DataFrame, few: DataFrame) -> DataFrame:
+    """(_key, _id): of each text of n words the rarest 0.2 n + 1, without those that certainly no other of these texts has."""
+    lists = steps.written(only_ids(few, "_id", steps.written(rows.select("_id").distinct(), "unsettled")), "unsettled-lists")
+    # one row for each slot and task at most; the sums are at most 8 MB, whatever the input
+    sums = lists.mapInArrow(sketch_words, "_slot int, _n bigint").groupBy("_slot").agg(F.sum("_n").alias("_n"))
+    counts = np.zeros(SLOTS, np.int64)
+    for slot, n in sums.collect():
+        counts[slot] = n
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, keys = [], []
+            for k, x in enumerate(batch.column("_x")):
+                w = labelled(x.values.to_numpy().view(np.uint64))
+                n = shared.value[slots_of(w)]
+                rank = np.lexsort((w, n))[: len(w) - int(np.ceil(SIMILARITY * len(w) - 1e-9)) + 1]
+                rank = rank[n[rank] > 1]
+                at.append(np.full(len(rank), k))
+                keys.append(w[rank].view(np.int64))
+            ids = batch.column("_id").take(pa.array(np.concatenate([*at, np.empty(0, np.int64)]).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.empty(0, np.int64)])), ids], ["_key", "_id"])
 
-def clusters(rows: DataFrame) -> DataFrame:
-    """(_id, _root, _key, _m): members of buckets that overlap, once each, with their cluster and its number of members."""
-    least = rows.groupBy("_key").agg(F.min("_id").alias("_b"))
-    own = components(written(rows.join(least, "_key").select(F.col("_id").alias("_a"), "_b").distinct(), "near-met"))
-    members = written(rows.select("_id", "_root").distinct().join(own.toDF("_id", "_key"), "_id"), "near-clusters")
-    return members.join(members.groupBy("_key").agg(F.count(F.lit(1)).alias("_m")), "_key")
+    kind = few.schema["_id"].dataType.simpleString()
+    return map_texts(lists, run, f"_key bigint, _id {kind}")
 
 
-def block_links(members: DataFrame, few: DataFrame) -> DataFrame:
-    """All links between different classes in each cluster, found block by block: (_a, _b).
+def block_links(steps: Steps, rows: DataFrame, few: DataFrame) -> DataFrame:
+    """Links between different classes within the buckets of ``rows`` (_key, _id, _root), found block by block.
 
-    A cluster is dealt to hashed blocks of about ``BLOCK`` members, and two blocks meet in a task: no
-    task holds more, and no pair is listed that is not a link.
+    Buckets that overlap are one cluster. It is dealt to hashed blocks of about ``BLOCK`` members;
+    two blocks meet in a task.
     """
-    lists = written(shingles_of(few, members.select("_id")), "near-lists")
+    least = rows.groupBy("_key").agg(F.min("_id").alias("_b"), F.count(F.lit(1)).alias("_k"))
+    met = split_join(rows.select("_key", "_id"), steps.written(least, "least"), ["_key"], "_k").select(F.col("_id").alias("_a"), "_b").distinct()
+    own = components(steps, steps.written(met, "met"))
+    members = steps.written(rows.select("_id", "_root").distinct().join(own.toDF("_id", "_key"), "_id"), "members")
+    sizes = steps.written(members.groupBy("_key").agg(F.count(F.lit(1)).alias("_m")), "clusters")
     n = F.ceil(F.col("_m") / BLOCK).cast("int")
-    dealt = members.select("_key", "_id", "_root", F.pmod(F.xxhash64("_id"), n).cast("int").alias("_b"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
-    dealt = dealt.select("_key", F.least("_b", "k").alias("i"), F.greatest("_b", "k").alias("j"), "_b", "_id", "_root").join(lists, "_id")
+    dealt = split_join(members, sizes, ["_key"], "_m").join(few, "_id")
+    dealt = dealt.select("_key", "_id", "_root", "_x", F.pmod(F.xxhash64("_id"), n).cast("int").alias("_b"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    dealt = dealt.select("_key", F.least("_b", "k").alias("i"), F.greatest("_b", "k").alias("j"), "_b", "_id", "_root", "_x")
     kind = few.schema["_id"].dataType.simpleString()
-    return written(dealt.groupBy("_key", "i", "j").applyInArrow(links_in_block, f"_a {kind}, _b {kind}"), "near-links")
+    return steps.written(dealt.groupBy("_key", "i", "j").applyInArrow(links_in_block, f"_a {kind}, _b {kind}"), "block-links")
 
 
 def shared_counts(x: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -291,75 +376,72 @@ def shared_counts(x: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 def links_in_block(rows: pa.Table) -> pa.Table:
     ids, roots, block = (rows.column(c).to_pylist() for c in ("_id", "_root", "_b"))
     i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-    x = [np.asarray(v.values) for v in rows.column("_x")]
+    x = [v.values.to_numpy().view(np.uint64) for v in rows.column("_x")]
     n = np.array([len(v) for v in x], np.float32)
-    shared = shared_counts(x)
-    likely = np.triu(shared * (1 + SIMILARITY) >= SIMILARITY * (n[:, None] + n[None, :]) - 0.01, 1)
+    enough = shared_counts([labelled(v) for v in x]) >= SIMILARITY * np.maximum(n[:, None], n[None, :]) - 0.01
+    likely = np.triu(enough, 1)
     same = np.unique(np.array([str(r) for r in roots]), return_inverse=True)[1]
     side = np.array(block)
     likely &= same[:, None] != same[None, :]
     if i != j:
         likely &= side[:, None] != side[None, :]
-    found = [(p, q) for p, q in zip(*(k.tolist() for k in np.nonzero(likely)), strict=True) if aligned_similarity(x[p], x[q]) >= SIMILARITY]
+    found = [(p, q) for p, q in zip(*(k.tolist() for k in np.nonzero(likely)), strict=True) if similar(x[p].tolist(), x[q].tolist())]
     kind = rows.schema.field("_id").type
     return pa.table({"_a": pa.array([min(ids[p], ids[q]) for p, q in found], kind), "_b": pa.array([max(ids[p], ids[q]) for p, q in found], kind)})
 
 
-def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return rows.join(roots, "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
+def classes(steps: Steps, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(_id, _root) for the ``nodes`` (_id, _bands) that are linked with any other."""
+    bands = nodes.select(F.explode("_bands").alias("_key"), "_id")
+    buckets = with_pivot(steps, bands)
+    candidates = steps.written(buckets.select("_id").distinct(), "candidates")
+    kind = nodes.schema["_id"].dataType.simpleString()
+    few = steps.written(map_texts(only_ids(texts, "_id", candidates), word_lists, f"_id {kind}, _x array<bigint>"), "lists")
+    few = steps.written(few.dropDuplicates(["_id"]), "lists-once") if few.count() > candidates.count() else few  # repeated ids
+
+    def settled(buckets: DataFrame, roots: DataFrame | None, more: list[DataFrame]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+        """Steps 1 and 2 on ``buckets``: the roots with ``more`` links and those to pivots, the mixed larger buckets, the links of the others."""
+        to_pivot = links(steps, star(buckets), few)
+        roots = components(steps, to_pivot) if roots is None else joined_components(steps, roots, reduce(DataFrame.unionByName, more, to_pivot))
+        rest = mixed(steps, buckets, roots)
+        between = links(steps, all_pairs(rest.filter(F.col("_n") <= SMALL), few), few)
+        return roots, rest.filter(F.col("_n") > SMALL), [between]
+
+    roots, large, more = settled(buckets, None, [])
+    if not large.isEmpty():
+        roots, large, more = settled(with_pivot(steps, steps.written(rare_words(steps, large, few), "rare")), roots, more)
+        if not large.isEmpty():
+            more.append(block_links(steps, large, few))
+    return joined_components(steps, roots, reduce(DataFrame.unionByName, more))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, ``class_id`` (smallest id of its class), ``rep_id``, ``class_size``, ``kept``.
 
     ``rep_id`` is the smallest id with exactly these words; one row of each class is ``kept``,
-    that whose id is ``class_id``. Texts without any word (null ones too) are all alike and
-    form one class of empty documents. Under five words a text is one shingle. Rows without an
+    that whose id is ``class_id``; rows that repeat that id are all kept (ids name documents). Texts
+    without any word (null ones too) are all alike and form one class of empty documents. Very long texts are
+    compared whole; a pair costs the product of its length and the edits it needs. Rows without an
     id join the class of their words; if no row with these words has an id, ``class_id`` is
-    null and the row is kept. Rows that share an id are one node. An empty table gives an empty result.
+    null and the row is kept. Rows that share an id but not their words are one node, by the words of
+    one of them. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = written(map_texts(texts, sketch, f"_id {kind}, _same binary, _bands array<bigint>"), "near-sketch")
-
-    nodes = written(rows.filter("_id is not null").groupBy("_same").agg(F.min(F.struct("_id", "_bands")).alias("n")).select("_same", "n.*"), "near-nodes")
-    bands = nodes.select("_id", F.posexplode("_bands").alias("_i", "_key"))
-    sizes = written(bands.groupBy("_i", "_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "near-sizes")
-    live = written(split_join(bands, sizes, ["_i", "_key"], "_n"), "near-live")
-
-    alone = F.col("_id").alias("_root")
-    pairs = _small_pairs(live.filter(F.col("_n") <= SMALL).select("*", alone), ["_i", "_key"])
-    hot = live.filter(F.col("_n") > SMALL)
-    has_hot = not hot.isEmpty()
-    if has_hot:
-        large = _sized(hot.select("_id", F.xxhash64("_i", "_key").alias("_key")))
-        pairs = pairs.unionByName(_star(large))
-    done = written(pairs.distinct(), "near-pairs")
-    few = candidate_texts(done, texts)
-    roots = written(components(links(done, few)), "near-roots")
-
-    def compared(more: DataFrame) -> None:
-        nonlocal done, roots
-        more = written(more.distinct().join(done, ["_a", "_b"], "left_anti"), "near-pairs")
-        done, roots = done.unionByName(more), joined_components(roots, links(more, few))
-
-    mixed = _mixed(large.select("_id", "_key"), roots) if has_hot else None
-    if has_hot and not mixed.isEmpty():
-        members = written(clusters(mixed), "near-members")
-        roots = joined_components(roots, block_links(members.filter(F.col("_m") <= DIRECT), few))
-        unsettled = members.filter(F.col("_m") > DIRECT).select("_id")
-        if not unsettled.isEmpty():
-            rare = rarest_shingles(few, unsettled)
-            central = rare.groupBy("_id").agg((-F.count(F.lit(1))).alias("_far"))
-            rare = _sized(rare.join(central, "_id"), "_far")
-            large = rare.filter(F.col("_n") > SMALL)
-            compared(_small_pairs(_labelled(rare.filter(F.col("_n") <= SMALL), roots), ["_key"]).unionByName(_star(large)))
-            mixed = _mixed(large.select("_id", "_key"), roots)
-            if not mixed.isEmpty():
-                roots = joined_components(roots, block_links(clusters(mixed), few))
-
-    known = _labelled(nodes.select("_same", "_id"), roots).select("_same", F.col("_id").alias("rep_id"), F.col("_root").alias("class_id"))
-    out = written(rows.select("_id", "_same").join(known, "_same", "left"), "near-rows")
-    count = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).filter("class_id is not null")
-    whole = out.filter("class_id is not null").join(count, "class_id").unionByName(out.filter("class_id is null").withColumn("class_size", F.lit(1).cast("long")), True)
-    return whole.select(F.col("_id").alias(id_col), "class_id", "rep_id", "class_size", F.col("_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    with Steps(docs.sparkSession) as steps:
+        rows = steps.written(map_texts(texts, sketch, f"_id {kind}, _same binary, _bands array<bigint>"), "sketch")
+        first = F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_bands")))
+        nodes = steps.written(rows.groupBy("_same").agg(first.alias("n"), F.count(F.lit(1)).alias("_k")).select("_same", "_k", "n.*"), "nodes")
+        roots = classes(steps, nodes.filter("_id is not null"), texts.filter("_id is not null"))
+
+        known = with_class(nodes, roots).select("_same", "_k", F.col("_id").alias("rep_id"), F.col("_root").alias("class_id"))
+        out = split_join(rows.select("_id", "_same"), steps.written(known, "known"), ["_same"], "_k").select("_id", "rep_id", "class_id")
+        return written(with_size(steps, steps.written(out, "rows")).withColumnRenamed("_id", id_col), "near")
+
+
+def with_size(steps: Steps, out: DataFrame) -> DataFrame:
+    in_class = out.filter("class_id is not null")
+    sizes = steps.written(in_class.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "class-sizes")
+    alone = out.filter("class_id is null").withColumn("class_size", F.lit(1).cast("long"))
+    kept: Column = F.col("_id").eqNullSafe(F.col("class_id"))
+    return split_join(in_class, sizes, ["class_id"], "class_size").unionByName(alone).select("_id", "class_id", "rep_id", "class_size", kept.alias("kept"))

@@ -2,14 +2,21 @@
 
 The standard library's parser is fed the page and its events make lines: the text of one block
 and the number of tags in it. The text-to-tag ratios of the lines are smoothed by a Gaussian
-and split by a threshold; lines above it are content. As a short paragraph is as much part of an
-article as a long one, what is kept is the region that the content lines cluster in: their
-article or main element, or else the innermost container of all their text.
+and split by a threshold; lines above it are content, and they cluster in the regions of the page
+that are its article. Structure corrects this in two ways. A short paragraph is as much
+part of an article as a long one, so the home of a content line (its outermost article or main
+element, or else the innermost division of the page) is kept whole; a home without content lines
+is not. And elements that are no article whatever they hold are taken out: by tag, and by a word in their
+class, id or role, unless they hold the article.
+
+Every step is linear in the page: open tags are counted for each scope, and all that is known of
+elements is summed once, from the innermost outwards.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -28,87 +35,120 @@ BLOCKS = frozenset(
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select option textarea button datalist".split())
 BOILERPLATE = frozenset("nav aside footer form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CONTAINERS = frozenset("article main section div body td html".split())
+CONTAINERS = frozenset("article main section div body html".split())
+CELLS = frozenset("td th".split())
+ARTICLES = frozenset("article main".split())
+#: An open paragraph or item is looked for up to the nearest of these.
+SCOPES = CONTAINERS | CELLS | frozenset("ul ol dl table blockquote".split())
+# Open blocks that the start of a block ends; any other block ends a paragraph.
+ENDED_BY = {
+    "li": ("p", "li"),
+    "dt": ("p", "dt", "dd"),
+    "dd": ("p", "dt", "dd"),
+    "tr": ("p", "tr"),
+}
 # Words of class, id and role that name what is not the article.
 NAMED = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies"
     " consent disqus disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo"
     " related search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+# Those of them that name what readers have written.
+READERS = frozenset("comment comments disqus".split())
 SIGMA, REACH = 1.0, 3
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_SPLIT, _TAG = re.compile(r"[^a-z0-9]+"), re.compile(r"<[A-Za-z/!?]")
 
 
 class Element:
-    __slots__ = ("dropped", "parent", "silent", "tag", "weight")
+    __slots__ = ("content", "kept", "lines", "names", "out", "parent", "silent", "tag", "whole", "within")
 
-    def __init__(self, tag: str, parent: Element | None, silent: bool, dropped: bool):
-        self.tag, self.parent, self.silent, self.dropped, self.weight = tag, parent, silent, dropped, 0
+    def __init__(self, tag: str, parent: Element | None, labels: tuple[str, ...] = (), out: bool = False):
+        self.tag, self.parent = tag, parent
+        self.whole = frozenset(labels) & NAMED
+        self.names = self.whole | (frozenset(w for x in labels for w in _SPLIT.split(x)) & NAMED)
+        self.silent = tag in SILENT or (parent is not None and parent.silent)
+        self.within = tag in ARTICLES or (parent is not None and parent.within)
+        self.out = out or (parent is not None and parent.out)  # by its tag, or hidden
+        self.content, self.lines, self.kept = 0, 0, False
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, element)."""
+    """Lines of a page, (text, tags, element), and its elements from outer to inner."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, Element]] = []
-        self.top = Element("html", None, False, False)
+        self.open = [Element("html", None)]
+        self.elements = list(self.open)
+        self.scopes, self.all = [Counter()], Counter()  # open tags, of each scope and of the page
         self.held: list[str] = []
         self.tags = 0
 
     def flush(self) -> None:
         if self.held:
             text = " ".join("".join(self.held).split())
-            if text and not self.top.silent:
-                self.lines.append((text, self.tags, self.top))
+            if text and not self.open[-1].silent:
+                self.lines.append((text, self.tags, self.open[-1]))
             self.held = []
             self.tags = 0
 
+    def push(self, e: Element) -> None:
+        self.open.append(e)
+        self.elements.append(e)
+        self.scopes[-1][e.tag] += 1
+        self.all[e.tag] += 1
+        if e.tag in SCOPES:
+            self.scopes.append(Counter())
+
+    def pop(self) -> str:
+        e = self.open.pop()
+        if e.tag in SCOPES:
+            self.scopes.pop()
+        self.scopes[-1][e.tag] -= 1
+        self.all[e.tag] -= 1
+        return e.tag
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.flush()
-            self.close_paragraph(tag)
+            if tag in CELLS or tag == "tr":
+                self.end_cell()
+            for ended in ENDED_BY.get(tag, ("p",)):
+                while self.scopes[-1][ended]:
+                    self.pop()
         self.tags += 1
         if tag in VOID:
             if tag in ("br", "hr", "img"):
                 self.held.append(" ")
             return
-        up = self.top
-        names = {w for k, v in attrs if v and k in ("class", "id", "role") for w in _SPLIT.split(v.lower())}
-        inside = self.inside("article", "main")
+        labels = tuple(w for k, v in attrs if v and k in ("class", "id", "role") for w in v.lower().split())
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        dropped = up.dropped or hidden or tag in BOILERPLATE or (tag == "header" and not inside) or (tag not in ("html", "body") and bool(names & NAMED))
-        self.top = Element(tag, up, up.silent or tag in SILENT, dropped)
-
-    def close_paragraph(self, tag: str) -> None:
-        """A block ends an open paragraph, an item the item before it."""
-        closes = {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "tr": ("p", "td", "th", "tr")}.get(tag, ("p",))
-        e = self.top
-        while e is not None and e.tag not in CONTAINERS and e.tag not in ("ul", "ol", "dl", "table", "blockquote"):
-            if e.tag in closes:
-                self.top = e.parent or e
-            e = e.parent
-
-    def inside(self, *tags: str) -> bool:
-        e = self.top
-        while e is not None and e.tag not in tags:
-            e = e.parent
-        return e is not None
+        out = hidden or tag in BOILERPLATE or (tag == "header" and not self.open[-1].within)
+        self.push(Element(tag, self.open[-1], () if tag in ("html", "body") else labels, out))
+
+    def end_cell(self) -> None:
+        """A cell or row ends the open cell of its own table."""
+        table = self.scopes[-2:-1]
+        if table and (table[0]["td"] or table[0]["th"]):
+            while self.pop() not in CELLS:
+                pass
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
-        e = self.top
-        while e is not None and e.tag != tag:
-            e = e.parent
-        if e is not None and e.parent is not None:
-            self.top = e.parent
+        if (self.all if tag in BLOCKS else self.scopes[-1])[tag]:  # what is inline closes no division
+            while self.pop() != tag:
+                pass
+
+    def parse_comment(self, i, report=1):
+        """A comment without an end reaches to the end of the page, as browsers have it."""
+        end = super().parse_comment(i, report)
+        return end if end >= 0 else len(self.rawdata)
 
     def handle_data(self, data):
-        if self.top.silent:
-            return
-        self.held.append(data)
+        if not self.open[-1].silent:
+            self.held.append(data)
 
 
 def smoothed(x: np.ndarray) -> np.ndarray:
@@ -118,72 +158,96 @@ def smoothed(x: np.ndarray) -> np.ndarray:
 
 
 def content_lines(lines: list[tuple[str, int, Element]]) -> np.ndarray:
-    """Which lines lie in clusters whose smoothed text-to-tag ratio reaches the threshold, one standard deviation of all ratios."""
+    """Which lines lie in clusters whose smoothed text-to-tag ratio reaches the threshold.
+
+    That is one standard deviation of all ratios, or the highest smoothed one if it is less.
+    """
     ratio = np.array([len(t) / max(1, n) for t, n, _ in lines])
-    return smoothed(ratio) >= min(ratio.std(), ratio.max())
+    smooth = smoothed(ratio)
+    return smooth >= min(ratio.std(), smooth.max())
 
 
-def region(lines: list[tuple[str, int, Element]], content: np.ndarray) -> set[Element] | None:
-    """The elements whose lines are kept; None for all lines."""
-    chosen: set[Element] = set()
-    total = 0
-    for (text, _, element), good in zip(lines, content.tolist(), strict=True):
-        if not good or element.dropped:
+def homes(elements: list[Element]) -> dict[Element, Element]:
+    """Of each element its outermost article or main element, or else its innermost division; a cell is one if it has several lines."""
+    out: dict[Element, Element] = {}
+    for e in elements:
+        if e.within:
+            out[e] = out[e.parent] if e.parent.within else e
+        else:
+            own = e.parent is None or e.tag in CONTAINERS or (e.tag in CELLS and e.lines > 1)
+            out[e] = e if own else out[e.parent]
+    return out
+
+
+def weigh(page: Lines, content: np.ndarray) -> None:
+    """Sets of each element how many characters of content lines it holds, and how many lines outside cells within it."""
+    for (text, _, e), good in zip(page.lines, content.tolist(), strict=True):
+        e.lines += 1
+        e.content += len(text) * (good and not e.out)
+    for e in reversed(page.elements[1:]):
+        e.parent.content += e.content
+        e.parent.lines += e.lines * (e.tag not in CELLS)
+
+
+def correct(elements: list[Element]) -> None:
+    """Sets ``kept``: false for what is out by its tag or by a word in its class, id or role.
+
+    The article is the outermost article or main element that holds most content, if possible
+    one that readers have not written. No word takes out what holds it, nor another article unless
+    the word stands by itself. Without such an element no word takes out what holds more
+    than half of the content, but readers' words do if there is any other content.
+    """
+    readers: dict[Element, bool] = {}
+    best, most = None, (False, 0)
+    for e in elements:
+        readers[e] = bool(e.whole & READERS) or (e.parent is not None and readers[e.parent])
+        if e.tag in ARTICLES and not e.parent.within and e.content and (not readers[e], e.content) > most:
+            best, most = e, (not readers[e], e.content)
+    ways = set()
+    while best is not None:
+        ways.add(best)
+        best = best.parent
+    total = elements[0].content
+    for e in elements:
+        e.kept = not e.out and (e.parent is None or e.parent.kept)
+        if not e.names or e in ways:
             continue
-        total += len(text)
-        e, outer = element, None
-        while e is not None:
-            e.weight += len(text)
-            if e.tag in ("article", "main"):
-                outer = e
-            e = e.parent
-        if outer:
-            chosen.add(outer)
-    if chosen:
-        return chosen
-    best, depth = None, -1
-    for (_, _, element), good in zip(lines, content.tolist(), strict=True):
-        if good and not element.dropped:
-            path, e = [], element
-            while e is not None:
-                path.append(e)
-                e = e.parent
-            for d, e in enumerate(reversed(path)):
-                if e.tag in CONTAINERS and e.weight == total and d > depth:
-                    best, depth = e, d
-    return {best} if best else None
+        if e.names & READERS and e.tag not in ARTICLES:
+            spared = not ways and e.content == total
+        elif e.whole:
+            spared = not ways and 2 * e.content > total
+        else:
+            spared = 2 * e.content > total or (e.tag in ARTICLES and e.content > 0)
+        e.kept = e.kept and spared
 
 
 def extract(html: str) -> str:
     """The article's blocks in page order, one a line; empty if there are none."""
     page = Lines()
-    last = html.rfind("<")
-    if last > html.rfind(">") and re.match(r"<[A-Za-z/!?]", html[last : last + 2]):
-        html = html[:last]  # the page is cut off inside a tag
+    cut = _TAG.search(html, html.rfind(">") + 1)
+    if cut:
+        html = html[: cut.start()]  # the page is cut off inside a tag
     page.feed(html)
     page.close()
     page.flush()
     lines = page.lines
     if not lines:
         return ""
-    roots = region(lines, content_lines(lines))
-    kept = []
-    for text, _, element in lines:
-        if element.dropped:
-            continue
-        e = element
-        while roots is not None and e is not None and e not in roots:
-            e = e.parent
-        if roots is None or e is not None:
-            kept.append(text)
-    return "\n".join(kept)
+    content = content_lines(lines)
+    weigh(page, content)
+    correct(page.elements)
+    home = homes(page.elements)
+    chosen = {home[e] for (_, _, e), good in zip(lines, content.tolist(), strict=True) if good and e.kept}
+    return "\n".join(text for text, _, e in lines if e.kept and home[e] in chosen)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``id_col``, the columns in ``keep``, ``text``.
 
-    Null and empty pages, and pages without an article, give an empty text. Repeated rows and
-    null ids are kept as they are. Nothing is shuffled.
+    A kept column named ``text``, or as ``id_col``, comes back as ``text_in`` and so on. Null and empty
+    pages, and pages without an article, give an empty text. Very long pages are parsed whole, in time
+    proportional to their length. Repeated rows and null ids are kept as they are; an empty table gives an
+    empty result. Nothing is shuffled.
     """
     carried = [F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)]
     rows = pages.select(F.col(id_col).alias("_id"), *carried, whole_text(html_col).alias("_text"))
@@ -194,4 +258,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
 
     schema = ", ".join(f"{n} {k}" for n, k in rows.dtypes[:-1])
     out = map_texts(rows, run, f"{schema}, text string")
-    return out.select(F.col("_id").alias(id_col), *(F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)), "text")
+    names = [f"{c}_in" if c in (id_col, "text") else c for c in keep]
+    return out.select(F.col("_id").alias(id_col), *(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), "text")

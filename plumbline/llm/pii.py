@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,31 +20,49 @@ from pyspark.sql import functions as F
 from .common import arrow_texts, map_texts, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
-PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"),
-    "card": re.compile(r"[0-9](?:[ -]?[0-9])+"),
-    "phone": re.compile(r"\+[0-9][ ().0-9-]+[0-9]"),
-}
-
-# Letters of other scripts that look like ASCII ones, and signs used for them.
-LOOKALIKES = dict(
-    zip(
-        "АВЕКМНОРСТУХаеорсухіјѕԁԛԝЅІЈΑΒΕΖΗΙΚΜΝΟΡΤΥΧοιν＠﹫․。｡﹒＋﹢‐‑‒–—−",
-        "ABEKMHOPCTYXaeopcyxijsdqwSIJABEZHIKMNOPTYXoiv@@....++------",
-        strict=True,
-    )
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
+# A match that could begin within a run of digits begins at its start, so later starts need no trial.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+
+# Letters and signs of other scripts, below each the ASCII one that it is taken for.
+CYRILLIC = (
+    "АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјкорсухүһӏѵԁԛԝ",
+    "ABESIJKMHOPCTYXYGQWaesijkopcyxyhlvdqw",
 )
-INVISIBLE = "­​‌‍⁠﻿"
+GREEK = (
+    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορυϲϳ",
+    "ABEZHIKMNOPTYXayikvopucj",
+)
+ARMENIAN = (
+    "ԼՍՏՕհոսցօ",
+    "LUSOhnugo",
+)
+CHEROKEE = (
+    "ᎠᎢᎪᎫᎬᎳᎷᎻᏀᏃᏒᏔᏚᏞᏟᏢᏦᏩᏴ",
+    "DTAJEWMHGZRWSLCPKGB",
+)
+LATIN = (
+    "ıɑɡɩᴄᴏᴜᴠᴡᴢꜱ",
+    "iagicouvwzs",
+)
+SIGNS = (
+    "＠﹫․。｡．﹒＋﹢‐‑‒–—−－",
+    "@@.....++-------",
+)
+LOOKALIKES = {c: plain for other, ascii_ in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, LATIN, SIGNS) for c, plain in zip(other, ascii_, strict=True)}
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _WORD = "|".join(DIGIT_WORDS)
+_DIGIT = re.compile("[0-9]")
 SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ -]+)?(?:{_WORD})(?:[ ,-]+(?:{_WORD}))+(?![A-Za-z0-9])", re.I)
 _DOT = r"(?: *[\[({<] *(?:dot|punkt|point|punto) *[\])}>] *| +dot +)"
 DOT = re.compile(rf"(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9])", re.I)
 AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?: *[\[({{<] *at *[\])}}>] *| +at +(?=[A-Za-z0-9-]+{_DOT}))(?=[A-Za-z0-9])", re.I)
 QUAD = re.compile(rf"(?<![A-Za-z0-9.])(?:(?:{_WORD}|[0-9]+)\.){{3}}(?:{_WORD}|[0-9]+)(?![A-Za-z0-9])", re.I)
-_ODD = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + INVISIBLE + "！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]")
 
 
 def luhn(digits: str) -> bool:
@@ -56,7 +75,7 @@ def luhn(digits: str) -> bool:
 
 def holds(kind: str, found: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in found.split(".")))
     if kind == "card":
         digits = found.replace(" ", "").replace("-", "")
         return 13 <= len(digits) <= 19 and luhn(digits)
@@ -65,11 +84,26 @@ def holds(kind: str, found: str) -> bool:
     return True
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping local@domain: from each @ to the left as far as it goes, and on to the right."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = done + len(text[done:at].rstrip(LOCAL))
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            yield start, domain.end()
+        done = domain.end() if domain else at + 1
+        at = text.find("@", done)
+
+
 def detect(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the leftmost non-overlapping matches of each kind that hold."""
-    digits = re.search("[0-9]", text) is not None
-    needed = {"email": "@" in text, "ip": digits and "." in text, "card": digits, "phone": digits and "+" in text}
-    return [(k, *m.span()) for k, kind in enumerate(KINDS) if needed[kind] for m in PATTERNS[kind].finditer(text) if holds(kind, m.group())]
+    """(kind, start, end) of the leftmost non-overlapping matches of each kind that hold, in time linear in the text."""
+    out = [(0, s, e) for s, e in emails(text)]
+    if _DIGIT.search(text):
+        for kind, pattern, needs in ((1, IP, "."), (2, CARD, ""), (3, PHONE, "+")):
+            if needs in text:
+                out += [(kind, *m.span()) for m in pattern.finditer(text) if holds(KINDS[kind], m.group())]
+    return out
 
 
 class Tape:
@@ -95,13 +129,27 @@ class Tape:
         return self.start[s], self.end[e - 1]
 
 
-def plain(c: str) -> str:
-    if c in INVISIBLE:
-        return ""
-    if c in LOOKALIKES:
-        return LOOKALIKES[c]
-    d = unicodedata.digit(c, None)
-    return str(d) if d is not None else unicodedata.normalize("NFKC", c)
+class Plain(dict):
+    """The plain form of each character: itself, if it isn't taken for any other."""
+
+    def __missing__(self, c: str) -> str:
+        digit = unicodedata.digit(c, None)
+        if c.isascii():
+            form = c
+        elif c in INVISIBLE:
+            form = ""
+        elif c in LOOKALIKES:
+            form = LOOKALIKES[c]
+        elif digit is not None:
+            form = str(digit)
+        else:  # letters and numbers in another dress: full-width, mathematical, ligatures
+            form = unicodedata.normalize("NFKC", c) if unicodedata.category(c)[0] in "LN" else c
+            form = form if form.isascii() else c
+        self[c] = form
+        return form
+
+
+PLAIN = Plain()
 
 
 def spelled_digits(found: str) -> str:
@@ -111,12 +159,12 @@ def spelled_digits(found: str) -> str:
 
 def normalised(text: str) -> Tape | None:
     """The text after all transducers, or None if none of them has anything to do."""
-    odd = not text.isascii() and _ODD.search(text)
+    odd = "" if text.isascii() else "".join(c for c in set(text) if PLAIN[c] != c)
     if not odd and not any(p.search(text) for p in (SPELLED, AT, DOT, QUAD)):
         return None
     tape = Tape(text)
     if odd:
-        tape.rewrite(_ODD, plain)
+        tape.rewrite(re.compile(f"[{re.escape(odd)}]"), PLAIN.__getitem__)
     tape.rewrite(SPELLED, spelled_digits)
     tape.rewrite(AT, lambda _: "@")
     tape.rewrite(DOT, lambda _: ".")
@@ -125,22 +173,21 @@ def normalised(text: str) -> Tape | None:
 
 
 def find(text: str) -> list[tuple[int, int, int, bool, str]]:
-    """(kind, start, end, base, normalised value), by kind and start; no added span overlaps a base one of its kind.
+    """(kind, start, end, base, normalised value), by kind and start.
 
-    An identifier that reaches beyond base spans is added as the parts of it that they leave, each with its whole value.
+    What is found on the normalised text is added unless it lies in a base span of its kind; so an
+    identifier that base has cut is there as a whole too.
     """
     base = detect(text)
     out = [(*b, True, text[b[1] : b[2]]) for b in base]
     tape = normalised(text)
     if tape:
+        starts = {k: [s for kind, s, _ in base if kind == k] for k in range(len(KINDS))}
+        ends = {k: [e for kind, _, e in base if kind == k] for k in range(len(KINDS))}
         for kind, s, e in detect(tape.text):
             a, z = tape.source(s, e)
-            for k, x, y in base:
-                if k == kind and x < z and y > a:
-                    if a < x:
-                        out.append((kind, a, x, False, tape.text[s:e]))
-                    a = max(a, y)
-            if a < z:
+            i = bisect_right(starts[kind], a) - 1  # the only base span that can hold it
+            if i < 0 or z > ends[kind][i]:
                 out.append((kind, a, z, False, tape.text[s:e]))
     return sorted(out)
 
@@ -160,9 +207,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Spans are in code points of the source, end exclusive, by kind (as in KINDS) and start. ``base``
     tells what stands in the source as it is; the others were disguised, and ``value`` has
-    their plain form. If a base span covers a part of a disguised identifier, added spans cover
-    the rest of it and have the value of the whole. Null and empty texts have none; repeated rows and null ids are kept as
-    they are. Nothing is shuffled.
+    their plain form. If a base span is a part of a disguised identifier, the whole is added beside it. Null
+    and empty texts have none; very long ones are searched whole, in time proportional to their length. Repeated rows
+    and null ids are kept as they are; an empty table gives an empty result. Nothing is shuffled.
     """
     texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -20,7 +20,7 @@ BROADCAST_KEYS = 1_000_000
 #: Rows of one key that may meet in one task.
 HOT_ROWS = 1_000
 
-#: Bits that ``likely`` broadcasts at most, and bits in one row of them (what ``bitmap_construct_agg`` takes).
+#: Bits that ``maybe_in`` broadcasts at most, and bits in one row of them (what ``bitmap_construct_agg`` takes).
 SLOTS, SLOTS_A_ROW = 1 << 28, 1 << 15
 
 #: Texts in one Arrow batch.
@@ -72,18 +72,20 @@ def checked_broadcast(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame
     return F.broadcast(keys) if keys.count() <= limit else keys
 
 
-def likely(rows: DataFrame, at: Column, keys: DataFrame, key: Column) -> DataFrame:
-    """``rows`` without most of those whose ``at`` is no ``key`` of ``keys``: a bit for each hash is broadcast, 32 MB at most.
+def maybe_in(rows: DataFrame, at: list[Column], keys: DataFrame, flag: str = "_maybe") -> DataFrame:
+    """``rows`` with a flag that is true if ``at`` is a row of the written table ``keys``: a bit for each hash is broadcast, 32 MB at most.
 
-    No row with such a key is lost, so an exact join can follow. What it lets through by
-    mistake is the share of bits that are set.
+    It is never false for a key, so an exact join of the flagged rows can follow. How often it
+    is true by mistake is the share of bits that are set.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    bits = keys.select(slot(key).alias("s")).groupBy(F.floor(F.col("s") / SLOTS_A_ROW).alias("_slots"))
-    bits = bits.agg(F.bitmap_construct_agg(F.col("s") % SLOTS_A_ROW).alias("_bits"))
-    tried = rows.withColumn("_slot", slot(at)).withColumn("_slots", F.floor(F.col("_slot") / SLOTS_A_ROW)).join(F.broadcast(bits), "_slots")
-    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_slot % {SLOTS_A_ROW} div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    return tried.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_slot % 8 as int))")) != 0).drop("_slot", "_slots", "_bits")
+    size = min(SLOTS, max(SLOTS_A_ROW, 1 << (32 * keys.count()).bit_length()))
+    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(size))
+    bits = keys.select(slot(*keys.columns).alias("s")).groupBy(F.floor(F.col("s") / SLOTS_A_ROW).alias("__slots"))
+    bits = bits.agg(F.bitmap_construct_agg(F.col("s") % SLOTS_A_ROW).alias("__bits"))
+    tried = rows.withColumn("__slot", slot(*at)).withColumn("__slots", F.floor(F.col("__slot") / SLOTS_A_ROW)).join(F.broadcast(bits), "__slots", "left")
+    byte = F.conv(F.hex(F.expr(f"substring(__bits, cast(__slot % {SLOTS_A_ROW} div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.expr("shiftleft(1, cast(__slot % 8 as int))")) != 0
+    return tried.withColumn(flag, F.coalesce(is_set, F.lit(False))).drop("__slot", "__slots", "__bits")
 
 
 def only_ids(docs: DataFrame, id_col: str, ids: DataFrame, how: str = "left_semi", limit: int = BROADCAST_KEYS) -> DataFrame:
@@ -95,19 +97,19 @@ def only_ids(docs: DataFrame, id_col: str, ids: DataFrame, how: str = "left_semi
     ids = ids.toDF("_only_id")
     few = ids.count() <= limit
     if not few and how == "left_semi":
-        docs = likely(docs, docs[id_col], ids, F.col("_only_id"))
+        docs = maybe_in(docs, [docs[id_col]], ids, "__maybe").filter("__maybe").drop("__maybe")
     return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == ids["_only_id"], how)
 
 
-def split_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, hot: int = HOT_ROWS, keys: int = BROADCAST_KEYS) -> DataFrame:
+def split_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
     """Inner join of ``rows`` with the written table ``groups``, which has each key once and its number of rows in ``size``.
 
     Rows of a hot key stay where they are: those keys are broadcast. Hot is a key of more than
-    ``hot`` rows, and of more than a part in ``keys`` of all rows, so there are never more
-    than ``keys`` of them and no other key has a notable part of a task. All others meet by shuffle.
+    ``HOT_ROWS`` rows and of more than a millionth of all rows, so there are never more than
+    ``BROADCAST_KEYS`` of them, and no other key is a notable part of a task. All others meet by shuffle.
     """
     total, most = groups.agg(F.sum(size), F.max(size)).collect()[0]
-    limit = max(hot, (total or 0) // keys)
+    limit = max(HOT_ROWS, (total or 0) // BROADCAST_KEYS)
     if (most or 0) <= limit:
         return rows.join(groups, on)
     large = groups.filter(F.col(size) > limit)

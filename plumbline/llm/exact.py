@@ -1,8 +1,8 @@
 """Exact deduplication by progressive refinement, with DataFrame functions only.
 
 Rows are grouped by length, then by length and prefix hash, then by full hash. The full text
-is hashed only for rows whose length and prefix hash occur more than once. Texts are never
-shuffled: what moves is a length, an 8-byte prefix hash and a digest.
+is hashed only for rows whose length and prefix hash occur more than once (and for a few others, by
+mistake of a bit table of fixed size). Texts are never shuffled: what moves is a length, an 8-byte prefix hash and a digest.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, ascii_lower, split_join, whole_text, written
+from .common import ascii_lower, maybe_in, split_join, whole_text, written
 
 
 def exact_dedup(
@@ -19,7 +19,6 @@ def exact_dedup(
     text_col: str = "text",
     carry: tuple[str, ...] = (),
     prefix_chars: int = 256,
-    broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """One row per input row: ``id_col``, ``carry``, ``keep_id``, ``group_size``, ``kept``.
 
@@ -38,17 +37,12 @@ def exact_dedup(
     # Level 1 and 2. Both counts come from one scan; rows of a key are summed before they move.
     counted = written(rows.select(length, prefix).groupBy("_n", "_p").agg(F.count(F.lit(1)).alias("_k")), "exact-counts")
     lengths = counted.groupBy("_n").agg(F.sum("_k").alias("_all")).filter("_all > 1").select("_n")
-    keys = written(counted.join(lengths, "_n", "left_semi").filter("_k > 1").select("_n", "_p", F.lit(True).alias("_hit")), "exact-keys")
+    keys = written(counted.join(lengths, "_n", "left_semi").filter("_k > 1").select("_n", "_p"), "exact-keys")
 
-    # Level 3. With few enough keys the digest is taken for rows that hit a key only.
+    # Level 3. The digest is taken for rows that may hit a key only: one bit for each key tells, of a table of fixed size.
     digest = F.sha2(ascii_lower(F.col("_text")), 256)
-    if keys.count() <= broadcast_keys:
-        marked = rows.select("*", length, prefix).join(F.broadcast(keys), ["_n", "_p"], "left")
-        full = marked.select(*kept_columns, F.when(F.col("_hit"), digest).alias("_full"))
-    else:
-        marked = rows.select(*kept_columns, length, prefix, digest.alias("_d")).join(keys, ["_n", "_p"], "left")
-        full = marked.select(*kept_columns, F.when(F.col("_hit"), F.col("_d")).alias("_full"))
-    full = written(full, "exact-full")
+    marked = maybe_in(rows.select("*", length, prefix), [F.col("_n"), F.col("_p")], keys)
+    full = written(marked.select(*kept_columns, F.when(F.col("_maybe"), digest).alias("_full")), "exact-full")
 
     several = full.filter("_full is not null")
     groups = written(several.groupBy("_full").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import whole_text, written
+from .common import split_join, whole_text, written
 
 #: Bisection steps, and how many of them one Spark job answers (it sums at all points they can visit).
 STEPS, STEPS_PER_JOB = 30, 6
@@ -23,7 +23,11 @@ STEPS, STEPS_PER_JOB = 30, 6
 #: Sources whose totals may be broadcast.
 BROADCAST_SOURCES = 100_000
 
-NO_SOURCE = "\u0000"
+
+
+def source_key(source: Column) -> Column:
+    """A text for each source; the null source is a source of its own, unlike any other."""
+    return F.coalesce(F.concat(F.lit("s:"), source.cast("string")), F.lit(""))
 
 
 def word_tokens(text: Column) -> Column:
@@ -31,10 +35,10 @@ def word_tokens(text: Column) -> Column:
     return F.greatest(F.size(F.regexp_extract_all(text, F.lit(r"([^\x09-\x0D\x20]+)"), 1)), F.lit(1)).cast("long")
 
 
-def hash32(*parts) -> Column:
-    """32 bits of the md5 of the parts, joined by colons."""
+def hash60(*parts) -> Column:
+    """60 bits of the md5 of the parts, joined by colons."""
     text = F.concat_ws(":", *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def _sums(totals: DataFrame, points: list[float]) -> dict[int, tuple[float, float]]:
@@ -103,16 +107,18 @@ def mix_sources(
     source's budget after whole passes is spent block by block on the first rows of the
     block's permutation, to the nearest document.
 
-    A null source is a source of its own; a null or empty text costs one token; rows with equal
-    or null ids get equal places. One source alone has weight 1. An empty table gives an empty result.
+    A null source is a source of its own; a null or empty text costs one token; very long ones count whole.
+    Rows with equal or null ids get equal places; other ties of the 60-bit keys, one in 10^18 pairs, are
+    broken by source, block and id. One source alone has weight 1. Other columns are ignored, whatever their names.
+    An empty table gives an empty result.
     """
     rows = docs.select(
-        F.col(id_col).alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("_s"), word_tokens(whole_text(text_col)).alias("_t")
+        F.col(id_col).alias("_id"), source_key(F.col(source_col)).alias("_s"), word_tokens(whole_text(text_col)).alias("_t")
     )
     rows = written(rows, "mix-rows")
-    sums = rows.groupBy("_s").agg(F.sum("_t").alias("_all"))
+    sums = rows.groupBy("_s").agg(F.sum("_t").alias("_all"), F.count(F.lit(1)).alias("_n"))
     total = sums.agg(F.sum("_all")).collect()[0][0] or 1
-    totals = written(sums.select("_s", "_all", (F.col("_all") / F.lit(float(total))).alias("share")), "mix-totals")
+    totals = written(sums.select("_s", "_all", "_n", (F.col("_all") / F.lit(float(total))).alias("share")), "mix-totals")
 
     a = bisect_exponent(totals, target_entropy, max_repeats, budget_ratio)
     raised = F.pow("share", F.lit(a))
@@ -121,18 +127,19 @@ def mix_sources(
     plan = totals.select(
         "_s",
         "_all",
+        "_n",
         (raised / F.lit(norm or 1.0)).alias("weight"),
         F.round(raised / F.lit(norm or 1.0) * F.lit(float(budget))).cast("long").alias("budget_tokens"),
         F.ceil(F.col("_all") / F.lit(float(block_tokens))).alias("_blocks"),
     )
     plan = plan.withColumns({"_full": F.floor(F.col("budget_tokens") / F.col("_all")), "_rest": F.expr("budget_tokens % _all")})
-    placed = rows.join(F.broadcast(plan) if n <= BROADCAST_SOURCES else plan, "_s")
-    placed = placed.withColumn("block_no", hash32(F.lit(seed), F.lit("block"), "_id") % F.col("_blocks"))
+    placed = rows.join(F.broadcast(plan), "_s") if n <= BROADCAST_SOURCES else split_join(rows, written(plan, "mix-plan"), ["_s"], "_n")
+    placed = placed.withColumn("block_no", hash60(F.lit(seed), F.lit("block"), "_id") % F.col("_blocks"))
 
     # Rows that may be in the last, partial pass need their place in their block; no others do.
     whole = placed.filter("_rest = 0").withColumn("_more", F.lit(0))
     block = W.partitionBy("_s", "block_no")
-    order = block.orderBy(hash32(F.lit(seed), "_full", "_id"), "_id").rowsBetween(W.unboundedPreceding, 0)
+    order = block.orderBy(hash60(F.lit(seed), "_full", "_id"), "_id").rowsBetween(W.unboundedPreceding, 0)
     partial = placed.filter("_rest > 0").withColumns({"_before": F.sum("_t").over(order), "_in_block": F.sum("_t").over(block)})
     share = F.floor(F.col("_rest") * F.col("_in_block") / F.col("_all"))
     partial = partial.withColumn("_more", F.when(2 * F.col("_before") - F.col("_t") <= 2 * share, 1).otherwise(0)).drop("_before", "_in_block")
@@ -140,14 +147,14 @@ def mix_sources(
     out = whole.unionByName(partial).withColumn("copies", (F.col("_full") + F.col("_more")).cast("long"))
     place = lambda e: F.struct(
         e.cast("int").alias("epoch"),
-        hash32(F.lit(seed), e, F.col("_s"), F.col("block_no")).alias("block_key"),
-        hash32(F.lit(seed), e, F.col("_id")).alias("doc_key"),
+        hash60(F.lit(seed), e, F.col("_s"), F.col("block_no")).alias("block_key"),
+        hash60(F.lit(seed), e, F.col("_id")).alias("doc_key"),
     )
     none = F.array().cast(T.ArrayType(T.LongType()))
     epochs = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(none)
     return out.select(
         F.col("_id").alias(id_col),
-        F.when(F.col("_s") != NO_SOURCE, F.col("_s")).alias(source_col),
+        F.when(F.col("_s") != "", F.expr("substring(_s, 3)")).alias(source_col),
         F.col("_t").alias("n_tokens"),
         F.lit(a).alias("exponent"),
         "weight",

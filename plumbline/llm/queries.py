@@ -78,6 +78,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.listed(F.col("spans")).alias("spans"),
         verdict("live").alias("n_live"),
         verdict("example").alias("n_example"),
+        secret_scan.judged(F.col("spans")).alias("verdicts"),
     )
 
 
@@ -96,6 +97,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels(base).alias("base_labels"),
         labels(F.col("notices")).alias("labels"),
         "score",
+        licenses.listed(F.filter("notices", lambda s: ~s["base"])).alias("fuzzy_notices"),
     )
 
 
@@ -124,7 +126,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op9_temperature_mixing",
     r"""
 WITH RECURSIVE d AS (
-    SELECT doc_id, coalesce(source, chr(0)) AS s, greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+')), 1)::BIGINT AS t FROM documents),
+    SELECT doc_id, coalesce('s:' || source, '') AS s, greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+')), 1)::BIGINT AS t FROM documents),
 totals AS (SELECT s, sum(t)::BIGINT AS al, sum(t)::DOUBLE / (SELECT sum(t) FROM d)::DOUBLE AS share FROM d GROUP BY s),
 b(step, lo, hi) AS (
     SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
@@ -138,15 +140,15 @@ z AS (SELECT a, sum(pow(share, a)) AS norm, max(share / pow(share, a)) AS cover,
 plan AS (SELECT s, al, a, pow(share, a) / norm AS weight, round(pow(share, a) / norm * (total * cover * norm))::BIGINT AS budget,
                 ceil(al / 200000.0)::BIGINT AS blocks FROM totals, z),
 p AS (SELECT d.*, a, weight, budget, al, budget // al AS full_passes, budget % al AS rest,
-             ('0x' || substr(md5('1:block:' || doc_id), 1, 8))::BIGINT % blocks AS block_no
+             ('0x' || substr(md5('1:block:' || doc_id), 1, 15))::BIGINT % blocks AS block_no
       FROM d JOIN plan USING (s)),
-q AS (SELECT *, sum(t) OVER (PARTITION BY s, block_no ORDER BY ('0x' || substr(md5('1:' || full_passes || ':' || doc_id), 1, 8))::BIGINT, doc_id
+q AS (SELECT *, sum(t) OVER (PARTITION BY s, block_no ORDER BY ('0x' || substr(md5('1:' || full_passes || ':' || doc_id), 1, 15))::BIGINT, doc_id
                              ROWS UNBOUNDED PRECEDING) AS before,
              sum(t) OVER (PARTITION BY s, block_no) AS in_block FROM p)
-SELECT doc_id, nullif(s, chr(0)) AS source, t AS n_tokens, a AS exponent, round(weight, 9) AS weight, budget AS budget_tokens, block_no,
+SELECT doc_id, CASE WHEN s <> '' THEN substr(s, 3) END AS source, t AS n_tokens, a AS exponent, round(weight, 9) AS weight, budget AS budget_tokens, block_no,
        (full_passes + CASE WHEN rest > 0 AND 2 * before - t <= 2 * floor(rest::DOUBLE * in_block::DOUBLE / al) THEN 1 ELSE 0 END)::BIGINT AS copies,
-       ('0x' || substr(md5('1:0:' || s || ':' || block_no), 1, 8))::BIGINT AS block_key,
-       ('0x' || substr(md5('1:0:' || doc_id), 1, 8))::BIGINT AS doc_key
+       ('0x' || substr(md5('1:0:' || s || ':' || block_no), 1, 15))::BIGINT AS block_key,
+       ('0x' || substr(md5('1:0:' || doc_id), 1, 15))::BIGINT AS doc_key
 FROM q
 """,
 )

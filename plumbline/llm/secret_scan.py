@@ -2,8 +2,8 @@
 
 Candidates are found by regular expressions; their positions come from the lengths of what
 lies between them. The hash of each candidate's value is counted over distinct repositories and
-owners: a value that many owners have is a copied example, one that a single owner has and
-that looks random is taken for a live credential.
+owners: a value that many owners have, or that is in many repositories of more than one, is
+a copied example; another one that looks random is taken for a live credential of its owner.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import split_join, whole_text, written
 
 BASE_KINDS = ("assign", "access", "hex")
 #: kind, pattern, group that has the value, least length of the value
@@ -25,8 +25,10 @@ PATTERNS = (
 )
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,value_hash:string,varied:boolean>"
 
-#: A value of so many owners is an example; a live-looking one has so many different characters.
-EXAMPLE_OWNERS, LIVE_CHARACTERS = 3, 8
+#: A value of so many owners is an example, and so is one of fewer owners, but two, in so many repositories.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 5
+#: A live-looking value has so many different characters.
+LIVE_CHARACTERS = 8
 
 
 def _spans(text: Column, rank: int, pattern: str, group: int, least: int) -> Column:
@@ -68,9 +70,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Spans are in code points, end exclusive, by start and then by kind; values leave only as
     sha256. ``owners`` and ``repos`` count the distinct ones that have the value anywhere in the
     table (``repo_col`` None: each document is a repository). The verdict is ``example`` from
-    ``EXAMPLE_OWNERS`` owners on, else ``live``, or ``weak`` if the value has few different
-    characters. A null owner or repository counts as one of its own. Null and empty texts have no spans;
-    repeated rows are each reported and add no owner. An empty table gives an empty result.
+    ``EXAMPLE_OWNERS`` owners on, or from two owners and ``EXAMPLE_REPOS`` repositories on; else ``live``, or
+    ``weak`` if the value has few different characters. All null owners count as one, and so do all
+    null repositories. Null and empty texts have no spans; very long ones are scanned whole. Repeated rows are
+    each reported and add no owner. An empty table gives an empty result.
     """
     rows = docs.select(
         F.col(id_col).alias("_id"),
@@ -82,12 +85,14 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with_any = rows.filter("size(_spans) > 0")
     each = with_any.select("_row", "_owner", "_repo", F.explode("_spans").alias("s"))
     # rows of a value are reduced to its distinct owners and repositories before they meet
-    distinct = each.select(F.col("s.value_hash").alias("_h"), "_owner", "_repo").distinct()
-    by_owner = distinct.groupBy("_h", "_owner").agg(F.count(F.lit(1)).alias("_n"))
-    counts = by_owner.groupBy("_h").agg(F.count(F.lit(1)).alias("owners"), F.sum("_n").alias("repos"))
-    verdict = F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when(F.col("s.varied"), "live").otherwise("weak")
+    each = each.withColumn("_h", F.col("s.value_hash"))
+    distinct = each.groupBy("_h", "_owner", "_repo").agg(F.count(F.lit(1)).alias("_k"))
+    by_owner = distinct.groupBy("_h", "_owner").agg(F.count(F.lit(1)).alias("_n"), F.sum("_k").alias("_k"))
+    counts = by_owner.groupBy("_h").agg(F.count(F.lit(1)).alias("owners"), F.sum("_n").alias("repos"), F.sum("_k").alias("_k"))
+    copied = (F.col("owners") >= EXAMPLE_OWNERS) | ((F.col("owners") > 1) & (F.col("repos") >= EXAMPLE_REPOS))
+    verdict = F.when(copied, "example").when(F.col("s.varied"), "live").otherwise("weak")
     full = F.struct("s.start", "s.rank", "s.end", "s.kind", "s.value_hash", "owners", "repos", verdict.alias("verdict"))
-    judged = each.join(counts, each["s"]["value_hash"] == counts["_h"]).select("_row", full.alias("s"))
+    judged = split_join(each, written(counts, "secret-owners"), ["_h"], "_k").select("_row", full.alias("s"))
     back = judged.groupBy("_row").agg(F.array_sort(F.collect_list("s")).alias("spans"))
     kind = dict(back.dtypes)["spans"]
     none = rows.filter("size(_spans) = 0").select("_id", F.expr(f"cast(array() as {kind})").alias("spans"))
@@ -97,3 +102,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def listed(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def judged(spans: Column) -> Column:
+    """start:end:owners:repos:verdict of each span, comma-joined."""
+    each = lambda s: F.concat_ws(":", *(s[k].cast("string") for k in ("start", "end", "owners", "repos", "verdict")))
+    return F.array_join(F.transform(spans, each), ",")

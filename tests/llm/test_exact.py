@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from plumbline.llm import exact
+from plumbline.llm import common, exact
 from plumbline.llm.exact import exact_dedup
 
 from .texts import EDGE, prose
@@ -33,14 +33,14 @@ def test_like_brute_force(frame, rows):
     assert result(exact_dedup(frame(rows))) == brute(rows)
 
 
-def test_more_keys_than_may_be_broadcast(frame, rows):
-    assert result(exact_dedup(frame(rows), broadcast_keys=0)) == brute(rows)
+def test_a_full_bit_table_loses_nothing(frame, rows, monkeypatch):
+    monkeypatch.setattr(common, "SLOTS", 8)
+    monkeypatch.setattr(common, "SLOTS_A_ROW", 8)
+    assert result(exact_dedup(frame(rows))) == brute(rows)
 
 
 def test_hot_groups_are_split(frame, rows, monkeypatch):
-    from plumbline.llm import common
-
-    monkeypatch.setattr(common.split_join, "__defaults__", (3,))
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
     assert result(exact_dedup(frame(rows))) == brute(rows)
     assert exact.split_join is common.split_join
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -45,6 +46,51 @@ def test_notices_are_found_within_their_edits():
             assert mine and abs(mine[0]["first_word"] - 20) <= 1 and score >= 1 - edits / len(notice) - 1e-9, (notice, edits)
 
 
+def within(a, b, most):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) > most:
+            return False
+    return row[-1] <= most
+
+
+def test_fuzzy_search_like_brute_force():
+    """A notice is found if and only if some stretch of the text is within its edits, by trying all stretches."""
+    g = random.Random(4)
+    names = [n for n in L.NOTICES if len(n) < 40]
+    for _ in range(60):
+        notice = g.choice(names)
+        damaged = list(notice)
+        for _ in range(g.randint(0, L.edit_budget(notice) + 2)):
+            k = g.randrange(len(damaged))
+            damaged[k : k + 1] = g.choice(([], ["q"], ["q", damaged[k]]))
+        text = " ".join("".join([*"ka lo ", *damaged, *" mi"]).split())
+        e = L.edit_budget(notice)
+        sizes = range(max(1, len(notice) - e), len(notice) + e + 1)
+        there = any(within(notice, text[s : s + n], e) for s in range(len(text)) for n in sizes if s + n <= len(text))
+        hits = [f for f in L.fuzzy(text) if L.NOTICES[f[0]] == L.NOTICES[notice]]
+        rival = [f for f in L.fuzzy(text) if f not in hits]
+        assert bool(hits) == there or (there and rival), (notice, text)
+        for found, s, z, edits in hits:
+            assert within(found, text[s:z], edits + 2)
+
+
+def test_the_closest_of_rival_notices_counts():
+    for text, label in (("spdx license identifier lgpl 2 1", "lgpl"), ("spdx license identifier gpl 2 0", "gpl"), ("spdx license identifier agpl 3 0", "agpl")):
+        assert {f["label"] for f in L.find(text.split())[0]} == {label}
+
+
+@pytest.mark.parametrize("unit", ["mit license ", "all rights reserved ", "all rights ", "licensed under ", "cc by ", "x ", "released under the mit license "])
+def test_time_is_linear(unit):
+    n = 60_000 // len(unit)
+    began = time.process_time()
+    found, _ = L.find(L.words_of(unit * n))
+    assert time.process_time() - began < 4
+
+
 def test_prose_has_none():
     g = random.Random(1)
     assert L.find(prose(g, 2000)) == ([], 0.0)

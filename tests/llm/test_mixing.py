@@ -5,17 +5,18 @@ from collections import defaultdict
 
 import pytest
 
-from plumbline.llm.mixing import NO_SOURCE, bisect_exponent, mix_sources
+from plumbline.llm import common, mixing
+from plumbline.llm.mixing import bisect_exponent, mix_sources
 
 from .texts import EDGE, prose
 
 
 def h(*parts):
-    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:15], 16)
 
 
 def brute(rows, max_repeats=2.0, block_tokens=200_000, seed=1, budget_ratio=None):
-    docs = [(i, s if s is not None else NO_SOURCE, max(1, len((t or "").split()))) for i, t, s in rows]
+    docs = [(i, f"s:{s}" if s is not None else "", max(1, len((t or "").split()))) for i, t, s in rows]
     total, sums = sum(d[2] for d in docs), defaultdict(int)
     for _, s, n in docs:
         sums[s] += n
@@ -57,6 +58,17 @@ def test_like_brute_force(frame, rows, repeats, block, ratio):
     assert {r["doc_id"]: (r["block_no"], r["copies"], r["budget_tokens"]) for r in got} == want
 
 
+def test_more_sources_than_may_be_broadcast(frame, rows, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    test_like_brute_force(frame, rows, 2.0, 200_000, None)
+
+
+def test_the_null_source_is_like_no_other(frame):
+    got = mix_sources(frame([(1, "a b", None), (2, "a b", "\u0000"), (3, "a b", "")], ", source string")).collect()
+    assert {r["doc_id"]: r["source"] for r in got} == {1: None, 2: "\u0000", 3: ""} and all(r["budget_tokens"] == 2 for r in got)
+
+
 def test_budgets_are_met_and_nothing_is_left_out(frame, rows):
     got = mix_sources(frame(rows, ", source string")).collect()
     assert len(got) == len(rows) and all(r["copies"] >= 1 for r in got)

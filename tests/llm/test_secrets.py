@@ -1,8 +1,10 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from plumbline.llm import common
 from plumbline.llm import secret_scan as S
 
 from .texts import EDGE, prose
@@ -52,6 +54,29 @@ def test_ownership_separates_examples_from_live_keys(frame):
     assert all(len(s["value_hash"]) == 64 for spans in got.values() for s in spans)
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_ownership_like_brute_force(frame, monkeypatch, hot):
+    """Owners, repositories and verdicts counted plainly, with and without hot values."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    g = random.Random(7)
+    values = ["".join(g.choice("abcDEF0123xyz") for _ in range(16)) for _ in range(12)] + ["z" * 16]
+    rows = [(i, " ".join(f"token={g.choice(values[: g.randint(1, 13)])}" for _ in range(g.randint(0, 3))), g.choice([None, "a", "b", "c", "d"]), g.choice([None, "r1", "r2", "r3", "r4", "r5", "r6"])) for i in range(80)]
+    seen = {}
+    for _, text, owner, repo in rows:
+        for v in re.findall("token=(\\w+)", text):
+            seen.setdefault(v, set()).add((owner, repo))
+
+    def want(v):
+        owners, repos = len({o for o, _ in seen[v]}), len(seen[v])
+        return owners, repos, "example" if owners >= 3 or (owners == 2 and repos >= 5) else "live" if len(set(v)) >= 8 else "weak"
+
+    got = S.find_secrets(frame(rows, ", source string, repo string"), repo_col="repo").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = rows[r["doc_id"]][1]
+        assert [(s["owners"], s["repos"], s["verdict"]) for s in r["spans"]] == [want(v) for v in re.findall("token=(\\w+)", text)]
+
+
 def test_issued_tokens_are_added(frame):
     token = "ghp_" + "Ab1" * 12
     spans = S.find_secrets(frame([(1, f"x {token} y", "o")], ", source string")).collect()[0]["spans"]

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from plumbline.llm import common
 from plumbline.llm.substring import remove_repeats
 
 from .texts import EDGE, edited, prose
@@ -45,9 +46,7 @@ def test_like_brute_force(frame, texts, length, anchor):
 
 
 def test_hot_keys_are_split(frame, texts, monkeypatch):
-    from plumbline.llm import common
-
-    monkeypatch.setattr(common.split_join, "__defaults__", (2,))
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
     test_like_brute_force(frame, texts, 35, 20)
 
 

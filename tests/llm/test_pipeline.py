@@ -1,8 +1,10 @@
 """The stages on a small corpus, each held against what the operator's brute-force version keeps."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm.decontam import normalise
@@ -72,3 +74,58 @@ def test_run(spark, corpus):
     folder, rows, _ = corpus
     got = corpus_pipeline.run(spark, folder)
     assert got.columns[0] == "doc_id" and 120 <= got.count() <= 160 and got.filter("copies < 1").isEmpty()
+
+
+EDGES = [
+    (1, "a a b c d e f", "src", "x"),
+    (1, "b b b c d e f g", "src", "x"),
+    (2, "a a b c d e f", "src", "x"),
+    (3, "c c c d e f g h", None, "x"),
+    (3, "c c c d e f g h", None, "x"),
+    (None, "a a b c d e f", "src", "x"),
+    (None, "only here at all", None, None),
+    (5, None, "src", "x"),
+    (6, "", "src", "x"),
+    (7, "long " * 30_000, "src", "x"),
+]
+
+
+@pytest.fixture(scope="module")
+def edges(spark, tmp_path_factory):
+    """A folder with a documents table of odd rows, whose columns clash with names used inside, and an empty one."""
+    folder = str(tmp_path_factory.mktemp("edges"))
+    schema = "doc_id bigint, text string, source string, _score string"
+    for name, rows in (("some", EDGES), ("none", [])):
+        df = spark.createDataFrame([(*r[:3], r[3]) for r in rows], schema)
+        df.withColumns({"_row": F.lit("r"), "_text": F.lit("t"), "class_id": F.lit(0), "key": F.lit(1)}).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, None, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(0, "b b b c d e f g"), (1, None), (2, "")], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+@pytest.mark.parametrize(
+    ("stage", "lost"),
+    [
+        ("quality", []),
+        ("exact_dedup", [(1, "a a b c d e f"), (3, "c c c d e f g h"), (None, "a a b c d e f"), (5, None)]),
+        ("near_dedup", [(2, "a a b c d e f"), (3, "c c c d e f g h"), (None, "a a b c d e f"), (6, "")]),
+        ("decontamination", [(1, "b b b c d e f g")]),
+    ],
+)
+def test_odd_rows(spark, edges, stage, lost):
+    docs = spark.read.parquet(f"{edges}/some.parquet")
+    got = dict(corpus_pipeline.STAGES)[stage](spark, docs, edges)
+    assert got.columns == docs.columns
+    left = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert Counter(left) == Counter((r[0], r[1]) for r in EDGES) - Counter(lost)
+
+
+def test_mix_of_odd_rows(spark, edges):
+    got = corpus_pipeline.mix(spark, spark.read.parquet(f"{edges}/some.parquet"), edges).collect()
+    assert len(got) == len(EDGES) and all(r["copies"] >= 1 and r["n_tokens"] >= 1 for r in got)
+
+
+@pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES])
+def test_empty_table(spark, edges, stage):
+    docs = spark.read.parquet(f"{edges}/none.parquet")
+    assert dict(corpus_pipeline.STAGES)[stage](spark, docs, edges).count() == 0

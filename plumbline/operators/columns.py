@@ -230,6 +230,11 @@ def _slot(cuts: Column, x: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(10)), zero, step, lambda a: a["lo"])
 
 
+def generated_at() -> Column:
+    """When the query runs, in UTC, as ISO 8601; the same for all rows."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
 def profile_columns(
     df: DataFrame, columns: list[str] | None = None, distinct: str = "exact", quantiles: str = "histogram", bins: int = BINS, scan_limit: int | None = None
 ) -> DataFrame:
@@ -274,6 +279,7 @@ def profile_columns(
         (hi - lo).alias("range_value"),
         F.when(~no_percentile, F.col("percentile05")).alias("percentile05"),
         F.when(~no_percentile, F.col("percentile95")).alias("percentile95"),
+        generated_at().alias("generated_at"),
     )
 
 

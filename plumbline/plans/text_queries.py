@@ -132,17 +132,44 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.detect_language(docs, corpus.train_language_model(docs), corpus.language_priors(docs))
 
 
-@query("chunk_documents")
+_KEPT = r"[\s.]+"  # of these, separators are made
+
+
+@query(
+    "chunk_documents",
+    r"SELECT doc_id, sha256(regexp_replace(text, '[\s.]+', '', 'g')) AS content_sha256, 0 AS oversize FROM documents WHERE regexp_replace(text, '[\s.]+', '', 'g') <> ''",
+)
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.chunk_documents(table(spark, sf_dir, "documents"))
+    """Chunks without overlap: together they have all of the text but separators, and none that is too long could be cut."""
+    got = chunks.chunk_documents(table(spark, sf_dir, "documents"), overlap=0)
+    could_be_cut = (F.char_length("chunk") > 300) & F.col("chunk").rlike(r"\. |\n")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "chunk"))), lambda c: F.regexp_replace(c["chunk"], _KEPT, "")), "")
+    by = got.groupBy("doc_id").agg(F.sha2(whole, 256).alias("content_sha256"), F.count_if(could_be_cut).cast("int").alias("oversize"), (whole != "").alias("some"))
+    return by.filter("some").drop("some")
 
 
-@query("chunk_offsets")
+@query("chunk_offsets", r"SELECT doc_id, sha256(text) AS text_sha256, 0 AS wrong, 0 AS unlocated, 0 AS misnumbered FROM documents WHERE regexp_matches(text, '[^\s.]')")
 def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.chunk_offsets(table(spark, sf_dir, "documents"))
+    """Chunks with overlap: each one that is a part of the text is found, what stands at its place is the chunk, and they are numbered from 0."""
+    docs = table(spark, sf_dir, "documents")
+    placed = chunks.chunk_offsets(docs).join(docs.select("doc_id", "text"), "doc_id")
+    there = F.expr("substring(text, start + 1, end - start + 1)") == F.col("chunk")
+    by = placed.groupBy("doc_id").agg(
+        F.max(F.sha2("text", 256)).alias("text_sha256"),
+        F.count_if(F.col("start").isNotNull() & ~there).cast("int").alias("wrong"),
+        F.count_if(F.col("start").isNull() & F.contains("text", "chunk")).cast("int").alias("unlocated"),
+        (F.max("chunk_no") + 1 - F.count_distinct("chunk_no")).cast("int").alias("misnumbered"),
+        F.max(F.regexp_replace("chunk", _KEPT, "") != "").alias("some"),
+    )
+    return by.filter("some").drop("some")
 
 
-@query("page_chunks")
+@query(
+    "page_chunks",
+    r"SELECT page_id, sha256(regexp_replace(html, '\s+', '', 'g')) AS content_sha256, 0 AS oversize FROM pages WHERE html <> ''",
+)
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of the size and separators that long extracted texts get."""
-    return chunks.chunk_documents(table(spark, sf_dir, "pages"), "page_id", "html", 1000, 200, chunks.DEFAULT_SEPARATORS)
+    """Chunks of the size and separators that long extracted texts get; as every character can be cut off, none is too long."""
+    got = chunks.chunk_documents(table(spark, sf_dir, "pages"), "page_id", "html", 1000, 0, chunks.DEFAULT_SEPARATORS)
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "chunk"))), lambda c: F.regexp_replace(c["chunk"], r"\s+", "")), "")
+    return got.groupBy("page_id").agg(F.sha2(whole, 256).alias("content_sha256"), F.count_if(F.char_length("chunk") > 1000).cast("int").alias("oversize"))

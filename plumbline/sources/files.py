@@ -17,9 +17,12 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return got.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "length", F.col("modificationTime").alias("modified"))
 
 
-def detect_delimiters(spark: SparkSession, path: str, head: int = 1024) -> DataFrame:
-    """(path, delimiter) of each file: the candidate that every whole line of its head has equally often; else a comma."""
-    got = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def detect_delimiters(spark: SparkSession, path: str, pattern: str = "*", head: int = 1024) -> DataFrame:
+    """(path, delimiter) of each file: the candidate that every whole line of its head has equally often; else a comma.
+
+    A task reads a file whole, one at a time, to see its head; files beyond 2 GB must be split before.
+    """
+    got = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     lines = F.split(F.decode(F.substring("content", 1, head), "ISO-8859-1"), "\r?\n")
     # the last line may be cut off, unless it is the only one
     whole = F.filter(F.when(F.size("l") > 1, F.slice("l", 1, F.size("l") - 1)).otherwise(F.col("l")), lambda x: x != "")
@@ -30,9 +33,15 @@ def detect_delimiters(spark: SparkSession, path: str, head: int = 1024) -> DataF
     return best.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.coalesce("delimiter", F.lit(",")).alias("delimiter"))
 
 
+def digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length, content_sha256) of all files under a path. A task holds one file at a time, of 2 GB at most."""
+    got = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return got.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "length", F.sha2("content", 256).alias("content_sha256"))
+
+
 def csv_columns(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "ISO-8859-1") -> list[str]:
     """Names in the first line; an empty file has none."""
-    got = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("multiLine", True).csv(path)
+    got = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
     return got.columns
 
 
@@ -57,7 +66,7 @@ def read_csv(
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, encoding, size_bytes) of whole files: UTF-8 where the bytes are valid, else ISO-8859-1."""
+    """(path, text, encoding, size_bytes) of whole files, of 2 GB each at most: UTF-8 where the bytes are valid, else ISO-8859-1."""
     got = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.when(valid, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))

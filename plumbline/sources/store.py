@@ -34,8 +34,8 @@ def newest_ranked(profiles: DataFrame, id_col: str, time_col: str, tie_col: str)
     return profiles.filter(F.col(id_col).isNotNull()).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def compact(spark: SparkSession, path: str, id_field: str = "@id") -> DataFrame:
+def compact(spark: SparkSession, path: str, id_field: str = "@id", recursive: bool = False) -> DataFrame:
     """(dataset_id, path, modified) of the newest profile file of each id; unreadable files and those without one are left out."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"))
+    files = spark.read.option("recursiveFileLookup", recursive).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"))
     found = files.select(F.get_json_object("value", f"$['{id_field}']").alias("dataset_id"), "path", "modified", F.try_parse_json("value").isNotNull().alias("ok"))
     return newest_ranked(found.filter("ok").drop("ok"), "dataset_id", "modified", "path")

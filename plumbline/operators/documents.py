@@ -43,6 +43,14 @@ def document_profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, num_words, num_lines, num_characters): what the record set of a document needs, without the other measures."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(
+        id_col, F.regexp_count(F.lower(t), F.lit(X.WORD)).cast("bigint").alias("num_words"), X.num_lines(t).cast("bigint").alias("num_lines"), F.char_length(t).cast("bigint").alias("num_characters")
+    )
+
+
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, word, n): counts are summed up within a task before they are shuffled."""
     return docs.select(id_col, F.explode(X.words(F.col(text_col))).alias("word")).groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))

@@ -20,6 +20,7 @@ MEDIA_TYPES = {
     ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png",
 }
 
+# Profilers by file extension.
 PROFILERS = {".csv": "table", ".xlsx": "workbook", ".xls": "workbook", ".pdf": "pdf", ".txt": "text"}
 
 

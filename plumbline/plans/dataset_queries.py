@@ -16,16 +16,22 @@ ROOT = "/data"
 EXTENSIONS = [".csv", ".CSV", ".txt", ".xyz", ".pdf", "", ".xlsx", ".json", ".tar.gz", ".html"]
 
 
+def kind_of(source: str, lang: str) -> str:
+    """SQL for the number of a document's extension, from its source and language."""
+    return f"conv(substring(md5(concat_ws('|', {source}, {lang})), 1, 7), 16, 10) % {len(EXTENSIONS)}"
+
+
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file per document: those of source src0 in the root, the others in a directory of their source."""
+    """A file per document: those of source src0 in the root, the others in a directory of their source; extensions go by source and language."""
     d = table(spark, sf_dir, "documents")
-    ext = F.get(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % len(EXTENSIONS)).cast("int"))
+    ext = F.get(F.array(*map(F.lit, EXTENSIONS)), F.expr(kind_of("source", "lang")).cast("int"))
     folder = F.when(F.col("source") == "src0", F.lit(ROOT)).otherwise(F.concat(F.lit(ROOT + "/"), "source"))
-    return d.select(F.concat(folder, F.lit("/doc"), F.col("doc_id").cast("string"), ext).alias("path"), F.col("n_chars").alias("length"))
+    return d.select(F.concat(folder, F.lit("/doc"), F.col("doc_id").cast("string"), ext).alias("path"), F.col("n_chars").alias("length"), "doc_id", "source")
 
 
-_EXT = "CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(EXTENSIONS)) + " END"
-_SUFFIX = "CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN '{e.lower().split('.')[-1] and '.' + e.lower().split('.')[-1] if e else ''}'" for i, e in enumerate(EXTENSIONS)) + " END"
+_NO = f"(('0x' || substr(md5(concat_ws('|', source, lang)), 1, 7))::BIGINT % {len(EXTENSIONS)})"
+_EXT = f"CASE {_NO} " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(EXTENSIONS)) + " END"
+_SUFFIX = f"CASE {_NO} " + " ".join(f"WHEN {i} THEN '{e.lower().split('.')[-1] and '.' + e.lower().split('.')[-1] if e else ''}'" for i, e in enumerate(EXTENSIONS)) + " END"
 _MIME = "CASE suffix " + " ".join(f"WHEN '{e}' THEN '{m}'" for e, m in I.MEDIA_TYPES.items()) + " END"
 _KIND = "CASE suffix " + " ".join(f"WHEN '{e}' THEN '{m}'" for e, m in I.PROFILERS.items()) + " END"
 _FILES = f"""
@@ -75,64 +81,132 @@ def page_url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dataset specification per source of the documents."""
-    d = table(spark, sf_dir, "documents").filter("source <> 'src0'")
+    d = table(spark, sf_dir, "documents").filter("source is not null")
     return d.groupBy(F.col("source").alias("id")).agg(F.concat(F.lit("Documents of "), F.first("source")).alias("name"), F.sort_array(F.collect_set("lang")).alias("inLanguage"))
 
 
 def source_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distributions with the dataset that each belongs to: the name of its directory."""
-    dists = I.distributions(listing(spark, sf_dir), ROOT).filter("kind <> 'file'")
-    return dists.withColumn("dataset_id", F.regexp_extract("content_url", f"^{ROOT}/([^/]+)", 1))
+    """Distributions with the dataset that each belongs to: the name of its directory, src0 for files in the root."""
+    dists = I.distributions(listing(spark, sf_dir), ROOT)
+    dataset = F.when(F.col("kind") == "file", F.lit("src0")).otherwise(F.regexp_extract("content_url", f"^{ROOT}/([^/]+)", 1))
+    return dists.withColumn("dataset_id", dataset)
 
 
 def document_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Record sets of the text files: their document profiles, with the id of their distribution."""
-    texts = table(spark, sf_dir, "documents").filter("source <> 'src0' and doc_id % 10 = 2")
-    prof = D.document_profile(texts).join(texts.select("doc_id", "source"), "doc_id")
-    path = F.concat(F.lit(ROOT + "/"), "source", F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return prof.select(F.col("source").alias("dataset_id"), I.stable_id(path).alias("distribution_id"), I.stem(path).alias("record_set"), "num_words", "num_lines", "num_characters")
+    """Record sets of all documents: their profiles, with the id of their distribution."""
+    texts = table(spark, sf_dir, "documents")
+    path = F.col("path")
+    files = listing(spark, sf_dir).select("doc_id", F.col("source").alias("dataset_id"), I.stable_id(path).alias("distribution_id"), I.stem(path).alias("record_set"))
+    counted = D.document_sizes(texts)
+    return counted.join(files, "doc_id").select("dataset_id", "distribution_id", "record_set", "num_words", "num_lines", "num_characters")
+
+
+_TOP = "top AS (SELECT source AS dataset_id, 'Documents of ' || source AS name, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages FROM documents WHERE source IS NOT NULL GROUP BY source)"
+_ALL = "all_dists AS (SELECT CASE kind WHEN 'file' THEN 'src0' ELSE split_part(content_url, '/', 3) END AS dataset_id, kind, id, content_url FROM dist WHERE NOT is_minimal UNION ALL SELECT split_part(dir, '/', 3), 'file_set', sha256(dir), dir FROM sets)"
+_WORDS = "len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'))::BIGINT"
 
 
 @query(
     "light_profile",
-    f"""WITH {_FILES}, top AS (SELECT source AS dataset_id, 'Documents of ' || source AS name, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages FROM documents WHERE source <> 'src0' GROUP BY source)
-SELECT dataset_id, name, languages, count(*) FILTER (kind = 'file_set') AS file_sets, count(*) FILTER (kind = 'file_in_set') AS files, min(content_url) AS first_url
-FROM top LEFT JOIN (SELECT split_part(content_url, '/', 3) AS dataset_id, kind, content_url FROM dist WHERE NOT is_minimal AND kind = 'file_in_set'
-               UNION ALL SELECT split_part(dir, '/', 3), 'file_set', dir FROM sets) USING (dataset_id) GROUP BY ALL""",
+    f"""WITH {_FILES}, {_TOP}, {_ALL} SELECT dataset_id, name, languages, count(*) FILTER (kind = 'file_set') AS file_sets, count(*) FILTER (kind <> 'file_set') AS files, min(content_url) AS first_url,
+sha256(string_agg(id, ',' ORDER BY kind, id)) AS ids_sha256 FROM top LEFT JOIN all_dists USING (dataset_id) GROUP BY ALL""",
 )
 def light_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     light = A.light_profile(A.top_level(datasets(spark, sf_dir), ROOT + "/"), source_distributions(spark, sf_dir))
-    of = lambda k: F.coalesce(F.size(F.filter("distribution", lambda d: d["kind"] == k)), F.lit(0)).cast("bigint")
-    urls = F.transform("distribution", lambda d: d["content_url"])
+    of = lambda p: F.coalesce(F.size(F.filter("distribution", p)), F.lit(0)).cast("bigint")
+    each = lambda k: F.transform("distribution", lambda d: d[k])
     return light.select(
-        "dataset_id", F.col("dataset.name").alias("name"), F.array_join("dataset.inLanguage", ",").alias("languages"), of("file_set").alias("file_sets"), of("file_in_set").alias("files"),
-        F.array_min(urls).alias("first_url"),
+        "dataset_id", F.col("dataset.name").alias("name"), F.array_join("dataset.inLanguage", ",").alias("languages"), of(lambda d: d["kind"] == "file_set").alias("file_sets"),
+        of(lambda d: d["kind"] != "file_set").alias("files"), F.array_min(each("content_url")).alias("first_url"), F.sha2(F.array_join(each("id"), ","), 256).alias("ids_sha256"),
     )
 
 
 @query(
     "heavy_profile",
-    f"""WITH {_FILES}, r AS (SELECT source AS dataset_id, count(*) AS record_sets, sum(len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')))::BIGINT AS words FROM documents WHERE source <> 'src0' AND doc_id % 10 = 2 GROUP BY source),
-top AS (SELECT DISTINCT source AS dataset_id FROM documents WHERE source <> 'src0'),
-n AS (SELECT dataset_id, count(*) AS distributions FROM (SELECT split_part(content_url, '/', 3) AS dataset_id FROM dist WHERE NOT is_minimal AND kind = 'file_in_set' UNION ALL SELECT split_part(dir, '/', 3) FROM sets) GROUP BY dataset_id)
-SELECT dataset_id, coalesce(distributions, 0) AS distributions, coalesce(record_sets, 0) AS record_sets, coalesce(words, 0) AS words FROM top LEFT JOIN n USING (dataset_id) LEFT JOIN r USING (dataset_id)""",
+    f"""WITH {_FILES}, {_TOP}, {_ALL},
+r AS (SELECT source AS dataset_id, count(*) AS record_sets, sum({_WORDS})::BIGINT AS words, sha256(string_agg(sha256(path), ',' ORDER BY sha256(path))) AS sets_sha256 FROM documents JOIN (SELECT doc_id, path FROM p) USING (doc_id) GROUP BY source),
+n AS (SELECT dataset_id, count(*) AS distributions FROM all_dists GROUP BY dataset_id)
+SELECT dataset_id, coalesce(distributions, 0) AS distributions, coalesce(record_sets, 0) AS record_sets, coalesce(words, 0) AS words, sets_sha256 FROM top LEFT JOIN n USING (dataset_id) LEFT JOIN r USING (dataset_id)""",
 )
 def heavy_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     light = A.light_profile(A.top_level(datasets(spark, sf_dir)), source_distributions(spark, sf_dir))
     heavy = A.heavy_profile(light, A.record_sets(document_sets(spark, sf_dir)))
     words = F.aggregate("recordSet", F.lit(0).cast("bigint"), lambda a, r: a + r["num_words"])
     count = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("bigint")
-    return heavy.select("dataset_id", count("distribution").alias("distributions"), count("recordSet").alias("record_sets"), F.coalesce(words, F.lit(0)).alias("words"))
+    ids = F.array_join(F.transform("recordSet", lambda r: r["distribution_id"]), ",")
+    return heavy.select("dataset_id", count("distribution").alias("distributions"), count("recordSet").alias("record_sets"), F.coalesce(words, F.lit(0)).alias("words"), F.sha2(ids, 256).alias("sets_sha256"))
+
+
+_JSON_DIST = """json_object('kind', kind, 'id', id, 'name', name, 'content_size', content_size, 'content_url', content_url, 'encoding_format', encoding_format, 'sha256', sha, 'contained_in', contained_in, 'includes', includes)"""
+_JSON_TOP = (
+    "'{\"@context\":' || '"
+    + A.context_json("http://example.org/ext/")
+    + "' || ',' || substr(json_object("
+    + ", ".join(f"'{f}', " + {"id": "source", "name": "'Documents of ' || source"}.get(f, "NULL") for f in A.TEXT_FIELDS)
+    + ", 'keywords', [], 'fieldOfScience', [], 'inLanguage', list_sort(list(DISTINCT lang) FILTER (lang IS NOT NULL)), 'archivedAt', '"
+    + ROOT
+    + "/' || source, 'access', '', 'status', 'loaded')::VARCHAR, 2)"
+)
+
+
+@query(
+    "profile_records",
+    f"""WITH {_FILES},
+u AS (SELECT CASE kind WHEN 'file' THEN 'src0' ELSE split_part(content_url, '/', 3) END AS dataset_id, kind, id, name, content_size, content_url, encoding_format, path_sha256 AS sha, contained_in, NULL AS includes FROM dist WHERE NOT is_minimal
+UNION ALL SELECT split_part(dir, '/', 3), 'file_set', sha256(dir), split_part(dir, '/', 3), size_bytes || ' B', dir, mime, NULL, NULL, split_part(dir, '/', 3) || '/*' FROM sets)
+SELECT source AS dataset_id, 'dataset' AS part, source AS id, {_JSON_TOP} AS json FROM documents WHERE source IS NOT NULL GROUP BY source
+UNION ALL SELECT dataset_id, 'distribution', id, {_JSON_DIST}::VARCHAR FROM u
+UNION ALL SELECT source, 'recordSet', sha256(path), json_object('id', sha256(path), 'name', regexp_replace(split_part(path, '/', -1), '(.)\\.[^.]*$', '\\1'), 'words', {_WORDS})::VARCHAR FROM documents JOIN (SELECT doc_id, path FROM p) USING (doc_id)""",
+)
+def profile_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heavy profile as records with their whole JSON, without any row that grows with its dataset."""
+    sets = document_sets(spark, sf_dir).select("dataset_id", F.col("distribution_id").alias("id"), F.col("record_set").alias("name"), F.col("num_words").alias("words"))
+    return A.profile_records(A.top_level(datasets(spark, sf_dir), ROOT + "/"), source_distributions(spark, sf_dir), sets, "http://example.org/ext/")
 
 
 @query(
     "flat_profile",
-    f"""WITH {_FILES} SELECT split_part(content_url, '/', 3) AS dataset_id, id AS file_object_id, encoding_format, CASE WHEN content_url LIKE '%.txt' THEN 1 ELSE 0 END::BIGINT AS n_tables
-FROM dist WHERE kind = 'file_in_set'""",
+    f"""WITH {_FILES}, n AS (SELECT doc_id, {_WORDS} AS words FROM documents)
+SELECT CASE kind WHEN 'file' THEN 'src0' ELSE split_part(content_url, '/', 3) END AS dataset_id, dist.id AS file_object_id, encoding_format, 1::BIGINT AS n_tables, words
+FROM dist JOIN p ON p.path = dist.content_url JOIN n USING (doc_id)""",
 )
 def flat_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = A.flat_profile(A.top_level(datasets(spark, sf_dir)), source_distributions(spark, sf_dir), document_sets(spark, sf_dir))
-    return flat.select("dataset_id", F.explode("files").alias("f")).select("dataset_id", "f.file_object_id", "f.encoding_format", F.size("f.tables").cast("bigint").alias("n_tables"))
+    f = flat.select("dataset_id", F.explode("files").alias("f"))
+    return f.select("dataset_id", "f.file_object_id", "f.encoding_format", F.size("f.tables").cast("bigint").alias("n_tables"), F.col("f.tables")[0]["num_words"].alias("words"))
+
+
+@query("sheet_distributions", f"WITH {_FILES} SELECT sha256(dist.id || '/' || s) AS id, s AS name, dist.id AS contained_in, encoding_format, false AS is_minimal FROM dist, (SELECT unnest(['first', 'second']) AS s) WHERE profiler_kind = 'workbook'")
+def sheet_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two record sets of each workbook, each with a distribution of its sheet."""
+    books = I.distributions(listing(spark, sf_dir), ROOT).filter("profiler_kind = 'workbook' and kind <> 'file_set'")
+    sheets = books.select(F.col("id").alias("distribution_id"), F.explode(F.array(F.lit("first"), F.lit("second"))).alias("sheet_name"))
+    return A.sheet_distributions(books, sheets.unionByName(sheets)).drop("kind")
+
+
+@query(
+    "distributions_of_databases",
+    f"""WITH {_FILES}, t AS (SELECT DISTINCT event_type FROM events) SELECT kind, count(*) AS n FROM (SELECT kind FROM dist UNION ALL SELECT 'file_set' FROM sets UNION ALL SELECT 'database_table' FROM t UNION ALL SELECT 'database' WHERE EXISTS (FROM t)) GROUP BY kind""",
+)
+def distributions_of_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, file sets, a database and its tables in one inventory."""
+    names = table(spark, sf_dir, "events").select(F.lit("events").alias("database_name"), F.col("event_type").alias("table_name")).distinct()
+    connection = names.select(F.lit("postgresql").alias("protocol"), F.lit("db").alias("host"), F.lit(5432).alias("port"), "database_name").distinct()
+    return I.counts_by_kind(I.distributions(listing(spark, sf_dir), ROOT, I.database_distributions(connection, names)))
+
+
+@query(
+    "all_record_sets",
+    f"""WITH {_FILES} SELECT 'files' AS origin, source AS dataset_id, count(*) AS n, sum({_WORDS})::BIGINT AS words, NULL::BIGINT AS n_fields FROM documents GROUP BY source
+UNION ALL SELECT 'database', 'events', count(DISTINCT event_type), NULL, NULL FROM events UNION ALL SELECT 'table', 'sales', 1, NULL, 6 FROM (SELECT count(*) AS n FROM orders) WHERE n > 0""",
+)
+def all_record_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record sets of a table, of a database's tables and of all documents in one frame; each part keeps its own columns."""
+    tables = A.column_fields(C.profile_tables({"orders": table(spark, sf_dir, "orders")}, distinct="approx").withColumns({"dataset_id": F.lit("sales"), "distribution_id": F.lit("orders")}))
+    events = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("record_set")).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("dataset_id", F.lit("events"))
+    origin = lambda df, name: df.withColumn("origin", F.lit(name))
+    union = A.record_sets(origin(tables, "table"), origin(events, "database"), origin(document_sets(spark, sf_dir), "files"))
+    return union.groupBy("origin", "dataset_id").agg(F.count(F.lit(1)).alias("n"), F.sum("num_words").alias("words"), F.sum(F.size("fields")).alias("n_fields"))
 
 
 @query("files_without_record_sets", f"WITH {_FILES} SELECT id, content_url FROM dist WHERE content_url NOT LIKE '%.txt'")
@@ -144,26 +218,36 @@ def files_without_record_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "matched_record_sets",
-    f"""WITH {_FILES} SELECT id, 1::BIGINT AS n_record_sets, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))::BIGINT AS words
-FROM documents d JOIN p USING (doc_id) JOIN dist ON dist.content_url = p.path WHERE d.source <> 'src0' AND doc_id % 10 = 2""",
+    f"""WITH {_FILES} SELECT dist.id, 1::BIGINT AS n_record_sets, {_WORDS} AS words FROM documents d JOIN (SELECT doc_id, path FROM p) p USING (doc_id) JOIN dist ON dist.content_url = p.path""",
 )
 def matched_record_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = A.matched(source_distributions(spark, sf_dir), document_sets(spark, sf_dir))
+    got = A.matched(source_distributions(spark, sf_dir).drop("dataset_id"), document_sets(spark, sf_dir))
     return got.select("id", F.size("record_sets").cast("bigint").alias("n_record_sets"), F.col("record_sets")[0]["num_words"].alias("words"))
 
 
+_ORDERS = {"o_orderkey": "sc:Integer", "o_custkey": "sc:Integer", "o_orderstatus": "sc:Text", "o_totalprice": "sc:Float", "o_orderdate": "sc:Date", "o_orderpriority": "sc:Text"}
+
+
 @query(
     "column_fields",
-    """SELECT 'orders' AS record_set, count(*) AS n_fields, string_agg(column_name, ',' ORDER BY position) AS names, max(unique_count)::BIGINT AS most_unique FROM (
-SELECT 'o_orderkey' AS column_name, 0 AS position, count(DISTINCT o_orderkey) AS unique_count FROM orders UNION ALL SELECT 'o_orderstatus', 1, count(DISTINCT o_orderstatus) FROM orders
-UNION ALL SELECT 'o_totalprice', 2, count(DISTINCT o_totalprice) FROM orders)""",
+    "WITH s AS (SELECT *, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR)) AS r FROM orders), e AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 30)"
+    + " UNION ALL ".join(
+        f" SELECT 'orders' AS record_set, {i} AS position, '{c}' AS name, '{k}' AS data_type, 'orders.csv' AS file, (SELECT count(DISTINCT {c}) FROM orders) AS unique_count,"
+        f" {'(SELECT string_agg(' + c + '::VARCHAR, chr(44) ORDER BY r) FROM s WHERE r <= 10)' if k != 'sc:Float' and k != 'sc:Date' else 'NULL'} AS sample,"
+        f" (SELECT to_json(list(o_orderkey ORDER BY o_orderkey))::VARCHAR FROM e) AS key_examples"
+        for i, (c, k) in enumerate(_ORDERS.items())
+    ),
 )
 def column_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prof = C.profile_tables({"orders": table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")})
-    nested = A.column_fields(prof.withColumns({"dataset_id": F.lit("sales"), "distribution_id": F.lit("orders")}))
-    names = F.array_join(F.transform("fields", lambda f: f["name"]), ",")
-    most = F.array_max(F.transform("fields", lambda f: f["statistics"]["unique_count"]))
-    return nested.select("record_set", F.size("fields").cast("bigint").alias("n_fields"), names.alias("names"), most.alias("most_unique"))
+    """The record set of a table: for each column its source, sample and statistics, and the examples of the whole table."""
+    orders = table(spark, sf_dir, "orders")
+    prof = C.profile_tables({"orders": orders.select(*_ORDERS)}).withColumns({"dataset_id": F.lit("sales"), "distribution_id": F.lit("orders.csv")})
+    sets = A.column_fields(prof, C.value_sample(orders, F.md5(F.col("o_orderkey").cast("string")), list(_ORDERS)))
+    f = A.with_examples(sets, C.table_examples(orders, "o_orderkey", list(_ORDERS))).select("record_set", F.explode("fields").alias("f"), F.get_json_object("examples", "$.o_orderkey").alias("key_examples"))
+    sample = F.when(~F.col("f.data_type").isin("sc:Float", "sc:Date"), F.array_join("f.sample", ","))
+    return f.select(
+        "record_set", "f.position", F.col("f.source.extract.column").alias("name"), "f.data_type", F.col("f.source.fileObject").alias("file"), F.col("f.statistics.unique_count").alias("unique_count"), sample.alias("sample"), "key_examples"
+    )
 
 
 @query(

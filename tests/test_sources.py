@@ -85,6 +85,19 @@ def test_profiles(spark, folder):
     assert [r["name"] for r in A.matched(dists, sets).collect()] == ["a.csv"]
     assert json.loads(A.as_json(heavy).collect()[0]["json"])["dataset"]["name"] == "Name"
     assert json.loads(A.context_json("http://example.org/ext/"))["dg"] == "http://example.org/ext/"
+    assert json.loads(A.as_json(heavy, "http://example.org/ext/").collect()[0]["json"])["@context"]["recordSet"] == "cr:recordSet"
+
+
+def test_fields_samples_examples_and_sheets(spark):
+    df = spark.createDataFrame([(i, f'v"{i}') for i in range(40)], "k bigint, v string")
+    prof = C.profile_tables({"t": df}).withColumns({"dataset_id": F.lit("ds"), "distribution_id": F.lit("f1")})
+    sets = A.with_examples(A.column_fields(prof, C.value_sample(df, F.xxhash64("k"))), C.table_examples(df, "k")).collect()[0]
+    assert [f["name"] for f in sets["fields"]] == ["k", "v"] and all(len(f["sample"]) == 10 for f in sets["fields"])
+    assert sets["fields"][1]["source"]["extract"]["column"] == "v" and sets["fields"][0]["source"]["fileObject"] == "f1"
+    assert json.loads(sets["examples"])["v"][3] == 'v"3' and len(json.loads(sets["examples"])["k"]) == 30
+    books = spark.createDataFrame([("b1", "ds", "xlsx")], "id string, dataset_id string, encoding_format string")
+    sheets = spark.createDataFrame([("b1", "one"), ("b1", "one"), ("b1", "two"), ("b9", "x")], "distribution_id string, sheet_name string")
+    assert {(r["name"], r["contained_in"], r["dataset_id"]) for r in A.sheet_distributions(books, sheets).collect()} == {("one", "b1", "ds"), ("two", "b1", "ds")}
 
 
 def test_databases(spark):

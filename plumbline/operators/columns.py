@@ -7,6 +7,8 @@ are then turned to one row per column. Exact distinct counts are an aggregate of
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -89,7 +91,7 @@ def unique_counts(df: DataFrame, columns: list[str] | None = None, approximate:
     The exact count reduces each column to its distinct values before anything is shuffled.
     Nested columns have none.
     """
-    kinds = [(n, k) for n, k in field_types(df, columns) if not is_nested(k)]
+    kinds = [(n, k) for n, k in (field_types(df, columns) if columns != [] else []) if not is_nested(k)]
     if not kinds:
         return df.sparkSession.createDataFrame([], "column_name string, unique_count bigint")
     count = F.approx_count_distinct if approximate else F.count_distinct
@@ -101,6 +103,15 @@ def unique_counts(df: DataFrame, columns: list[str] | None = None, approximate:
     return reduce(DataFrame.unionByName, out)
 
 
+def budgeted_counts(df: DataFrame, columns: list[str] | None = None, budget: int = UNIQUE_FLAG) -> DataFrame:
+    """(column_name, unique_count, unique_is_estimate): exact for columns that have at most ``budget`` distinct values by estimate."""
+    estimates = {r["column_name"]: r["unique_count"] for r in unique_counts(df, columns, True).collect()}  # a number for each column
+    large = [c for c, n in estimates.items() if n > budget]
+    exact = unique_counts(df, [c for c in estimates if c not in large]).withColumn("unique_is_estimate", F.lit(False))
+    rest = df.sparkSession.createDataFrame([(c, estimates[c], True) for c in large], "column_name string, unique_count bigint, unique_is_estimate boolean")
+    return exact.unionByName(rest)
+
+
 def edge(lo: Column, hi: Column, i: Column | int, bins: int = BINS) -> Column:
     return lo + i * ((hi - lo) / F.lit(float(bins)))
 
@@ -177,57 +188,88 @@ QUANTILES = {"percentile05": 0.05, "median": 0.5, "percentile95": 0.95}
 def exact_quantiles(df: DataFrame, columns: list[str] | None = None, approximate: bool = False, accuracy: int = 10_000) -> DataFrame:
     """(column_name, percentile05, median, percentile95), linearly interpolated.
 
-    Exact ones need a task to hold a column's distinct values with their counts: for large
-    columns use ``refined_quantiles``, exact in bounded memory, or the ``approximate`` sketch.
+    Exact ones of any size of column come by ``refined_quantiles``; ``approximate`` takes one scan with a sketch.
     """
     kinds = [(n, k) for n, k in field_types(df, columns) if is_numeric(k)]
     if not kinds:
         return df.sparkSession.createDataFrame([], "column_name string, percentile05 double, median double, percentile95 double")
+    if not approximate:
+        long = refined_quantiles(df, [n for n, _ in kinds], tuple(QUANTILES.values()))
+        return long.groupBy("column_name").agg(*(F.max(F.when(F.col("q") == q, F.col("value"))).alias(k) for k, q in QUANTILES.items()))
     qs = F.array(*map(F.lit, QUANTILES.values()))
     out = []
     for batch in batches(list(enumerate(kinds))):
-        f = (lambda x: F.percentile_approx(x, qs, accuracy)) if approximate else (lambda x: F.percentile(x, qs))
-        wide = df.agg(*(f(number(n, k)).alias(f"q{i}") for i, (n, k) in batch))
+        wide = df.agg(*(F.percentile_approx(number(n, k), qs, accuracy).alias(f"q{i}") for i, (n, k) in batch))
         wide = wide.select(*(e for i, (n, _) in batch for e in (F.lit(n).alias(f"c{i}_column_name"), *(F.col(f"q{i}")[j].alias(f"c{i}_{q}") for j, q in enumerate(QUANTILES)))))
         out.append(rows_of(wide, [f"c{i}_" for i, _ in batch], {"column_name": "string"} | dict.fromkeys(QUANTILES, "double")))
     return reduce(DataFrame.unionByName, out)
 
 
-def refined_quantiles(df: DataFrame, name: str, qs: tuple[float, ...] = (0.05, 0.5, 0.95), splits: int = 256) -> DataFrame:
-    """(q, value): exact quantiles of a column of any size.
+#: Values of a band, at most, whose exact quantile one task takes; a larger band is narrowed by another sketch.
+FEW = 250_000
+
+
+@dataclass
+class _Band:
+    """Where a wanted rank lies: among ``n`` values from ``lo`` to ``hi``, with ``below`` values under them; None is open."""
+
+    column: str
+    x: Column
+    q: float
+    at: float
+    n: int
+    lo: float | None = None
+    hi: float | None = None
+    below: int = 0
+    stuck: bool = False
+
+    def values(self, lo: float | None, hi: float | None) -> Column:
+        inside = F.lit(True)
+        if lo is not None:
+            inside = inside & (self.x >= lo)
+        if hi is not None:
+            inside = inside & (self.x <= hi)
+        return F.when(inside, self.x)
+
+
+def refined_quantiles(df: DataFrame, names: list[str], qs: tuple[float, ...] = (0.05, 0.5, 0.95), few: int = FEW, accuracy: int = 10_000) -> DataFrame:
+    """(column_name, q, value): exact quantiles, linearly interpolated, of columns of any size.
 
-    A sketch cuts the values into ``splits`` ranges of about equal count; the ranges are counted,
-    and only those that hold a wanted rank are reduced to (value, count) and summed up in order.
+    A sketch gives two values between which a wanted rank lies, and a scan counts what is under and between them. If more
+    than ``few`` values are between, that is done again within them: each round leaves some thousandth.
+    In the end a task takes the exact quantile of a few values. A round is two scans for all columns and
+    quantiles; a column without values has nulls. The driver holds a few numbers for each quantile.
     """
-    kind = dict(field_types(df))[name]
-    x = df.select(number(name, kind).alias("x")).filter("x is not null")
-    cuts = x.agg(F.array_distinct(F.percentile_approx("x", F.array(*(F.lit(i / splits) for i in range(1, splits))), 10 * splits)).alias("cuts"))
-    placed = x.crossJoin(F.broadcast(cuts)).select("x", _slot(F.col("cuts"), F.col("x")).alias("slot"))
-    slots = placed.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
-    w = W.orderBy("slot")  # a few hundred rows, whatever the size of the column
-    ranked = slots.select("slot", "n", (F.sum("n").over(w) - F.col("n")).alias("before"), F.sum("n").over(W.partitionBy()).alias("total"))
-    ranks = ranked.select("*", F.explode(F.array(*map(F.lit, qs))).alias("q")).withColumn("at", F.col("q") * (F.col("total") - 1))
-    want = ranks.select("slot", "q", "before", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank"), "at").filter("rank >= before and rank < before + n").distinct()
-    values = placed.join(F.broadcast(want.select("slot").distinct()), "slot").groupBy("slot", "x").agg(F.count(F.lit(1)).alias("k"))
-    upto = F.sum("k").over(W.partitionBy("slot").orderBy("x"))
-    values = values.withColumns({"to": upto})
-    hit = values.join(F.broadcast(want), "slot").filter((F.col("before") + F.col("to") > F.col("rank")) & (F.col("before") + F.col("to") - F.col("k") <= F.col("rank")))
-    both = hit.groupBy("q").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.first("at").alias("at"))
-    return both.select("q", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("value"))
-
-
-def _slot(cuts: Column, x: Column) -> Column:
-    """Binary search in a sorted array: how many cuts are less than x."""
-    lo, hi = F.lit(0), F.size(cuts)
-    zero = F.struct(lo.alias("lo"), hi.alias("hi"))
-
-    def step(a: Column, _: Column) -> Column:
-        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-        under = F.get(cuts, mid) < x
-        open_ = a["lo"] < a["hi"]
-        return F.struct(F.when(open_ & under, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(open_ & ~under, mid).otherwise(a["hi"]).alias("hi"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(10)), zero, step, lambda a: a["lo"])
+    kinds = dict(field_types(df))
+    counts = df.agg(*(F.count(number(n, kinds[n])).alias(f"n{i}") for i, n in enumerate(names))).collect()[0]
+    bands = [_Band(n, number(n, kinds[n]), q, q * (counts[i] - 1), counts[i]) for i, n in enumerate(names) for q in qs]
+    slack = 2 / accuracy
+    while wide := [b for b in bands if b.n > few and not b.stuck]:
+        shares = [(b.at - b.below) / (b.n - 1) for b in wide]
+        ends = [F.array(F.lit(max(0.0, p - slack)), F.lit(min(1.0, p + slack))) for p in shares]
+        cuts = df.agg(*(F.percentile_approx(b.values(b.lo, b.hi), e, accuracy).alias(f"c{i}") for i, (b, e) in enumerate(zip(wide, ends, strict=True)))).collect()[0]
+        sums = [
+            e
+            for i, b in enumerate(wide)
+            for e in (F.count_if(b.x < cuts[i][0]).alias(f"u{i}"), F.count_if(b.x <= cuts[i][0]).alias(f"v{i}"), F.count_if(b.x < cuts[i][1]).alias(f"w{i}"), F.count_if(b.x <= cuts[i][1]).alias(f"z{i}"))
+        ]
+        seen = df.agg(*sums).collect()[0]
+        for i, b in enumerate(wide):
+            (lo, hi), under, upto, under_hi, upto_hi = cuts[i], *(seen[f"{k}{i}"] for k in "uvwz")
+            first, last = math.floor(b.at), math.ceil(b.at)
+            if under > first or upto_hi <= last:
+                slack *= 8  # the sketch has missed the rank; next time further off
+            elif last < upto:
+                b.lo, b.hi, b.n = lo, lo, 1  # all the same value
+            elif first >= under_hi:
+                b.lo, b.hi, b.n = hi, hi, 1
+            else:
+                b.stuck = upto_hi - under == b.n  # many equal values at both ends: few different ones between
+                b.lo, b.hi, b.below, b.n = lo, hi, under, upto_hi - under
+    share = lambda b: 0.0 if b.n < 2 else (b.at - b.below) / (b.n - 1)
+    found = df.agg(*((F.percentile(b.values(b.lo, b.hi), F.lit(share(b))) if b.lo is None or b.lo < b.hi else F.lit(b.lo)).alias(f"v{i}") for i, b in enumerate(bands)))
+    rows = [F.struct(F.lit(b.column).alias("column_name"), F.lit(b.q).alias("q"), F.col(f"v{i}").cast("double").alias("value")) for i, b in enumerate(bands)]
+    return found.select(F.inline(F.array(*rows)))
 
 
 def generated_at() -> Column:
@@ -240,7 +282,8 @@ def profile_columns(
 ) -> DataFrame:
     """One row per column with all measures, in column order.
 
-    ``distinct``: exact or approx. ``quantiles``: histogram (from the bins), exact, or approx.
+    ``distinct``: exact, approx, or budget: exact for columns of up to ``UNIQUE_FLAG`` distinct values by
+    estimate, the estimate for others; ``unique_is_estimate`` tells. ``quantiles``: histogram (from the bins), exact, or approx.
     ``scan_limit`` profiles the first rows only. Measures that don't apply are null: numbers
     for text, dates and nested columns, percentiles for booleans, variance for a single value;
     an all-null numeric column has an empty histogram and no distinct values; an empty table
@@ -249,7 +292,7 @@ def profile_columns(
     if scan_limit is not None:
         df = df.limit(scan_limit)
     counts = column_counts(df, columns)
-    uniques = unique_counts(df, columns, distinct == "approx")
+    uniques = budgeted_counts(df, columns) if distinct == "budget" else unique_counts(df, columns, distinct == "approx").withColumn("unique_is_estimate", F.lit(distinct == "approx"))
     full = counts.join(F.broadcast(uniques), "column_name", "left").join(F.broadcast(histogram_arrays(histogram_counts(df, columns, bins))), "column_name", "left")
     lo, hi = F.col("min_value"), F.col("max_value")
     some = F.col("total") > 0
@@ -275,6 +318,7 @@ def profile_columns(
         F.when(some & F.col("is_numeric"), F.coalesce("histogram", empty)).alias("histogram"),
         F.when(some, F.col("unique_count")).alias("unique_count"),
         (F.col("unique_count") > UNIQUE_FLAG).alias("unique_is_large"),
+        F.when(some, F.col("unique_is_estimate")).alias("unique_is_estimate"),
         "variance",
         (hi - lo).alias("range_value"),
         F.when(~no_percentile, F.col("percentile05")).alias("percentile05"),

@@ -82,13 +82,32 @@ def test_quantiles_are_ordered_and_exact(spark):
     for p in (rows(C.profile_columns(df))["x"], rows(C.profile_columns(df, quantiles="exact"))["x"]):
         assert p["min_value"] <= p["percentile05"] <= p["median"] <= p["percentile95"] <= p["max_value"]
     assert p["median"] == pytest.approx(np.percentile(x, 50)) and p["percentile95"] == pytest.approx(np.percentile(x, 95))
-    for splits in (4, 256):
-        got = {float(r["q"]): r["value"] for r in C.refined_quantiles(df, "x", (0.0, 0.05, 0.5, 0.95, 1.0), splits).collect()}
+    for few, accuracy in ((1000, 10_000), (10, 20), (1, 10_000)):
+        got = {float(r["q"]): r["value"] for r in C.refined_quantiles(df, ["x"], (0.0, 0.05, 0.5, 0.95, 1.0), few, accuracy).collect()}
         for q, v in got.items():
-            assert v == pytest.approx(np.percentile(x, 100 * q)), (q, splits)
+            assert v == pytest.approx(np.percentile(x, 100 * q)), (q, few)
         assert len(got) == 5
 
 
+@pytest.mark.parametrize("values", [[7.0] * 500, [1.0] * 300 + [2.0] * 300, [float(i % 3) for i in range(700)], [float(i * i) for i in range(900)], [1.0] * 400 + [float(i) for i in range(9)], []])
+def test_refined_quantiles_with_ties(spark, values):
+    df = spark.createDataFrame([(v, None if i % 2 else v) for i, v in enumerate(values)], "x double, y double")
+    for few, accuracy in ((5, 10_000), (5, 16), (10**6, 100)):
+        got = {(r["column_name"], float(r["q"])): r["value"] for r in C.refined_quantiles(df, ["x", "y"], (0.05, 0.5, 0.95), few, accuracy).collect()}
+        for c, kept in (("x", values), ("y", values[::2])):
+            for q in (0.05, 0.5, 0.95):
+                assert got[c, q] == (pytest.approx(np.percentile(kept, 100 * q)) if kept else None)
+
+
+def test_distinct_values_within_a_budget(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 7).alias("few"))
+    got = {r["column_name"]: r for r in C.budgeted_counts(df, budget=100).collect()}
+    assert got["few"]["unique_count"] == 7 and not got["few"]["unique_is_estimate"]
+    assert got["id"]["unique_is_estimate"] and abs(got["id"]["unique_count"] - 3000) < 450
+    p = {r["column_name"]: r for r in C.profile_columns(df, distinct="budget").collect()}
+    assert p["id"]["unique_count"] == 3000 and not p["id"]["unique_is_estimate"]
+
+
 def test_nan_is_missing(spark):
     p = rows(C.profile_columns(spark.createDataFrame([(1.0,), (math.nan,), (None,)], "x double")))["x"]
     assert p["row_count"] == 1 and p["missing_count"] == 2 and p["max_value"] == 1.0

@@ -17,7 +17,7 @@ from plumbline.session import build_session
 HEADLINE = (
     "column_profile_lineitem", "column_profile_orders", "missing_profile", "histogram_lineitem", "histogram_quantiles", "exact_quantiles", "refined_quantiles",
     "width_bucket_histogram", "value_sample", "infer_types_events", "document_profile", "top_words", "stop_words", "tfidf_keywords", "detect_language", "chunk_documents",
-    "chunk_offsets", "file_inventory", "file_set_sizes", "flat_profile", "primary_keys", "foreign_keys", "merged_state_profile", "running_profile", "latest_profile_per_dataset",
+    "chunk_offsets", "file_inventory", "profile_records", "file_set_sizes", "flat_profile", "primary_keys", "foreign_keys", "merged_state_profile", "running_profile", "latest_profile_per_dataset",
 )
 
 

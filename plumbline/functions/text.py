@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]+"
 SENTENCE_END = r"[.!?]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
-PUNCTUATION = r"[!-/:-@\[-`{-~]"
+PUNCTUATION_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SPACE = r"[\s\x1c-\x1f\x85   -     　]"
 
 # Common English words without content.
@@ -42,29 +42,23 @@ def num_lines(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.size(F.split(body, LINE_BREAK, -1)))
 
 
-def sentences(text: Column) -> Column:
-    return F.filter(F.split(text, SENTENCE_END, -1), lambda s: F.regexp_replace(s, SPACE, "") != "")
+def sentences(full: Column) -> Column:
+    """How many sentences a text has, of which ``full`` is all but white space: what is between ends, if there is anything."""
+    return F.size(F.filter(F.split(full, SENTENCE_END + "+"), lambda s: s != ""))
 
 
 def num_paragraphs(text: Column) -> Column:
     return F.size(F.split(text, "\n\n", -1))
 
 
-def syllables(text: Column) -> Column:
-    """Vowel letters: for a text, the sum over its words."""
-    return matching(F.lower(text), "[aeiouy]")
-
-
 def flesch_kincaid_grade(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
     grade = 0.39 * n_words / n_sentences + 11.8 * n_syllables / n_words - 15.59
     return F.when((n_words > 0) & (n_sentences > 0), grade).otherwise(F.lit(0.0))
 
 
-def extreme_word(found: Column, longest: bool) -> Column:
-    """The longest or shortest word; the first of equals. Empty without words."""
-    length = lambda w: F.char_length(w) if longest else -F.char_length(w)
-    best = F.array_max(F.transform(found, lambda w, i: F.struct(length(w).alias("n"), (-i).alias("i"), w.alias("w"))))
-    return F.coalesce(best["w"], F.lit(""))
+def word_of_length(found: Column, lengths: Column, n: Column) -> Column:
+    """The first word of that length; empty without words."""
+    return F.coalesce(F.get(found, F.array_position(lengths, n).cast("int") - 1), F.lit(""))
 
 
 def header_and_body(text: Column, separator: str, header_index: int = 0, body_index: int = 1) -> tuple[Column, Column]:

@@ -127,10 +127,10 @@ def bin_number(x: Column, lo: Column, hi: Column, bins: int = BINS) -> Column:
     return reduce(Column.__add__, [(edge(lo, hi, i, bins) < x).cast("int") for i in range(1, bins)])
 
 
-def histogram_counts(df: DataFrame, columns: list[str] | None = None, bins: int = BINS) -> DataFrame:
+def histogram_counts(df: DataFrame, columns: list[str] | None = None, bins: int = BINS, bounds_of: dict[str, tuple] | None = None) -> DataFrame:
     """(column_name, bin_no, lo, hi, n): equal-width bins of each numeric column, empty ones too.
 
-    Bounds come from one aggregate whose single row is broadcast; the second scan sends
+    Bounds come from one aggregate (or are given, by column) whose single row is broadcast; the second scan sends
     (column, bin, partial count) only. A column without values has no bins. The first edge is
     lowered by a thousandth of the range.
     """
@@ -139,7 +139,11 @@ def histogram_counts(df: DataFrame, columns: list[str] | None = None, bins: int
         return df.sparkSession.createDataFrame([], "column_name string, bin_no int, lo double, hi double, n bigint")
     out = []
     for batch in batches(kinds):
-        bounds = df.agg(*(f(number(n, k)).alias(f"{a}{i}") for i, (n, k) in enumerate(batch) for a, f in (("mn", F.min), ("mx", F.max))))
+        if bounds_of is None:
+            bounds = df.agg(*(f(number(n, k)).alias(f"{a}{i}") for i, (n, k) in enumerate(batch) for a, f in (("mn", F.min), ("mx", F.max))))
+        else:
+            ends = [v for n, _ in batch for v in bounds_of[n]]
+            bounds = df.sparkSession.createDataFrame([ends], ", ".join(f"mn{i} double, mx{i} double" for i in range(len(batch))))
         cuts = {}
         for i in range(len(batch)):
             cuts[f"lo{i}"], cuts[f"hi{i}"] = widened(F.col(f"mn{i}"), F.col(f"mx{i}"))
@@ -287,13 +291,15 @@ def profile_columns(
     ``scan_limit`` profiles the first rows only. Measures that don't apply are null: numbers
     for text, dates and nested columns, percentiles for booleans, variance for a single value;
     an all-null numeric column has an empty histogram and no distinct values; an empty table
-    has no measures at all.
+    has no measures at all. Counts and bounds are taken at once, when the profile is set up.
     """
     if scan_limit is not None:
         df = df.limit(scan_limit)
-    counts = column_counts(df, columns)
+    found = column_counts(df, columns).collect()  # a row for each column
+    counts = df.sparkSession.createDataFrame(found, ", ".join(f"{c} {k}" for c, k in COUNTS.items()))
+    ends = {r["column_name"]: (r["min_value"], r["max_value"]) for r in found}
     uniques = budgeted_counts(df, columns) if distinct == "budget" else unique_counts(df, columns, distinct == "approx").withColumn("unique_is_estimate", F.lit(distinct == "approx"))
-    full = counts.join(F.broadcast(uniques), "column_name", "left").join(F.broadcast(histogram_arrays(histogram_counts(df, columns, bins))), "column_name", "left")
+    full = counts.join(F.broadcast(uniques), "column_name", "left").join(F.broadcast(histogram_arrays(histogram_counts(df, columns, bins, ends))), "column_name", "left")
     lo, hi = F.col("min_value"), F.col("max_value")
     some = F.col("total") > 0
     if quantiles == "histogram":

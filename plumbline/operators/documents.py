@@ -15,10 +15,11 @@ def document_profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A null text counts as an empty one.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("_id"), t.alias("t")).withColumns({"w": X.words(F.col("t")), "s": X.sentences(F.col("t"))})
-    base = base.withColumns({"n": F.size("w"), "c": F.char_length("t"), "ns": F.size("s"), "u": F.size(F.array_distinct("w"))})
-    n, c, ns, t, w = (F.col(x) for x in ("n", "c", "ns", "t", "w"))
-    in_sentences = F.aggregate(F.col("s"), F.lit(0), lambda a, s: a + F.size(F.regexp_extract_all(s, F.lit(f"({X.WORD})"), 1)))
+    base = docs.select(F.col(id_col).alias("_id"), t.alias("t")).withColumn("low", F.lower("t"))
+    base = base.withColumns({"w": X.words(F.col("t")), "full": F.regexp_replace("t", X.SPACE + "+", "")})
+    base = base.withColumns({"n": F.size("w"), "c": F.char_length("t"), "u": F.size(F.array_distinct("w")), "ns": X.sentences(F.col("full")), "len": F.transform("w", F.char_length)})
+    n, c, ns, t, low, w, length = (F.col(x) for x in ("n", "c", "ns", "t", "low", "w", "len"))
+    vowels = c - F.char_length(F.translate(low, "aeiouy", ""))
     return base.select(
         F.col("_id").alias(id_col),
         X.num_lines(t).cast("bigint").alias("num_lines"),
@@ -27,17 +28,18 @@ def document_profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         X.ratio(F.char_length(F.array_join(w, "")), n).alias("avg_word_length"),
         F.col("u").cast("bigint").alias("unique_words"),
         X.ratio(F.col("u"), n).alias("typological_diversity"),
-        X.ratio(F.size(F.filter(w, lambda x: F.char_length(x) > 3)), n).alias("lexical_density"),
-        X.extreme_word(w, True).alias("longest_word"),
-        X.extreme_word(w, False).alias("shortest_word"),
+        X.ratio(F.size(F.filter(length, lambda x: x > 3)), n).alias("lexical_density"),
+        X.word_of_length(w, length, F.array_max(length)).alias("longest_word"),
+        X.word_of_length(w, length, F.array_min(length)).alias("shortest_word"),
         F.size(F.filter(w, lambda x: x.isin(*stop_words))).cast("bigint").alias("num_stop_words"),
         ns.cast("bigint").alias("num_sentences"),
-        X.ratio(in_sentences, ns).alias("avg_sentence_length"),
-        X.ratio(X.matching(t, X.PUNCTUATION), c).alias("punctuation_frequency"),
+        # a blank sentence has no words, and no word reaches over a sentence's end
+        X.ratio(F.size(F.regexp_extract_all(t, F.lit(f"({X.WORD})"), 1)), ns).alias("avg_sentence_length"),
+        X.ratio(c - F.char_length(F.translate(t, X.PUNCTUATION_SIGNS, "")), c).alias("punctuation_frequency"),
         X.ratio(X.matching(t, r"\p{Lu}"), c).alias("capitalization_ratio"),
         X.ratio(X.matching(t, r"\p{Nd}"), c).alias("digit_frequency"),
-        X.ratio(X.matching(t, X.SPACE), c).alias("whitespace_ratio"),
-        X.flesch_kincaid_grade(n, ns, X.syllables(t)).alias("flesch_kincaid_grade"),
+        X.ratio(c - F.char_length("full"), c).alias("whitespace_ratio"),
+        X.flesch_kincaid_grade(n, ns, vowels).alias("flesch_kincaid_grade"),
         X.num_paragraphs(t).cast("bigint").alias("num_paragraphs"),
         F.octet_length(t).cast("bigint").alias("size_bytes"),
     )

@@ -41,18 +41,17 @@ def partial_state(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def grouped_partial_state(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
-    """The partials of several numeric columns for each value of ``group``, e.g. a day or a shard."""
-    parts = []
-    for name in columns:
-        kind = dict(field_types(df))[name]
+    """The partials of several numeric columns for each value of ``group``, e.g. a day or a shard, from one scan."""
+    kinds = field_types(df, columns)
+    aggs = [F.count(F.lit(1)).alias("total")]
+    for i, (name, kind) in enumerate(kinds):
         x = number(name, kind)
-        parts.append(
-            df.groupBy(F.col(group).alias("batch_id")).agg(
-                F.lit(name).alias("column_name"), F.count(F.lit(1)).alias("total"), F.count(x).alias("n"), F.avg(x).alias("mean"),
-                (F.var_pop(x) * F.count(x)).alias("m2"), F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.hll_sketch_agg(present(name, kind).cast("string")).alias("sketch"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+        measures = {"n": F.count(x), "mean": F.avg(x), "m2": F.var_pop(x) * F.count(x), "min_value": F.min(x), "max_value": F.max(x), "sketch": F.hll_sketch_agg(present(name, kind).cast("string"))}
+        aggs += [m.alias(f"c{i}_{k}") for k, m in measures.items()]
+    wide = df.groupBy(F.col(group).alias("batch_id")).agg(*aggs)
+    known = {"column_name": lambda i: F.lit(kinds[i][0]), "total": lambda i: F.col("total")}
+    part = lambda i: F.struct(*(known.get(k, lambda i, k=k: F.col(f"c{i}_{k}"))(i).cast(t).alias(k) for k, t in PARTIAL.items()))
+    return wide.select("batch_id", F.inline(F.array(*map(part, range(len(kinds))))))
 
 
 def merge_states(states: DataFrame, keys: tuple[str, ...] = ("column_name",)) -> DataFrame:
@@ -110,3 +109,17 @@ def current_profile(spark: SparkSession, path: str, table_name: str) -> DataFram
     """The profile so far: partials of all batches, merged."""
     states = spark.read.parquet(path).filter(F.col("table_name") == table_name)
     return profile_of_state(merge_states(states))
+
+
+def compact_state(spark: SparkSession, path: str, into: str) -> None:
+    """Write the state table to another folder with all batches but the last of each table merged to one, numbered -1.
+
+    A stream goes on with the new folder: it may deliver its last batch again, which then replaces its
+    rows as before. The old folder stays as it is, so a failed compaction loses nothing.
+    """
+    states = spark.read.parquet(path)
+    last = F.broadcast(states.groupBy("table_name").agg(F.max("batch_id").alias("_last")))
+    marked = states.join(last, "table_name")
+    merged = merge_states(marked.filter("batch_id < _last"), ("table_name", "column_name")).withColumn("batch_id", F.lit(-1).cast("bigint"))
+    kept = marked.filter("batch_id = _last").select(*merged.columns)
+    merged.unionByName(kept).repartition("table_name", "batch_id").write.partitionBy("table_name", "batch_id").parquet(into)

@@ -158,3 +158,9 @@ def test_running_profile_counts_a_batch_once(spark, tmp_path):
     P.put_batch(spark.range(10, 20), 1, "t", state)  # a batch delivered again
     r = P.current_profile(spark, state, "t").collect()[0]
     assert (r["row_count"], r["mean"], r["min_value"], r["max_value"]) == (30, 14.5, 0.0, 29.0)
+    compacted = str(tmp_path / "compacted")
+    P.compact_state(spark, state, compacted)
+    assert {r["batch_id"] for r in spark.read.parquet(compacted).collect()} == {-1, 2}
+    P.put_batch(spark.range(20, 30), 2, "t", compacted)  # the last one delivered again
+    again = P.current_profile(spark, compacted, "t").collect()[0]
+    assert (again["row_count"], again["mean"], again["variance"]) == (30, 14.5, pytest.approx(r["variance"]))

@@ -16,6 +16,7 @@ itself a repeat of the others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_texts, map_texts, mix, split_join, whole_text, window_hashes, written
+from . import common
+from .common import BROADCAST_KEYS, WordHashes, arrow_texts, map_texts, maybe_in, mix, split_join, whole_text, window_hashes, written
 
 LENGTH, ANCHOR = 35, 20
 
@@ -116,7 +118,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if any window of ``length`` words that covers it also begins anywhere else in
     the table, in the same document too. ``repeats`` has the removed runs as word numbers
     begin, end, begin, end, ...; ``kept_text`` is the other words joined by single spaces.
-    Null and empty texts have no words. Texts under ``length`` words keep all of them. Rows are
+    Null and empty texts have no words; very long ones are searched whole. Texts under ``length`` words keep all of them. Rows are
     told apart by their text alone, so null or repeated ids are as good as any: a row that
     stands twice is a repeat of itself. An empty table gives an empty result.
     """
@@ -136,13 +138,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seeds = written(once.groupBy("_a").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1"), "repeat-known")
     seeded = written(split_join(once, seeds, ["_a"], "_k").groupBy("_key").agg(F.collect_set("_a").alias("_seeds")), "repeat-seeds")
 
-    one_text = texts.groupBy("_key").agg(F.first("_text").alias("_text"))
+    # texts without a known anchor stay where they are, and so do copies of a text but for one in each task
+    searched = maybe_in(texts.select("_key", "_text"), [F.col("_key")], seeded.select("_key")).filter("_maybe").drop("_maybe")
+    one_text = searched.groupBy("_key").agg(F.first("_text").alias("_text"))
     windows = map_texts(one_text.join(seeded, "_key").select("_key", "_text", "_seeds"), _windows(length, anchor), "_key binary, _start int, _h1 bigint, _h2 bigint")
     windows = written(windows, "repeat-windows")
     twice = written(windows.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1"), "repeat-twice")
     starts = split_join(windows, twice, ["_h1", "_h2"], "_k").groupBy("_key").agg(F.collect_list("_start").alias("_starts"))
 
-    marks = starts.join(copies.withColumn("_whole", F.lit(True)), "_key", "full").select("_key", "_whole", "_starts")
-    marked = texts.join(written(marks, "repeat-marks"), "_key", "left").select("_id", "_text", "_whole", "_starts")
+    rows_of = written(found.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")), "repeat-rows")
+    marks = starts.join(copies.withColumn("_whole", F.lit(True)), "_key", "full").join(rows_of, "_key")
+    marks = written(marks.select("_key", "_rows", "_whole", "_starts"), "repeat-marks")
+    # Only texts that lose words meet their marks. Rows of one text, if there are many, stay too: they are
+    # copies, so that they lose all words is all there is to know.
+    total, most = marks.agg(F.sum("_rows"), F.max("_rows")).collect()[0]
+    limit = max(common.HOT_ROWS, (total or 0) // BROADCAST_KEYS)
+    tried = maybe_in(texts, [F.col("_key")], marks.select("_key"))
+    clean, maybe = tried.filter("not _maybe"), tried.filter("_maybe")
+    no_starts = F.lit(None).cast("array<int>").alias("_starts")
+    parts = [clean.select("_id", "_text", F.lit(False).alias("_whole"), no_starts)]
+    if (most or 0) > limit:
+        large = F.broadcast(marks.filter(F.col("_rows") > limit).select("_key"))
+        parts.append(maybe.join(large, "_key", "left_semi").select("_id", "_text", F.lit(True).alias("_whole"), no_starts))
+        maybe = maybe.join(large, "_key", "left_anti")
+    parts.append(maybe.join(marks.filter(F.col("_rows") <= limit), "_key", "left").select("_id", "_text", "_whole", "_starts"))
+    marked = reduce(DataFrame.unionByName, parts)
     out = map_texts(marked, _removal(length), f"_id {kind}, n_words bigint, n_removed bigint, repeats array<int>, kept_text string")
     return out.withColumnRenamed("_id", id_col)

@@ -128,7 +128,11 @@ def whole_text(c: str) -> Column:
 
 
 def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` in batches that keep whole texts small in memory: at most TEXTS_PER_BATCH rows and 16 MB each."""
+    """``df.mapInArrow`` in batches that keep whole texts small in memory: at most TEXTS_PER_BATCH rows and 16 MB each.
+
+    Spark reads these limits when the plan runs, so they are set for the session and stay; a session that has
+    its own limit of up to TEXTS_PER_BATCH rows keeps it.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, TEXTS_PER_BATCH + 1):
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_PER_BATCH))

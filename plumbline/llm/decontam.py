@@ -180,8 +180,10 @@ def contaminated(
     Columns: ``id_col``, ``item_col``, ``start``, ``end`` (code points of the document, in whole
     words) and ``edits`` (of the normalised texts). The benchmark is taken in blocks of at most
     ``block_chars`` characters, each broadcast and searched for in all documents; items shorter
-    than a q-gram must match exactly, as whole words. Null, empty and wordless items and
-    documents match nothing. Repeated items and documents are reported as often as they stand.
+    than a q-gram must match exactly, as whole words. An item is looked for as a whole: a document that quotes
+    half of it is not found. Null, empty and wordless items and documents match nothing; very long ones are
+    searched whole. Repeated items and documents are reported as often as they stand. Other columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
     items = benchmark.select(F.col(item_col).alias("_item"), whole_text(item_text_col).alias("_text")).filter("_text <> ''")
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()

@@ -153,7 +153,7 @@ def fit_quality(
     """Fit on at most ``max_rows`` labelled rows that are not held out.
 
     Ids or labels that are null are ignored; if an id is labelled twice, the larger label
-    holds. With labels of one class only (or none) every score is that class's smoothed share.
+    holds; rows that share an id are all learned from. Other columns are ignored, whatever their names. With labels of one class only (or none) every score is that class's smoothed share.
     """
     usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y is not null")
     usable = usable.filter(~held_out("_id")).groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -196,10 +196,14 @@ def fit_quality(
 def with_quality(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
     """``docs`` with a score from 0 to 1, row by row: nothing is shuffled.
 
-    Null and empty texts are scored as a text of no words. ``score_col`` must not be a column of ``docs``.
+    Null and empty texts are scored as a text of no words; very long ones are scored whole. A column of ``docs`` that is
+    called like ``score_col`` comes back with ``_in`` after its name. An empty table gives an empty result.
     """
-    if score_col in docs.columns:
-        raise ValueError(f"docs already has a column {score_col}")
+    taken = score_col
+    while taken in docs.columns:
+        taken += "_in"
+    docs = docs.withColumnRenamed(score_col, taken)
+    text_col = taken if text_col == score_col else text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,3 +93,5 @@ def test_short_items_and_edges(frame, spark):
     assert sorted((str(r["doc_id"]), r["start"], r["end"]) for r in got) == sorted([("1", 2, 8), ("None", 0, 5), ("1", 2, 8)] * 2)
     assert contaminated(frame([]), bench).count() == 0 and contaminated(frame(["ab cd"]), bench.limit(0)).count() == 0
     assert decontam.edit_budget(0) == 0
+    clash = contaminated(frame([(1, "x AB, cd y", 1, 2, "t")], ", start int, edits int, _text string"), bench.limit(1)).collect()
+    assert [(r["doc_id"], r["start"], r["edits"]) for r in clash] == [(1, 2, 0)]

@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.llm import common, near
+from plumbline.llm import near
 from plumbline.llm.common import Steps, WordHashes
 
 from .texts import EDGE, edited, prose
@@ -72,6 +73,17 @@ def test_similarity_is_that_of_a_full_alignment(rows):
             assert near.similar(near.words_of(a), near.words_of(b)) == (similarity(a, b) >= 0.8 - 1e-9)
 
 
+def test_word_counts_never_rule_out_similar_texts(rows):
+    hashes = WordHashes()
+    h = [hashes.array(near.words_of(t)) for _, t in rows]
+    counts, n = np.array([near.counts_of(x) for x in h]).astype(np.int16), np.array(list(map(len, h)))
+    for i in range(0, len(rows), 2):
+        can = near.can_be_similar(counts[i], n[i], counts, n)
+        assert all(can[j] for j in range(len(rows)) if near.similar(h[i].tolist(), h[j].tolist()))
+    many = np.minimum(np.bincount([1] * 300, minlength=near.COUNTS), 255).astype(np.int16)
+    assert near.can_be_similar(many, 300, many[None, :], np.array([290])).all()
+
+
 def test_like_brute_force(frame, rows):
     assert classes(near.near_duplicates(frame(rows))) == brute_classes(rows)
 
@@ -92,8 +104,9 @@ def test_bucket_size_decides_no_link(frame, monkeypatch):
     """Pivots, pairs, rare words and blocks: whatever the limits, the classes are those of brute force."""
     rows = clustered()
     want = brute_classes(rows)
-    for small, block in ((32, 512), (2, 4)):
-        monkeypatch.setattr(near, "SMALL", small)
+    for group, block in ((2048, 512), (3, 4)):
+        monkeypatch.setattr(near, "GROUP", group)
+        monkeypatch.setattr(near, "MEMBERS", group)
         monkeypatch.setattr(near, "BLOCK", block)
         monkeypatch.setattr(near, "CHUNK", block)
         assert classes(near.near_duplicates(frame(rows))) == want
@@ -116,7 +129,7 @@ def unlike_in_every_band(g):
 
 def test_one_shared_band_in_a_large_bucket(frame, monkeypatch):
     rows = list(enumerate(unlike_in_every_band(random.Random(3))))
-    monkeypatch.setattr(near, "SMALL", 2)
+    monkeypatch.setattr(near, "GROUP", 2)
     got = classes(near.near_duplicates(frame(rows)))
     assert got == brute_classes(rows) and got[0] == got[1]
 
@@ -176,12 +189,13 @@ def test_nulls_repeats_empty_and_clashes(frame):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed, monkeypatch):
+def test_components(spark, seed):
     g = random.Random(seed)
     pairs = [(g.randrange(60), g.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
-    monkeypatch.setattr(common, "HOT_ROWS", 3)
     with Steps(spark) as steps:
-        got = {r["_id"]: r["_root"] for r in near.components(steps, spark.createDataFrame(pairs, "_a bigint, _b bigint")).collect()}
+        got = near.components(steps, spark.createDataFrame(pairs, "_a bigint, _b bigint")).collect()
+    assert len(got) == len({r["_id"] for r in got})
+    got = {r["_id"]: r["_root"] for r in got}
     root = {i: i for p in pairs for i in p}
     for _ in range(200):
         for a, b in pairs:

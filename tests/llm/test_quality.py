@@ -59,8 +59,8 @@ def test_edge_texts(frame, model):
     assert len(got) == len(EDGE) + 2 and all(0 <= r["quality_score"] <= 1 for r in got)
     assert len({r["quality_score"] for r in got if r["text"] in (None, "")}) == 1
     assert Q.with_quality(frame([]), model).count() == 0
-    with pytest.raises(ValueError, match="already"):
-        Q.with_quality(frame([(1, "x", 0.5)], ", quality_score double"), model)
+    clash = Q.with_quality(frame([(1, "x", 0.5, "t")], ", quality_score double, _text string"), model)
+    assert clash.columns == ["doc_id", "text", "quality_score_in", "_text", "quality_score"] and clash.collect()[0]["quality_score_in"] == 0.5
 
 
 def test_labels_of_one_class_or_none(spark, frame):
@@ -82,3 +82,47 @@ def test_temperature_minimises_the_loss():
     z = g.normal(0, 2, 4000)
     y = (g.random(4000) < 1 / (1 + np.exp(-z))).astype(float)
     assert Q.calibrate(3 * z, y) == pytest.approx(3, rel=0.15)
+
+
+def plain_vectors(texts):
+    """Random-indexing vectors by counting neighbours one by one."""
+    index, buckets = Q.index_vectors().astype(np.float64), Q.Buckets()
+    sums = index.copy()
+    for text in texts:
+        b = [buckets[w] >> 1 for w in Q.TOKEN.findall(text)] or [buckets[Q.EMPTY] >> 1]
+        for i in range(len(b)):
+            for j in range(len(b)):
+                if i != j and abs(i - j) <= Q.NEIGHBOURS:
+                    sums[b[i]] += index[b[j]]
+    return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+
+
+def plain_pooled(words, text):
+    buckets = Q.Buckets()
+    tokens = Q.TOKEN.findall(text)
+    b = [buckets[w] >> 1 for w in tokens] or [buckets[Q.EMPTY] >> 1]
+    x = sum(words[k] for k in b)
+    x = x + sum(len(w) > 1 and w.isupper() for w in tokens) * words[buckets[Q.UPPER] >> 1]
+    return (x + sum(p == q for p, q in zip(b, b[1:])) * words[buckets[Q.SAME] >> 1]) / len(b)
+
+
+def test_scores_like_brute_force(frame, rows, model):
+    """Vectors, pooling, network and temperature computed plainly give the model's scores."""
+    words = plain_vectors([t for i, t, _ in rows if not out(i)])
+    assert np.allclose(words, model.words, atol=1e-5)
+    some = [*rows[:40], (1, "", 0), (2, "THE THE the &&& ___", 0)]
+    got = {r["doc_id"]: r["quality_score"] for r in Q.with_quality(frame([(1000 + k, t) for k, (_, t, _) in enumerate(some)]), model).collect()}
+    mean, scale, w1, b1, w2, b2 = model.layers
+    for k, (_, t, _) in enumerate(some):
+        z = (plain_pooled(model.words.astype(np.float64), t) - mean) / scale
+        hidden = [max(0.0, sum(z[i] * w1[i, j] for i in range(len(z))) + b1[j]) for j in range(len(b1))]
+        logit = (sum(h * w for h, w in zip(hidden, w2)) + b2) / model.temperature
+        assert got[1000 + k] == pytest.approx(1 / (1 + np.exp(-np.clip(logit, -30, 30))), abs=1e-4)
+
+
+def test_temperature_like_brute_force():
+    g = np.random.Generator(np.random.PCG64(2))
+    z, y = g.normal(0, 3, 300), (g.random(300) < 0.6).astype(float)
+    loss = lambda t: -sum(np.log(1 / (1 + np.exp(-a / t)) if b else 1 - 1 / (1 + np.exp(-a / t))) for a, b in zip(z, y))
+    best = Q.calibrate(z, y)
+    assert all(loss(best) <= loss(t) + 1e-9 for t in np.exp(np.linspace(np.log(0.25), np.log(8), 101)))

@@ -144,3 +144,9 @@ def distributions(files: DataFrame, root: str, databases: DataFrame | None = Non
 
 def counts_by_kind(dists: DataFrame) -> DataFrame:
     return dists.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_digests(dists: DataFrame, digests: DataFrame) -> DataFrame:
+    """``dists`` with the ``content_sha256`` of each file, from (path, content_sha256) as ``files.digests`` gives it; null for what is no file."""
+    found = digests.select(F.col("path").alias("content_url"), "content_sha256")
+    return dists.join(found, "content_url", "left").select(*dists.columns, "content_sha256")

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -64,6 +65,12 @@ def test_inventory(spark, folder):
     assert all(d[n]["id"] == i for n, i in again.items())
 
 
+def test_digests(spark, folder):
+    dists = I.with_digests(I.distributions(files.list_files(spark, folder), folder), files.digests(spark, folder))
+    got = {r["name"]: r["content_sha256"] for r in dists.collect()}
+    assert got["a.csv"] == hashlib.sha256(b"x").hexdigest() and got["d.txt"] == hashlib.sha256(b"hello").hexdigest() and got["sub"] is None
+
+
 def test_listing_does_not_read_contents(spark, folder):
     plan = files.list_files(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[1]

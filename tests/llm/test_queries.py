@@ -39,7 +39,7 @@ def test_returns_rows(spark, name):
 
 
 def test_the_rest_works_without_these_operators(tmp_path):
-    """A copy of the repository without the subpackage and the pipeline still imports and lists its queries."""
+    """A copy of the repository without the subpackage, its tests and the pipeline still imports, lists its queries and collects the other tests."""
     import shutil
 
     root = Path(__file__).resolve().parents[2]
@@ -47,3 +47,6 @@ def test_the_rest_works_without_these_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, any(k.startswith('op1_') for k in q), set(e.oracle_sql()) <= set(q))"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert said.stdout.split()[1:] == ["False", "False", "True"], said.stderr
+    shutil.copytree(root / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    listed = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert listed.returncode == 0 and "test_columns" in listed.stdout, listed.stdout[-2000:]

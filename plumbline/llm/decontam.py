@@ -26,6 +26,8 @@ from .common import arrow_texts, map_texts, whole_text, window_hashes, written
 Q, EDIT_RATE, BLOCK_CHARS = 12, 0.06, 4_000_000
 WORD = re.compile(r"\w+")
 _BITS = 20
+#: Places of q-grams in items that are looked at at once: what bounds a task's memory where many items share a q-gram.
+ENTRIES = 1_000_000
 
 
 def normalise(text: str) -> str:
@@ -80,28 +82,48 @@ def regions(index: Index, text: str) -> list[tuple[int, int, int]]:
     g = g[where]
     left, right = np.searchsorted(index.grams, g, "left"), np.searchsorted(index.grams, g, "right")
     n = right - left
-    total = int(n.sum())
-    if not total:
-        return []
-    entry = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
-    item = index.item[entry]
-    diagonal = np.repeat(where, n) - index.at[entry]
-    width = 2 * index.edits[item] + 1  # bands overlap by half, so any run of edits + 1 diagonals lies in one of them
+    counts: list[list[np.ndarray]] = [[], []]
+    for part in slices(n):
+        many = n[part]
+        entry = np.repeat(left[part] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
+        item = index.item[entry]
+        diagonal = np.repeat(where[part], many) - index.at[entry]
+        width = 2 * index.edits[item] + 1  # bands overlap by half, so any run of edits + 1 diagonals lies in one of them
+        for shift in (0, 1):
+            band = (diagonal + shift * (index.edits[item] + 1)) // width
+            counts[shift].append(summed(item, band, np.ones(len(item), np.int64)))
     found = []
     for shift in (0, 1):
-        band = (diagonal + shift * (index.edits[item] + 1)) // width
-        order = np.lexsort((band, item))
-        i, b = item[order], band[order]
-        cut = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (b[1:] != b[:-1])]))
-        count = np.diff(np.append(cut, len(i)))
-        for c in cut[count >= index.least[i[cut]]]:
-            k = int(i[c])
+        if not counts[shift]:
+            continue
+        item, band, count = summed(*np.concatenate(counts[shift], axis=1))
+        for c in np.flatnonzero(count >= index.least[item]):
+            k = int(item[c])
             w = 2 * int(index.edits[k]) + 1
-            first = int(b[c]) * w - shift * (int(index.edits[k]) + 1)
+            first = int(band[c]) * w - shift * (int(index.edits[k]) + 1)
             found.append((k, first, first + w - 1))
     return found
 
 
+def slices(n: np.ndarray) -> Iterator[slice]:
+    """Consecutive parts whose sums of ``n`` are at most ``ENTRIES``, or one q-gram."""
+    total, a = np.cumsum(n), 0
+    while a < len(n):
+        z = int(np.searchsorted(total, ENTRIES + (total[a - 1] if a else 0), "right"))
+        z = max(z, a + 1)
+        if total[z - 1] - (total[a - 1] if a else 0):
+            yield slice(a, z)
+        a = z
+
+
+def summed(item: np.ndarray, band: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Items, bands and the sums of their counts, once each."""
+    order = np.lexsort((band, item))
+    i, b = item[order], band[order]
+    cut = np.flatnonzero(np.concatenate([np.ones(min(1, len(i)), bool), (i[1:] != i[:-1]) | (b[1:] != b[:-1])]))
+    return np.array([i[cut], b[cut], np.add.reduceat(count[order], cut) if len(cut) else count[:0]])
+
+
 def align(item: str, text: str, first: int, last: int, edits: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of the best place of ``item`` in ``text`` on diagonals first..last widened by ``edits``, or None."""
     lo, n, m = first - edits, len(item), len(text)

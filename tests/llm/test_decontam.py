@@ -79,6 +79,18 @@ def test_spans_in_the_source(frame, spark, items):
     assert source_span("One two, three", 4, 7) == (4, 7)
 
 
+def test_slices_give_the_same(items, monkeypatch):
+    g = random.Random(3)
+    shared = " ".join(prose(g, 8))
+    index = decontam.build([(i, normalise(f"{shared} {t}")) for i, t in items])
+    texts = [normalise(" ".join([*prose(g, 20), shared, t, *prose(g, 5), shared])) for _, t in items]
+    want = [sorted(decontam.regions(index, t)) for t in texts]
+    assert any(want)
+    for n in (1, 7, 100):
+        monkeypatch.setattr(decontam, "ENTRIES", n)
+        assert [sorted(decontam.regions(index, t)) for t in texts] == want
+
+
 def test_blocks_give_the_same(frame, spark, items):
     g = random.Random(7)
     docs = frame([" ".join([*prose(g, 20), t, *prose(g, 20)]) for _, t in items] + EDGE)

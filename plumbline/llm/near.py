@@ -14,18 +14,19 @@ Texts with the same words are one node from the start. Then, of each bucket:
 
 1. Every member is compared with the pivot, the member whose id has the smallest hash. So a group of
    copies costs as many comparisons as it has members.
-2. A bucket that still holds different classes has all its pairs of different classes and like
-   lengths compared, if it has up to ``SMALL`` members.
-3. The members of larger ones are unsettled: texts that share a passage, not the rest. Among them
+2. A bucket that still holds different classes has those compared with each other, in one task, if these are
+   no more pairs than ``GROUP`` members have. A larger one is split by length first: similar texts are of one of two
+   neighbouring length classes.
+3. The members of what is larger even then are unsettled: texts that share a passage, not the rest. Among them
    an exact index takes the place of the bands. Two similar texts share 0.8 of the words of the longer
    one, counted with repeats; so in any order of all words they share one of their first 0.2 n + 1.
    Rare words come first, by a count sketch of fixed size. Words that no other unsettled text has
    link nothing, and the buckets of the others are treated as in 1 and 2.
-4. What is still mixed then, texts that share even rare words with many others but are not
-   like them, is compared in blocks of bounded size by a product of sparse word counts: no task holds more
-   than two blocks, and nothing is listed but links.
+4. What is still too large and mixed then, texts that share even rare words with many others but are not
+   like them, is compared in blocks of bounded size: no task holds more than two blocks.
 
-So the size of a bucket decides how its members are compared, not whether.
+No text is aligned with another before the word counts of both, 256 bytes, say that they can be similar, and nothing
+lists pairs but those with pivots. The size of a bucket decides how its members are compared, not whether.
 """
 
 from __future__ import annotations
@@ -44,7 +45,10 @@ from pyspark.sql import functions as F
 from .common import Steps, WordHashes, arrow_texts, map_texts, mix, only_ids, split_join, whole_text, window_hashes, written
 
 KMER, SIMILARITY = 3, 0.8
-BANDS, SAMPLED, SMALL, BLOCK = 32, 2, 32, 512
+BANDS, SAMPLED, GROUP, BLOCK = 32, 2, 2048, 512
+MEMBERS = 2 * GROUP
+#: Slots of the word counts of a text, and counts that are told apart in products.
+COUNTS, UNARY = 256, 4
 #: Members that meet one pivot in a task.
 CHUNK = 256
 #: Slots of the count sketch of words.
@@ -111,13 +115,31 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["_id", "_same", "_bands"])
 
 
+def counts_of(h: np.ndarray) -> np.ndarray:
+    """Words by slot, up to 255 each: differences between two texts are never overstated."""
+    slots = (mix(h) >> np.uint64(56)).astype(np.int64) % COUNTS
+    return np.minimum(np.bincount(slots, minlength=COUNTS), 255).astype(np.uint8)
+
+
 def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch, texts in arrow_texts(batches):
-        x = [hashes.array(words_of(t)).view(np.int64) for t in texts]
+        x = [hashes.array(words_of(t)) for t in texts]
         sizes = np.cumsum([0, *map(len, x)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([*x, np.empty(0, np.int64)])))
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), lists], ["_id", "_x"])
+        lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([*x, np.empty(0, np.uint64)]).view(np.int64)))
+        counts = pa.array([counts_of(h).tobytes() for h in x], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), lists, pa.array(list(map(len, x)), pa.int32()), counts], ["_id", "_x", "_w", "_c"])
+
+
+def counted(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COUNTS).astype(np.int16)
+
+
+def can_be_similar(a: np.ndarray, n: int | np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether texts of n and m words can be similar by their word counts ``a`` and ``b``: of the longer one, few enough words have no partner."""
+    missing = np.maximum(a - b, 0).sum(axis=1)
+    other = missing - (a.sum(axis=-1) - b.sum(axis=-1))
+    return np.where(n >= m, missing, other) <= (1 - SIMILARITY) * np.maximum(n, m) + 1e-9
 
 
 def banded_distance(a: list, b: list, most: int) -> int | None:
@@ -189,9 +211,10 @@ def similar(a: list, b: list, counts: Counter | None = None) -> bool:
         if n:
             left[w] = n - 1
             missing -= 1
-    if longest - len(b) + missing > most:  # words of the longer text without a partner
+    least = longest - len(b) + missing  # words of the longer text without a partner
+    if least > most:
         return False
-    within = 32
+    within = max(32, 2 * least)
     while within < most:  # most similar texts are much closer than they must be
         if banded_distance(a, b, within) is not None:
             return True
@@ -214,41 +237,74 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_p").take(kept), batch.column("_id").take(kept)], ["_a", "_b"])
 
 
+def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, m = batch.column("_wp").to_numpy(), batch.column("_w").to_numpy()
+        kept = pa.array(np.flatnonzero(can_be_similar(counted(batch.column("_cp")), n, counted(batch.column("_c")), m)))
+        yield pa.RecordBatch.from_arrays([batch.column("_p").take(kept), batch.column("_id").take(kept)], ["_p", "_id"])
+
+
+def to_pivots(steps: Steps, buckets: DataFrame, few: DataFrame) -> DataFrame:
+    """(_p, _id): members of ``buckets`` (_key, _id, _p) that can be similar to their bucket's pivot."""
+    kind = few.schema["_id"].dataType.simpleString()
+    pairs = steps.written(buckets.filter("_id <> _p").select("_p", "_id").distinct(), "star")
+    sizes = pairs.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).join(few.select(F.col("_id").alias("_p"), F.col("_w").alias("_wp"), F.col("_c").alias("_cp")), "_p")
+    both = split_join(pairs, steps.written(sizes, "pivots"), ["_p"], "_n").join(few.select("_id", "_w", "_c"), "_id")
+    return map_texts(both.select("_p", "_id", "_wp", "_w", "_cp", "_c"), plausible, f"_p {kind}, _id {kind}")
+
+
 def links(steps: Steps, pairs: DataFrame, few: DataFrame) -> DataFrame:
     """Of the candidate ``pairs`` (_p, _id), those that are similar; a pivot's text moves once for ``CHUNK`` of its pairs."""
-    kind = pairs.schema["_p"].dataType.simpleString()
+    kind = few.schema["_id"].dataType.simpleString()
     pairs = steps.written(pairs, "pairs")
     sizes = steps.written(pairs.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")), "sizes")
     dealt = split_join(pairs, sizes, ["_p"], "_n").select("_p", "_id", F.pmod(F.xxhash64("_id"), F.ceil(F.col("_n") / CHUNK)).alias("_c"))
     chunks = sizes.select("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / CHUNK) - 1)).alias("_c"))
     none = F.lit(None).cast("array<bigint>")
-    heads = chunks.join(few.toDF("_p", "_px"), "_p").select("_p", "_c", F.lit(None).cast(kind).alias("_id"), "_px", none.alias("_x"))
-    tails = dealt.join(few, "_id").select("_p", "_c", "_id", none.alias("_px"), "_x")
+    heads = chunks.join(few.select(F.col("_id").alias("_p"), F.col("_x").alias("_px")), "_p").select("_p", "_c", F.lit(None).cast(kind).alias("_id"), "_px", none.alias("_x"))
+    tails = dealt.join(few.select("_id", "_x"), "_id").select("_p", "_c", "_id", none.alias("_px"), "_x")
     both = heads.unionByName(tails).repartition("_p", "_c").sortWithinPartitions("_p", "_c", F.col("_x").isNotNull(), "_id")
     return steps.written(map_texts(both, verify, f"_a {kind}, _b {kind}"), "links")
 
 
 def components(steps: Steps, edges: DataFrame) -> DataFrame:
-    """(_id, _root) for each node of the written ``edges``; the root is the smallest id of its component.
+    """(_id, _root) for each node of the written ``edges`` (_a, _b); the root is the smallest id of its component.
 
-    Alternates large-star and small-star steps: every node's larger neighbours, then its smaller
-    ones, are hung on its smallest neighbour, until the edges are stars. The joins are plain ones
-    of two shuffled sides, so adaptive execution splits a node of very many neighbours.
+    First every node hangs on the smallest of those that it is linked to as ``_b``; with links to pivots these are few,
+    one for each band, and what is left is a small graph of pivots, so a pivot of very many members is no large node of it.
+    Then large-star and small-star steps alternate: every node's larger neighbours, then its smaller
+    ones, are hung on its smallest neighbour, until the edges are stars. One shuffle serves each step.
     """
-    e = edges.select(F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v")).filter("u <> v").distinct()
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.filter("u <> v").repartition("u").distinct()
+
+    def hung(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("u").agg(F.min("v").alias("m"))
+
+    own = steps.written(edges.filter("_a <> _b").groupBy(F.col("_b").alias("_id")).agg(F.least(F.min("_a"), "_id").alias("_low"), F.collect_set("_a").alias("_up")), "own")
+    up = own.select(F.explode(F.concat("_up", F.array("_id"))).alias("_x"), "_low").filter("_x <> _low")
+    e = up.select(F.greatest("_x", "_low").alias("u"), F.least("_x", "_low").alias("v"))
+    # nodes that are no pivot have one link now, to their smallest neighbour, and wait for its root
+    inner = own.select(F.explode("_up").alias("_id")).distinct()
+    waits = own.select("_id", "_low").filter("_id <> _low").join(inner, "_id", "left_anti")
+    e = steps.written(dealt(e.join(waits.select(F.col("_id").alias("u"), F.col("_low").alias("v")), ["u", "v"], "left_anti")), "edges")
     mark = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        both = dealt(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = both.filter("v > u").join(hung(both).withColumn("m", F.least("u", "m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = dealt(large)
+        least = hung(large)
         small = large.join(least, "u").select("v", "m").filter("v <> m").toDF("u", "v").unionByName(least.toDF("u", "v"))
-        e = steps.written(small.distinct(), "edges")
+        e = steps.written(dealt(small), "edges")
         last, mark = mark, tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0])
         if mark == last:
             break
-    return steps.written(e.toDF("_id", "_root").unionByName(e.select(F.col("v").alias("_id"), F.col("v").alias("_root")).distinct()), "roots")
+    roots = e.toDF("_id", "_root").unionByName(e.select(F.col("v").alias("_id"), F.col("v").alias("_root")).distinct())
+    roots = steps.written(roots, "inner-roots")
+    rest = waits.join(roots.toDF("_low", "_root"), "_low", "left").select("_id", F.coalesce("_root", "_low").alias("_root"))
+    alone = waits.select(F.col("_low").alias("_id")).distinct().join(roots, "_id", "left_anti").select("_id", F.col("_id").alias("_root"))
+    return steps.written(roots.unionByName(rest).unionByName(alone), "roots")
 
 
 def joined_components(steps: Steps, roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -267,11 +323,6 @@ def with_class(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
 
 
-def star(buckets: DataFrame) -> DataFrame:
-    """(_p, _id): each member of ``buckets`` (_key, _id, _p) with its bucket's pivot."""
-    return buckets.filter("_id <> _p").select("_p", "_id").distinct()
-
-
 def with_pivot(steps: Steps, rows: DataFrame) -> DataFrame:
     """``rows`` (_key, _id) of buckets of two or more, with the bucket's size ``_n`` and pivot ``_p``."""
     pivot = F.min(F.struct(F.xxhash64("_id"), "_id"))["_id"]
@@ -279,22 +330,103 @@ def with_pivot(steps: Steps, rows: DataFrame) -> DataFrame:
     return steps.written(split_join(rows, sizes, ["_key"], "_n"), "buckets")
 
 
-def mixed(steps: Steps, buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members, with their class, of the ``buckets`` that hold different classes."""
-    at = steps.written(with_class(buckets.select("_key", "_id", "_n", "_p"), roots), "classes")
-    several = at.groupBy("_key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.max("_n").alias("_m"))
-    several = steps.written(several.filter("_lo <> _hi").select("_key", "_m"), "mixed-keys")
+def mixed(steps: Steps, at: DataFrame) -> DataFrame:
+    """The members of the buckets of the written ``at`` (_key, _id, _p, _root) that hold different classes, with ``_small``: whether a task can compare all of them."""
+    of_class = at.groupBy("_key", "_root").agg(F.count(F.lit(1)).alias("_c"))
+    several = of_class.groupBy("_key").agg(F.sum("_c").alias("_m"), F.count(F.lit(1)).alias("_k"), F.sum(F.col("_c") * F.col("_c")).alias("_same")).filter("_k > 1")
+    small = (F.col("_m") <= MEMBERS) & (F.col("_m") * F.col("_m") - F.col("_same") <= GROUP * GROUP)
+    several = steps.written(several.select("_key", "_m", small.alias("_small")), "mixed-keys")
     return steps.written(split_join(at, several, ["_key"], "_m").drop("_m"), "mixed")
 
 
-def all_pairs(rows: DataFrame, few: DataFrame) -> DataFrame:
-    """(_p, _id): pairs of different classes and like lengths in buckets of at most ``SMALL`` members, without their pivots."""
-    sized = rows.filter("_id <> _p").join(few.select("_id", F.size("_x").alias("_w")), "_id")
-    members = F.sort_array(F.collect_list(F.struct("_id", "_root", "_w"))).alias("_m")
-    like = f"least(x._w, y._w) >= {SIMILARITY} * greatest(x._w, y._w) - 1e-9"
-    later = f"filter(slice(_m, i + 2, {SMALL}), y -> y._root <> x._root and {like})"
-    pairs = F.expr(f"flatten(transform(_m, (x, i) -> transform({later}, y -> struct(x._id as _p, y._id as _id))))")
-    return sized.groupBy("_key").agg(members).select(F.explode(pairs).alias("p")).select("p.*").distinct()
+def pairs_in_group(roots: list, n: np.ndarray, counts: np.ndarray, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of different classes that can be similar, as two arrays of places.
+
+    The words two texts share are at most the sum of the lesser counts. With counts of up to ``UNARY`` written
+    as that many ones, it is a product of matrices, and what is beyond adds the lesser of both rests. Members go by
+    class, the largest first, so the partners of each are all those after its class.
+    """
+    _, root, size = np.unique(np.array(list(map(str, roots))), return_inverse=True, return_counts=True)
+    order = np.lexsort((root, -size[root]))
+    root, n, counts = root[order], n[order], counts[order]
+    last = np.flatnonzero(np.append(root[1:] != root[:-1], True)) + 1  # where each class ends
+    after = last[np.searchsorted(last, np.arange(len(root)), "right")]
+    ones = (counts[:, None, :] > np.arange(UNARY)[None, :, None]).reshape(len(root), -1).astype(np.float32)
+    rest = n - ones.sum(axis=1)
+    found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+    for a in range(0, len(root), rows):
+        part, low = slice(a, a + rows), after[a]
+        if low >= len(root):
+            break
+        shared = ones[part] @ ones[low:].T + np.minimum(rest[part, None], rest[None, low:])
+        can = shared >= SIMILARITY * np.maximum(n[part, None], n[None, low:]) - 0.01
+        i, j = np.nonzero(can & (np.arange(low, len(root))[None, :] >= after[part, None]))
+        found[0].append(i + a)
+        found[1].append(j + low)
+    left, right = map(np.concatenate, found)
+    return order[left], order[right]
+
+
+def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each group of rows with one ``_key``; rows come sorted by it, so a group may go over into the next batch.
+
+    Two members may share several groups; a hash of both chooses in which of these they are aligned.
+    """
+
+    def links_of(rows: pa.Table) -> pa.RecordBatch:
+        key, ids = rows.column("_key").to_numpy(), rows.column("_id").to_pylist()
+        roots, n, counts = rows.column("_root").to_pylist(), rows.column("_w").to_numpy(), counted(rows.column("_c"))
+        keys, texts = rows.column("_keys").combine_chunks(), rows.column("_x").combine_chunks()
+        cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        found: list[list[int]] = [[], []]
+        for a, z in zip(cut, cut[1:]):
+            left, right = pairs_in_group(roots[a:z], n[a:z], counts[a:z])
+            groups, words, here, now = {}, {}, int(key[a]), None
+            for i, j in zip((left + a).tolist(), (right + a).tolist(), strict=True):
+                for k in (i, j):
+                    if k not in groups:
+                        groups[k] = set(keys[k].values.to_pylist())
+                pair = f"{min(ids[i], ids[j])}:{max(ids[i], ids[j])}"
+                if here != min(groups[i] & groups[j], key=lambda g: xxhash.xxh3_64_intdigest(f"{g}:{pair}")):  # noqa: B023
+                    continue
+                for k in (i, j):
+                    if k not in words:
+                        words[k] = texts[k].values.to_pylist()
+                if now != i:
+                    now, bag = i, Counter(words[i])
+                if similar(words[i], words[j], bag):
+                    found[0].append(i)
+                    found[1].append(j)
+        column = rows.column("_id").combine_chunks()
+        return pa.RecordBatch.from_arrays([column.take(pa.array(side, pa.int64())) for side in found], ["_a", "_b"])
+
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]) if held is not None else rows
+        key = rows.column("_key").to_numpy()
+        whole = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last group may go on
+        if whole:
+            yield links_of(rows.slice(0, whole).combine_chunks())
+        held = rows.slice(whole)
+    if held is not None and held.num_rows:
+        yield links_of(held.combine_chunks())
+
+
+def between_classes(steps: Steps, rows: DataFrame, few: DataFrame) -> DataFrame:
+    """Links (_a, _b) between different classes within the small mixed buckets ``rows``, whose pivots have been compared. Only links are listed."""
+    kind = few.schema["_id"].dataType.simpleString()
+    members = steps.written(rows.filter(~F.col("_id").eqNullSafe(F.col("_p"))).select("_key", "_id", "_root"), "grouped")
+    own = members.groupBy("_id").agg(F.collect_set("_key").alias("_keys")).join(few, "_id")  # a bucket for each band, two if split by length
+    whole = members.join(own, "_id").repartition("_key").sortWithinPartitions("_key", "_id")
+    return steps.written(map_texts(whole.select("_key", "_id", "_root", "_w", "_c", "_keys", "_x"), in_groups, f"_a {kind}, _b {kind}"), "between")
+
+
+def by_length(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """``rows`` (_key, _id, _root) of large buckets, each in two of the buckets that these are split in by length."""
+    step = F.floor(F.log(F.col("_w").cast("double")) / float(np.log(1 / SIMILARITY)) + 1e-9)
+    sized = rows.select("_key", "_id", "_root").join(few.select("_id", "_w"), "_id")
+    return sized.select(F.explode(F.array(step, step + 1)).alias("_step"), "_key", "_id", "_root").select(F.xxhash64("_key", "_step").alias("_key"), "_id", "_root")
 
 
 def slots_of(words: np.ndarray) -> np.ndarray:
@@ -312,7 +444,7 @@ def sketch_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rare_words(steps: Steps, rows: DataFrame, few: DataFrame) -> DataFrame:
     """(_key, _id): of each text of n words the rarest 0.2 n + 1, without those that certainly no other of these texts has."""
-    lists = steps.written(only_ids(few, "_id", steps.written(rows.select("_id").distinct(), "unsettled")), "unsettled-lists")
+    lists = steps.written(only_ids(few.select("_id", "_x"), "_id", steps.written(rows.select("_id").distinct(), "unsettled")), "unsettled-lists")
     # one row for each slot and task at most; the sums are at most 8 MB, whatever the input
     sums = lists.mapInArrow(sketch_words, "_slot int, _n bigint").groupBy("_slot").agg(F.sum("_n").alias("_n"))
     counts = np.zeros(SLOTS, np.int64)
@@ -349,7 +481,7 @@ def block_links(steps: Steps, rows: DataFrame, few: DataFrame) -> DataFrame:
     members = steps.written(rows.select("_id", "_root").distinct().join(own.toDF("_id", "_key"), "_id"), "members")
     sizes = steps.written(members.groupBy("_key").agg(F.count(F.lit(1)).alias("_m")), "clusters")
     n = F.ceil(F.col("_m") / BLOCK).cast("int")
-    dealt = split_join(members, sizes, ["_key"], "_m").join(few, "_id")
+    dealt = split_join(members, sizes, ["_key"], "_m").join(few.select("_id", "_x"), "_id")
     dealt = dealt.select("_key", "_id", "_root", "_x", F.pmod(F.xxhash64("_id"), n).cast("int").alias("_b"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
     dealt = dealt.select("_key", F.least("_b", "k").alias("i"), F.greatest("_b", "k").alias("j"), "_b", "_id", "_root", "_x")
     kind = few.schema["_id"].dataType.simpleString()
@@ -396,22 +528,25 @@ def classes(steps: Steps, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     buckets = with_pivot(steps, bands)
     candidates = steps.written(buckets.select("_id").distinct(), "candidates")
     kind = nodes.schema["_id"].dataType.simpleString()
-    few = steps.written(map_texts(only_ids(texts, "_id", candidates), word_lists, f"_id {kind}, _x array<bigint>"), "lists")
+    few = steps.written(map_texts(only_ids(texts, "_id", candidates), word_lists, f"_id {kind}, _x array<bigint>, _w int, _c binary"), "lists")
     few = steps.written(few.dropDuplicates(["_id"]), "lists-once") if few.count() > candidates.count() else few  # repeated ids
 
     def settled(buckets: DataFrame, roots: DataFrame | None, more: list[DataFrame]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-        """Steps 1 and 2 on ``buckets``: the roots with ``more`` links and those to pivots, the mixed larger buckets, the links of the others."""
-        to_pivot = links(steps, star(buckets), few)
-        roots = components(steps, to_pivot) if roots is None else joined_components(steps, roots, reduce(DataFrame.unionByName, more, to_pivot))
-        rest = mixed(steps, buckets, roots)
-        between = links(steps, all_pairs(rest.filter(F.col("_n") <= SMALL), few), few)
-        return roots, rest.filter(F.col("_n") > SMALL), [between]
+        """Steps 1 and 2 on ``buckets``: the roots with ``more`` links and those to pivots, the mixed buckets that are too large, the links of the others."""
+        pivot_links = links(steps, to_pivots(steps, buckets, few), few)
+        roots = components(steps, pivot_links) if roots is None else joined_components(steps, roots, reduce(DataFrame.unionByName, more, pivot_links))
+        rest = mixed(steps, steps.written(with_class(buckets.select("_key", "_id", "_p"), roots), "classes"))
+        groups, large = rest.filter("_small"), rest.filter("not _small")
+        if not large.isEmpty():
+            split = mixed(steps, steps.written(by_length(large, few).withColumn("_p", F.lit(None).cast(kind)), "by-length"))  # any two may be of different pivots
+            groups, large = groups.unionByName(split.filter("_small")), split.filter("not _small")
+        return roots, large, [between_classes(steps, groups, few)]
 
     roots, large, more = settled(buckets, None, [])
     if not large.isEmpty():
         roots, large, more = settled(with_pivot(steps, steps.written(rare_words(steps, large, few), "rare")), roots, more)
         if not large.isEmpty():
-            more.append(block_links(steps, large, few))
+            more.append(block_links(steps, large.select("_key", "_id", "_root"), few))
     return joined_components(steps, roots, reduce(DataFrame.unionByName, more))
 
 

@@ -84,6 +84,17 @@ def test_word_counts_never_rule_out_similar_texts(rows):
     assert near.can_be_similar(many, 300, many[None, :], np.array([290])).all()
 
 
+def test_groups_lose_no_similar_pair(rows):
+    hashes, g = WordHashes(), random.Random(2)
+    h = [hashes.array(near.words_of(t)) for _, t in rows if near.words_of(t)]
+    h += [np.concatenate([x, np.full(700, x[0])]) for x in h[:10]]  # counts beyond 255
+    counts, n, roots = np.array([near.counts_of(x) for x in h]).astype(np.int16), np.array(list(map(len, h))), [g.randint(0, 9) for _ in h]
+    got = {(min(i, j), max(i, j)) for i, j in zip(*near.pairs_in_group(roots, n, counts, 7), strict=True)}
+    assert all(roots[i] != roots[j] for i, j in got)
+    want = {(i, j) for j in range(len(h)) for i in range(j) if roots[i] != roots[j] and near.similar(h[i].tolist(), h[j].tolist())}
+    assert want and want <= got and len(got) < len(want) + len(h) * len(h) // 20
+
+
 def test_like_brute_force(frame, rows):
     assert classes(near.near_duplicates(frame(rows))) == brute_classes(rows)
 

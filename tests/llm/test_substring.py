@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from plumbline.llm import common
+from plumbline.llm import common, substring
 from plumbline.llm.substring import remove_repeats
 
 from .texts import EDGE, edited, prose
@@ -45,6 +45,11 @@ def test_like_brute_force(frame, texts, length, anchor):
     assert [got[i] for i in range(len(texts))] == brute(texts, length)
 
 
+def test_hot_anchors(frame, texts, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_ANCHOR", 3)
+    test_like_brute_force(frame, texts, 35, 20)
+
+
 def test_hot_keys_are_split(frame, texts, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 2)
     test_like_brute_force(frame, texts, 35, 20)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, htmltext, licenses, mixing, near, pii, quality, secret_scan, substring
+from . import collocations, decontam, exact, htmltext, licenses, mixing, near, pii, quality, secret_scan, substring
 from .common import ascii_lower, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     scored = quality.with_quality(docs, model, score_col="score")
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query(
+    "op11_phrase_collocations",
+    r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+      FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+f AS (SELECT lang, m, array_to_string(list_slice(w, s, s + m - 1), ' ') AS ph, count(*) AS a
+      FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM p, (VALUES (1), (2), (3), (4)) v(m)) GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, ph, a, string_split(ph, ' ') AS w FROM f WHERE m > 1 AND a >= 30),
+cut AS (SELECT c.lang, c.ph, c.a, k, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score
+        FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+        JOIN f x ON x.lang = c.lang AND x.ph = array_to_string(list_slice(w, 1, k), ' ')
+        JOIN f y ON y.lang = c.lang AND y.ph = array_to_string(list_slice(w, k + 1, c.m), ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(list_slice(w, s, s + j - 1), ' ') AS ph, max(a) AS longer
+           FROM (SELECT *, unnest(range(1, m - j + 2)) AS s FROM c, (VALUES (2), (3)) v(j) WHERE m > j) GROUP BY ALL)
+SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.ph) AS rank, low.ph AS phrase, a, l, r, n, score
+FROM low JOIN n ON n.lang = low.lang LEFT JOIN inside ON inside.lang = low.lang AND inside.ph = low.ph
+WHERE longer IS NULL OR 100 * longer < 80 * a
+QUALIFY rank <= 2000
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))

@@ -114,7 +114,8 @@ def bounds(angles_a: np.ndarray, norms_a: np.ndarray, angles_b: np.ndarray, norm
         norms = norms_a[:, None] * norms_b[None, :]
         slack = 1 + 1e-9 * norms
         least, most = norms * np.cos(np.minimum(high + SLACK, np.pi)) - slack, norms * np.cos(np.maximum(low - SLACK, 0)) + slack
-    return np.where(np.isfinite(norms), least, -np.inf), np.where(np.isfinite(norms), most, np.inf)
+    least, most = np.where(np.isfinite(norms), least, -np.inf), np.where(np.isfinite(norms), most, np.inf)
+    return np.minimum(least, float(LARGEST)), np.maximum(most, -float(LARGEST))  # scores end there
 
 
 def exact_scores(q: np.ndarray, rows: np.ndarray, largest: float) -> list[int]:
@@ -238,7 +239,8 @@ def met(blocks: DataFrame, cells: DataFrame, by: list[str], references: int, par
     most = best * F.when(best >= 0, large).otherwise(small) + slack
     least = worst * F.when(worst >= 0, small).otherwise(large) - slack
     finite = large < float("inf")
-    return both.withColumns({"_least": F.when(finite, least).otherwise(float("-inf")), "_most": F.when(finite, most).otherwise(float("inf"))})
+    least, most = F.when(finite, least).otherwise(float("-inf")), F.when(finite, most).otherwise(float("inf"))
+    return both.withColumns({"_least": F.least(least, F.lit(float(LARGEST))), "_most": F.greatest(most, F.lit(-float(LARGEST)))})
 
 
 def search(steps: Steps, anchors: DataFrame, rows: DataFrame, pairs: DataFrame, runs: int, same_label: bool, best: int, least: int) -> DataFrame:

@@ -33,8 +33,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -222,7 +222,7 @@ def similar(a: list, b: list, counts: Counter | None = None) -> bool:
     return banded_distance(a, b, most) is not None
 
 
-def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def verify(batches: Iterator[pa.RecordBatch], alike: Callable = similar) -> Iterator[pa.RecordBatch]:
     """Each pivot's row is followed by those to compare with it."""
     pivot = None
     for batch in batches:
@@ -231,7 +231,7 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if head:
                 words = batch.column("_px")[k].values.to_pylist()
                 pivot = words, Counter(words)
-            elif similar(pivot[0], batch.column("_x")[k].values.to_pylist(), pivot[1]):
+            elif alike(pivot[0], batch.column("_x")[k].values.to_pylist(), pivot[1]):
                 kept.append(k)
         kept = pa.array(kept, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("_p").take(kept), batch.column("_id").take(kept)], ["_a", "_b"])
@@ -253,8 +253,8 @@ def to_pivots(steps: Steps, buckets: DataFrame, few: DataFrame) -> DataFrame:
     return map_texts(both.select("_p", "_id", "_wp", "_w", "_cp", "_c"), plausible, f"_p {kind}, _id {kind}")
 
 
-def links(steps: Steps, pairs: DataFrame, few: DataFrame) -> DataFrame:
-    """Of the candidate ``pairs`` (_p, _id), those that are similar; a pivot's text moves once for ``CHUNK`` of its pairs."""
+def links(steps: Steps, pairs: DataFrame, few: DataFrame, alike: Callable = similar) -> DataFrame:
+    """Of the candidate ``pairs`` (_p, _id), those that are ``alike``; a pivot's text moves once for ``CHUNK`` of its pairs."""
     kind = few.schema["_id"].dataType.simpleString()
     pairs = steps.written(pairs, "pairs")
     sizes = steps.written(pairs.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")), "sizes")
@@ -264,7 +264,7 @@ def links(steps: Steps, pairs: DataFrame, few: DataFrame) -> DataFrame:
     heads = chunks.join(few.select(F.col("_id").alias("_p"), F.col("_x").alias("_px")), "_p").select("_p", "_c", F.lit(None).cast(kind).alias("_id"), "_px", none.alias("_x"))
     tails = dealt.join(few.select("_id", "_x"), "_id").select("_p", "_c", "_id", none.alias("_px"), "_x")
     both = heads.unionByName(tails).repartition("_p", "_c").sortWithinPartitions("_p", "_c", F.col("_x").isNotNull(), "_id")
-    return steps.written(map_texts(both, verify, f"_a {kind}, _b {kind}"), "links")
+    return steps.written(map_texts(both, partial(verify, alike=alike), f"_a {kind}, _b {kind}"), "links")
 
 
 def components(steps: Steps, edges: DataFrame) -> DataFrame:
@@ -367,7 +367,7 @@ def pairs_in_group(roots: list, n: np.ndarray, counts: np.ndarray, rows: int = 2
     return order[left], order[right]
 
 
-def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def in_groups(batches: Iterator[pa.RecordBatch], alike: Callable = similar) -> Iterator[pa.RecordBatch]:
     """Links within each group of rows with one ``_key``; rows come sorted by it, so a group may go over into the next batch.
 
     Two members may share several groups; a hash of both chooses in which of these they are aligned.
@@ -394,7 +394,7 @@ def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         words[k] = texts[k].values.to_pylist()
                 if now != i:
                     now, bag = i, Counter(words[i])
-                if similar(words[i], words[j], bag):
+                if alike(words[i], words[j], bag):
                     found[0].append(i)
                     found[1].append(j)
         column = rows.column("_id").combine_chunks()
@@ -413,13 +413,13 @@ def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links_of(held.combine_chunks())
 
 
-def between_classes(steps: Steps, rows: DataFrame, few: DataFrame) -> DataFrame:
+def between_classes(steps: Steps, rows: DataFrame, few: DataFrame, alike: Callable = similar) -> DataFrame:
     """Links (_a, _b) between different classes within the small mixed buckets ``rows``, whose pivots have been compared. Only links are listed."""
     kind = few.schema["_id"].dataType.simpleString()
     members = steps.written(rows.filter(~F.col("_id").eqNullSafe(F.col("_p"))).select("_key", "_id", "_root"), "grouped")
     own = members.groupBy("_id").agg(F.collect_set("_key").alias("_keys")).join(few, "_id")  # a bucket for each band, two if split by length
     whole = members.join(own, "_id").repartition("_key").sortWithinPartitions("_key", "_id")
-    return steps.written(map_texts(whole.select("_key", "_id", "_root", "_w", "_c", "_keys", "_x"), in_groups, f"_a {kind}, _b {kind}"), "between")
+    return steps.written(map_texts(whole.select("_key", "_id", "_root", "_w", "_c", "_keys", "_x"), partial(in_groups, alike=alike), f"_a {kind}, _b {kind}"), "between")
 
 
 def by_length(rows: DataFrame, few: DataFrame) -> DataFrame:
@@ -469,7 +469,7 @@ def rare_words(steps: Steps, rows: DataFrame, few: DataFrame) -> DataFrame:
     return map_texts(lists, run, f"_key bigint, _id {kind}")
 
 
-def block_links(steps: Steps, rows: DataFrame, few: DataFrame) -> DataFrame:
+def block_links(steps: Steps, rows: DataFrame, few: DataFrame, alike: Callable = similar) -> DataFrame:
     """Links between different classes within the buckets of ``rows`` (_key, _id, _root), found block by block.
 
     Buckets that overlap are one cluster. It is dealt to hashed blocks of about ``BLOCK`` members;
@@ -485,7 +485,7 @@ def block_links(steps: Steps, rows: DataFrame, few: DataFrame) -> DataFrame:
     dealt = dealt.select("_key", "_id", "_root", "_x", F.pmod(F.xxhash64("_id"), n).cast("int").alias("_b"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
     dealt = dealt.select("_key", F.least("_b", "k").alias("i"), F.greatest("_b", "k").alias("j"), "_b", "_id", "_root", "_x")
     kind = few.schema["_id"].dataType.simpleString()
-    return steps.written(dealt.groupBy("_key", "i", "j").applyInArrow(links_in_block, f"_a {kind}, _b {kind}"), "block-links")
+    return steps.written(dealt.groupBy("_key", "i", "j").applyInArrow(lambda rows: links_in_block(rows, alike), f"_a {kind}, _b {kind}"), "block-links")
 
 
 def shared_counts(x: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -505,7 +505,7 @@ def shared_counts(x: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return shared
 
 
-def links_in_block(rows: pa.Table) -> pa.Table:
+def links_in_block(rows: pa.Table, alike: Callable = similar) -> pa.Table:
     ids, roots, block = (rows.column(c).to_pylist() for c in ("_id", "_root", "_b"))
     i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
     x = [v.values.to_numpy().view(np.uint64) for v in rows.column("_x")]
@@ -517,7 +517,7 @@ def links_in_block(rows: pa.Table) -> pa.Table:
     likely &= same[:, None] != same[None, :]
     if i != j:
         likely &= side[:, None] != side[None, :]
-    found = [(p, q) for p, q in zip(*(k.tolist() for k in np.nonzero(likely)), strict=True) if similar(x[p].tolist(), x[q].tolist())]
+    found = [(p, q) for p, q in zip(*(k.tolist() for k in np.nonzero(likely)), strict=True) if alike(x[p].tolist(), x[q].tolist(), None)]
     kind = rows.schema.field("_id").type
     return pa.table({"_a": pa.array([min(ids[p], ids[q]) for p, q in found], kind), "_b": pa.array([max(ids[p], ids[q]) for p, q in found], kind)})
 
@@ -530,23 +530,30 @@ def classes(steps: Steps, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     kind = nodes.schema["_id"].dataType.simpleString()
     few = steps.written(map_texts(only_ids(texts, "_id", candidates), word_lists, f"_id {kind}, _x array<bigint>, _w int, _c binary"), "lists")
     few = steps.written(few.dropDuplicates(["_id"]), "lists-once") if few.count() > candidates.count() else few  # repeated ids
+    return linked(steps, buckets, few, similar)
+
+
+def linked(steps: Steps, buckets: DataFrame, few: DataFrame, alike: Callable) -> DataFrame:
+    """(_id, _root) for all of the written ``buckets`` (_key, _id, _n, _p) whose members are to be compared by ``alike``, which implies
+    that both share 0.8 of the longer one's symbols. ``few`` has their symbols: _id, _x, _w (how many), _c (counts by slot)."""
+    kind = few.schema["_id"].dataType.simpleString()
 
     def settled(buckets: DataFrame, roots: DataFrame | None, more: list[DataFrame]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
         """Steps 1 and 2 on ``buckets``: the roots with ``more`` links and those to pivots, the mixed buckets that are too large, the links of the others."""
-        pivot_links = links(steps, to_pivots(steps, buckets, few), few)
+        pivot_links = links(steps, to_pivots(steps, buckets, few), few, alike)
         roots = components(steps, pivot_links) if roots is None else joined_components(steps, roots, reduce(DataFrame.unionByName, more, pivot_links))
         rest = mixed(steps, steps.written(with_class(buckets.select("_key", "_id", "_p"), roots), "classes"))
         groups, large = rest.filter("_small"), rest.filter("not _small")
         if not large.isEmpty():
             split = mixed(steps, steps.written(by_length(large, few).withColumn("_p", F.lit(None).cast(kind)), "by-length"))  # any two may be of different pivots
             groups, large = groups.unionByName(split.filter("_small")), split.filter("not _small")
-        return roots, large, [between_classes(steps, groups, few)]
+        return roots, large, [between_classes(steps, groups, few, alike)]
 
     roots, large, more = settled(buckets, None, [])
     if not large.isEmpty():
         roots, large, more = settled(with_pivot(steps, steps.written(rare_words(steps, large, few), "rare")), roots, more)
         if not large.isEmpty():
-            more.append(block_links(steps, large.select("_key", "_id", "_root"), few))
+            more.append(block_links(steps, large.select("_key", "_id", "_root"), few, alike))
     return joined_components(steps, roots, reduce(DataFrame.unionByName, more))
 
 

@@ -118,7 +118,7 @@ def split_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str) ->
     return rest.unionByName(there)
 
 
-def ascii_lower(c: Column) -> Column:
+def ascii_lower(c: Column | str) -> Column:
     """Lower-case A-Z and nothing else. Texts of one-byte characters take the fast built-in."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 

@@ -11,8 +11,8 @@ of its own. A partition without shingles makes no signature: these would be alik
 these than may be spared, it signs again with another dealing of the domain; of two partners, the one that is content first has
 enough signatures in common with the other, which has signed under that dealing too.
 
-Sets that share a signature are a bucket. Buckets of the same members are one. They are compared as ``near`` does it: with a pivot,
-then different classes within a bucket, so copies are never paired with each other; what links is the exact intersection.
+Sets that share a signature are a bucket, and its set of smallest hash is its pivot; buckets with the same pivot are one. They are compared
+as ``near`` does it: with the pivot, then different classes within a bucket, so copies are never paired with each other; what links is the exact intersection.
 
 Words and shingles are told apart by 64-bit hashes, sets by 64 bits of a hash of all of theirs.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near
-from .common import LOWER, SLOTS, SLOTS_A_ROW, UPPER, Steps, WordHashes, arrow_texts, map_texts, maybe_in, mix, split_join, whole_text, window_hashes, written
+from .common import LOWER, SLOTS, SLOTS_A_ROW, UPPER, Steps, WordHashes, arrow_texts, ascii_lower, map_texts, maybe_in, mix, split_join, whole_text, window_hashes, written
 
 SHINGLE, SIMILARITY = 5, 80
 #: Largest k with a signature for each two of k + 2 partitions.
@@ -120,26 +120,28 @@ def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         yield batch, [shingles(t, hashes) for t in texts]
 
 
-def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, sets in sets_of(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array([name_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())], ["_doc", "_id", "_size"])
+def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All signatures, to be counted."""
+    for _, sets in sets_of(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*map(signatures, sets), np.empty(0, np.uint64)]).view(np.int64))], ["_key"])
 
 
-def signed(bits=None):
-    """Rows (_key, _id) of all signatures, or only of those whose bit is set."""
+def shared_signatures(bits):
+    """A row (_t, _id, _size) for each text, and a row (_key, _id) for each of its signatures whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in sets_of(batches):
-            keys, names = [], []
+        mask = np.uint64(8 * len(bits.value) - 1)
+        for batch, sets in sets_of(batches):
+            names, sizes = np.array([name_of(x) for x in sets], np.int64), np.array([len(x) for x in sets], np.int64)
+            empty = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([empty, pa.array(names), pa.array(sizes), batch.column("_t")], ["_key", "_id", "_size", "_t"])
+            keys = []
             for x in sets:
-                s = np.unique(signatures(x))
-                if bits is not None:
-                    slot = s & np.uint64(8 * len(bits.value) - 1)
-                    s = s[(bits.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
-                keys.append(s)
-                names.append(np.full(len(s), name_of(x), np.int64))
-            flat = [np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64), np.concatenate([*names, np.empty(0, np.int64)])]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, flat)), ["_key", "_id"])
+                s = signatures(x)
+                slot = s & mask
+                keys.append(s[(bits.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1])
+            flat = np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(names, list(map(len, keys)))), pa.nulls(len(flat), pa.int64()), pa.nulls(len(flat), pa.binary())], ["_key", "_id", "_size", "_t"])
 
     return run
 
@@ -163,18 +165,14 @@ def bits_of(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(bits)
 
 
-def buckets_of(steps: Steps, once: DataFrame) -> DataFrame:
-    """Buckets (_key, _id, _n, _p) of two or more sets, one for each different group of members; ``_p`` is the pivot."""
-    shared = once.mapInArrow(signed(), "_key bigint, _id bigint").groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key")
-    bits = bits_of(steps.written(shared, "shared"))
-    rows = steps.written(map_texts(once, signed(bits), "_key bigint, _id bigint"), "signed")
-    one, two = F.xxhash64("_id"), F.xxhash64("_id", F.lit(1))
-    sums = [F.sum(F.shiftright(x, 32)).alias(n) for x, n in ((one, "_s1"), (two, "_s2"))] + [F.sum(one.bitwiseAND(F.lit(0xFFFFFFFF))).alias("_s3")]
-    groups = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), *sums, F.min(F.struct(one.alias("h"), "_id"))["_id"].alias("_p")).filter("_n > 1")
-    groups = groups.groupBy("_n", "_s1", "_s2", "_s3").agg(F.min(F.struct("_key", "_p")).alias("k")).select("k._key", "_n", "k._p")
-    groups = steps.written(groups, "groups")
-    kept = maybe_in(rows, [F.col("_key")], groups.select("_key")).filter("_maybe").drop("_maybe")
-    return steps.written(split_join(kept, groups, ["_key"], "_n").distinct(), "buckets")
+def buckets_of(steps: Steps, rows: DataFrame) -> DataFrame:
+    """Buckets (_key, _id, _n, _p): for each pivot all sets that share a signature of which it is the pivot, with itself."""
+    pivot = F.min(F.struct(F.xxhash64("_id"), "_id"))["_id"]
+    groups = steps.written(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), pivot.alias("_p")).filter("_n > 1"), "groups")
+    with_pivots = maybe_in(rows, [F.col("_key")], groups.select("_key")).filter("_maybe").drop("_maybe")
+    met = steps.written(split_join(with_pivots, groups, ["_key"], "_n").select("_p", "_id").distinct(), "met")
+    sizes = steps.written(met.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "sizes")
+    return steps.written(split_join(met, sizes, ["_p"], "_n").withColumn("_key", F.xxhash64("_p")), "buckets")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,28 +185,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     their sets only; rows without an id link as all others do, but name no component: if no row of theirs has an id, it
     is null. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("_doc"), whole_text(text_col).alias("_text"))
+    texts = texts.withColumn("_t", F.unhex(F.md5(ascii_lower("_text"))))
+
+    def of(ids: DataFrame) -> DataFrame:
+        """Rows with an id of the written ``ids``, and some more by chance: those sign for sets that are known."""
+        tried = maybe_in(texts.withColumn("_none", F.col("_doc").isNull()), [F.col("_doc")], ids.filter("_doc is not null"))
+        return tried.filter("_maybe or _none")
+
     with Steps(docs.sparkSession) as steps:
-        rows = steps.written(map_texts(texts, named, f"_doc {kind}, _id bigint, _size bigint"), "sets")
-        nodes = rows.filter("_size > 0").groupBy("_id").agg(F.min("_doc").alias("_first"), F.count(F.lit(1)).alias("_k"))
-        nodes = steps.written(nodes, "nodes")
-        # one document for each set, and some more by chance or without an id: these sign for the same set
-        once = maybe_in(texts.withColumn("_none", F.col("_doc").isNull()), [F.col("_doc")], nodes.select("_first").filter("_first is not null"))
-        once = once.filter("_maybe or _none").select("_text")
-        buckets = buckets_of(steps, once)
+        alike_texts = steps.written(texts.groupBy("_t").agg(F.min("_doc").alias("_doc"), F.count(F.lit(1)).alias("_k")), "texts")
+        once = of(alike_texts.select("_doc"))
+        shared = map_texts(once.select("_text"), signed, "_key bigint").groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key")
+        bits = bits_of(steps.written(shared, "shared"))
+        found = steps.written(map_texts(once.select("_text", "_t"), shared_signatures(bits), "_key bigint, _id bigint, _size bigint, _t binary"), "signed")
+        sets = found.filter("_key is null").groupBy("_t").agg(F.first("_id").alias("_id"), F.first("_size").alias("_size"))
+        sets = steps.written(alike_texts.join(sets, "_t"), "sets")
+        buckets = buckets_of(steps, found.filter("_key is not null").select("_key", "_id").distinct())
+
         members = steps.written(buckets.select("_id").distinct(), "members")
-        named_texts = rows.join(members, "_id", "left_semi").groupBy("_id").agg(F.min("_doc").alias("_doc"))
-        wanted = steps.written(named_texts, "wanted")
-        lists = maybe_in(texts.withColumn("_none", F.col("_doc").isNull()), [F.col("_doc")], wanted.select("_doc").filter("_doc is not null"))
-        lists = map_texts(lists.filter("_maybe or _none").select("_text"), listed, "_id bigint, _x array<bigint>, _w int, _c binary")
+        wanted = steps.written(sets.join(members, "_id", "left_semi").groupBy("_id").agg(F.min("_doc").alias("_doc")), "wanted")
+        lists = map_texts(of(wanted.select("_doc")).select("_text"), listed, "_id bigint, _x array<bigint>, _w int, _c binary")
         few = steps.written(lists.join(members, "_id", "left_semi").dropDuplicates(["_id"]), "lists")
         roots = near.linked(steps, buckets, few, alike)
 
-        known = near.with_class(nodes, roots)
-        least = known.groupBy("_root").agg(F.min("_first").alias("component_id"), F.count(F.lit(1)).alias("_c"))
-        known = steps.written(split_join(known, steps.written(least, "least"), ["_root"], "_c").select("_id", "_k", "component_id"), "known")
-        full = split_join(rows.filter("_size > 0"), known, ["_id"], "_k")
-        out = full.select("_doc", F.col("_size").alias("n_shingles"), "component_id", F.col("_k").alias("set_size"))
-        out = out.unionByName(rows.filter("_size = 0").select("_doc", F.col("_size").alias("n_shingles"), F.col("_doc").alias("component_id"), F.lit(1).cast("bigint").alias("set_size")))
-        return written(out.withColumnRenamed("_doc", id_col), "jaccard")
+        nodes = sets.filter("_size > 0").groupBy("_id").agg(F.min("_doc").alias("_first"), F.sum("_k").alias("set_size"), F.count(F.lit(1)).alias("_c"))
+        known = steps.written(near.with_class(nodes, roots), "known")
+        least = steps.written(known.groupBy("_root").agg(F.min("_first").alias("component_id"), F.count(F.lit(1)).alias("_n")), "least")
+        known = steps.written(split_join(known, least, ["_root"], "_n").select("_id", "_c", "set_size", "component_id"), "components")
+        of_text = split_join(sets.filter("_size > 0"), known, ["_id"], "_c").select("_t", "_k", F.col("_size").alias("n_shingles"), "component_id", "set_size")
+        of_text = of_text.unionByName(sets.filter("_size = 0").select("_t", "_k", F.col("_size").alias("n_shingles"), F.lit(None).cast(texts.schema["_doc"].dataType).alias("component_id"), F.lit(1).cast("bigint").alias("set_size")))
+        out = split_join(texts.select("_doc", "_t"), steps.written(of_text, "of-text"), ["_t"], "_k")
+        own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_doc"))
+        return written(out.select(F.col("_doc").alias(id_col), "n_shingles", own.alias("component_id"), "set_size"), "jaccard")

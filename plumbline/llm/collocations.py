@@ -30,45 +30,53 @@ from .common import LOWER, SLOTS, SLOTS_A_ROW, UPPER, Steps, WordHashes, arrow_t
 LEAST, TOP, COVERED, SCALE = 30, 2000, 80, 2_000_000
 #: Words that are counted together before their sums leave the task.
 FLUSH = 1_000_000
-BREAK = "\n"
-_SIGNS = str.maketrans(dict(zip(UPPER, LOWER)) | dict.fromkeys(".,;:!?\n\x0b\x0c\r", f" {BREAK} ") | {"\t": " "})
+#: Stands for the end of a piece; no word can be like it.
+BREAK = b"."
+_SIGNS = bytes.maketrans(UPPER.encode() + b".,;:!?\x0b\x0c\r\t", LOWER.encode() + b"\n" * 9 + b" ")
+#: Different words that a task counts before it gives out their sums.
+MOST_WORDS = 200_000
 PHRASE = ("_1", "_2", "_3", "_4")
 
 
-def tokens(text: str) -> list[str]:
+def tokens(text: str) -> list[bytes]:
     """The words of ``text``, A-Z lower-cased, with ``BREAK`` between pieces."""
-    return [w for w in text.translate(_SIGNS).split(" ") if w]
+    return text.encode("utf-8", "surrogatepass").translate(_SIGNS).replace(b"\n", b" " + BREAK + b" ").split()
 
 
-def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in arrow_texts(batches):
-        seen: dict[str, Counter] = {}
-        for lang, text in zip(batch.column("_lang").to_pylist(), texts, strict=True):
-            seen.setdefault(lang, Counter()).update(tokens(text))
-        rows = [(lang, word, n) for lang, counts in seen.items() for word, n in counts.items() if word != BREAK]
-        lang, word, n = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], ["_lang", "_word", "_n"])
+class Codes(WordHashes):
+    """Hashes of words; 0 for ``BREAK``."""
 
-
-def hashed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h = [xxhash.xxh3_64_intdigest(w) for w in batch.column("_word").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(h, np.uint64).view(np.int64))], [*batch.schema.names, "_h"])
+    def __missing__(self, word):
+        return 0 if word == BREAK else super().__missing__(word)
 
 
 def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text as the hashes of its words; 0 stands between pieces."""
-    hashes = WordHashes()
+    """A row (_lang, _w) for each text: the hashes of its words, 0 between pieces; and rows (_lang, _word, _h, _n): how often each word occurs."""
+    names = ["_lang", "_w", "_word", "_h", "_n"]
+    codes = Codes()
+    seen: dict[str, Counter] = {}
+
+    def sums() -> Iterator[pa.RecordBatch]:
+        for lang, counts in seen.items():
+            counts.pop(BREAK, None)
+            words = list(counts)
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.nulls(len(words), pa.list_(pa.int64())), pa.array(words, pa.binary()).cast(pa.string()), pa.array(h), pa.array(list(counts.values()), pa.int64())], names)
+        seen.clear()
+
     for batch, texts in arrow_texts(batches):
         x = []
-        for text in texts:
+        for lang, text in zip(batch.column("_lang").to_pylist(), texts, strict=True):
             words = tokens(text)
-            h = hashes.array(words)
-            h[np.fromiter((w == BREAK for w in words), bool, len(words))] = 0
-            x.append(h)
+            seen.setdefault(lang, Counter()).update(words)
+            x.append(codes.array(words))
         sizes = np.cumsum([0, *map(len, x)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([*x, np.empty(0, np.uint64)]).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("_lang"), lists], ["_lang", "_w"])
+        none = len(x)
+        yield pa.RecordBatch.from_arrays([batch.column("_lang"), lists, pa.nulls(none, pa.string()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64())], names)
+        if sum(map(len, seen.values())) > MOST_WORDS:
+            yield from sums()
+    yield from sums()
 
 
 def keys_of(lang: str, words: list[np.ndarray]) -> np.ndarray:
@@ -90,27 +98,31 @@ class Bits:
         return (self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
-def bits_of(phrases: DataFrame):
-    """The written table ``phrases`` (_lang, _1 .. _4; null where shorter) as broadcast ``Bits``: 32 for each phrase, ``SLOTS`` at most."""
-    size = min(SLOTS, max(SLOTS_A_ROW, 1 << (32 * phrases.count()).bit_length()))
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = np.array(batch.column("_lang").to_pylist(), object)
-            words = [batch.column(c).fill_null(0).to_numpy().view(np.uint64) for c in PHRASE]
-            size_of = sum(np.array(batch.column(c).is_valid()).astype(int) for c in PHRASE)
-            for lang in set(langs.tolist()):
-                for m in (1, 2, 3):
-                    at = np.flatnonzero((langs == lang) & (size_of == m))
-                    slot = keys_of(lang, [w[at] for w in words[:m]]) % np.uint64(size)
-                    yield pa.RecordBatch.from_arrays([pa.array(slot.view(np.int64))], ["s"])
-
-    row = F.floor(F.col("s") / SLOTS_A_ROW).alias("r")
-    rows = phrases.select("_lang", *PHRASE).mapInArrow(slots, "s bigint").groupBy(row).agg(F.bitmap_construct_agg(F.col("s") % SLOTS_A_ROW).alias("b"))
+def slots_as_bits(keys: DataFrame, name: str):
+    """The hashes of the written table ``keys`` as broadcast bits: 32 for each, ``SLOTS`` at most."""
+    size = min(SLOTS, max(SLOTS_A_ROW, 1 << (32 * keys.count()).bit_length()))
+    slot = F.col(name).bitwiseAND(F.lit(size - 1))  # sizes are powers of two
+    rows = keys.groupBy(F.floor(slot / SLOTS_A_ROW).alias("r")).agg(F.bitmap_construct_agg(slot % SLOTS_A_ROW).alias("b"))
     bits = np.zeros(size // 8, np.uint8)
     for r, b in rows.collect():
         bits[r * SLOTS_A_ROW // 8 :][: SLOTS_A_ROW // 8] = np.frombuffer(bytes(b), np.uint8)[: size // 8]
-    return phrases.sparkSession.sparkContext.broadcast(bits)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def hashed_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        langs = np.array(batch.column("_lang").to_pylist(), object)
+        words = [batch.column(c).fill_null(0).to_numpy().view(np.uint64) for c in PHRASE]
+        length = sum(np.array(batch.column(c).is_valid()).astype(int) for c in PHRASE)
+        for lang in set(langs.tolist()):
+            for m in (1, 2, 3):
+                at = np.flatnonzero((langs == lang) & (length == m))
+                yield pa.RecordBatch.from_arrays([pa.array(keys_of(lang, [w[at] for w in words[:m]]).view(np.int64))], ["k"])
+
+
+def bits_of(steps: Steps, phrases: DataFrame):
+    """The phrases (_lang, _1 .. _4; null where shorter) as broadcast ``Bits``."""
+    return slots_as_bits(steps.written(phrases.select("_lang", *PHRASE).mapInArrow(hashed_phrases, "k bigint"), "hashes"), "k")
 
 
 def summed(lang: str, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -153,15 +165,29 @@ def scanned(found: Callable[[str, np.ndarray], Iterator[list[np.ndarray]]]):
     return run
 
 
-def pairs_in(frequent) -> Callable:
+def pairs_in(frequent, keys=None) -> Callable:
+    """Pairs of ``frequent`` words: their hashes, or, of those whose hash is among ``keys``, both words."""
+
     def found(lang: str, w: np.ndarray) -> Iterator[list[np.ndarray]]:
         ok = (w != 0) & Bits(frequent.value).has(keys_of(lang, [w]))
         at = np.flatnonzero(ok[:-1] & ok[1:])
-        yield [w[at], w[at + 1]]
+        key = keys_of(lang, [w[at], w[at + 1]])
+        if keys is None:
+            yield [key]
+        else:
+            at = at[Bits(keys.value).has(key)]
+            yield [w[at], w[at + 1]]
 
     return found
 
 
+def pairs_of(steps: Steps, coded: DataFrame, frequent, least: int) -> DataFrame:
+    """Pairs that occur ``least`` times. Most pairs don't: their hashes are counted first, then the pairs with the hashes of those that may."""
+    hashes = coded.mapInArrow(scanned(pairs_in(frequent)), SUMS).select(F.col("_1").alias("k"), "_n").groupBy("k").agg(F.sum("_n").alias("n"))
+    keys = slots_as_bits(steps.written(hashes.filter(F.col("n") >= least).select("k"), "pair-hashes"), "k")
+    return counted(coded, pairs_in(frequent, keys), least)
+
+
 def grown_in(frequent, asked) -> Callable:
     """Phrases that are one of ``asked`` with one word more, before or after it, if all their pairs are ``frequent``."""
 
@@ -258,16 +284,17 @@ def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("_lang"), whole_text(text_col).alias("_text"))
     with Steps(docs.sparkSession) as steps:
-        sums = map_texts(texts, word_counts, "_lang string, _word string, _n bigint").groupBy("_lang", "_word").agg(F.sum("_n").alias("_n"))
-        vocabulary = steps.written(sums.mapInArrow(hashed_words, "_lang string, _word string, _n bigint, _h bigint"), "vocabulary")
+        both = steps.written(map_texts(texts, encoded, "_lang string, _w array<bigint>, _word string, _h bigint, _n bigint"), "coded")
+        coded = both.filter("_w is not null").select("_lang", "_w")
+        sums = both.filter("_word is not null").groupBy("_lang", "_word").agg(F.sum("_n").alias("_n"), F.first("_h").alias("_h"))
+        vocabulary = steps.written(sums, "vocabulary")
         totals = vocabulary.groupBy("_lang").agg(F.sum("_n").alias("n"))
         words = steps.written(vocabulary.filter(F.col("_n") >= least), "words")
-        coded = steps.written(map_texts(texts, encoded, "_lang string, _w array<bigint>"), "coded")
 
         none = [F.lit(None).cast("bigint").alias(c) for c in PHRASE]
-        frequent = bits_of(words.select("_lang", F.col("_h").alias("_1"), *none[1:]))
-        pairs = steps.written(scored_pairs(counted(coded, pairs_in(frequent), least), words), "pairs")
-        known = bits_of(pairs)
+        frequent = bits_of(steps, words.select("_lang", F.col("_h").alias("_1"), *none[1:]))
+        pairs = steps.written(scored_pairs(pairs_of(steps, coded, frequent, least), words), "pairs")
+        known = bits_of(steps, pairs)
         threes = steps.written(scored_threes(pairs.select("_lang", *PHRASE, "a").limit(0), pairs), "threes")
         fours = steps.written(scored_fours(threes.select("_lang", *PHRASE, "a"), threes), "fours")
         seen4 = fours.select("_lang", *PHRASE, "a")
@@ -284,7 +311,7 @@ def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "
             # what a phrase of four begins and ends with is counted by the same scan
             inner = asked.filter("_3 is not null").select("_lang", F.col("_2").alias("_1"), F.col("_3").alias("_2"), *none[2:])
             asked = steps.written(asked.unionByName(without(inner, grown)).distinct(), "growing")
-            bits = bits_of(asked)
+            bits = bits_of(steps, asked)
             found = steps.written(counted(coded, grown_in(known, bits), least), "found")
             grown = steps.written(grown.unionByName(asked), "grown")
             more = without(found.filter("_4 is null"), threes)

@@ -10,7 +10,7 @@ from plumbline.operators import inventory as I
 from plumbline.plans.column_queries import compared, sql_profile
 from plumbline.plans.registry import query
 from plumbline.session import scratch_dir, table
-from plumbline.sources import files, jdbc, store
+from plumbline.sources import files, jdbc, quoted, ranges, store
 
 
 def supplier_files(spark: SparkSession, sf_dir: str) -> str:
@@ -45,6 +45,33 @@ def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.digests(spark, supplier_files(spark, sf_dir)).select(_PART("key"), "content_sha256")
 
 
+@query(
+    "file_part_digests",
+    "SELECT s_suppkey AS key, length(s_name) + 1 AS length, ceil((length(s_name) + 1) / 8)::BIGINT AS parts, sha256(string_agg(sha256(substr(s_name || chr(10), p, 8)), '' ORDER BY p)) AS parts_sha256"
+    " FROM supplier, (SELECT unnest(range(1, 400, 8)) AS p) WHERE p <= length(s_name) + 1 GROUP BY s_suppkey, s_name",
+)
+def file_part_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per supplier, digested in parts of 8 bytes by many tasks."""
+    path = scratch_dir(spark, "parts")
+    table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS key", "s_name").repartition("key").write.partitionBy("key").text(path)
+    return ranges.part_digests(spark, path, part=8).select(_PART("key"), "length", "parts", "parts_sha256")
+
+
+@query(
+    "quoted_csv",
+    "SELECT doc_id::VARCHAR AS doc_id, lang, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), ' ')) AS text_md5, length(text) AS n_chars FROM documents WHERE text IS NOT NULL",
+)
+def quoted_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as CSV with quoted line breaks; files are read by byte ranges."""
+    path = scratch_dir(spark, "quoted")
+    plain = F.regexp_replace(F.regexp_replace("text", "\r\n", "\n"), "\r", " ")
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "lang", plain.alias("text"), F.char_length("text").alias("n_chars"))
+    options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.write.options(**options).csv(path)
+    got = quoted.read_quoted_csv(spark, path, ",", docs.columns, "UTF-8", missing_tokens=False)
+    return got.select("doc_id", "lang", F.md5("text").alias("text_md5"), F.col("n_chars").cast("bigint").alias("n_chars"))
+
+
 @query("file_listing", "SELECT s_nationkey AS nation, count(*) AS n_files, sum(length(s_name) + CASE WHEN s_suppkey % 2 = 0 THEN 7 ELSE 6 END)::BIGINT AS size_bytes, 'text/csv' AS encoding_format FROM supplier GROUP BY s_nationkey")
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing of the files by directory; their contents are not read."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.types import missing_to_null
+from plumbline.sources import ranges
 
 DELIMITERS = (",", ";", "\t", "|", ":")
 
@@ -20,9 +21,12 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 def detect_delimiters(spark: SparkSession, path: str, pattern: str = "*", head: int = 1024) -> DataFrame:
     """(path, delimiter) of each file: the candidate that every whole line of its head has equally often; else a comma.
 
-    A task reads a file whole, one at a time, to see its head; files beyond 2 GB must be split before.
+    Only heads are read, of files of any size. A store that Arrow cannot open is read by Spark: file by file, whole, of 2 GB at most.
     """
-    got = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    if ranges.can_open(path):
+        got = ranges.heads(spark, path, pattern, head)
+    else:
+        got = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     lines = F.split(F.decode(F.substring("content", 1, head), "ISO-8859-1"), "\r?\n")
     # the last line may be cut off, unless it is the only one
     whole = F.filter(F.when(F.size("l") > 1, F.slice("l", 1, F.size("l") - 1)).otherwise(F.col("l")), lambda x: x != "")
@@ -34,7 +38,9 @@ def detect_delimiters(spark: SparkSession, path: str, pattern: str = "*", head:
 
 
 def digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, length, content_sha256) of all files under a path. A task holds one file at a time, of 2 GB at most."""
+    """(path, length, content_sha256) of all files under a path, of any size; in a store that Arrow cannot open, of 2 GB at most."""
+    if ranges.can_open(path):
+        return ranges.whole_digests(spark, path, pattern)
     got = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return got.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "length", F.sha2("content", 256).alias("content_sha256"))
 
@@ -51,7 +57,7 @@ def read_csv(
     """All columns as strings. Rows with too many fields are dropped, those with too few are filled up with nulls.
 
     Missing-value tokens become null. Quoted line breaks need ``multi_line``, which reads each file
-    in one task: without such breaks, turn it off and large files are split.
+    in one task: without such breaks, turn it off and large files are split; with them, ``quoted.read_quoted_csv`` splits files.
     """
     names = columns or csv_columns(spark, path, delimiter, encoding)
     if not names:

@@ -8,11 +8,12 @@ passes through all stages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontam, exact, mixing, near, quality
-from plumbline.llm.common import only_ids, table, written
+from plumbline.llm.common import checked_broadcast, only_ids, table, written
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.3
@@ -27,9 +28,18 @@ def free_name(docs: DataFrame, name: str) -> str:
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a number for each row, and its name. Files are split alike however often they are read, so it stays."""
-    row = free_name(docs, "_row")
-    return docs.withColumn(row, F.monotonically_increasing_id()), row
+    """``docs`` with a number for each row, and its name: the row's place in its file, after the number of that file.
+
+    That doesn't depend on how files are split, so it stays when executors come or go. Rows that are not from files are written first.
+    """
+    row, path, file = (free_name(docs, n) for n in ("_row", "_path", "_file"))
+    try:
+        where = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:
+        return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+    files = where.select(path).distinct().withColumn(file, F.row_number().over(Window.orderBy(path)))
+    place = F.shiftleft(F.col(file).cast("bigint"), 40) + F.col(row)
+    return where.join(checked_broadcast(written(files, "files")), path).withColumn(row, place).select(*docs.columns, row), row
 
 
 def without(docs: DataFrame, row: str, gone: DataFrame, label: str) -> DataFrame:

@@ -91,14 +91,15 @@ def maybe_in(rows: DataFrame, at: list[Column], keys: DataFrame, flag: str = "_m
 def only_ids(docs: DataFrame, id_col: str, ids: DataFrame, how: str = "left_semi", limit: int = BROADCAST_KEYS) -> DataFrame:
     """Rows of ``docs`` whose id is (``left_anti``: is not) in the written one-column table ``ids``.
 
-    Up to ``limit`` ids are broadcast. With more, both sides meet on the id; for ``left_semi``,
-    rows go only if their id's bit is set, so most other texts stay where they are.
+    Up to ``limit`` ids are broadcast. With more, only rows whose id's bit is set meet the ids; most other texts stay where they are.
     """
     ids = ids.toDF("_only_id")
-    few = ids.count() <= limit
-    if not few and how == "left_semi":
-        docs = maybe_in(docs, [docs[id_col]], ids, "__maybe").filter("__maybe").drop("__maybe")
-    return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == ids["_only_id"], how)
+    if ids.count() <= limit:
+        return docs.join(F.broadcast(ids), docs[id_col] == ids["_only_id"], how)
+    tried = maybe_in(docs, [docs[id_col]], ids, "__maybe")
+    maybe = tried.filter("__maybe").drop("__maybe")
+    found = maybe.join(ids, maybe[id_col] == ids["_only_id"], how)
+    return found if how == "left_semi" else found.unionByName(tried.filter("not __maybe").drop("__maybe"))
 
 
 def split_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:

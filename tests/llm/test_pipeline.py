@@ -129,3 +129,30 @@ def test_mix_of_odd_rows(spark, edges):
 def test_empty_table(spark, edges, stage):
     docs = spark.read.parquet(f"{edges}/none.parquet")
     assert dict(corpus_pipeline.STAGES)[stage](spark, docs, edges).count() == 0
+
+
+def test_numbers_stay_however_files_are_split(spark, tmp_path):
+    """A row keeps its number if the plan is made for another number of cores; so the rows that a stage judges are those that it drops."""
+    g = random.Random(4)
+    spark.createDataFrame([(i, " ".join(prose(g, 20))) for i in range(3000)], "doc_id bigint, text string").repartition(5).write.parquet(str(tmp_path / "d"))
+    seen = []
+    for parts in ("1", "4", "40"):
+        spark.conf.set("spark.sql.files.minPartitionNum", parts)
+        rows, row = corpus_pipeline.numbered(spark.read.parquet(str(tmp_path / "d")))
+        seen.append({r["doc_id"]: r[row] for r in rows.collect()})
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert seen[0] == seen[1] == seen[2] and len(set(seen[0].values())) == 3000
+    rows, row = corpus_pipeline.numbered(spark.range(100).withColumn("_row", F.lit(1)))
+    assert row == "__row" and rows.select(row).distinct().count() == 100 and rows.columns == ["id", "_row", "__row"]
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+@pytest.mark.parametrize("limit", [1000, 3])
+def test_ids_beyond_the_limit(spark, how, limit):
+    from plumbline.llm.common import only_ids, written
+
+    docs = spark.range(500).select(F.when(F.col("id") % 50 > 0, F.col("id")).alias("doc_id"), F.lit("x").alias("text"))
+    ids = written(spark.range(0, 500, 7).toDF("i"), "ids")
+    want = [i for i in range(500) if i % 50 and (i % 7 == 0) == (how == "left_semi")] + [None] * (10 if how == "left_anti" else 0)
+    got = [r["doc_id"] for r in only_ids(docs, "doc_id", ids, how, limit).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -12,7 +12,7 @@ these than may be spared, it signs again with another dealing of the domain; of
 enough signatures in common with the other, which has signed under that dealing too.
 
 Sets that share a signature are a bucket, and its set of smallest hash is its pivot; buckets with the same pivot are one. They are compared
-as ``near`` does it: with the pivot, then different classes within a bucket, so copies are never paired with each other; what links is the exact intersection.
+as ``near`` does it, by sketches of a byte a shingle before any set is moved: with the pivot, then different classes within a bucket, so copies are never paired with each other; what links is the exact intersection.
 
 Words and shingles are told apart by 64-bit hashes, sets by 64 bits of a hash of all of theirs.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near
-from .common import LOWER, SLOTS, SLOTS_A_ROW, UPPER, Steps, WordHashes, arrow_texts, ascii_lower, map_texts, maybe_in, mix, split_join, whole_text, window_hashes, written
+from .common import LOWER, SLOTS, SLOTS_A_ROW, UPPER, Steps, WordHashes, arrow_texts, ascii_lower, map_texts, maybe_in, mix, only_ids, split_join, whole_text, window_hashes, written
 
 SHINGLE, SIMILARITY = 5, 80
 #: Largest k with a signature for each two of k + 2 partitions.
@@ -114,6 +114,57 @@ def alike(a: list, b: list, counts: Counter | None = None) -> bool:
     return 100 * common >= SIMILARITY * (len(a) + len(b) - common)
 
 
+def sketch_of(x: np.ndarray) -> bytes:
+    """A byte for each of about as many slots as the set has shingles: the sum, without carry, of what its shingles there have.
+
+    Each shingle that only one of two sets has makes at most one slot differ. Half as many slots are those of both halves, added.
+    """
+    slots = 1 << max(3, (len(x) - 1).bit_length())
+    h = mix(x ^ np.uint64(0x2545F4914F6CDD1D))
+    out = np.zeros(slots, np.uint8)
+    np.bitwise_xor.at(out, (h % np.uint64(slots)).astype(np.int64), (h >> np.uint64(56)).astype(np.uint8))
+    return out.tobytes()
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many shingles two sets differ at least, by their sketches."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.count_nonzero(a != b))
+
+
+def can_be(cp: pa.Array, n: np.ndarray, c: pa.Array, m: np.ndarray) -> np.ndarray:
+    least = [differing(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)) for a, b in zip(cp.to_pylist(), c.to_pylist(), strict=True)]
+    return np.array(least, np.int64) * (100 + SIMILARITY) <= (n.astype(np.int64) + m) * (100 - SIMILARITY)
+
+
+def set_pairs(roots: list, n: np.ndarray, c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of different classes that can be alike, by size and sketch; sizes are in order, so partners are next to each other."""
+    order = np.argsort(n, kind="stable")
+    n, root = n[order].astype(np.int64), np.unique(np.array(list(map(str, roots))), return_inverse=True)[1][order]
+    sketches = [np.frombuffer(x, np.uint8) for x in c.take(pa.array(order)).to_pylist()]
+    same = {size: np.stack([s for s in sketches if len(s) == size]) for size in {len(s) for s in sketches}}
+    first = {size: next(k for k, s in enumerate(sketches) if len(s) == size) for size in same}
+    found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+    for i, a in enumerate(sketches):
+        last = int(np.searchsorted(n, n[i] * 100 // SIMILARITY, "right"))
+        for size in (len(a), 2 * len(a)):  # a partner has as many slots, or twice as many
+            if size not in same:
+                continue
+            low, high = max(i + 1, first[size]), min(last, first[size] + len(same[size]))
+            if low < high:
+                b = same[size][low - first[size] : high - first[size]]
+                b = b if size == len(a) else b[:, : len(a)] ^ b[:, len(a) :]
+                can = (np.count_nonzero(b != a, axis=1) * (100 + SIMILARITY) <= (n[i] + n[low:high]) * (100 - SIMILARITY)) & (root[low:high] != root[i])
+                j = np.flatnonzero(can) + low
+                found[0].append(np.full(len(j), i))
+                found[1].append(j)
+    left, right = map(np.concatenate, found)
+    return order[left.astype(np.int64)], order[right.astype(np.int64)]
+
+
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     hashes = WordHashes()
     for batch, texts in arrow_texts(batches):
@@ -150,7 +201,7 @@ def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, sets in sets_of(batches):
         sizes = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
-        counts = pa.array([near.counts_of(x).tobytes() for x in sets], pa.binary())
+        counts = pa.array([sketch_of(x) for x in sets], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in sets], pa.int64()), lists, pa.array(list(map(len, sets)), pa.int32()), counts], ["_id", "_x", "_w", "_c"])
 
 
@@ -205,9 +256,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         members = steps.written(buckets.select("_id").distinct(), "members")
         wanted = steps.written(sets.join(members, "_id", "left_semi").groupBy("_id").agg(F.min("_doc").alias("_doc")), "wanted")
-        lists = map_texts(of(wanted.select("_doc")).select("_text"), listed, "_id bigint, _x array<bigint>, _w int, _c binary")
-        few = steps.written(lists.join(members, "_id", "left_semi").dropDuplicates(["_id"]), "lists")
-        roots = near.linked(steps, buckets, few, alike)
+        listing = only_ids(texts.filter("_doc is not null"), "_doc", steps.written(wanted.select("_doc").filter("_doc is not null"), "wanted-ids")).unionByName(texts.filter("_doc is null"))
+        lists = map_texts(listing.select("_text"), listed, "_id bigint, _x array<bigint>, _w int, _c binary")
+        few = steps.written(only_ids(lists, "_id", members), "lists")
+        few = steps.written(few.dropDuplicates(["_id"]), "lists-once") if few.count() > members.count() else few  # repeated ids, or none
+        roots = near.linked(steps, buckets, few, near.Likeness(alike, can_be, set_pairs, True))
 
         nodes = sets.filter("_size > 0").groupBy("_id").agg(F.min("_doc").alias("_first"), F.sum("_k").alias("set_size"), F.count(F.lit(1)).alias("_c"))
         known = steps.written(near.with_class(nodes, roots), "known")

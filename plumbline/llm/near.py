@@ -35,6 +35,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import partial, reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -222,6 +223,27 @@ def similar(a: list, b: list, counts: Counter | None = None) -> bool:
     return banded_distance(a, b, most) is not None
 
 
+def words_can_be(cp: pa.Array, n: np.ndarray, c: pa.Array, m: np.ndarray) -> np.ndarray:
+    return can_be_similar(counted(cp), n, counted(c), m)
+
+
+def word_pairs(roots: list, n: np.ndarray, c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return pairs_in_group(roots, n, counted(c))
+
+
+class Likeness(NamedTuple):
+    """How texts are compared: exactly, as lists of symbols; and by sketches (_c), which never rule out what is alike."""
+
+    alike: Callable = similar
+    can_be: Callable = words_can_be  # of rows: sketch and size of both sides
+    pairs: Callable = word_pairs  # of a group: places of pairs of different classes that can be alike
+    #: Whether groups are sifted by sketches before symbols are moved.
+    sift: bool = False
+
+
+WORDS = Likeness()
+
+
 def verify(batches: Iterator[pa.RecordBatch], alike: Callable = similar) -> Iterator[pa.RecordBatch]:
     """Each pivot's row is followed by those to compare with it."""
     pivot = None
@@ -237,20 +259,20 @@ def verify(batches: Iterator[pa.RecordBatch], alike: Callable = similar) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column("_p").take(kept), batch.column("_id").take(kept)], ["_a", "_b"])
 
 
-def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def plausible(batches: Iterator[pa.RecordBatch], likeness: Likeness = WORDS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, m = batch.column("_wp").to_numpy(), batch.column("_w").to_numpy()
-        kept = pa.array(np.flatnonzero(can_be_similar(counted(batch.column("_cp")), n, counted(batch.column("_c")), m)))
+        kept = pa.array(np.flatnonzero(likeness.can_be(batch.column("_cp"), n, batch.column("_c"), m)))
         yield pa.RecordBatch.from_arrays([batch.column("_p").take(kept), batch.column("_id").take(kept)], ["_p", "_id"])
 
 
-def to_pivots(steps: Steps, buckets: DataFrame, few: DataFrame) -> DataFrame:
+def to_pivots(steps: Steps, buckets: DataFrame, few: DataFrame, likeness: Likeness = WORDS) -> DataFrame:
     """(_p, _id): members of ``buckets`` (_key, _id, _p) that can be similar to their bucket's pivot."""
     kind = few.schema["_id"].dataType.simpleString()
     pairs = steps.written(buckets.filter("_id <> _p").select("_p", "_id").distinct(), "star")
     sizes = pairs.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).join(few.select(F.col("_id").alias("_p"), F.col("_w").alias("_wp"), F.col("_c").alias("_cp")), "_p")
     both = split_join(pairs, steps.written(sizes, "pivots"), ["_p"], "_n").join(few.select("_id", "_w", "_c"), "_id")
-    return map_texts(both.select("_p", "_id", "_wp", "_w", "_cp", "_c"), plausible, f"_p {kind}, _id {kind}")
+    return map_texts(both.select("_p", "_id", "_wp", "_w", "_cp", "_c"), partial(plausible, likeness=likeness), f"_p {kind}, _id {kind}")
 
 
 def links(steps: Steps, pairs: DataFrame, few: DataFrame, alike: Callable = similar) -> DataFrame:
@@ -367,7 +389,38 @@ def pairs_in_group(roots: list, n: np.ndarray, counts: np.ndarray, rows: int = 2
     return order[left], order[right]
 
 
-def in_groups(batches: Iterator[pa.RecordBatch], alike: Callable = similar) -> Iterator[pa.RecordBatch]:
+def runs_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that each hold whole runs of rows with one ``_key``; rows come sorted by it, and a run may go over into the next batch."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]) if held is not None else rows
+        key = rows.column("_key").to_numpy()
+        whole = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last group may go on
+        if whole:
+            yield rows.slice(0, whole).combine_chunks()
+        held = rows.slice(whole)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def group_ends(key: np.ndarray) -> list[int]:
+    return [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+
+
+def sifted(batches: Iterator[pa.RecordBatch], likeness: Likeness) -> Iterator[pa.RecordBatch]:
+    """Of each group the members that can be alike to one of another class."""
+    for rows in runs_by_key(batches):
+        roots, n, sketches = rows.column("_root").to_pylist(), rows.column("_w").to_numpy(), rows.column("_c").combine_chunks()
+        cut, kept = group_ends(rows.column("_key").to_numpy()), [np.empty(0, np.int64)]
+        for a, z in zip(cut, cut[1:]):
+            left, right = likeness.pairs(roots[a:z], n[a:z], sketches.slice(a, z - a))
+            kept.append(a + np.unique(np.concatenate([left, right])))
+        at = pa.array(np.concatenate(kept).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().take(at) for c in ("_key", "_id", "_root")], ["_key", "_id", "_root"])
+
+
+def in_groups(batches: Iterator[pa.RecordBatch], likeness: Likeness = WORDS) -> Iterator[pa.RecordBatch]:
     """Links within each group of rows with one ``_key``; rows come sorted by it, so a group may go over into the next batch.
 
     Two members may share several groups; a hash of both chooses in which of these they are aligned.
@@ -375,12 +428,12 @@ def in_groups(batches: Iterator[pa.RecordBatch], alike: Callable = similar) -> I
 
     def links_of(rows: pa.Table) -> pa.RecordBatch:
         key, ids = rows.column("_key").to_numpy(), rows.column("_id").to_pylist()
-        roots, n, counts = rows.column("_root").to_pylist(), rows.column("_w").to_numpy(), counted(rows.column("_c"))
+        roots, n, sketches = rows.column("_root").to_pylist(), rows.column("_w").to_numpy(), rows.column("_c").combine_chunks()
         keys, texts = rows.column("_keys").combine_chunks(), rows.column("_x").combine_chunks()
-        cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        cut = group_ends(key)
         found: list[list[int]] = [[], []]
         for a, z in zip(cut, cut[1:]):
-            left, right = pairs_in_group(roots[a:z], n[a:z], counts[a:z])
+            left, right = likeness.pairs(roots[a:z], n[a:z], sketches.slice(a, z - a))
             groups, words, here, now = {}, {}, int(key[a]), None
             for i, j in zip((left + a).tolist(), (right + a).tolist(), strict=True):
                 for k in (i, j):
@@ -394,32 +447,25 @@ def in_groups(batches: Iterator[pa.RecordBatch], alike: Callable = similar) -> I
                         words[k] = texts[k].values.to_pylist()
                 if now != i:
                     now, bag = i, Counter(words[i])
-                if alike(words[i], words[j], bag):
+                if likeness.alike(words[i], words[j], bag):
                     found[0].append(i)
                     found[1].append(j)
         column = rows.column("_id").combine_chunks()
         return pa.RecordBatch.from_arrays([column.take(pa.array(side, pa.int64())) for side in found], ["_a", "_b"])
 
-    held: pa.Table | None = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        rows = pa.concat_tables([held, rows]) if held is not None else rows
-        key = rows.column("_key").to_numpy()
-        whole = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last group may go on
-        if whole:
-            yield links_of(rows.slice(0, whole).combine_chunks())
-        held = rows.slice(whole)
-    if held is not None and held.num_rows:
-        yield links_of(held.combine_chunks())
+    yield from map(links_of, runs_by_key(batches))
 
 
-def between_classes(steps: Steps, rows: DataFrame, few: DataFrame, alike: Callable = similar) -> DataFrame:
+def between_classes(steps: Steps, rows: DataFrame, few: DataFrame, likeness: Likeness = WORDS) -> DataFrame:
     """Links (_a, _b) between different classes within the small mixed buckets ``rows``, whose pivots have been compared. Only links are listed."""
     kind = few.schema["_id"].dataType.simpleString()
     members = steps.written(rows.filter(~F.col("_id").eqNullSafe(F.col("_p"))).select("_key", "_id", "_root"), "grouped")
+    if likeness.sift:
+        sketched = members.join(few.select("_id", "_w", "_c"), "_id").repartition("_key").sortWithinPartitions("_key", "_id")
+        members = steps.written(map_texts(sketched.select("_key", "_id", "_root", "_w", "_c"), partial(sifted, likeness=likeness), f"_key bigint, _id {kind}, _root {kind}"), "sifted")
     own = members.groupBy("_id").agg(F.collect_set("_key").alias("_keys")).join(few, "_id")  # a bucket for each band, two if split by length
     whole = members.join(own, "_id").repartition("_key").sortWithinPartitions("_key", "_id")
-    return steps.written(map_texts(whole.select("_key", "_id", "_root", "_w", "_c", "_keys", "_x"), partial(in_groups, alike=alike), f"_a {kind}, _b {kind}"), "between")
+    return steps.written(map_texts(whole.select("_key", "_id", "_root", "_w", "_c", "_keys", "_x"), partial(in_groups, likeness=likeness), f"_a {kind}, _b {kind}"), "between")
 
 
 def by_length(rows: DataFrame, few: DataFrame) -> DataFrame:
@@ -530,30 +576,30 @@ def classes(steps: Steps, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     kind = nodes.schema["_id"].dataType.simpleString()
     few = steps.written(map_texts(only_ids(texts, "_id", candidates), word_lists, f"_id {kind}, _x array<bigint>, _w int, _c binary"), "lists")
     few = steps.written(few.dropDuplicates(["_id"]), "lists-once") if few.count() > candidates.count() else few  # repeated ids
-    return linked(steps, buckets, few, similar)
+    return linked(steps, buckets, few)
 
 
-def linked(steps: Steps, buckets: DataFrame, few: DataFrame, alike: Callable) -> DataFrame:
-    """(_id, _root) for all of the written ``buckets`` (_key, _id, _n, _p) whose members are to be compared by ``alike``, which implies
-    that both share 0.8 of the longer one's symbols. ``few`` has their symbols: _id, _x, _w (how many), _c (counts by slot)."""
+def linked(steps: Steps, buckets: DataFrame, few: DataFrame, likeness: Likeness = WORDS) -> DataFrame:
+    """(_id, _root) for all of the written ``buckets`` (_key, _id, _n, _p) whose members are to be compared by ``likeness``, which implies
+    that both share 0.8 of the longer one's symbols. ``few`` has their symbols: _id, _x, _w (how many), _c (a sketch)."""
     kind = few.schema["_id"].dataType.simpleString()
 
     def settled(buckets: DataFrame, roots: DataFrame | None, more: list[DataFrame]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
         """Steps 1 and 2 on ``buckets``: the roots with ``more`` links and those to pivots, the mixed buckets that are too large, the links of the others."""
-        pivot_links = links(steps, to_pivots(steps, buckets, few), few, alike)
+        pivot_links = links(steps, to_pivots(steps, buckets, few, likeness), few, likeness.alike)
         roots = components(steps, pivot_links) if roots is None else joined_components(steps, roots, reduce(DataFrame.unionByName, more, pivot_links))
         rest = mixed(steps, steps.written(with_class(buckets.select("_key", "_id", "_p"), roots), "classes"))
         groups, large = rest.filter("_small"), rest.filter("not _small")
         if not large.isEmpty():
             split = mixed(steps, steps.written(by_length(large, few).withColumn("_p", F.lit(None).cast(kind)), "by-length"))  # any two may be of different pivots
             groups, large = groups.unionByName(split.filter("_small")), split.filter("not _small")
-        return roots, large, [between_classes(steps, groups, few, alike)]
+        return roots, large, [between_classes(steps, groups, few, likeness)]
 
     roots, large, more = settled(buckets, None, [])
     if not large.isEmpty():
         roots, large, more = settled(with_pivot(steps, steps.written(rare_words(steps, large, few), "rare")), roots, more)
         if not large.isEmpty():
-            more.append(block_links(steps, large.select("_key", "_id", "_root"), few, alike))
+            more.append(block_links(steps, large.select("_key", "_id", "_root"), few, likeness.alike))
     return joined_components(steps, roots, reduce(DataFrame.unionByName, more))
 
 

@@ -122,3 +122,24 @@ def test_one_very_long_text(frame):
     body = prose(g, 40_000)
     rows = [(0, " ".join(body)), (1, " ".join(body[:36_000])), (2, " ".join(body[:20_000])), (3, " ".join(edited(g, body, 300)))]
     assert result(frame(rows)) == brute(rows)
+
+
+def test_sketches_rule_out_nothing_that_is_alike():
+    import pyarrow as pa
+
+    g = np.random.Generator(np.random.PCG64(3))
+    pool = [g.integers(0, 1 << 63, n, np.uint64) for n in (3, 9, 60, 64, 70, 400)]
+    sets = []
+    for x in pool:
+        for _ in range(12):
+            keep = x[g.random(len(x)) > g.choice((0.0, 0.05, 0.15, 0.3))]
+            sets.append(np.unique(np.concatenate([keep, g.integers(0, 1 << 63, int(g.integers(0, 1 + len(x) // 8)), np.uint64)])))
+    sets = [x for x in sets if len(x)]
+    sketches, n, roots = pa.array([jaccard.sketch_of(x) for x in sets], pa.binary()), np.array([len(x) for x in sets]), [int(g.integers(0, 20)) for _ in sets]
+    left, right = jaccard.set_pairs(roots, n, sketches)
+    got = {(min(i, j), max(i, j)) for i, j in zip(left.tolist(), right.tolist(), strict=True)}
+    linked = {(i, j) for j in range(len(sets)) for i in range(j) if roots[i] != roots[j] and alike(sets[i].tolist(), sets[j].tolist())}
+    assert linked <= got and all(roots[i] != roots[j] for i, j in got) and len(got) == len(left)
+    assert len(got) < 2 * len(linked) and len(linked) > 50
+    for i, j in linked:
+        assert jaccard.can_be(sketches.take([i]), n[[i]], sketches.take([j]), n[[j]]).all()

@@ -3,11 +3,12 @@
 import math
 import os
 
-import duckdb
 import pytest
 
 from plumbline.plans.queries import ORACLES, QUERIES
 
+duckdb = pytest.importorskip("duckdb")
+
 DATA = os.environ.get("PLUMBLINE_TEST_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no standard tables here")
 

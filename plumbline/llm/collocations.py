@@ -33,8 +33,6 @@ FLUSH = 1_000_000
 #: Stands for the end of a piece; no word can be like it.
 BREAK = b"."
 _SIGNS = bytes.maketrans(UPPER.encode() + b".,;:!?\x0b\x0c\r\t", LOWER.encode() + b"\n" * 9 + b" ")
-#: Different words that a task counts before it gives out their sums.
-MOST_WORDS = 200_000
 PHRASE = ("_1", "_2", "_3", "_4")
 
 
@@ -51,32 +49,31 @@ class Codes(WordHashes):
 
 
 def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (_lang, _w) for each text: the hashes of its words, 0 between pieces; and rows (_lang, _word, _h, _n): how often each word occurs."""
-    names = ["_lang", "_w", "_word", "_h", "_n"]
+    """Each text as the hashes of its words, 0 between pieces, and how many words these are."""
     codes = Codes()
-    seen: dict[str, Counter] = {}
-
-    def sums() -> Iterator[pa.RecordBatch]:
-        for lang, counts in seen.items():
-            counts.pop(BREAK, None)
-            words = list(counts)
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.nulls(len(words), pa.list_(pa.int64())), pa.array(words, pa.binary()).cast(pa.string()), pa.array(h), pa.array(list(counts.values()), pa.int64())], names)
-        seen.clear()
-
     for batch, texts in arrow_texts(batches):
-        x = []
-        for lang, text in zip(batch.column("_lang").to_pylist(), texts, strict=True):
-            words = tokens(text)
-            seen.setdefault(lang, Counter()).update(words)
-            x.append(codes.array(words))
+        x = [codes.array(tokens(t)) for t in texts]
         sizes = np.cumsum([0, *map(len, x)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([*x, np.empty(0, np.uint64)]).view(np.int64)))
-        none = len(x)
-        yield pa.RecordBatch.from_arrays([batch.column("_lang"), lists, pa.nulls(none, pa.string()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64())], names)
-        if sum(map(len, seen.values())) > MOST_WORDS:
-            yield from sums()
-    yield from sums()
+        yield pa.RecordBatch.from_arrays([batch.column("_lang"), lists, pa.array([np.count_nonzero(h) for h in x], pa.int64())], ["_lang", "_w", "_n"])
+
+
+def spelled(asked):
+    """The words (_lang, _word, _h) whose bit is set in ``asked``, once for each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, wanted = Codes(), Bits(asked.value)
+        for batch, texts in arrow_texts(batches):
+            seen: dict[str, set] = {}
+            for lang, text in zip(batch.column("_lang").to_pylist(), texts, strict=True):
+                seen.setdefault(lang, set()).update(tokens(text))
+            for lang, words in seen.items():
+                words = list(words - {BREAK})
+                h = codes.array(words)
+                at = np.flatnonzero(wanted.has(keys_of(lang, [h])))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([words[k] for k in at], pa.binary()).cast(pa.string()), pa.array(h[at].view(np.int64))], ["_lang", "_word", "_h"])
+
+    return run
 
 
 def keys_of(lang: str, words: list[np.ndarray]) -> np.ndarray:
@@ -165,29 +162,21 @@ def scanned(found: Callable[[str, np.ndarray], Iterator[list[np.ndarray]]]):
     return run
 
 
-def pairs_in(frequent, keys=None) -> Callable:
-    """Pairs of ``frequent`` words: their hashes, or, of those whose hash is among ``keys``, both words."""
+def words_in(lang: str, w: np.ndarray) -> Iterator[list[np.ndarray]]:
+    yield [w[w != 0]]
+
+
+def pairs_in(frequent) -> Callable:
+    """Pairs of ``frequent`` words."""
 
     def found(lang: str, w: np.ndarray) -> Iterator[list[np.ndarray]]:
         ok = (w != 0) & Bits(frequent.value).has(keys_of(lang, [w]))
         at = np.flatnonzero(ok[:-1] & ok[1:])
-        key = keys_of(lang, [w[at], w[at + 1]])
-        if keys is None:
-            yield [key]
-        else:
-            at = at[Bits(keys.value).has(key)]
-            yield [w[at], w[at + 1]]
+        yield [w[at], w[at + 1]]
 
     return found
 
 
-def pairs_of(steps: Steps, coded: DataFrame, frequent, least: int) -> DataFrame:
-    """Pairs that occur ``least`` times. Most pairs don't: their hashes are counted first, then the pairs with the hashes of those that may."""
-    hashes = coded.mapInArrow(scanned(pairs_in(frequent)), SUMS).select(F.col("_1").alias("k"), "_n").groupBy("k").agg(F.sum("_n").alias("n"))
-    keys = slots_as_bits(steps.written(hashes.filter(F.col("n") >= least).select("k"), "pair-hashes"), "k")
-    return counted(coded, pairs_in(frequent, keys), least)
-
-
 def grown_in(frequent, asked) -> Callable:
     """Phrases that are one of ``asked`` with one word more, before or after it, if all their pairs are ``frequent``."""
 
@@ -212,9 +201,24 @@ def grown_in(frequent, asked) -> Callable:
 SUMS = "_lang string, _1 bigint, _2 bigint, _3 bigint, _4 bigint, _n bigint"
 
 
-def counted(words: DataFrame, found: Callable, least: int) -> DataFrame:
-    sums = words.mapInArrow(scanned(found), SUMS)
-    return sums.groupBy("_lang", *PHRASE).agg(F.sum("_n").alias("a")).filter(F.col("a") >= least)
+def counted(steps: Steps, words: DataFrame, found: Callable, least: int) -> DataFrame:
+    """(_lang, _1 .. _4, a): phrases that ``found`` gives ``least`` times or more.
+
+    Most phrases are rarer. So their hashes alone are counted first, then the phrases whose hashes are frequent.
+    """
+
+    def hashes(lang: str, w: np.ndarray) -> Iterator[list[np.ndarray]]:
+        return ([keys_of(lang, columns)] for columns in found(lang, w))
+
+    often = words.mapInArrow(scanned(hashes), SUMS).select(F.col("_1").alias("k"), "_n").groupBy("k").agg(F.sum("_n").alias("n")).filter(F.col("n") >= least)
+    keys = slots_as_bits(steps.written(often.select("k"), "often"), "k")
+
+    def these(lang: str, w: np.ndarray) -> Iterator[list[np.ndarray]]:
+        for columns in found(lang, w):
+            has = Bits(keys.value).has(keys_of(lang, columns))
+            yield [c[has] for c in columns]
+
+    return words.mapInArrow(scanned(these), SUMS).groupBy("_lang", *PHRASE).agg(F.sum("_n").alias("a")).filter(F.col("a") >= least)
 
 
 def score_of(a: Column, parts: Column) -> Column:
@@ -232,7 +236,7 @@ def lowest_cut(cuts: list[tuple[str, str]]) -> list[Column]:
 
 def scored_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """Pairs with the counts of both words (_f1, _f2), their score and the bound of all that begins with them."""
-    one = lambda k: words.select("_lang", F.col("_h").alias(f"_{k}"), F.col("_n").alias(f"_f{k}"))
+    one = lambda k: words.select("_lang", F.col("_1").alias(f"_{k}"), F.col("a").alias(f"_f{k}"))
     both = pairs.join(one(1), ["_lang", "_1"]).join(one(2), ["_lang", "_2"])
     return both.select("*", *lowest_cut([("_f1", "_f2")]), score_of(F.col("a"), F.col("_f1") + F.col("a")).alias("bound"))
 
@@ -284,16 +288,13 @@ def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("_lang"), whole_text(text_col).alias("_text"))
     with Steps(docs.sparkSession) as steps:
-        both = steps.written(map_texts(texts, encoded, "_lang string, _w array<bigint>, _word string, _h bigint, _n bigint"), "coded")
-        coded = both.filter("_w is not null").select("_lang", "_w")
-        sums = both.filter("_word is not null").groupBy("_lang", "_word").agg(F.sum("_n").alias("_n"), F.first("_h").alias("_h"))
-        vocabulary = steps.written(sums, "vocabulary")
-        totals = vocabulary.groupBy("_lang").agg(F.sum("_n").alias("n"))
-        words = steps.written(vocabulary.filter(F.col("_n") >= least), "words")
-
+        coded = steps.written(map_texts(texts, encoded, "_lang string, _w array<bigint>, _n bigint"), "coded")
+        totals = coded.groupBy("_lang").agg(F.sum("_n").alias("n"))
+        coded = coded.select("_lang", "_w")
+        words = steps.written(counted(steps, coded, words_in, least), "words")
         none = [F.lit(None).cast("bigint").alias(c) for c in PHRASE]
-        frequent = bits_of(steps, words.select("_lang", F.col("_h").alias("_1"), *none[1:]))
-        pairs = steps.written(scored_pairs(pairs_of(steps, coded, frequent, least), words), "pairs")
+        frequent = bits_of(steps, words)
+        pairs = steps.written(scored_pairs(counted(steps, coded, pairs_in(frequent), least), words), "pairs")
         known = bits_of(steps, pairs)
         threes = steps.written(scored_threes(pairs.select("_lang", *PHRASE, "a").limit(0), pairs), "threes")
         fours = steps.written(scored_fours(threes.select("_lang", *PHRASE, "a"), threes), "fours")
@@ -312,7 +313,7 @@ def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "
             inner = asked.filter("_3 is not null").select("_lang", F.col("_2").alias("_1"), F.col("_3").alias("_2"), *none[2:])
             asked = steps.written(asked.unionByName(without(inner, grown)).distinct(), "growing")
             bits = bits_of(steps, asked)
-            found = steps.written(counted(coded, grown_in(known, bits), least), "found")
+            found = steps.written(counted(steps, coded, grown_in(known, bits), least), "found")
             grown = steps.written(grown.unionByName(asked), "grown")
             more = without(found.filter("_4 is null"), threes)
             threes = steps.written(threes.unionByName(scored_threes(more, pairs)), "threes")
@@ -326,11 +327,14 @@ def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "
         best = steps.written(at_least(left, "score", least_score), "best")
         at = best.withColumn("_row", F.monotonically_increasing_id()).select("_lang", "_row", *PHRASE, "a", "l", "r", "score")
         at = steps.written(at, "numbered")
-        spelled = at.select("_lang", "_row", F.posexplode(F.array(*PHRASE)).alias("_p", "_h")).filter("_h is not null").join(words.select("_lang", "_h", "_word"), ["_lang", "_h"])
+        parts = at.select("_lang", "_row", F.posexplode(F.array(*PHRASE)).alias("_p", "_h")).filter("_h is not null")
+        asked = bits_of(steps, parts.select("_lang", F.col("_h").alias("_1"), *none[1:]).distinct())
+        names = map_texts(texts, spelled(asked), "_lang string, _word string, _h bigint").groupBy("_lang", "_h").agg(F.first("_word").alias("_word"))
+        parts = parts.join(names, ["_lang", "_h"])
         phrase = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_word"))), lambda x: x["_word"]), " ")
-        spelled = spelled.groupBy("_row").agg(phrase.alias("phrase"))
+        phrases = parts.groupBy("_row").agg(phrase.alias("phrase"))
         rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-        out = at.join(spelled, "_row").withColumn("_rank", rank).filter(F.col("_rank") <= top).join(totals, "_lang")
+        out = at.join(phrases, "_row").withColumn("_rank", rank).filter(F.col("_rank") <= top).join(totals, "_lang")
         return written(out.select(F.col("_lang").alias("lang"), F.col("_rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"), "collocations")
 
 

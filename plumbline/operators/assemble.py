@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import columns as C
+
 # Fields of a dataset's top level, as arrays or single strings.
 LIST_FIELDS = ("keywords", "fieldOfScience", "inLanguage")
 TEXT_FIELDS = ("id", "name", "description", "headline", "conformsTo", "citeAs", "license", "url", "doi", "version", "country", "datePublished", "uploadedBy")
@@ -193,6 +195,32 @@ def database_record_sets(tables: DataFrame, dists: DataFrame) -> DataFrame:
     return tables.join(ids, "table_name", "left")
 
 
+def database_tables(tables: dict[str, DataFrame], keys: dict[str, str], dists: DataFrame, dataset_id: str, values: int = 3, scan: int = 1000, rows: int = 30) -> DataFrame:
+    """(dataset_id, distribution_id, table_name, fields, examples): the record set of each table of a database.
+
+    Each column has its type, its source (the table's distribution), up to ``values`` different values of the first ``scan`` rows by the
+    table's key, and its statistics over all rows; ``examples`` are the first ``rows`` rows as JSON, by column. A table that
+    the inventory lacks has no distribution.
+    """
+    ids = dists.filter("kind = 'database_table'").select(F.col("name").alias("table_name"), F.col("id").alias("distribution_id"))
+    parts = []
+    for name, df in tables.items():
+        profiles = C.profile_columns(df, distinct="budget").select(F.lit(name).alias("table_name"), "*").join(F.broadcast(ids), "table_name", "left").withColumn("dataset_id", F.lit(dataset_id))
+        picked = [C.distinct_value_sample(df, c, keys[name], values, scan) for c in df.columns]
+        samples = reduce(DataFrame.unionByName, picked).withColumn("rank", F.lit(0))
+        parts.append(with_examples(column_fields(profiles, samples), C.table_examples(df, keys[name], rows=rows)).withColumnRenamed("record_set", "table_name"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def flat_databases(sets: DataFrame, dists: DataFrame) -> DataFrame:
+    """One row per database: (dataset_id, file_object_id, original_format, source_file, name, tables), its tables with their columns' names, types and statistics."""
+    columns = F.transform("fields", lambda f: F.struct(f["name"].alias("name"), f["data_type"].alias("primitive_type"), f["description"].alias("description"), f["statistics"].alias("statistics")))
+    within = dists.filter("kind = 'database_table'").select(F.col("id").alias("distribution_id"), "contained_in")
+    nested = sets.join(within, "distribution_id").groupBy("dataset_id", "contained_in").agg(F.sort_array(F.collect_list(F.struct(F.col("table_name").alias("name"), columns.alias("columns")))).alias("tables"))
+    whole = dists.filter("kind = 'database'").select(F.col("id").alias("contained_in"), F.col("content_url").alias("source_file"), "name")
+    return nested.join(whole, "contained_in").select("dataset_id", F.col("contained_in").alias("file_object_id"), F.lit("sql-db").alias("original_format"), "source_file", "name", "tables")
+
+
 def flat_files(dists: DataFrame, sets: DataFrame) -> DataFrame:
     """One row per file, of any number: (dataset_id, file_object_id, source_file, name, encoding_format, tables), with the record sets found in it."""
     payload = [c for c in sets.columns if c not in ("dataset_id", "distribution_id")]

@@ -261,3 +261,58 @@ def database_record_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = e.filter("table_name <> 'click'").select(F.lit("events").alias("database_name"), "table_name")
     connection = names.select(F.lit("postgresql").alias("protocol"), F.lit("db").alias("host"), F.lit(5432).alias("port"), "database_name").distinct()
     return A.database_record_sets(e, I.database_distributions(connection, names)).select("table_name", "distribution_id", "n")
+
+
+_SHOP = {"customer": ["c_custkey", "c_nationkey", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]}
+_SHOP_URL = "postgresql://db:5432/shop"
+
+
+def shop(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The record sets and the inventory of a database of two tables."""
+    tables = {t: table(spark, sf_dir, t).select(*cs) for t, cs in _SHOP.items()}
+    names = spark.createDataFrame([("shop", t) for t in _SHOP], "database_name string, table_name string")
+    connection = names.select(F.lit("postgresql").alias("protocol"), F.lit("db").alias("host"), F.lit(5432).alias("port"), "database_name").distinct()
+    dists = I.database_distributions(connection, names)
+    return A.database_tables(tables, {t: cs[0] for t, cs in _SHOP.items()}, dists, "sales"), dists
+
+
+def _sql_shop(rest: str) -> str:
+    """A SELECT for each column of the shop; ``rest`` with {t} table, {k} key, {c} column, {i} position, {kind} type, {most} largest number."""
+    parts = []
+    for t, cs in _SHOP.items():
+        for i, c in enumerate(cs):
+            number = c.endswith("key")
+            parts.append(rest.format(t=t, k=cs[0], c=c, i=i, kind="sc:Integer" if number else "sc:Text", most=f"(SELECT max({c})::DOUBLE FROM {t})" if number else "NULL::DOUBLE"))
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    "database_tables",
+    _sql_shop(
+        f"""SELECT '{{t}}' AS table_name, sha256(sha256('{_SHOP_URL}') || '/{{t}}') AS distribution_id, {{i}} AS position, '{{c}}' AS column_name, '{{kind}}' AS data_type, '{{c}}' AS source_column,
+(SELECT string_agg(v::VARCHAR, ',' ORDER BY v::VARCHAR) FROM (SELECT DISTINCT {{c}} AS v FROM (SELECT {{c}} FROM {{t}} ORDER BY {{k}} LIMIT 1000) ORDER BY v LIMIT 3)) AS sample,
+(SELECT count({{c}}) FROM {{t}}) AS row_count, (SELECT count(DISTINCT {{c}}) FROM {{t}}) AS unique_count, (SELECT to_json(list({{c}} ORDER BY {{k}}))::VARCHAR FROM (SELECT * FROM {{t}} ORDER BY {{k}} LIMIT 30)) AS examples"""
+    ),
+)
+def database_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of a database with their columns' types, values, statistics and examples."""
+    sets, _ = shop(spark, sf_dir)
+    f = sets.select("table_name", "distribution_id", "examples", F.explode("fields").alias("f"))
+    return f.select(
+        "table_name", "distribution_id", "f.position", F.col("f.name").alias("column_name"), "f.data_type", F.col("f.source.extract.column").alias("source_column"), F.array_join("f.sample", ",").alias("sample"),
+        F.col("f.statistics.row_count").alias("row_count"), F.col("f.statistics.unique_count").alias("unique_count"), F.variant_get(F.parse_json("examples"), F.concat(F.lit("$."), "f.name"), "string").alias("examples"),
+    )
+
+
+@query(
+    "flat_databases",
+    _sql_shop(
+        f"SELECT 'sales' AS dataset_id, sha256('{_SHOP_URL}') AS file_object_id, 'sql-db' AS original_format, '{_SHOP_URL}' AS source_file, 'shop' AS name, '{{t}}' AS table_name, '{{c}}' AS column_name, '{{kind}}' AS primitive_type,"
+        " (SELECT count({c}) FROM {t}) AS row_count, {most} AS max_value"
+    ),
+)
+def flat_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat form of a database: its tables, nested, with their columns."""
+    flat = A.flat_databases(*shop(spark, sf_dir)).select("dataset_id", "file_object_id", "original_format", "source_file", "name", F.explode("tables").alias("t"))
+    c = flat.select("*", F.col("t.name").alias("table_name"), F.explode("t.columns").alias("c"))
+    return c.select("dataset_id", "file_object_id", "original_format", "source_file", "name", "table_name", F.col("c.name").alias("column_name"), "c.primitive_type", F.col("c.statistics.row_count").alias("row_count"), F.col("c.statistics.max_value").alias("max_value"))

@@ -171,3 +171,20 @@ def test_running_profile_counts_a_batch_once(spark, tmp_path):
     P.put_batch(spark.range(20, 30), 2, "t", compacted)  # the last one delivered again
     again = P.current_profile(spark, compacted, "t").collect()[0]
     assert (again["row_count"], again["mean"], again["variance"]) == (30, 14.5, pytest.approx(r["variance"]))
+
+
+def test_database_tables_hold_columns_values_and_examples(spark):
+    users = spark.createDataFrame([(i, f"n{i % 4}", None if i % 3 else i / 2) for i in range(50)], "id int, name string, score double")
+    logs = spark.createDataFrame([(i, i % 5) for i in range(7)], "log_id bigint, user_id int")
+    names = spark.createDataFrame([("shop", "users")], "database_name string, table_name string")
+    connection = names.select(F.lit("postgresql").alias("protocol"), F.lit("h").alias("host"), F.lit(1).alias("port"), "database_name")
+    dists = I.database_distributions(connection, names)
+    sets = {r["table_name"]: r for r in A.database_tables({"users": users, "logs": logs}, {"users": "id", "logs": "log_id"}, dists, "d", rows=5).collect()}
+    assert [(f["name"], f["data_type"], f["statistics"]["row_count"], f["sample"]) for f in sets["users"]["fields"]] == [
+        ("id", "sc:Integer", 50, ["0", "1", "2"]), ("name", "sc:Text", 50, ["n0", "n1", "n2"]), ("score", "sc:Float", 17, ["0.0", "1.5", "3.0"])
+    ]
+    assert json.loads(sets["users"]["examples"]) == {"id": [0, 1, 2, 3, 4], "name": ["n0", "n1", "n2", "n3", "n0"], "score": [0.0, None, None, 1.5, None]}
+    assert sets["logs"]["distribution_id"] is None and sets["users"]["fields"][0]["source"]["fileObject"] == sets["users"]["distribution_id"]
+    flat = A.flat_databases(A.database_tables({"users": users, "logs": logs}, {"users": "id", "logs": "log_id"}, dists, "d"), dists).collect()
+    assert len(flat) == 1 and [t["name"] for t in flat[0]["tables"]] == ["users"]
+    assert [c["primitive_type"] for c in flat[0]["tables"][0]["columns"]] == ["sc:Integer", "sc:Text", "sc:Float"]

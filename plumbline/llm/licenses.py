@@ -91,25 +91,41 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
 
 
-def windows(text: str) -> dict[str, list[list[int]]]:
-    """Of each notice with a piece in ``text``, the disjoint stretches that hold all places around its pieces."""
-    automaton, _ = tables()
-    around: dict[str, list[tuple[int, int]]] = {}
+@cache
+def grams(notice: str) -> frozenset[str]:
+    return frozenset(notice[k : k + 3] for k in range(len(notice) - 2))
+
+
+def places(text: str) -> dict[str, list[tuple[int, int, int]]]:
+    """(start, end, edits) of each notice in ``text``: of each exact piece the best match within its window that has the piece inside."""
+    automaton, patterns = tables()
+    seeds: dict[str, list[tuple[int, int, int]]] = {}
     for last, (n, where) in automaton.iter(text):
         for notice, offset in where:
-            e = edit_budget(notice)
-            a = last + 1 - n - offset - e
-            around.setdefault(notice, []).append((max(a, 0), min(a + len(notice) + 2 * e, len(text))))
+            seeds.setdefault(notice, []).append((last + 1 - n, n, offset))
     out = {}
-    for notice, places in around.items():
-        places.sort()
-        merged = [list(places[0])]
-        for a, z in places[1:]:
-            if a <= merged[-1][1]:
-                merged[-1][1] = max(z, merged[-1][1])
-            else:
-                merged.append([a, z])
-        out[notice] = merged
+    for notice, found in seeds.items():
+        most, kept = edit_budget(notice), []
+        for p, n, offset in sorted(found):
+            if kept and kept[-1][0] <= p and p + n <= kept[-1][1] and abs(p - kept[-1][0] - offset) <= most:
+                continue  # another piece of the same place
+            a = max(p - offset - most, 0)
+            z = min(p - offset + len(notice) + most, len(text))
+            window = text[a:z]
+            if sum(g not in window for g in grams(notice)) > 3 * most:
+                continue  # an edit takes away three of the notice's trigrams at most
+            while m := patterns[notice].search(text, a, z):
+                s, e = m.span()
+                if s <= p and p + n <= e:
+                    s, e = s + (text[s : s + 1] == " "), e - (text[e - 1 : e] == " ")
+                    hit = s, e, sum(m.fuzzy_counts)
+                    if not kept or kept[-1][1] <= s:
+                        kept.append(hit)
+                    elif hit[2] < kept[-1][2]:  # places that overlap are one, the closest
+                        kept[-1] = hit
+                    break
+                a, z = (s + 1, z) if s < p else (a, e - 1)  # a neighbour's place
+        out[notice] = kept
     return out
 
 
@@ -118,15 +134,7 @@ def fuzzy(text: str) -> list[tuple[str, int, int, int]]:
 
     Where notices of different licenses overlap, only those with the fewest edits count.
     """
-    _, patterns = tables()
-    found = []
-    for notice, places in windows(text).items():
-        for a, z in places:
-            for m in patterns[notice].finditer(text, a, z):
-                s, e = m.span()
-                s += text[s : s + 1] == " "
-                e -= text[e - 1 : e] == " "
-                found.append((s, e, sum(m.fuzzy_counts), notice))
+    found = [(*hit, notice) for notice, hits in places(text).items() for hit in hits]
     found.sort()
     out: list[tuple[int, int, int, str]] = []
     for hit in found:

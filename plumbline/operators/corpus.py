@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from plumbline.session import written
+
 from .documents import word_counts
 
 #: Trigrams of the model that may be broadcast; a larger model is joined by shuffling.
@@ -18,20 +20,17 @@ def tfidf_keywords(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col
     """(id, rank, word, score): the k words of highest tf * idf, equals by name; idf = ln((1 + N) / (1 + df)) + 1.
 
     Document frequencies are as many rows as there are words; they are joined on the word. Those of
-    frequent words, a million at most, are broadcast, so no task gets all rows of one.
+    frequent words, a million at most, are broadcast, so no task gets all rows of one. Texts are read once.
     """
-    counts = word_counts(docs, id_col, text_col)
+    counts = written(word_counts(docs, id_col, text_col), "word-counts")
     df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     n_docs = docs.count()
     idf = df.select("word", "df", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"))
-    if n_docs > HOT_WORD:
-        pairs = counts.count()
-        limit = max(HOT_WORD, pairs // 1_000_000)
-        hot = F.broadcast(idf.filter(F.col("df") > limit).drop("df"))
-        rest = counts.join(hot.select("word"), "word", "left_anti").join(idf.filter(F.col("df") <= limit).drop("df"), "word")
-        scored = rest.unionByName(counts.join(hot, "word"))
-    else:
-        scored = counts.join(idf.drop("df"), "word")
+    idf = written(idf, "word-weights")
+    limit = max(HOT_WORD, counts.count() // 1_000_000)
+    hot = F.broadcast(idf.filter(F.col("df") > limit).drop("df"))
+    rest = counts.join(hot.select("word"), "word", "left_anti").join(idf.filter(F.col("df") <= limit).drop("df"), "word")
+    scored = rest.unionByName(counts.join(hot, "word"))
     scored = scored.withColumn("score", F.round(F.col("n") * F.col("idf"), 6))
     w = W.partitionBy(id_col).orderBy(F.desc("score"), "word")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(id_col, "rank", "word", "score")
@@ -73,6 +72,7 @@ def detect_language(docs: DataFrame, model: DataFrame, priors: DataFrame, id_col
     if not langs:
         return docs.select(id_col, F.lit("n/a").alias("language"))
     wide = model.groupBy("gram").agg(*(F.max(F.when(F.col("lang") == x, F.col("weight"))).alias(f"_w{i}") for i, x in enumerate(langs)))
+    wide = written(wide, "language-model")
     wide = F.broadcast(wide) if wide.count() <= most_grams else wide
     grams = F.regexp_extract_all(F.lower(text_col), F.lit("(?s)(?=(...))"), 1)
     each = docs.select(F.col(id_col).alias("_id"), F.explode(grams).alias("gram")).join(wide, "gram", "left")

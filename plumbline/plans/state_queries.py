@@ -8,20 +8,13 @@ from pyspark.sql import functions as F
 from plumbline.operators import columns as C
 from plumbline.operators import mergeable as M
 from plumbline.plans.registry import query
-from plumbline.session import scratch_dir, table
+from plumbline.session import scratch_dir, table, written
 from plumbline.streaming import profile as P
 
 _SAMPLED = ("user_id", "event_type", "value", "props")
 _BINNED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_orderkey")
 
 
-def kept(states: DataFrame, label: str) -> DataFrame:
-    """The states as a written table, as a stream keeps them."""
-    path = scratch_dir(states.sparkSession, label)
-    states.write.parquet(path)
-    return states.sparkSession.read.parquet(path)
-
-
 @query(
     "merged_state_sample",
     "WITH s AS (SELECT *, row_number() OVER (ORDER BY md5(event_id::VARCHAR)) AS rank FROM events)"
@@ -30,7 +23,7 @@ def kept(states: DataFrame, label: str) -> DataFrame:
 def merged_state_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of the events of each user, merged: the same values as a sample of all events."""
     e = table(spark, sf_dir, "events").withColumn("value", F.col("value").cast("decimal(18,2)"))
-    parts = kept(M.column_samples(e, F.md5(F.col("event_id").cast("string")), list(_SAMPLED), "user_id"), "samples")
+    parts = written(M.column_samples(e, F.md5(F.col("event_id").cast("string")), list(_SAMPLED), "user_id"), "samples")
     merged = M.merged_samples(parts, ["column_name"])
     return merged.select("column_name", F.posexplode("sample").alias("rank", "s")).select("column_name", (F.col("rank") + 1).alias("rank"), F.col("s.v").alias("value"))
 
@@ -46,7 +39,7 @@ def merged_state_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches by supplier and line number, merged by supplier: of up to ``KLL_K`` values the quantiles are exact."""
     lines = table(spark, sf_dir, "lineitem").withColumn("part", F.concat_ws(":", "l_suppkey", "l_linenumber"))
     states = P.grouped_partial_state(lines, "part", ["l_quantity", "l_extendedprice"]).withColumn("supplier", F.split_part("batch_id", F.lit(":"), F.lit(1)).cast("bigint"))
-    merged = P.merge_states(kept(states, "states"), ("supplier", "column_name"))
+    merged = P.merge_states(written(states, "states"), ("supplier", "column_name"))
     return P.profile_of_state(merged, ("supplier", "column_name")).select("supplier", "column_name", "row_count", *C.QUANTILES)
 
 

@@ -8,7 +8,7 @@ a copied example; another one that looks random is taken for a live credential o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import split_join, whole_text, written
@@ -23,7 +23,7 @@ PATTERNS = (
     # of the method's own: tokens whose prefix names their issuer
     ("issued", r"(?:gh[opsu]_|xox[abprs]-|sk_live_|eyJ)[A-Za-z0-9_.-]{20,}", 0, 20),
 )
-SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,value_hash:string,varied:boolean>"
+MATCH = "struct<rank:int,at:int,gap:bigint,length:bigint,value_hash:string,varied:boolean>"
 
 #: A value of so many owners is an example, and so is one of fewer owners, but two, in so many repositories.
 EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 5
@@ -31,37 +31,41 @@ EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 5
 LIVE_CHARACTERS = 8
 
 
-def _spans(text: Column, rank: int, pattern: str, group: int, least: int) -> Column:
-    """Spans of one kind in text order; ``text`` must have a match."""
+def _matches(text: Column, rank: int, pattern: str, group: int, least: int) -> Column:
+    """Each match of one kind, in text order: how long it is, what lies before it (``gap``), and its value's hash if the value is long enough."""
     parts = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
     )
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.char_length(p["gap"])
-        end = start + F.coalesce(F.char_length(p["all"]), F.lit(0))
-        span = F.struct(
-            start.cast("bigint").alias("start"),
+    def match(p: Column, at: Column) -> Column:
+        holds = F.char_length(p["value"]) >= least
+        return F.struct(
             F.lit(rank).alias("rank"),
-            end.cast("bigint").alias("end"),
-            F.lit(PATTERNS[rank][0]).alias("kind"),
-            F.sha2(p["value"], 256).alias("value_hash"),
-            (F.size(F.array_distinct(F.split(p["value"], ""))) >= LIVE_CHARACTERS).alias("varied"),
+            at.alias("at"),
+            F.char_length(p["gap"]).cast("bigint").alias("gap"),
+            F.char_length(p["all"]).cast("bigint").alias("length"),
+            F.when(holds, F.sha2(p["value"], 256)).alias("value_hash"),
+            F.when(holds, F.size(F.array_distinct(F.split(p["value"], ""))) >= LIVE_CHARACTERS).alias("varied"),
         )
-        more = F.when(F.char_length(p["value"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.cast("bigint").alias("at"), more.alias("out"))
 
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+    return F.filter(F.transform(parts, match), lambda m: m["length"].isNotNull())  # the last gap has no match
 
 
-def candidate_spans(text: Column) -> Column:
-    """All spans of all kinds, by start and then by kind."""
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
-    each = [F.when(text.rlike(p), _spans(text, r, p, g, n)).otherwise(none) for r, (_, p, g, n) in enumerate(PATTERNS)]
-    return F.array_sort(F.concat(*each))
+def candidate_matches(text: Column) -> Column:
+    """All matches of all kinds; each kind is in text order."""
+    none = F.expr(f"cast(array() as array<{MATCH}>)")
+    return F.concat(*(F.when(text.rlike(p), _matches(text, r, p, g, n)).otherwise(none) for r, (_, p, g, n) in enumerate(PATTERNS)))
+
+
+def located(rows: DataFrame) -> DataFrame:
+    """The matches of ``rows`` (_row, _owner, _repo, _matches) that hold, a row each, with their spans: lengths and gaps are summed along each text."""
+    upto = Window.partitionBy("_row", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    each = rows.select("_row", "_owner", "_repo", F.explode("_matches").alias("m")).select("_row", "_owner", "_repo", "m.*")
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(upto)).filter("value_hash is not null")
+    kind = F.element_at(F.array(*(F.lit(k) for k, *_ in PATTERNS)), F.col("rank") + 1)
+    return each.select("_row", "_owner", "_repo", (F.col("end") - F.col("length")).alias("start"), "rank", "end", kind.alias("kind"), "value_hash", "varied")
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
@@ -72,8 +76,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table (``repo_col`` None: each document is a repository). The verdict is ``example`` from
     ``EXAMPLE_OWNERS`` owners on, or from two owners and ``EXAMPLE_REPOS`` repositories on; else ``live``, or
     ``weak`` if the value has few different characters. All null owners count as one, and so do all
-    null repositories. Null and empty texts have no spans; very long ones are scanned whole. Repeated rows are
-    each reported and add no owner. An empty table gives an empty result.
+    null repositories. Null and empty texts have no spans; very long ones are scanned whole, and their matches are rows of their own
+    until they have their positions. Repeated rows are each reported and add no owner. Other columns are ignored, whatever
+    their names. An empty table gives an empty result.
     """
     rows = docs.select(
         F.col(id_col).alias("_id"),
@@ -81,21 +86,22 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce(F.col(repo_col or id_col).cast("string"), F.lit("\u0000")).alias("_repo"),
         whole_text(text_col).alias("_text"),
     )
-    rows = written(rows.select("_id", "_owner", "_repo", candidate_spans(F.col("_text")).alias("_spans"), F.monotonically_increasing_id().alias("_row")), "secrets")
-    with_any = rows.filter("size(_spans) > 0")
-    each = with_any.select("_row", "_owner", "_repo", F.explode("_spans").alias("s"))
+    rows = written(rows.select("_id", "_owner", "_repo", candidate_matches(F.col("_text")).alias("_matches"), F.monotonically_increasing_id().alias("_row")), "secrets")
+    found = F.exists("_matches", lambda m: m["value_hash"].isNotNull())
+    with_any = rows.filter(found)
+    each = written(located(with_any), "secret-spans")
     # rows of a value are reduced to its distinct owners and repositories before they meet
-    each = each.withColumn("_h", F.col("s.value_hash"))
+    each = each.withColumn("_h", F.col("value_hash"))
     distinct = each.groupBy("_h", "_owner", "_repo").agg(F.count(F.lit(1)).alias("_k"))
     by_owner = distinct.groupBy("_h", "_owner").agg(F.count(F.lit(1)).alias("_n"), F.sum("_k").alias("_k"))
     counts = by_owner.groupBy("_h").agg(F.count(F.lit(1)).alias("owners"), F.sum("_n").alias("repos"), F.sum("_k").alias("_k"))
     copied = (F.col("owners") >= EXAMPLE_OWNERS) | ((F.col("owners") > 1) & (F.col("repos") >= EXAMPLE_REPOS))
-    verdict = F.when(copied, "example").when(F.col("s.varied"), "live").otherwise("weak")
-    full = F.struct("s.start", "s.rank", "s.end", "s.kind", "s.value_hash", "owners", "repos", verdict.alias("verdict"))
+    verdict = F.when(copied, "example").when(F.col("varied"), "live").otherwise("weak")
+    full = F.struct("start", "rank", "end", "kind", "value_hash", "owners", "repos", verdict.alias("verdict"))
     judged = split_join(each, written(counts, "secret-owners"), ["_h"], "_k").select("_row", full.alias("s"))
     back = judged.groupBy("_row").agg(F.array_sort(F.collect_list("s")).alias("spans"))
     kind = dict(back.dtypes)["spans"]
-    none = rows.filter("size(_spans) = 0").select("_id", F.expr(f"cast(array() as {kind})").alias("spans"))
+    none = rows.filter(~found).select("_id", F.expr(f"cast(array() as {kind})").alias("spans"))
     return with_any.join(back, "_row").select("_id", "spans").unionByName(none).withColumnRenamed("_id", id_col)
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,17 @@ def test_repeats_nulls_and_empty(frame):
     assert S.find_secrets(frame([], ", source string")).count() == 0
 
 
+def test_time_is_linear_in_matches(frame):
+    """A list of checksums, with short ones and assignments between: positions are right up to the end."""
+    g = random.Random(11)
+    words = [g.choice(("token=", "token=abc ", "")) + "".join(g.choice("0123456789abcdef") for _ in range(g.choice((12, 32)))) for _ in range(40_000)]
+    text = "é " + " \U0001f600 ".join(words)
+    began = time.monotonic()
+    spans = S.find_secrets(frame([(1, text, "o"), (2, "none", "o")], ", source string")).filter("doc_id = 1").select(S.listed("spans").alias("l")).collect()[0]["l"]
+    assert time.monotonic() - began < 60
+    assert spans.split(",") == brute(text)
+
+
 def test_no_python_in_the_plan(frame):
     plan = S.find_secrets(frame([(1, "x", "o")], ", source string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

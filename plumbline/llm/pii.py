@@ -13,6 +13,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,13 +56,24 @@ SIGNS = (
 LOOKALIKES = {c: plain for other, ascii_ in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, LATIN, SIGNS) for c, plain in zip(other, ascii_, strict=True)}
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+TIMES = {"double": 2, "triple": 3}
 
 _WORD = "|".join(DIGIT_WORDS)
 _DIGIT = re.compile("[0-9]")
-SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ -]+)?(?:{_WORD})(?:[ ,-]+(?:{_WORD}))+(?![A-Za-z0-9])", re.I)
-_DOT = r"(?: *[\[({<] *(?:dot|punkt|point|punto) *[\])}>] *| +dot +)"
+_SAID = rf"(?:(?:double|triple)[ -]+)?(?:{_WORD})"
+SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ -]+)?{_SAID}(?:[ ,-]+{_SAID})+(?![A-Za-z0-9])", re.I)
+_DOT = r"(?: *[\[({<] *(?:dot|punkt|point|punto|\.) *[\])}>] *| +dot +)"
 DOT = re.compile(rf"(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9])", re.I)
-AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?: *[\[({{<] *at *[\])}}>] *| +at +(?=[A-Za-z0-9-]+{_DOT}))(?=[A-Za-z0-9])", re.I)
+AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?: *[\[({{<] *(?:at|@) *[\])}}>] *| +at +(?=[A-Za-z0-9-]+{_DOT}))(?=[A-Za-z0-9])", re.I)
+# Character references, and words between low lines or hyphens; "at" is such a word only before a "dot".
+SIGN = re.compile("&(?:#0*64|#x0*40|commat|#0*46|#x0*2e|period);", re.I)
+JOINED_AT = re.compile("(?<=[A-Za-z0-9])(?:_at_(?=[A-Za-z0-9-]+_dot_)|-at-(?=[A-Za-z0-9]+-dot-))", re.I)
+JOINED_DOT = re.compile("(?<=[A-Za-z0-9])(?:_dot_|-dot-)(?=[A-Za-z0-9])", re.I)
+# Signs with spaces around: an @ before a whole domain, and the dots of a domain that begins after an @. A capital after a dot begins a sentence.
+SPACED_AT = re.compile(r"(?<=[A-Za-z0-9]) @ (?=[A-Za-z0-9-]{2,}(?:\.[A-Za-z]| \. [a-z])[A-Za-z])")
+SPACED_DOTS = re.compile(r"(?<=@)[A-Za-z0-9-]{2,}+(?: \. [a-z0-9][A-Za-z0-9-]++)+")
+# A bare "at" before a domain as it is: only after a name of two words, as "look at example.com" is no address.
+NAMED_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z]++[._][A-Za-z]++( +at +)(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2})", re.I)
 QUAD = re.compile(rf"(?<![A-Za-z0-9.])(?:(?:{_WORD}|[0-9]+)\.){{3}}(?:{_WORD}|[0-9]+)(?![A-Za-z0-9])", re.I)
 
 
@@ -107,26 +119,29 @@ def detect(text: str) -> list[tuple[int, int, int]]:
 
 
 class Tape:
-    """A text whose every character knows its source span."""
+    """A text whose every character knows its source span, in eight bytes."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.start = text, np.arange(len(text), dtype=np.int32)
+        self.end = self.start + np.int32(1)
 
-    def rewrite(self, pattern: re.Pattern, into: Callable[[str], str]) -> None:
+    def rewrite(self, pattern: re.Pattern, into: Callable[[str], str], group: int = 0) -> None:
+        """Put ``into`` of what ``group`` has matched in its place."""
         parts, start, end, at = [], [], [], 0
         for m in pattern.finditer(self.text):
-            s, e = m.span()
-            new = into(m.group())
+            s, e = m.span(group)
+            new = into(m.group(group))
             parts += self.text[at:s], new
-            start += self.start[at:s] + [self.start[s]] * len(new)
-            end += self.end[at:s] + [self.end[e - 1]] * len(new)
+            start += self.start[at:s], np.full(len(new), self.start[s])
+            end += self.end[at:s], np.full(len(new), self.end[e - 1])
             at = e
         if parts:
             self.text = "".join(parts) + self.text[at:]
-            self.start, self.end = start + self.start[at:], end + self.end[at:]
+            self.start = np.concatenate([*start, self.start[at:]])
+            self.end = np.concatenate([*end, self.end[at:]])
 
     def source(self, s: int, e: int) -> tuple[int, int]:
-        return self.start[s], self.end[e - 1]
+        return int(self.start[s]), int(self.end[e - 1])
 
 
 class Plain(dict):
@@ -153,21 +168,38 @@ PLAIN = Plain()
 
 
 def spelled_digits(found: str) -> str:
-    words = re.findall("[a-z]+", found.lower())
-    return "".join("+" if w == "plus" else DIGIT_WORDS[w] for w in words)
+    out, times = [], 1
+    for w in re.findall("[a-z]+", found.lower()):
+        if w in TIMES:
+            times = TIMES[w]
+        else:
+            out.append("+" if w == "plus" else DIGIT_WORDS[w] * times)
+            times = 1
+    return "".join(out)
+
+
+def at_or_dot(reference: str) -> str:
+    return "@" if re.search("64|40|at", reference) else "."
 
 
 def normalised(text: str) -> Tape | None:
     """The text after all transducers, or None if none of them has anything to do."""
     odd = "" if text.isascii() else "".join(c for c in set(text) if PLAIN[c] != c)
-    if not odd and not any(p.search(text) for p in (SPELLED, AT, DOT, QUAD)):
+    if not odd and not any(p.search(text) for p in (SPELLED, SIGN, AT, DOT, JOINED_AT, SPACED_AT, SPACED_DOTS, NAMED_AT, QUAD)):
         return None
     tape = Tape(text)
     if odd:
         tape.rewrite(re.compile(f"[{re.escape(odd)}]"), PLAIN.__getitem__)
+    tape.rewrite(SIGN, at_or_dot)
     tape.rewrite(SPELLED, spelled_digits)
+    if JOINED_AT.search(tape.text):
+        tape.rewrite(JOINED_AT, lambda _: "@")
+        tape.rewrite(JOINED_DOT, lambda _: ".")
     tape.rewrite(AT, lambda _: "@")
     tape.rewrite(DOT, lambda _: ".")
+    tape.rewrite(NAMED_AT, lambda _: "@", 1)
+    tape.rewrite(SPACED_AT, lambda _: "@")
+    tape.rewrite(SPACED_DOTS, lambda d: d.replace(" ", ""))
     tape.rewrite(QUAD, lambda q: ".".join(DIGIT_WORDS.get(p.lower(), p) for p in q.split(".")))
     return None if tape.text == text else tape
 
@@ -209,7 +241,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tells what stands in the source as it is; the others were disguised, and ``value`` has
     their plain form. If a base span is a part of a disguised identifier, the whole is added beside it. Null
     and empty texts have none; very long ones are searched whole, in time proportional to their length. Repeated rows
-    and null ids are kept as they are; an empty table gives an empty result. Nothing is shuffled.
+    and null ids are kept as they are, other columns are ignored, whatever their names; an empty table gives an empty result.
+    A bare "at" before an undisguised domain makes an address only after a name of two words (``jo.doe at example.com``):
+    "look at example.com" is none. Nothing is shuffled.
     """
     texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -1,6 +1,7 @@
 import hashlib
 import re
 import time
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -81,6 +82,40 @@ def test_each_transducer_alone(text, kind, span, value):
     assert [(pii.KINDS[k], text[s:e], v) for k, s, e, _, v in pii.find(text)] == [(kind, span, value)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span", "value"),
+    [
+        ("to john [@] example.com now", "email", "john [@] example.com", "john@example.com"),
+        ("to john @ example . com now", "email", "john @ example . com", "john@example.com"),
+        ("to john @ mail.example.com now", "email", "john @ mail.example.com", "john@mail.example.com"),
+        ("to john&#64;example.com now", "email", "john&#64;example.com", "john@example.com"),
+        ("to john&commat;example&#x2E;com now", "email", "john&commat;example&#x2E;com", "john@example.com"),
+        ("to john_at_example_dot_com now", "email", "john_at_example_dot_com", "john@example.com"),
+        ("to john-at-example-dot-co-dot-uk now", "email", "john-at-example-dot-co-dot-uk", "john@example.co.uk"),
+        ("to john.doe at example.com now", "email", "john.doe at example.com", "john.doe@example.com"),
+        ("host 192[.]168[.]1[.]1 up", "ip", "192[.]168[.]1[.]1", "192.168.1.1"),
+        ("plus four nine double three zero one triple five two", "phone", "plus four nine double three zero one triple five two", "+4933015552"),
+    ],
+)
+def test_common_disguises(text, kind, span, value):
+    assert [(pii.KINDS[k], text[s:e], v) for k, s, e, _, v in pii.find(text)] == [(kind, span, value)]
+
+
+@pytest.mark.parametrize("text", ["a state-of-the-art polka-dot shop", "look_at_me and dot_product", "met @ noon . Then left", "a@b . Then", "double trouble", "see &#64; and &period;", "stay at home.now and at example.com"])
+def test_signs_alone_are_no_identifiers(text):
+    assert pii.find(text) == []
+
+
+def test_positions_of_a_very_long_text_take_eight_bytes():
+    text = "x" * 2_000_000 + " joe(at)example(dot)com " + "é" * 2_000_000
+    tracemalloc.start()
+    got = pii.find(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(text[s:e], v) for _, s, e, _, v in got] == [("joe(at)example(dot)com", "joe@example.com")]
+    assert most < 40 * len(text)
+
+
 @pytest.mark.parametrize("text", ["look at example.com for more", "one two three", "the at (dot) sign", "met at noon dot", "Straße, naïve café", "число 12", "polka dot one at two"])
 def test_clean_texts_get_no_spans(text):
     assert pii.find(text) == []
@@ -141,7 +176,7 @@ def test_lookalikes_like_brute_force(text):
     assert {(pii.KINDS[k], s, e) for k, s, e, b, _ in pii.find(text) if not b} == brute_added(text)
 
 
-@pytest.mark.parametrize("unit", ["a", "1", "+", "@", ".", " ", "1.", "a@", "a.", "+1", "(", "1 ", "one ", "one", "plus ", " at ", "a at ", " dot ", "a(dot)", "[", "о", "٣", "1.1.1 ", "a@b.c"])
+@pytest.mark.parametrize("unit", ["a", "1", "+", "@", ".", " ", "1.", "a@", "a.", "+1", "(", "1 ", "one ", "one", "plus ", " at ", "a at ", "_at_", "a_at_b", "-dot-", " @ ", "@ab . ", "[@]", "&#64;", "double ", "double one ", "a.b at ", "a.", "at c.d ", "ab", " dot ", "a(dot)", "[", "о", "٣", "1.1.1 ", "a@b.c"])
 @pytest.mark.parametrize("tail", ["", " x@", "@b.c", "+1", " one(at)b(dot)c"])
 def test_time_is_linear(unit, tail):
     text = unit * (100_000 // len(unit)) + tail

@@ -67,13 +67,15 @@ DOT = re.compile(rf"(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9])", re.I)
 AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?: *[\[({{<] *(?:at|@) *[\])}}>] *| +at +(?=[A-Za-z0-9-]+{_DOT}))(?=[A-Za-z0-9])", re.I)
 # Character references, and words between low lines or hyphens; "at" is such a word only before a "dot".
 SIGN = re.compile("&(?:#0*64|#x0*40|commat|#0*46|#x0*2e|period);", re.I)
-JOINED_AT = re.compile("(?<=[A-Za-z0-9])(?:_at_(?=[A-Za-z0-9-]+_dot_)|-at-(?=[A-Za-z0-9]+-dot-))", re.I)
-JOINED_DOT = re.compile("(?<=[A-Za-z0-9])(?:_dot_|-dot-)(?=[A-Za-z0-9])", re.I)
+JOINED = re.compile("(?<=[A-Za-z0-9])(?:_at_[A-Za-z0-9-]+(?:_dot_[A-Za-z0-9-]+)+|-at-[A-Za-z0-9]+(?:-dot-[A-Za-z0-9]+)+)", re.I)
+JOINED_SIGN = re.compile("[_-](at|dot)[_-]", re.I)
 # Signs with spaces around: an @ before a whole domain, and the dots of a domain that begins after an @. A capital after a dot begins a sentence.
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9]) @ (?=[A-Za-z0-9-]{2,}(?:\.[A-Za-z]| \. [a-z])[A-Za-z])")
 SPACED_DOTS = re.compile(r"(?<=@)[A-Za-z0-9-]{2,}+(?: \. [a-z0-9][A-Za-z0-9-]++)+")
 # A bare "at" before a domain as it is: only after a name of two words, as "look at example.com" is no address.
 NAMED_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z]++[._][A-Za-z]++( +at +)(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2})", re.I)
+THREE_DOTS = re.compile(r"\.[A-Za-z0-9]+\.[A-Za-z0-9]+\.")
+BRACKETED = re.compile(r"[\[({<] *(?:at|@|dot|punkt|point|punto|\.)")
 QUAD = re.compile(rf"(?<![A-Za-z0-9.])(?:(?:{_WORD}|[0-9]+)\.){{3}}(?:{_WORD}|[0-9]+)(?![A-Za-z0-9])", re.I)
 
 
@@ -122,13 +124,15 @@ class Tape:
     """A text whose every character knows its source span, in eight bytes."""
 
     def __init__(self, text: str):
-        self.text, self.start = text, np.arange(len(text), dtype=np.int32)
-        self.end = self.start + np.int32(1)
+        self.text, self.start, self.end = text, None, None  # positions are made when the first character moves
 
     def rewrite(self, pattern: re.Pattern, into: Callable[[str], str], group: int = 0) -> None:
         """Put ``into`` of what ``group`` has matched in its place."""
         parts, start, end, at = [], [], [], 0
         for m in pattern.finditer(self.text):
+            if self.start is None:
+                self.start = np.arange(len(self.text), dtype=np.int32)
+                self.end = self.start + np.int32(1)
             s, e = m.span(group)
             new = into(m.group(group))
             parts += self.text[at:s], new
@@ -182,25 +186,44 @@ def at_or_dot(reference: str) -> str:
     return "@" if re.search("64|40|at", reference) else "."
 
 
+def joined_signs(found: str) -> str:
+    return JOINED_SIGN.sub(lambda m: "@" if m[1].lower() == "at" else ".", found)
+
+
+def some(low: str, *parts: str) -> bool:
+    return any(p in low for p in parts)
+
+
+# Each transducer: what a lower-cased text must have for it to find anything (searches for fixed parts are fast), its pattern, what it writes, and for which group.
+TRANSDUCERS = (
+    (lambda low: some(low, "&#", "&commat;", "&period;"), SIGN, at_or_dot, 0),
+    (lambda low: sum(low.count(w) for w in DIGIT_WORDS) > 1, SPELLED, spelled_digits, 0),
+    (lambda low: some(low, "_at_", "-at-"), JOINED, joined_signs, 0),
+    (lambda low: BRACKETED.search(low) or (" at " in low and " dot " in low), AT, lambda _: "@", 0),
+    (lambda low: BRACKETED.search(low) or " dot " in low, DOT, lambda _: ".", 0),
+    (lambda low: " at " in low, NAMED_AT, lambda _: "@", 1),
+    (lambda low: " @ " in low, SPACED_AT, lambda _: "@", 0),
+    (lambda low: "@" in low and " . " in low, SPACED_DOTS, lambda d: d.replace(" ", ""), 0),
+    (THREE_DOTS.search, QUAD, lambda q: ".".join(DIGIT_WORDS.get(p.lower(), p) for p in q.split(".")), 0),
+)
+
+
+def lowered(text: str) -> str:
+    return text.lower().replace("i\u0307", "i")  # patterns that ignore case take a dotted capital I for an i
+
+
 def normalised(text: str) -> Tape | None:
     """The text after all transducers, or None if none of them has anything to do."""
     odd = "" if text.isascii() else "".join(c for c in set(text) if PLAIN[c] != c)
-    if not odd and not any(p.search(text) for p in (SPELLED, SIGN, AT, DOT, JOINED_AT, SPACED_AT, SPACED_DOTS, NAMED_AT, QUAD)):
-        return None
     tape = Tape(text)
     if odd:
         tape.rewrite(re.compile(f"[{re.escape(odd)}]"), PLAIN.__getitem__)
-    tape.rewrite(SIGN, at_or_dot)
-    tape.rewrite(SPELLED, spelled_digits)
-    if JOINED_AT.search(tape.text):
-        tape.rewrite(JOINED_AT, lambda _: "@")
-        tape.rewrite(JOINED_DOT, lambda _: ".")
-    tape.rewrite(AT, lambda _: "@")
-    tape.rewrite(DOT, lambda _: ".")
-    tape.rewrite(NAMED_AT, lambda _: "@", 1)
-    tape.rewrite(SPACED_AT, lambda _: "@")
-    tape.rewrite(SPACED_DOTS, lambda d: d.replace(" ", ""))
-    tape.rewrite(QUAD, lambda q: ".".join(DIGIT_WORDS.get(p.lower(), p) for p in q.split(".")))
+    seen, low = tape.text, lowered(tape.text)
+    for can_find, pattern, into, group in TRANSDUCERS:
+        if tape.text is not seen:
+            seen, low = tape.text, lowered(tape.text)
+        if can_find(low):
+            tape.rewrite(pattern, into, group)
     return None if tape.text == text else tape
 
 

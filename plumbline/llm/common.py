@@ -23,6 +23,9 @@ HOT_ROWS = 1_000
 #: Bits that ``maybe_in`` broadcasts at most, and bits in one row of them (what ``bitmap_construct_agg`` takes).
 SLOTS, SLOTS_A_ROW = 1 << 28, 1 << 15
 
+#: Buckets of the hashes that ``in_buckets`` deals; 32 bits of each are kept besides.
+BUCKETS = 1 << 11
+
 #: Texts in one Arrow batch.
 TEXTS_PER_BATCH = 512
 
@@ -198,3 +201,18 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     total[0] = 0
     np.cumsum(h * up, out=total[1:])
     return mix((total[k:] - total[:n]) * down[:n])
+
+
+def in_buckets(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of ``keys`` by bucket, where each bucket ends in it, and the 32 bits of each that are kept, in this order.
+
+    A table of many hashes is shuffled as a row for each bucket with four bytes a hash, not as a row for each. Some hashes become alike by that.
+    """
+    bucket = ((keys >> np.uint64(32)) & np.uint64(BUCKETS - 1)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.cumsum(np.bincount(bucket, minlength=BUCKETS)), keys[order].astype(np.uint32)
+
+
+def slices(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The bytes of ``values`` between one of ``ends`` and the next."""
+    return [values[a:z].tobytes() for a, z in zip([0, *ends.tolist()], ends.tolist())]

@@ -11,7 +11,8 @@ of its own. A partition without shingles makes no signature: these would be alik
 these than may be spared, it signs again with another dealing of the domain; of two partners, the one that is content first has
 enough signatures in common with the other, which has signed under that dealing too.
 
-Sets that share a signature are a bucket, and its set of smallest hash is its pivot; buckets with the same pivot are one. They are compared
+Signatures are made once and are shuffled packed, six bytes each with the place of their text; 43 bits tell them apart, so some sets meet by chance.
+Sets that share a signature are a bucket, and its set of smallest number is its pivot; buckets with the same pivot are one. They are compared
 as ``near`` does it, by sketches of a byte a shingle before any set is moved: with the pivot, then different classes within a bucket, so copies are never paired with each other; what links is the exact intersection.
 
 Words and shingles are told apart by 64-bit hashes, sets by 64 bits of a hash of all of theirs.
@@ -32,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near
-from .common import LOWER, SLOTS, SLOTS_A_ROW, UPPER, Steps, WordHashes, arrow_texts, ascii_lower, map_texts, maybe_in, mix, only_ids, split_join, whole_text, window_hashes, written
+from .common import BUCKETS, LOWER, UPPER, Steps, WordHashes, arrow_texts, ascii_lower, in_buckets, map_texts, maybe_in, mix, only_ids, slices, split_join, whole_text, window_hashes, written
 
 SHINGLE, SIMILARITY = 5, 80
 #: Largest k with a signature for each two of k + 2 partitions.
 ENUMERATED = 4
 #: Dealings of the domain that a set tries; after the last one its empty partitions sign as well.
 DEALINGS = 12
+#: Signatures, or pairs that share one, that a task puts together.
+FLUSH = 2_000_000
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = np.arange(1, DEALINGS + 1, dtype=np.uint64) * _STEP
@@ -172,29 +175,89 @@ def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All signatures, to be counted."""
-    for _, sets in sets_of(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*map(signatures, sets), np.empty(0, np.uint64)]).view(np.int64))], ["_key"])
-
-
-def shared_signatures(bits):
-    """A row (_t, _id, _size) for each text, and a row (_key, _id) for each of its signatures whose bit is set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64(8 * len(bits.value) - 1)
-        for batch, sets in sets_of(batches):
-            names, sizes = np.array([name_of(x) for x in sets], np.int64), np.array([len(x) for x in sets], np.int64)
-            empty = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, pa.array(names), pa.array(sizes), batch.column("_t")], ["_key", "_id", "_size", "_t"])
-            keys = []
-            for x in sets:
-                s = signatures(x)
-                slot = s & mask
-                keys.append(s[(bits.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1])
-            flat = np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(names, list(map(len, keys)))), pa.nulls(len(flat), pa.int64()), pa.nulls(len(flat), pa.binary())], ["_key", "_id", "_size", "_t"])
+    """A row (_d, _id, _size, _t) for each text, and for some thousand texts a row (_base, _sigs, _at) for each bucket of signatures.
 
-    return run
+    A text is numbered ``_d`` by its place among these texts; a signature takes four bytes, the place of its text two.
+    """
+    texts, many = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        names, sizes, types, keys = (list(x) for x in zip(*texts, strict=True))
+        names = np.array(names, np.int64)
+        base = xxhash.xxh3_64_intdigest(names.tobytes())
+        numbers = numbered(np.uint64(base), np.arange(len(names)))
+        yield rows_of(_key=(numbers % np.uint64(BUCKETS)).astype(np.int32), _d=numbers.view(np.int64), _id=names, _size=np.array(sizes, np.int64), _t=types)
+        order, ends, kept = in_buckets(np.concatenate(keys))
+        at = np.repeat(np.arange(len(names), dtype=np.uint16), list(map(len, keys)))[order]
+        full = np.flatnonzero(np.diff(ends, prepend=0))
+        bases = np.full(len(full), base, np.uint64).view(np.int64)
+        yield rows_of(_key=full.astype(np.int32), _base=bases, _sigs=slices(kept, ends[full]), _at=slices(at, ends[full]))
+
+    for batch, sets in sets_of(batches):
+        for x, t in zip(sets, batch.column("_t").to_pylist(), strict=True):
+            keys = signatures(x)
+            texts.append((name_of(x), len(x), t, keys))
+            many += len(keys)
+            if many >= FLUSH or len(texts) == 1 << 16:
+                yield from flush()
+                texts, many = [], 0
+    if texts:
+        yield from flush()
+
+
+def numbered(base: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix(base + at.astype(np.uint64))
+
+
+SIGNED = pa.schema({"_key": pa.int32(), "_base": pa.int64(), "_sigs": pa.binary(), "_at": pa.binary(), "_d": pa.int64(), "_id": pa.int64(), "_size": pa.int64(), "_t": pa.binary()})
+
+
+def rows_of(**columns) -> pa.RecordBatch:
+    n = len(columns["_key"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in SIGNED], schema=SIGNED)
+
+
+def sharing(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bucket's rows, the numbers of the pivot and of each text for all signatures that occur twice; the smallest number is the pivot."""
+    sigs = [np.frombuffer(x, np.uint32) for x in rows.column("_sigs").to_pylist()]
+    base = np.repeat(rows.column("_base").to_numpy().view(np.uint64), list(map(len, sigs)))
+    at = np.frombuffer(b"".join(rows.column("_at").to_pylist()), np.uint16)
+    both = np.sort(np.concatenate(sigs).astype(np.uint64) << np.uint64(32) | np.arange(len(at), dtype=np.uint64))
+    key = both >> np.uint64(32)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    n = np.diff(np.append(first, len(key)))
+    place = (both & np.uint64(0xFFFFFFFF))[np.repeat(n > 1, n)]
+    d, n = numbered(base[place], at[place]), n[n > 1]
+    least = np.minimum.reduceat(d, np.cumsum(n) - n) if len(n) else d
+    return np.repeat(least, n), d
+
+
+def met_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of ``signed`` (_d, _id, _size, _t), and those (_p, _d) that share a signature, with its pivot ``_p``."""
+    held, many = [], 0
+
+    def pairs() -> pa.RecordBatch:
+        p, d = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((d, p))
+        p, d = p[order], d[order]
+        new = np.append(True, (p[1:] != p[:-1]) | (d[1:] != d[:-1])) if len(p) else np.empty(0, bool)
+        p, d = (pa.array(x[new].view(np.int64)) for x in (p, d))
+        return pa.RecordBatch.from_arrays([p, d, *(pa.nulls(len(p), SIGNED.field(c).type) for c in ("_id", "_size", "_t"))], ["_p", "_d", "_id", "_size", "_t"])
+
+    for rows in near.runs_by_key(batches):
+        texts = rows.filter(rows.column("_sigs").is_null()).combine_chunks()
+        yield from texts.select(["_d", "_id", "_size", "_t"]).add_column(0, "_p", pa.nulls(len(texts), pa.int64())).to_batches()
+        rows = rows.filter(rows.column("_sigs").is_valid())
+        cut = near.group_ends(rows.column("_key").to_numpy())
+        for a, z in zip(cut, cut[1:]):
+            if a < z:
+                held.append(sharing(rows.slice(a, z - a)))
+                many += len(held[-1][0])
+        if many >= FLUSH:
+            yield pairs()
+            held, many = [], 0
+    if held:
+        yield pairs()
 
 
 def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,23 +268,13 @@ def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in sets], pa.int64()), lists, pa.array(list(map(len, sets)), pa.int32()), counts], ["_id", "_x", "_w", "_c"])
 
 
-def bits_of(keys: DataFrame):
-    """The written table ``keys`` as a broadcast array with a bit for the lowest bits of each: 32 bits a key, ``SLOTS`` at most."""
-    size = min(SLOTS, max(SLOTS_A_ROW, 1 << (32 * keys.count()).bit_length()))
-    slot = F.col("_key").bitwiseAND(F.lit(size - 1))
-    rows = keys.groupBy(F.floor(slot / SLOTS_A_ROW).alias("r")).agg(F.bitmap_construct_agg(slot % SLOTS_A_ROW).alias("b"))
-    bits = np.zeros(size // 8, np.uint8)
-    for r, b in rows.collect():
-        bits[r * SLOTS_A_ROW // 8 :][: SLOTS_A_ROW // 8] = np.frombuffer(bytes(b), np.uint8)[: size // 8]
-    return keys.sparkSession.sparkContext.broadcast(bits)
-
-
-def buckets_of(steps: Steps, rows: DataFrame) -> DataFrame:
+def buckets_of(steps: Steps, found: DataFrame) -> DataFrame:
     """Buckets (_key, _id, _n, _p): for each pivot all sets that share a signature of which it is the pivot, with itself."""
-    pivot = F.min(F.struct(F.xxhash64("_id"), "_id"))["_id"]
-    groups = steps.written(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), pivot.alias("_p")).filter("_n > 1"), "groups")
-    with_pivots = maybe_in(rows, [F.col("_key")], groups.select("_key")).filter("_maybe").drop("_maybe")
-    met = steps.written(split_join(with_pivots, groups, ["_key"], "_n").select("_p", "_id").distinct(), "met")
+    names = steps.written(found.filter("_p is null").select("_d", "_id").dropDuplicates(["_d"]), "names")
+    pairs = steps.written(found.filter("_p is not null").select("_p", "_d").distinct(), "pairs")
+    pivots = pairs.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).join(names.select(F.col("_d").alias("_p"), F.col("_id").alias("_pivot")), "_p")
+    met = split_join(pairs, steps.written(pivots, "pivots"), ["_p"], "_n").join(names, "_d")
+    met = steps.written(met.select(F.col("_pivot").alias("_p"), "_id").distinct(), "met")
     sizes = steps.written(met.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "sizes")
     return steps.written(split_join(met, sizes, ["_p"], "_n").withColumn("_key", F.xxhash64("_p")), "buckets")
 
@@ -237,7 +290,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     is null. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).alias("_doc"), whole_text(text_col).alias("_text"))
-    texts = texts.withColumn("_t", F.unhex(F.md5(ascii_lower("_text"))))
+    # never null, so that no join computes it a second time to tell
+    texts = texts.withColumn("_t", F.coalesce(F.unhex(F.md5(ascii_lower("_text"))), F.lit(b"")))
 
     def of(ids: DataFrame) -> DataFrame:
         """Rows with an id of the written ``ids``, and some more by chance: those sign for sets that are known."""
@@ -247,12 +301,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with Steps(docs.sparkSession) as steps:
         alike_texts = steps.written(texts.groupBy("_t").agg(F.min("_doc").alias("_doc"), F.count(F.lit(1)).alias("_k")), "texts")
         once = of(alike_texts.select("_doc"))
-        shared = map_texts(once.select("_text"), signed, "_key bigint").groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key")
-        bits = bits_of(steps.written(shared, "shared"))
-        found = steps.written(map_texts(once.select("_text", "_t"), shared_signatures(bits), "_key bigint, _id bigint, _size bigint, _t binary"), "signed")
-        sets = found.filter("_key is null").groupBy("_t").agg(F.first("_id").alias("_id"), F.first("_size").alias("_size"))
+        dealt = map_texts(once.select("_text", "_t"), signed, "_key int, _base bigint, _sigs binary, _at binary, _d bigint, _id bigint, _size bigint, _t binary")
+        found = map_texts(dealt.repartition("_key").sortWithinPartitions("_key"), met_in_buckets, "_p bigint, _d bigint, _id bigint, _size bigint, _t binary")
+        found = steps.written(found, "signed")
+        sets = found.filter("_p is null").groupBy("_t").agg(F.first("_id").alias("_id"), F.first("_size").alias("_size"))
         sets = steps.written(alike_texts.join(sets, "_t"), "sets")
-        buckets = buckets_of(steps, found.filter("_key is not null").select("_key", "_id").distinct())
+        buckets = buckets_of(steps, found)
 
         members = steps.written(buckets.select("_id").distinct(), "members")
         wanted = steps.written(sets.join(members, "_id", "left_semi").groupBy("_id").agg(F.min("_doc").alias("_doc")), "wanted")

@@ -586,7 +586,11 @@ def linked(steps: Steps, buckets: DataFrame, few: DataFrame, likeness: Likeness
 
     def settled(buckets: DataFrame, roots: DataFrame | None, more: list[DataFrame]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
         """Steps 1 and 2 on ``buckets``: the roots with ``more`` links and those to pivots, the mixed buckets that are too large, the links of the others."""
-        pivot_links = links(steps, to_pivots(steps, buckets, few, likeness), few, likeness.alike)
+        candidates, lists = to_pivots(steps, buckets, few, likeness), few
+        if likeness.sift:  # only lists that are compared are moved
+            candidates = steps.written(candidates, "candidates")
+            lists = only_ids(few, "_id", steps.written(candidates.select("_id").union(candidates.select("_p")).distinct(), "compared"))
+        pivot_links = links(steps, candidates, lists, likeness.alike)
         roots = components(steps, pivot_links) if roots is None else joined_components(steps, roots, reduce(DataFrame.unionByName, more, pivot_links))
         rest = mixed(steps, steps.written(with_class(buckets.select("_key", "_id", "_p"), roots), "classes"))
         groups, large = rest.filter("_small"), rest.filter("not _small")

@@ -143,3 +143,43 @@ def test_sketches_rule_out_nothing_that_is_alike():
     assert len(got) < 2 * len(linked) and len(linked) > 50
     for i, j in linked:
         assert jaccard.can_be(sketches.take([i]), n[[i]], sketches.take([j]), n[[j]]).all()
+
+
+def test_signatures_are_shuffled_in_few_bytes():
+    """A row for each text and bucket, six bytes for each signature; before, each was a row of its own."""
+    import pyarrow as pa
+
+    g = random.Random(11)
+    texts = [" ".join(f"w{g.randrange(10_000)}" for _ in range(300)) for _ in range(500)]
+    n = sum(len(signatures(shingles(t, WordHashes()))) for t in texts)
+    batch = pa.RecordBatch.from_pydict({"_text": texts, "_t": [str(k).encode() for k in range(len(texts))]})
+    rows = pa.Table.from_batches(list(jaccard.signed(iter([batch]))))
+    assert len(rows) <= 500 + 2048 < n / 20
+    assert sum(len(r["_sigs"]) + len(r["_at"]) for r in rows.to_pylist() if r["_sigs"]) == 6 * n
+
+
+def test_packed_signatures_meet_like_whole_ones(monkeypatch):
+    """Texts that share a signature all meet its pivot, whichever flush and batch they are in."""
+    import pyarrow as pa
+
+    g = random.Random(12)
+    body = prose(g, 40)
+    texts = [" ".join(edited(g, body, k % 4)) for k in range(60)] + ["", "a b"] + [" ".join(prose(g, 30)) for _ in range(20)]
+    batch = pa.RecordBatch.from_pydict({"_text": texts, "_t": [str(k).encode() for k in range(len(texts))]})
+    for flush in (1, 1_000, 2_000_000):
+        monkeypatch.setattr(jaccard, "FLUSH", flush)
+        dealt = pa.Table.from_batches(list(jaccard.signed(iter([batch])))).sort_by("_key").combine_chunks()
+        found = pa.Table.from_batches(list(jaccard.met_in_buckets(iter(dealt.to_batches(max_chunksize=7))))).to_pylist()
+        name = {r["_d"]: r["_id"] for r in found if r["_p"] is None}
+        assert sorted(r["_t"] for r in found if r["_p"] is None) == sorted(batch.column("_t").to_pylist())
+        root = {r["_d"]: set() for r in found if r["_p"] is None}
+        for r in found:
+            if r["_p"] is not None:
+                root[r["_d"]].add(r["_p"])
+        sets = {k: (name_, set(signatures(shingles(t, WordHashes())).tolist())) for k, t in enumerate(texts) for name_ in [jaccard.name_of(shingles(t, WordHashes()))]}
+        ups = {}
+        for d, p in root.items():
+            ups.setdefault(name[d], set()).update(p)
+        for a, x in sets.values():
+            for b, y in sets.values():
+                assert a == b or not x & y or ups[a] & ups[b]

@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SLOTS, SLOTS_A_ROW, UPPER, Steps, WordHashes, arrow_texts, map_texts, mix, whole_text, written
+from .common import BUCKETS, LOWER, SLOTS, SLOTS_A_ROW, UPPER, Steps, WordHashes, arrow_texts, in_buckets, map_texts, mix, slices, whole_text, written
+from .near import group_ends, runs_by_key
 
 LEAST, TOP, COVERED, SCALE = 30, 2000, 80, 2_000_000
 #: Words that are counted together before their sums leave the task.
@@ -135,7 +136,7 @@ def summed(lang: str, columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), *words, pa.array(n, pa.int64())], ["_lang", *PHRASE, "_n"])
 
 
-def scanned(found: Callable[[str, np.ndarray], Iterator[list[np.ndarray]]]):
+def scanned(found: Callable[[str, np.ndarray], Iterator[list[np.ndarray]]], summed: Callable = summed):
     """Runs ``found`` on the words of one language at a time, ``FLUSH`` of them or one text, and sums the phrases it gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +163,40 @@ def scanned(found: Callable[[str, np.ndarray], Iterator[list[np.ndarray]]]):
     return run
 
 
+PACKED = "_key int, _one binary, _more binary, _times binary"
+
+
+def packed(lang: str, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """How often each hash of the only column occurs, a row for each bucket: hashes that occur once, the others, and how often these do."""
+    keys, n = np.unique(columns[0] & np.uint64((BUCKETS << 32) - 1), return_counts=True)
+    once = n == 1
+    _, one_ends, ones = in_buckets(keys[once])
+    order, more_ends, more = in_buckets(keys[~once])
+    times = n[~once][order].astype(np.uint32)
+    full = np.flatnonzero(np.diff(one_ends, prepend=0) + np.diff(more_ends, prepend=0))
+    parts = [pa.array(slices(x, ends[full]), pa.binary()) for x, ends in ((ones, one_ends), (more, more_ends), (times, more_ends))]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *parts], ["_key", "_one", "_more", "_times"])
+
+
+def frequent_hashes(least: int):
+    """The hashes (k) of ``packed`` rows, sorted by bucket, that occur ``least`` times or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_by_key(batches):
+            bucket = rows.column("_key").to_numpy()
+            cut = group_ends(bucket)
+            for a, z in zip(cut, cut[1:]):
+                one, more, times = (np.frombuffer(b"".join(rows.column(c).slice(a, z - a).to_pylist()), np.uint32) for c in ("_one", "_more", "_times"))
+                keys, n = np.concatenate([one, more]), np.concatenate([np.ones(len(one), np.int64), times.astype(np.int64)])
+                order = np.argsort(keys)
+                keys, n = keys[order], n[order]
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                often = keys[first[np.add.reduceat(n, first) >= least]].astype(np.uint64) | np.uint64(int(bucket[a]) << 32)
+                yield pa.RecordBatch.from_arrays([pa.array(often.view(np.int64))], ["k"])
+
+    return run
+
+
 def words_in(lang: str, w: np.ndarray) -> Iterator[list[np.ndarray]]:
     yield [w[w != 0]]
 
@@ -204,14 +239,15 @@ SUMS = "_lang string, _1 bigint, _2 bigint, _3 bigint, _4 bigint, _n bigint"
 def counted(steps: Steps, words: DataFrame, found: Callable, least: int) -> DataFrame:
     """(_lang, _1 .. _4, a): phrases that ``found`` gives ``least`` times or more.
 
-    Most phrases are rarer. So their hashes alone are counted first, then the phrases whose hashes are frequent.
+    Most phrases are rarer. So their hashes alone are counted first, 43 bits of each in four bytes, then the phrases whose hashes are frequent.
     """
 
     def hashes(lang: str, w: np.ndarray) -> Iterator[list[np.ndarray]]:
         return ([keys_of(lang, columns)] for columns in found(lang, w))
 
-    often = words.mapInArrow(scanned(hashes), SUMS).select(F.col("_1").alias("k"), "_n").groupBy("k").agg(F.sum("_n").alias("n")).filter(F.col("n") >= least)
-    keys = slots_as_bits(steps.written(often.select("k"), "often"), "k")
+    dealt = words.mapInArrow(scanned(hashes, packed), PACKED).repartition("_key").sortWithinPartitions("_key")
+    often = dealt.mapInArrow(frequent_hashes(least), "k bigint")
+    keys = slots_as_bits(steps.written(often, "often"), "k")
 
     def these(lang: str, w: np.ndarray) -> Iterator[list[np.ndarray]]:
         for columns in found(lang, w):

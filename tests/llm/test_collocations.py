@@ -101,3 +101,20 @@ def test_tokens():
     assert tokens("A\tb  C,d\r\ne f É") == [w.encode() for w in ["a", "b", "c", ".", "d", ".", ".", "e f", "É"]]
     one, two = np.array([1, 2], np.uint64), np.array([2, 1], np.uint64)
     assert len({*keys_of("x", [one, two]).tolist(), *keys_of("y", [one, two]).tolist(), *keys_of("x", [one]).tolist()}) == 6
+
+
+def test_hashes_are_counted_in_few_bytes():
+    """Four bytes for each that occurs once in a scan; before, each was a row with its count."""
+    import pyarrow as pa
+
+    g = np.random.Generator(np.random.PCG64(4))
+    keys = g.integers(0, 1 << 64, 200_000, np.uint64, endpoint=False)
+    parts = [keys[:150_000], np.concatenate([keys[100_000:], keys[:3_000], keys[:3_000]]), keys[:1_000], keys[:0]]
+    rows = pa.concat_tables([pa.Table.from_batches([collocations.packed("en", [x])]) for x in parts])
+    assert len(rows) <= 3 * 2048
+    assert sum(len(r["_one"]) + len(r["_more"]) + len(r["_times"]) for r in rows.to_pylist()) == sum(4 * np.count_nonzero(n == 1) + 8 * np.count_nonzero(n > 1) for n in (np.unique(x, return_counts=True)[1] for x in parts))
+    rows = rows.sort_by("_key").combine_chunks()
+    mask = np.uint64((2048 << 32) - 1)
+    for least, wanted in ((1, keys), (2, np.concatenate([keys[:3_000], keys[100_000:150_000]])), (3, keys[:3_000]), (4, keys[:1_000])):
+        got = pa.Table.from_batches(list(collocations.frequent_hashes(least)(iter(rows.to_batches(max_chunksize=100)))))["k"].to_numpy()
+        assert sorted(got.tolist()) == sorted((wanted & mask).tolist())

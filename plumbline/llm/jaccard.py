@@ -13,7 +13,7 @@ enough signatures in common with the other, which has signed under that dealing
 
 Signatures are made once and are shuffled packed, six bytes each with the place of their text; 43 bits tell them apart, so some sets meet by chance.
 Sets that share a signature are a bucket, and its set of smallest number is its pivot; buckets with the same pivot are one. They are compared
-as ``near`` does it, by sketches of a byte a shingle before any set is moved: with the pivot, then different classes within a bucket, so copies are never paired with each other; what links is the exact intersection.
+as ``near`` does it, by sketches of two to four bits a shingle; sets are listed only where these leave a pair: with the pivot, then different classes within a bucket, so copies are never paired with each other; what links is the exact intersection.
 
 Words and shingles are told apart by 64-bit hashes, sets by 64 bits of a hash of all of theirs.
 """
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -42,6 +42,8 @@ ENUMERATED = 4
 DEALINGS = 12
 #: Signatures, or pairs that share one, that a task puts together.
 FLUSH = 2_000_000
+#: Bits of the smallest sketch.
+WORD_BITS = 64
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = np.arange(1, DEALINGS + 1, dtype=np.uint64) * _STEP
@@ -118,15 +120,17 @@ def alike(a: list, b: list, counts: Counter | None = None) -> bool:
 
 
 def sketch_of(x: np.ndarray) -> bytes:
-    """A byte for each of about as many slots as the set has shingles: the sum, without carry, of what its shingles there have.
+    """A bit for each of two to four times as many slots as the set has shingles: whether an odd number of its shingles are there.
 
-    Each shingle that only one of two sets has makes at most one slot differ. Half as many slots are those of both halves, added.
+    Each shingle that only one of two sets has makes at most one bit differ. Half as many slots are those of both halves, added.
     """
-    slots = 1 << max(3, (len(x) - 1).bit_length())
-    h = mix(x ^ np.uint64(0x2545F4914F6CDD1D))
-    out = np.zeros(slots, np.uint8)
-    np.bitwise_xor.at(out, (h % np.uint64(slots)).astype(np.int64), (h >> np.uint64(56)).astype(np.uint8))
-    return out.tobytes()
+    slots = max(WORD_BITS, 1 << (2 * len(x) - 1).bit_length())
+    odd = np.bincount((mix(x ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(slots)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def bits_of(sketch: bytes) -> np.ndarray:
+    return np.frombuffer(sketch, np.uint64)
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> int:
@@ -135,11 +139,11 @@ def differing(a: np.ndarray, b: np.ndarray) -> int:
         a = a[: len(a) // 2] ^ a[len(a) // 2 :]
     while len(b) > len(a):
         b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.count_nonzero(a != b))
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def can_be(cp: pa.Array, n: np.ndarray, c: pa.Array, m: np.ndarray) -> np.ndarray:
-    least = [differing(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)) for a, b in zip(cp.to_pylist(), c.to_pylist(), strict=True)]
+    least = [differing(bits_of(a), bits_of(b)) for a, b in zip(cp.to_pylist(), c.to_pylist(), strict=True)]
     return np.array(least, np.int64) * (100 + SIMILARITY) <= (n.astype(np.int64) + m) * (100 - SIMILARITY)
 
 
@@ -147,7 +151,7 @@ def set_pairs(roots: list, n: np.ndarray, c: pa.Array) -> tuple[np.ndarray, np.n
     """Places of pairs of different classes that can be alike, by size and sketch; sizes are in order, so partners are next to each other."""
     order = np.argsort(n, kind="stable")
     n, root = n[order].astype(np.int64), np.unique(np.array(list(map(str, roots))), return_inverse=True)[1][order]
-    sketches = [np.frombuffer(x, np.uint8) for x in c.take(pa.array(order)).to_pylist()]
+    sketches = [bits_of(x) for x in c.take(pa.array(order)).to_pylist()]
     same = {size: np.stack([s for s in sketches if len(s) == size]) for size in {len(s) for s in sketches}}
     first = {size: next(k for k, s in enumerate(sketches) if len(s) == size) for size in same}
     found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
@@ -160,7 +164,7 @@ def set_pairs(roots: list, n: np.ndarray, c: pa.Array) -> tuple[np.ndarray, np.n
             if low < high:
                 b = same[size][low - first[size] : high - first[size]]
                 b = b if size == len(a) else b[:, : len(a)] ^ b[:, len(a) :]
-                can = (np.count_nonzero(b != a, axis=1) * (100 + SIMILARITY) <= (n[i] + n[low:high]) * (100 - SIMILARITY)) & (root[low:high] != root[i])
+                can = (np.bitwise_count(b ^ a).sum(axis=1, dtype=np.int64) * (100 + SIMILARITY) <= (n[i] + n[low:high]) * (100 - SIMILARITY)) & (root[low:high] != root[i])
                 j = np.flatnonzero(can) + low
                 found[0].append(np.full(len(j), i))
                 found[1].append(j)
@@ -260,6 +264,11 @@ def met_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pairs()
 
 
+def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, sets in sets_of(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(list(map(name_of, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(sketch_of, sets)), pa.binary())], ["_id", "_w", "_c"])
+
+
 def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, sets in sets_of(batches):
         sizes = np.cumsum([0, *map(len, sets)]).astype(np.int32)
@@ -310,11 +319,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         members = steps.written(buckets.select("_id").distinct(), "members")
         wanted = steps.written(sets.join(members, "_id", "left_semi").groupBy("_id").agg(F.min("_doc").alias("_doc")), "wanted")
-        listing = only_ids(texts.filter("_doc is not null"), "_doc", steps.written(wanted.select("_doc").filter("_doc is not null"), "wanted-ids")).unionByName(texts.filter("_doc is null"))
-        lists = map_texts(listing.select("_text"), listed, "_id bigint, _x array<bigint>, _w int, _c binary")
-        few = steps.written(only_ids(lists, "_id", members), "lists")
-        few = steps.written(few.dropDuplicates(["_id"]), "lists-once") if few.count() > members.count() else few  # repeated ids, or none
-        roots = near.linked(steps, buckets, few, near.Likeness(alike, can_be, set_pairs, True))
+
+        def of_sets(ids: DataFrame, docs_of: DataFrame, run: Callable, schema: str, label: str) -> DataFrame:
+            """What ``run`` makes of the sets of the written ``ids``, each once; ``docs_of`` has these and a document of each."""
+            chosen = steps.written(docs_of.select("_doc").filter("_doc is not null").distinct(), "wanted-ids")
+            listing = only_ids(texts.filter("_doc is not null"), "_doc", chosen).unionByName(texts.filter("_doc is null"))
+            made = steps.written(only_ids(map_texts(listing.select("_text"), run, schema), "_id", ids), label)
+            return steps.written(made.dropDuplicates(["_id"]), f"{label}-once") if made.count() > ids.count() else made  # repeated ids, or none
+
+        def lists(ids: DataFrame) -> DataFrame:
+            return of_sets(ids, wanted.join(ids, "_id", "left_semi"), listed, "_id bigint, _x array<bigint>, _w int, _c binary", "lists")
+
+        few = of_sets(members, wanted, sketched, "_id bigint, _w int, _c binary", "sketches")
+        roots = near.linked(steps, buckets, few, near.Likeness(alike, can_be, set_pairs), lists)
 
         nodes = sets.filter("_size > 0").groupBy("_id").agg(F.min("_doc").alias("_first"), F.sum("_k").alias("set_size"), F.count(F.lit(1)).alias("_c"))
         known = steps.written(near.with_class(nodes, roots), "known")

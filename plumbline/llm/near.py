@@ -237,13 +237,16 @@ class Likeness(NamedTuple):
     alike: Callable = similar
     can_be: Callable = words_can_be  # of rows: sketch and size of both sides
     pairs: Callable = word_pairs  # of a group: places of pairs of different classes that can be alike
-    #: Whether groups are sifted by sketches before symbols are moved.
-    sift: bool = False
 
 
 WORDS = Likeness()
 
 
+def listed(steps: Steps, ids: DataFrame, few: DataFrame, lists: Callable | None) -> DataFrame:
+    """``few`` with symbols, for those of ``ids`` at least."""
+    return lists(steps.written(ids.select("_id").distinct(), "compared")) if lists else few
+
+
 def verify(batches: Iterator[pa.RecordBatch], alike: Callable = similar) -> Iterator[pa.RecordBatch]:
     """Each pivot's row is followed by those to compare with it."""
     pivot = None
@@ -456,14 +459,14 @@ def in_groups(batches: Iterator[pa.RecordBatch], likeness: Likeness = WORDS) ->
     yield from map(links_of, runs_by_key(batches))
 
 
-def between_classes(steps: Steps, rows: DataFrame, few: DataFrame, likeness: Likeness = WORDS) -> DataFrame:
+def between_classes(steps: Steps, rows: DataFrame, few: DataFrame, likeness: Likeness = WORDS, lists: Callable | None = None) -> DataFrame:
     """Links (_a, _b) between different classes within the small mixed buckets ``rows``, whose pivots have been compared. Only links are listed."""
     kind = few.schema["_id"].dataType.simpleString()
     members = steps.written(rows.filter(~F.col("_id").eqNullSafe(F.col("_p"))).select("_key", "_id", "_root"), "grouped")
-    if likeness.sift:
+    if lists:
         sketched = members.join(few.select("_id", "_w", "_c"), "_id").repartition("_key").sortWithinPartitions("_key", "_id")
         members = steps.written(map_texts(sketched.select("_key", "_id", "_root", "_w", "_c"), partial(sifted, likeness=likeness), f"_key bigint, _id {kind}, _root {kind}"), "sifted")
-    own = members.groupBy("_id").agg(F.collect_set("_key").alias("_keys")).join(few, "_id")  # a bucket for each band, two if split by length
+    own = members.groupBy("_id").agg(F.collect_set("_key").alias("_keys")).join(listed(steps, members, few, lists), "_id")  # a bucket for each band, two if split by length
     whole = members.join(own, "_id").repartition("_key").sortWithinPartitions("_key", "_id")
     return steps.written(map_texts(whole.select("_key", "_id", "_root", "_w", "_c", "_keys", "_x"), partial(in_groups, likeness=likeness), f"_a {kind}, _b {kind}"), "between")
 
@@ -579,31 +582,30 @@ def classes(steps: Steps, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return linked(steps, buckets, few)
 
 
-def linked(steps: Steps, buckets: DataFrame, few: DataFrame, likeness: Likeness = WORDS) -> DataFrame:
+def linked(steps: Steps, buckets: DataFrame, few: DataFrame, likeness: Likeness = WORDS, lists: Callable | None = None) -> DataFrame:
     """(_id, _root) for all of the written ``buckets`` (_key, _id, _n, _p) whose members are to be compared by ``likeness``, which implies
-    that both share 0.8 of the longer one's symbols. ``few`` has their symbols: _id, _x, _w (how many), _c (a sketch)."""
+    that both share 0.8 of the longer one's symbols. ``few`` has their symbols: _id, _x, _w (how many), _c (a sketch). With ``lists``, which gives
+    these rows for written ids, ``few`` has no _x, and groups are sifted by sketches before anything is listed."""
     kind = few.schema["_id"].dataType.simpleString()
 
     def settled(buckets: DataFrame, roots: DataFrame | None, more: list[DataFrame]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
         """Steps 1 and 2 on ``buckets``: the roots with ``more`` links and those to pivots, the mixed buckets that are too large, the links of the others."""
-        candidates, lists = to_pivots(steps, buckets, few, likeness), few
-        if likeness.sift:  # only lists that are compared are moved
-            candidates = steps.written(candidates, "candidates")
-            lists = only_ids(few, "_id", steps.written(candidates.select("_id").union(candidates.select("_p")).distinct(), "compared"))
-        pivot_links = links(steps, candidates, lists, likeness.alike)
+        candidates = to_pivots(steps, buckets, few, likeness)
+        candidates = steps.written(candidates, "candidates") if lists else candidates
+        pivot_links = links(steps, candidates, listed(steps, candidates.select("_id").union(candidates.select("_p")), few, lists), likeness.alike)
         roots = components(steps, pivot_links) if roots is None else joined_components(steps, roots, reduce(DataFrame.unionByName, more, pivot_links))
         rest = mixed(steps, steps.written(with_class(buckets.select("_key", "_id", "_p"), roots), "classes"))
         groups, large = rest.filter("_small"), rest.filter("not _small")
         if not large.isEmpty():
             split = mixed(steps, steps.written(by_length(large, few).withColumn("_p", F.lit(None).cast(kind)), "by-length"))  # any two may be of different pivots
             groups, large = groups.unionByName(split.filter("_small")), split.filter("not _small")
-        return roots, large, [between_classes(steps, groups, few, likeness)]
+        return roots, large, [between_classes(steps, groups, few, likeness, lists)]
 
     roots, large, more = settled(buckets, None, [])
     if not large.isEmpty():
-        roots, large, more = settled(with_pivot(steps, steps.written(rare_words(steps, large, few), "rare")), roots, more)
+        roots, large, more = settled(with_pivot(steps, steps.written(rare_words(steps, large, listed(steps, large, few, lists)), "rare")), roots, more)
         if not large.isEmpty():
-            more.append(block_links(steps, large.select("_key", "_id", "_root"), few, likeness.alike))
+            more.append(block_links(steps, large.select("_key", "_id", "_root"), listed(steps, large, few, lists), likeness.alike))
     return joined_components(steps, roots, reduce(DataFrame.unionByName, more))
 
 

@@ -183,3 +183,40 @@ def test_packed_signatures_meet_like_whole_ones(monkeypatch):
         for a, x in sets.values():
             for b, y in sets.values():
                 assert a == b or not x & y or ups[a] & ups[b]
+
+
+def test_sketches_take_bits_and_rule_out_what_is_near():
+    """At most half a byte a shingle; sets of similarity 0.7 do not pass. Before, a byte or two a shingle."""
+    import pyarrow as pa
+
+    g = np.random.Generator(np.random.PCG64(4))
+    for n in (100, 256, 257, 700, 2048):
+        assert len(jaccard.sketch_of(g.integers(0, 1 << 63, n, np.uint64))) <= n / 2
+    passed = 0
+    for _ in range(100):
+        x = g.integers(0, 1 << 63, 1300, np.uint64)
+        a, b = x[:1105], x[195:]  # 910 of 1,300 in common
+        one, other = (pa.array([jaccard.sketch_of(y)], pa.binary()) for y in (a, b))
+        passed += bool(jaccard.can_be(one, np.array([len(a)]), other, np.array([len(b)])).any())
+    assert passed < 5
+    small, large = g.integers(0, 1 << 63, 512, np.uint64), g.integers(0, 1 << 63, 90, np.uint64)
+    bits = lambda y: jaccard.bits_of(jaccard.sketch_of(y))
+    assert jaccard.differing(bits(small), bits(np.concatenate([small, large]))) <= 90 and len(bits(small)) < len(bits(np.concatenate([small, large])))
+
+
+def test_only_compared_sets_are_listed(frame, monkeypatch):
+    """Texts with a passage in common share signatures; their shingles are not written, only sketches. Before, all of them were."""
+    g = random.Random(13)
+    passage, pair = prose(g, 60), prose(g, 200)
+    texts = [" ".join(passage + [f"w{g.randrange(10_000)}" for _ in range(120)]) for _ in range(60)] + [" ".join(pair), " ".join(pair + ["end"])]
+    rows, wide, known = [*enumerate(texts)], {}, jaccard.Steps.written
+
+    def watched(self, df, label):
+        out = known(self, df, label)
+        if {"_x", "_c"} & set(out.columns):
+            wide[label] = wide.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard.Steps, "written", watched)
+    assert result(frame(rows)) == brute(rows)
+    assert wide["sketches"] > 30 and wide["lists"] < 10

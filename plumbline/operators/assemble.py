@@ -199,13 +199,13 @@ def database_tables(tables: dict[str, DataFrame], keys: dict[str, str], dists: D
     """(dataset_id, distribution_id, table_name, fields, examples): the record set of each table of a database.
 
     Each column has its type, its source (the table's distribution), up to ``values`` different values of the first ``scan`` rows by the
-    table's key, and its statistics over all rows; ``examples`` are the first ``rows`` rows as JSON, by column. A table that
+    table's key, and its exact statistics over all rows; ``examples`` are the first ``rows`` rows as JSON, by column. A table that
     the inventory lacks has no distribution.
     """
     ids = dists.filter("kind = 'database_table'").select(F.col("name").alias("table_name"), F.col("id").alias("distribution_id"))
     parts = []
     for name, df in tables.items():
-        profiles = C.profile_columns(df, distinct="budget").select(F.lit(name).alias("table_name"), "*").join(F.broadcast(ids), "table_name", "left").withColumn("dataset_id", F.lit(dataset_id))
+        profiles = C.profile_columns(df).select(F.lit(name).alias("table_name"), "*").join(F.broadcast(ids), "table_name", "left").withColumn("dataset_id", F.lit(dataset_id))
         picked = [C.distinct_value_sample(df, c, keys[name], values, scan) for c in df.columns]
         samples = reduce(DataFrame.unionByName, picked).withColumn("rank", F.lit(0))
         parts.append(with_examples(column_fields(profiles, samples), C.table_examples(df, keys[name], rows=rows)).withColumnRenamed("record_set", "table_name"))

@@ -188,3 +188,10 @@ def test_database_tables_hold_columns_values_and_examples(spark):
     flat = A.flat_databases(A.database_tables({"users": users, "logs": logs}, {"users": "id", "logs": "log_id"}, dists, "d"), dists).collect()
     assert len(flat) == 1 and [t["name"] for t in flat[0]["tables"]] == ["users"]
     assert [c["primitive_type"] for c in flat[0]["tables"][0]["columns"]] == ["sc:Integer", "sc:Text", "sc:Float"]
+
+
+def test_database_tables_count_many_distinct_values_exactly(spark):
+    n = C.UNIQUE_FLAG + 30_000
+    dists = spark.createDataFrame([], "kind string, id string, name string")
+    f = A.database_tables({"t": spark.range(n).selectExpr("id", "id % 7 AS few")}, {"t": "id"}, dists, "d").select(F.inline("fields")).collect()
+    assert [(r["name"], r["statistics"]["unique_count"], r["statistics"]["unique_is_estimate"]) for r in f] == [("id", n, False), ("few", 7, False)]

@@ -91,57 +91,131 @@ class Bins:
             self.counts[i] = self.counts.get(i, 0) + k
 
 
-def binned(names: list[str], grouped: bool):
-    """Each task's bins of all columns; of many groups the largest are given out and begun again, so memory is bounded."""
-
-    def rows(held: dict, keys: list) -> pa.RecordBatch:
-        out = [(g, c, b.e, i, n) for g, c in keys for b in [held.pop((g, c))] for i, n in b.counts.items()]
-        g, c, e, i, n = zip(*out, strict=True) if out else ((),) * 5
-        columns = [pa.array(c, pa.string()), pa.array(e, pa.int32()), pa.array(i, pa.int64()), pa.array(n, pa.int64())]
-        return pa.RecordBatch.from_arrays(([pa.array(g, pa.string())] if grouped else []) + columns, (["batch_id"] if grouped else []) + ["column_name", "e", "i", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
+def least_widths(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least e for each pair of bounds, as ``Bins`` finds it for one."""
+    most = np.maximum(np.abs(lo), np.abs(hi))
+    e = np.where(most > 0, np.maximum(np.frexp(most)[1] - BITS, LOWEST), LOWEST).astype(np.int64)
+    spread = hi / (2 * MOST_BINS) - lo / (2 * MOST_BINS)
+    e = np.maximum(e, np.where(spread > 0, np.frexp(spread)[1] - 3, LOWEST))  # as many bins need to be wider than this
+    while (many := np.flatnonzero(bin_numbers(hi, e) - bin_numbers(lo, e) >= MOST_BINS)).size:
+        e[many] += 1
+    return e
+
+
+def codes_of(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """A number for each row; rows with the same keys have the same."""
+    code = np.zeros(len(t), np.int64)
+    for k in keys:
+        at = t.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code = np.unique(code * (at.max(initial=0) + 1) + at, return_inverse=True)[1]
+    return code
+
+
+def counted(t: pa.Table, order: np.ndarray, starts: np.ndarray, e: np.ndarray, i: np.ndarray, n: np.ndarray, lo: np.ndarray) -> pa.Table:
+    """Rows of the same group and bin made one. ``order`` has the rows by group, which begin at ``starts``; e and lo are of groups, i and n of ordered rows."""
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+    cell = group * MOST_BINS + (i - lo[group])
+    by = np.argsort(cell, kind="stable")
+    first = np.flatnonzero(np.diff(cell[by], prepend=-1))
+    row = by[first]
+    columns = {"e": pa.array(e[group[row]], pa.int32()), "i": pa.array(i[row], pa.int64()), "n": pa.array(np.add.reduceat(n[by], first), pa.int64())}
+    kept = t.select([c for c in t.column_names if c not in columns]).take(pa.array(order[row]))
+    for name, column_ in columns.items():
+        kept = kept.append_column(name, column_)
+    return kept
+
+
+def bins_of_values(t: pa.Table, keys: list[str], x: np.ndarray) -> pa.Table:
+    """(keys, e, i, n) of the values x beside the rows of t: for each group the bins that ``Bins`` has after them."""
+    at = np.flatnonzero(np.isfinite(x))
+    code = codes_of(t, keys)[at]
+    by = np.argsort(code, kind="stable")
+    starts, order = np.flatnonzero(np.diff(code[by], prepend=-1)), at[by]
+    if not len(order):
+        return counted(t, order, starts, *[np.zeros(0, np.int64)] * 4)
+    lo, hi = np.minimum.reduceat(x[order], starts), np.maximum.reduceat(x[order], starts)
+    e = least_widths(lo, hi)
+    i = bin_numbers(x[order], np.repeat(e, np.diff(np.append(starts, len(order)))))
+    return counted(t, order, starts, e, i, np.ones(len(order), np.int64), bin_numbers(lo, e))
+
+
+def few_bins(t: pa.Table, keys: list[str]) -> pa.Table:
+    """Bins (keys, e, i, n) of any widths as those of one width for each group, ``MOST_BINS`` at most."""
+    if not len(t):
+        return t
+    code = codes_of(t, keys)
+    order = np.argsort(code, kind="stable")
+    starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+    sizes = np.diff(np.append(starts, len(order)))
+    e, i, n = (t.column(c).to_numpy().astype(np.int64)[order] for c in ("e", "i", "n"))
+    widest = np.maximum.reduceat(e, starts)
+    i = i >> np.minimum(np.repeat(widest, sizes) - e, 63)
+    lo, hi, by = np.minimum.reduceat(i, starts), np.maximum.reduceat(i, starts), np.zeros(len(starts), np.int64)
+    while (many := np.flatnonzero((hi >> by) - (lo >> by) >= MOST_BINS)).size:
+        by[many] += 1
+    return counted(t, order, starts, widest + by, i >> np.repeat(by, sizes), n, lo >> by)
+
+
+#: Rows of bins that a task holds; of more it gives out what it has and begins again.
+HELD_BINS = 400_000
+
+
+def held_bins(tables: Iterator[pa.Table], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Tables of bins put together as far as a task's memory goes."""
+    held, n = [], 0
+    for t in tables:
+        held.append(t)
+        n += len(t)
+        if n >= HELD_BINS:
+            held = [few_bins(pa.concat_tables(held), keys)]
+            n = len(held[0])
+            if n >= HELD_BINS // 2:
+                yield from held[0].to_batches(max_chunksize=50_000)
+                held, n = [], 0
+    if held:
+        yield from few_bins(pa.concat_tables(held), keys).to_batches(max_chunksize=50_000)
+
+
+def binned(names: list[str], keys: list[str]):
+    """Each task's bins of all columns; rows of all groups are counted together."""
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for batch in batches:
-            values = [batch.column(f"x{k}").to_numpy(zero_copy_only=False).astype(np.float64) for k in range(len(names))]
-            groups = np.array(batch.column("batch_id").to_pylist(), object) if grouped else None
-            for g in dict.fromkeys(groups.tolist()) if grouped else [None]:
-                at = np.flatnonzero(groups == g) if grouped else slice(None)
-                for name, x in zip(names, values, strict=True):
-                    held.setdefault((g, name), Bins()).add(x[at])
-            if len(held) > 20_000:
-                yield rows(held, list(held))
-        yield rows(held, list(held))
+            for k, name in enumerate(names):
+                groups = pa.table([pa.array([name] * len(batch), pa.string()), *(batch.column(c) for c in keys)], ["column_name", *keys]).select([*keys, "column_name"])
+                yield bins_of_values(groups, keys, batch.column(f"x{k}").to_numpy(zero_copy_only=False).astype(np.float64))
 
-    return run
+    return lambda batches: held_bins(tables(batches), [*keys, "column_name"])
 
 
 def histogram_states(df: DataFrame, columns: list[str], group: str | None = None) -> DataFrame:
     """(column_name, histogram), for each value of ``group`` too, of numeric columns, from one scan. Infinite values are in no bin."""
     kinds = dict(field_types(df))
     names = [c for c in columns if is_numeric(kinds[c])]
-    keys = ["column_name"] if group is None else ["batch_id", "column_name"]
+    keys = [] if group is None else ["batch_id"]
     by = [] if group is None else [column(group).cast("string").alias("batch_id")]
     kind = "batch_id string, " if group is not None else ""
-    parts = df.select(*by, *(number(c, kinds[c]).alias(f"x{k}") for k, c in enumerate(names))).mapInArrow(binned(names, group is not None), f"{kind}column_name string, e int, i bigint, n bigint")
-    return merged_bins(parts, keys)
+    parts = df.select(*by, *(number(c, kinds[c]).alias(f"x{k}") for k, c in enumerate(names))).mapInArrow(binned(names, keys), f"{kind}column_name string, e int, i bigint, n bigint")
+    return merged_bins(parts, [*keys, "column_name"])
 
 
 def merged_bins(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, histogram) from rows (keys, e, i, n) of any widths."""
+    """(keys, histogram) from rows (keys, e, i, n) of any widths, of which each task has few of a key. They are shuffled once, by their keys."""
     shift = lambda i, by: F.call_function("shiftright", i, F.least(by, F.lit(63)).cast("int"))
-    widest = parts.groupBy(*keys).agg(F.max("e").alias("_e"))
-    level = parts.join(widest, keys).groupBy(*keys, "_e", shift(F.col("i"), F.col("_e") - F.col("e")).alias("i")).agg(F.sum("n").alias("n"))
+    w = W.partitionBy(*keys)
+    wide = parts.withColumn("_e", F.max("e").over(w))
+    level = wide.groupBy(*keys, "_e", shift(F.col("i"), F.col("_e") - F.col("e")).alias("i")).agg(F.sum("n").alias("n"))
     # how often the width must double until all bins are few enough
-    ends = level.groupBy(*keys).agg(F.min("i").alias("_lo"), F.max("i").alias("_hi"))
+    ends = level.withColumns({"_lo": F.min("i").over(w), "_hi": F.max("i").over(w)})
     doublings = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda s: shift(F.col("_hi"), s) - shift(F.col("_lo"), s) < MOST_BINS))
-    ends = ends.select(*keys, doublings.alias("_s"))
-    few = level.join(ends, keys).groupBy(*keys, (F.col("_e") + F.col("_s")).alias("e"), shift(F.col("i"), F.col("_s")).alias("i")).agg(F.sum("n").alias("n"))
+    few = ends.withColumn("_s", doublings).groupBy(*keys, (F.col("_e") + F.col("_s")).alias("e"), shift(F.col("i"), F.col("_s")).alias("i")).agg(F.sum("n").alias("n"))
     return few.groupBy(*keys, "e").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("bins")).select(*keys, F.struct("e", "bins").alias("histogram"))
 
 
 def merged_histograms(states: DataFrame, keys: list[str]) -> DataFrame:
-    return merged_bins(states.select(*keys, F.col("histogram.e").alias("e"), F.inline("histogram.bins")), keys)
+    bins = states.select(*keys, F.col("histogram.e").alias("e"), F.inline("histogram.bins"))
+    reduced = lambda batches: held_bins((pa.Table.from_batches([b]) for b in batches), keys)
+    return merged_bins(bins.mapInArrow(reduced, bins.schema), keys)
 
 
 def bins_of(histogram: Column) -> Column:

@@ -1,9 +1,12 @@
 """Samples, quantile sketches and growing histograms: parts merge to the whole."""
 
 import math
+import time
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,6 +74,35 @@ def test_histograms_of_parts_merge_to_that_of_the_whole(rows):
     assert bins(M.merged_histograms(coarse, ["column_name"])) == whole
 
 
+def batch_of(groups, values):
+    return pa.record_batch([pa.array(groups, pa.string()), pa.array(values, pa.float64())], ["batch_id", "x0"])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), numbers)), max_size=12), min_size=1, max_size=5))
+def test_bins_of_many_groups_at_once_equal_a_plain_recount(parts):
+    out = list(M.binned(["x"], ["batch_id"])(batch_of(*zip(*p)) if p else batch_of([], []) for p in parts))
+    got = {}
+    for r in pa.Table.from_batches(out).to_pylist() if out else []:
+        got.setdefault(r["batch_id"], {})[r["i"]] = r["n"]
+        assert r["column_name"] == "x"
+    want = {g: brute_bins([v for p in parts for k, v in p if k == g]) for g in {k for p in parts for k, _ in p}}
+    assert got == {g: dict(w[1]) for g, w in want.items() if w}
+
+
+def test_time_does_not_grow_with_groups():
+    g = np.random.Generator(np.random.PCG64(3))
+    parts = [batch_of([str(k) for k in range(10_000)], g.random(10_000)) for _ in range(5)]
+    began = time.process_time()
+    out = list(M.binned(["x"], ["batch_id"])(iter(parts)))
+    assert time.process_time() - began < 3 and sum(pa.compute.sum(b["n"]).as_py() for b in out) == 50_000
+
+
+def test_bins_are_shuffled_once(rows):
+    plan = M.histogram_states(rows, ["spread", "part"], "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("MapInArrow") == 1
+
+
 def test_one_scan_for_a_histogram(rows):
     plan = M.histogram_states(rows.select("spread"), ["spread"])._jdf.queryExecution().optimizedPlan().toString()
     assert "BroadcastNestedLoop" not in plan and "Join Cross" not in plan

@@ -33,6 +33,14 @@ def can_open(path: str) -> bool:
         return False
 
 
+def can_write(path: str) -> bool:
+    """Whether Arrow knows the store; the path need not exist."""
+    try:
+        return bool(store_of(path))
+    except (OSError, pa.ArrowException, ImportError):
+        return False
+
+
 class Ranges(InputPartition):
     def __init__(self, files: list[tuple[str, int, int, int]]):
         super().__init__(None)

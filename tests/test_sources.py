@@ -195,3 +195,37 @@ def test_database_tables_count_many_distinct_values_exactly(spark):
     dists = spark.createDataFrame([], "kind string, id string, name string")
     f = A.database_tables({"t": spark.range(n).selectExpr("id", "id % 7 AS few")}, {"t": "id"}, dists, "d").select(F.inline("fields")).collect()
     assert [(r["name"], r["statistics"]["unique_count"], r["statistics"]["unique_is_estimate"]) for r in f] == [("id", n, False), ("few", 7, False)]
+
+
+def tasks_of(spark, run):
+    """The numbers of tasks of the stages that ``run`` has."""
+    spark.sparkContext.setJobGroup("counted", run.__name__)
+    try:
+        run()
+        tracker = spark.sparkContext.statusTracker()
+        stages = {i for j in tracker.getJobIdsForGroup("counted") for i in tracker.getJobInfo(j).stageIds}
+        return [tracker.getStageInfo(i).numTasks for i in stages]
+    finally:
+        for key in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(key, None)
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for k in range(90):
+        put(tmp_path, f"d/k={k}/a.csv", b"x")
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism", None)
+    at, most = str(tmp_path / "d"), 4 * spark.sparkContext.defaultParallelism
+    for load in (files.list_files, files.read_texts):
+        found = tasks_of(spark, lambda load=load: load(spark, at))
+        assert found and max(found) <= most < 90 and load(spark, at).count() == 90
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism", None) == before
+
+
+def test_files_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(40).coalesce(1).selectExpr("concat('n=', id % 3, '/k=', id, '/t.txt') AS path", "CAST(concat('text é ', id) AS binary) AS content")
+    at = f"file://{tmp_path}/w"
+    assert max(tasks_of(spark, lambda: files.write_files(rows, at))) > 1
+    files.write_files(rows, at)  # again, as a task may be
+    got = files.read_texts(spark, at).collect()
+    assert {r["path"].removeprefix(f"{tmp_path}/w/"): r["text"] for r in got} == {f"n={k % 3}/k={k}/t.txt": f"text é {k}" for k in range(40)} and len(got) == 40
+    assert sum(len(names) for _, _, names in os.walk(tmp_path / "w")) == 40

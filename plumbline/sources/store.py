@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from plumbline.session import few_listing_tasks
+
 
 def write_json(profiles: DataFrame, path: str) -> None:
     """(dataset_id, json) as text files, a directory per dataset."""
@@ -36,6 +38,8 @@ def newest_ranked(profiles: DataFrame, id_col: str, time_col: str, tie_col: str)
 
 def compact(spark: SparkSession, path: str, id_field: str = "@id", recursive: bool = False) -> DataFrame:
     """(dataset_id, path, modified) of the newest profile file of each id; unreadable files and those without one are left out."""
-    files = spark.read.option("recursiveFileLookup", recursive).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"))
+    with few_listing_tasks(spark):
+        texts = spark.read.option("recursiveFileLookup", recursive).text(path, wholetext=True)
+    files = texts.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"))
     found = files.select(F.get_json_object("value", f"$['{id_field}']").alias("dataset_id"), "path", "modified", F.try_parse_json("value").isNotNull().alias("ok"))
     return newest_ranked(found.filter("ok").drop("ok"), "dataset_id", "modified", "path")

@@ -221,6 +221,15 @@ def test_folders_are_listed_by_few_tasks(spark, tmp_path):
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism", None) == before
 
 
+def test_profiles_to_compact_are_listed_by_few_tasks(spark, tmp_path):
+    for k in range(90):
+        os.utime(put(tmp_path, f"p/{k % 2}/k={k}/a.json", f'{{"@id": "d{k % 30}"}}'.encode()), (k, k))
+    found = tasks_of(spark, lambda: store.compact(spark, str(tmp_path / "p"), recursive=True))
+    assert found and max(found) <= 4 * spark.sparkContext.defaultParallelism < 45
+    got = {r["dataset_id"]: r["path"].rsplit("/", 2)[1] for r in store.compact(spark, str(tmp_path / "p"), recursive=True).collect()}
+    assert got == {f"d{k % 30}": f"k={k}" for k in range(60, 90)}
+
+
 def test_files_are_written_by_many_tasks(spark, tmp_path):
     rows = spark.range(40).coalesce(1).selectExpr("concat('n=', id % 3, '/k=', id, '/t.txt') AS path", "CAST(concat('text é ', id) AS binary) AS content")
     at = f"file://{tmp_path}/w"

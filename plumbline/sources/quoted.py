@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.types import missing_to_null
-from plumbline.session import scratch_dir
+from plumbline.session import same_ranges, scratch_dir
 
 #: States of ranges that are broadcast; with more, lines are sorted by range instead.
 BROADCAST_RANGES = 500_000
@@ -103,25 +103,32 @@ def cut_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from range_.rest()
 
 
-def quoted_records(spark: SparkSession, path: str) -> DataFrame:
-    """(record, first) of all CSV records under a path, as bytes; quoted line breaks are part of a record, and empty records are left out.
-
-    Quotes inside of fields are doubled, and only quoted fields have any. A last record whose quote is never closed is given as it stands.
-    """
-    lines = ranges_of_lines(spark, path)
+def cut_lines(lines: DataFrame) -> DataFrame:
+    """What ``cut_records`` gives of all lines, as a written table. Both scans must have the same ranges; a range that is new in the second one fails."""
+    spark = lines.sparkSession
     at = scratch_dir(spark, "ranges")
     range_states(lines).write.parquet(at)
     states = spark.read.parquet(at)
     if states.count() <= BROADCAST_RANGES:
-        known = lines.join(F.broadcast(states), ["file", "start"])
+        known = lines.join(F.broadcast(states), ["file", "start"], "left")
     else:
         numbered = lines.withColumn("_n", F.monotonically_increasing_id())
-        known = numbered.join(states, ["file", "start"]).repartition("file", "start").sortWithinPartitions("file", "start", "_n")
+        known = numbered.join(states, ["file", "start"], "left").repartition("file", "start").sortWithinPartitions("file", "start", "_n")
+    inside = F.coalesce("inside", F.raise_error(F.lit("byte ranges changed between two scans")).cast("boolean")).alias("inside")
     # the part of a record that ends a range, and what of it others have, are few rows
-    cut = known.select("file", "start", "line", "odd", "inside").mapInArrow(cut_records, "file bigint, start bigint, record binary, part string, first boolean")
+    cut = known.select("file", "start", "line", "odd", inside).mapInArrow(cut_records, "file bigint, start bigint, record binary, part string, first boolean")
     at = scratch_dir(spark, "records")
     cut.write.parquet(at)
-    cut = spark.read.parquet(at)
+    return spark.read.parquet(at)
+
+
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """(record, first) of all CSV records under a path, as bytes; quoted line breaks are part of a record, and empty records are left out.
+
+    Quotes inside of fields are doubled, and only quoted fields have any. A last record whose quote is never closed is given as it stands.
+    """
+    with same_ranges(spark):
+        cut = cut_lines(ranges_of_lines(spark, path))
     order = W.partitionBy("file").orderBy("start", F.col("part") == "tail")
     number = F.sum((F.col("part") == "tail").cast("bigint")).over(order)
     pieces = cut.filter("part is not null").withColumn("_r", number).groupBy("file", "_r").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("part") == "tail").alias("t"), F.hex("record").alias("h")))).alias("p"), F.max("first").alias("first"))
@@ -130,17 +137,34 @@ def quoted_records(spark: SparkSession, path: str) -> DataFrame:
     return every.filter(~F.col("record").isin(b"", b"\r"))
 
 
-def fields_of(record: Column, names: list[str], delimiter: str, encoding: str) -> Column:
-    """A record's fields as a struct of strings, one more for what is too many."""
-    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, "_over"])
-    text = F.regexp_replace(F.decode(record, encoding), "\r\\z", "")
-    return F.from_csv(text, schema, {"sep": delimiter, "escape": QUOTE, "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"})
+#: What the parser gets for a character of number 0, which it takes for a mark of its own, and for the first character of this.
+ZERO, ONE = "\x01a", "\x01b"
+
+
+def marked(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("\0")), F.replace(F.replace(text, F.lit("\x01"), F.lit(ONE)), F.lit("\0"), F.lit(ZERO))).otherwise(text)
+
+
+def unmarked(field: Column, had_zero: Column) -> Column:
+    return F.when(had_zero, F.replace(F.replace(field, F.lit(ZERO), F.lit("\0")), F.lit(ONE), F.lit("\x01"))).otherwise(field)
+
+
+def parsed_records(records: DataFrame, names: list[str], delimiter: str, encoding: str) -> DataFrame:
+    """The fields of (record) as strings, and what is too many in ``_over``: an empty field is null, one in quotes an empty text."""
+    every = [*names, "_over"]
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in every)
+    text = F.regexp_replace(F.decode("record", encoding), "\r\\z", "")
+    options = {"sep": delimiter, "escape": QUOTE, "mode": "PERMISSIVE", "maxCharsPerColumn": "-1", "nullValue": "\0", "emptyValue": ""}
+    texts = records.select(text.alias("t"))
+    got = texts.select(F.from_csv(marked(F.col("t")), schema, options).alias("f"), F.contains("t", F.lit("\0")).alias("z"))
+    return got.select(*(unmarked(F.col("f")[n], F.col("z")).alias(n) for n in every))
 
 
 def read_quoted_csv(spark: SparkSession, path: str, delimiter: str = ",", columns: list[str] | None = None, encoding: str = "ISO-8859-1", missing_tokens: bool = True) -> DataFrame:
     """What ``files.read_csv`` gives for files with a header and quoted line breaks, but in many tasks per file.
 
-    Rows with too many fields are dropped, those with too few are filled up with nulls; missing-value tokens become null. An
+    Rows with too many fields are dropped, those with too few are filled up with nulls; missing-value tokens become null.
+    Without ``missing_tokens`` a field in quotes that is empty is an empty text, and one without quotes null. An
     encoding must keep ASCII bytes as they are (UTF-8, ISO-8859-*, Windows-125*). An empty file, or none, has no columns.
     """
     records = quoted_records(spark, path)
@@ -149,7 +173,7 @@ def read_quoted_csv(spark: SparkSession, path: str, delimiter: str = ",", column
         if not head:
             return spark.createDataFrame([], T.StructType([]))
         columns = header_fields(bytes(head[0][0]).decode(encoding).rstrip("\r"), delimiter)
-    parsed = records.filter("not first").select(fields_of(F.col("record"), columns, delimiter, encoding).alias("f")).select("f.*").filter("_over is null")
+    parsed = parsed_records(records.filter("not first"), columns, delimiter, encoding).filter("_over is null")
     return parsed.select(*((missing_to_null(F.col(f"`{n}`")) if missing_tokens else F.col(f"`{n}`")).alias(n) for n in columns))
 
 

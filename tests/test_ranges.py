@@ -57,6 +57,34 @@ def test_a_record_over_many_ranges(spark, tmp_path, small_ranges, monkeypatch):
     assert quoted.read_quoted_csv(spark, str(tmp_path / "b.csv"), ";", encoding="UTF-8").columns == ["a", "b\nc"]
 
 
+def test_empty_texts_and_odd_characters(spark, tmp_path, small_ranges):
+    texts = ["", "\0", 'a\0"b', '"\0"', "\x01", "\x01a", "\x01\0", "\0a\x01b\n", '\0,"', "\ufeffx", "x" * 2000 + "\0"]
+    with open(tmp_path / "a.csv", "w", newline="", encoding="utf-8") as f:
+        f.write("id,t,u\n" + "".join(f'{i},"{t.replace(chr(34), chr(34) * 2)}",{"" if i % 2 else chr(34) * 2}\n' for i, t in enumerate(texts)))
+    got = sorted(map(tuple, quoted.read_quoted_csv(spark, str(tmp_path), encoding="UTF-8", missing_tokens=False).collect()), key=lambda r: int(r[0]))
+    assert got == [(str(i), t, None if i % 2 else "") for i, t in enumerate(texts)]
+
+
+def test_cores_that_come_and_go(spark, tmp_path, monkeypatch):
+    """More cores at the second scan would make smaller ranges, of which the first one knew nothing."""
+    key, old = "spark.sql.leafNodeDefaultParallelism", spark.conf.get("spark.sql.files.openCostInBytes")
+    write(tmp_path / "a.csv", [["id", "t"], *([str(i), "a\nb" * (i % 5)] for i in range(2000))], "\n", "UTF-8")
+    dirs = quoted.scratch_dir
+
+    def more_cores(spark, label):
+        spark.conf.set(key, "64" if label == "records" else "4")
+        return dirs(spark, label)
+
+    monkeypatch.setattr(quoted, "scratch_dir", more_cores)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = quoted.read_quoted_csv(spark, str(tmp_path), ";", encoding="UTF-8").collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+        spark.conf.unset(key)
+    assert sorted(int(r["id"]) for r in got) == list(range(2000))
+
+
 def test_empty_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"")
     assert quoted.read_quoted_csv(spark, str(tmp_path), ";").columns == []
